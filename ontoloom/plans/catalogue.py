@@ -1,9 +1,413 @@
-"""Every query of the ontology operators over the given tables."""
+"""Every query of the ontology operators over the given tables, each with the same query in SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ontoloom.functions import text
+from ontoloom.operators import closure as hier
+from ontoloom.operators import export, graph, link, search
+from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
+
+_QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None):
+    def register(build: Callable[[Tables], DataFrame]):
+        _QUERIES[build.__name__] = (build, sql)
+        return build
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, folder, f=build: f(Tables(spark, folder))) for name, (build, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def _parents(t: Tables) -> DataFrame:
+    return edges(t, "directParent").select("src", "dst")
+
+
+_CLO = CLOSURE_SQL.format(edges="par")
+_GEO = "geo as (select 'nation:' || n_nationkey as src, 'region:' || n_regionkey as dst from nation)"
+
+
+# --- hierarchies ------------------------------------------------------------------------------------------------------
+
+
+@query(f"with recursive {ENTITIES_SQL}, {PARENTS_SQL}, {_CLO} select id, coalesce(n, 0) as num_descendants from ent left join (select dst, count(*) as n from clo group by 1) on id = dst")
+def descendant_counts(t):
+    return hier.descendant_counts(entities(t), hier.closure(_parents(t)))
+
+
+@query(f"with recursive {PARENTS_SQL}, {_CLO} select src as id, dst as ancestor from clo")
+def ancestor_pairs(t):
+    return hier.closure(_parents(t)).select(F.col("src").alias("id"), F.col("dst").alias("ancestor"))
+
+
+@query(f"""with recursive {PARENTS_SQL}, both_ as (select * from par union all select 'part:' || p_partkey, 'brand:' || p_brand from part),
+{CLOSURE_SQL.format(edges="both_")} select dst as id, count(*) as n from clo where dst like 'brand:%' or dst like 'type:%' group by 1""")
+def hierarchical_descendants(t):
+    pairs = hier.closure(edges(t, "directParent", "part_of").select("src", "dst"))
+    return pairs.where(F.col("dst").startswith("brand:") | F.col("dst").startswith("type:")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RING = "ring as (select 'customer:' || c_custkey as src, 'nation:' || c_nationkey as dst from customer union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation union all select 'region:' || r_regionkey, 'region:' || ((r_regionkey + 1) % 5) from region)"
+
+
+@query(f"with recursive {_RING}, {CLOSURE_SQL.format(edges='ring')} select src, dst from clo")
+def cyclic_closure(t):
+    around = t.region.select(key("region", "r_regionkey").alias("src"), key("region", (F.col("r_regionkey") + 1) % 5).alias("dst"))
+    up = t.nation.select(key("nation", "n_nationkey").alias("src"), key("region", "n_regionkey").alias("dst"))
+    return hier.closure(t.customer.select(key("customer", "c_custkey").alias("src"), key("nation", "c_nationkey").alias("dst")).union(up).union(around)).select("src", "dst")
+
+
+@query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id, exists (select 1 from par where src = id) as has_parents, exists (select 1 from par where dst = id) as has_children from ent")
+def hierarchy_flags(t):
+    return hier.hierarchy_flags(entities(t), _parents(t))
+
+
+@query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id, label, id not in (select dst from par) as orphan from ent where id not in (select src from par)")
+def roots_and_orphans(t):
+    top = hier.roots(entities(t), _parents(t))
+    alone = hier.orphans(top, _parents(t)).select("id", F.lit(True).alias("orphan"))
+    return top.join(alone, "id", "left").select("id", "label", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+
+
+@query("select 'customer:' || c_custkey as id, c_name as label, (select count(*) from customer where c_nationkey = 3) as total from customer where c_nationkey = 3 order by id limit 20 offset 5")
+def children_page(t):
+    """A page of a node's children is the feature here."""
+    kids = graph.step(edges(t, "directParent"), ["directParent"], incoming=True).where((F.col("id") == "nation:3") & F.col("other").startswith("customer:"))
+    named = kids.select(F.col("other").alias("id")).join(entities(t).select("id", "label"), "id")
+    return search.page(named, 5, 20, [F.col("id")]).select("id", "label", F.lit(kids.count()).cast("long").alias("total"))
+
+
+@query("select 'part:' || l_partkey as id, count(distinct l_orderkey) as related_from from lineitem group by 1")
+def related_terms_by_property(t):
+    return graph.step(edges(t, "contains"), ["contains"], incoming=True).groupBy("id").agg(F.count(F.lit(1)).alias("related_from"))
+
+
+@query("""with f as (select p_partkey from part where p_size = 7)
+select distinct 'part:' || p_partkey as focus, 'part:' || p_partkey as src, 'supplier:' || l_suppkey as dst, 'supplied_by' as edge_type from f join lineitem on l_partkey = p_partkey
+union all select 'part:' || f.p_partkey, 'part:' || f.p_partkey, 'type:' || p_type, 'directParent' from f join part using (p_partkey)
+union all select distinct 'part:' || p_partkey, 'order:' || l_orderkey, 'part:' || p_partkey, 'contains' from f join lineitem on l_partkey = p_partkey""")
+def neighbourhood_graph(t):
+    focus = t.part.where("p_size = 7").select(key("part", "p_partkey").alias("id"))
+    return graph.neighbourhood(edges(t, "directParent", "contains", "supplied_by"), focus, ["directParent", "supplied_by"], ["contains"])
+
+
+@query(f"""with recursive ups as (select 'nation:' || n_nationkey as src, 'region:' || n_regionkey as dst from nation union all select 'customer:' || c_custkey, 'nation:' || c_nationkey from customer),
+walk as (select 'region:' || r_regionkey as id, 'region:' || r_regionkey as path, '#' as parent_id, 1 as depth from region
+union all select src, path || ';' || src, base64(encode(path)), depth + 1 from walk join ups on dst = id)
+select id, base64(encode(path)) as node_id, parent_id, cast(depth as bigint) as depth from walk""")
+def jstree_paths(t):
+    nodes = entities(t).where(F.col("kind").isin("region", "nation", "customer"))
+    up = _parents(t).where(F.col("src").startswith("nation:") | F.col("src").startswith("customer:"))
+    return graph.js_tree(nodes, up)
+
+
+@query(f"with recursive {PARENTS_SQL}, {_CLO} select src as id, dst as type_id from clo where src like 'order:%'")
+def all_types_of_individual(t):
+    typed = edges(t, "directParent").withColumn("edge_type", F.when(F.col("src").startswith("order:"), "rdf:type").otherwise("rdfs:subClassOf"))
+    return graph.reach(typed, ["rdf:type", "rdfs:subClassOf"]).where(F.col("id").startswith("order:")).select("id", F.col("other").alias("type_id"))
+
+
+@query("""with recursive cells as (select conv_id || ' ' || turn as id, conv_id || ' ' || (turn + 1) as rest from conversations),
+walk as (select c.id, c.id as head, 0 as pos from cells c where c.id not in (select rest from cells) union all select n.id, w.head, pos + 1 from walk w join cells c on c.id = w.id join cells n on n.id = c.rest)
+select id, head, cast(pos as bigint) as pos from walk""")
+def rdf_list_eval(t):
+    name = lambda turn: F.concat_ws(" ", "conv_id", turn)
+    cells = t.conversations.select(name("turn").alias("id"), name(F.col("turn") + 1).alias("rest"))
+    there = cells.select(F.col("id").alias("rest"), F.lit(True).alias("there"))
+    linked = cells.join(there, "rest", "left").select("id", F.when(F.col("there"), F.col("rest")).alias("rest"))
+    return hier.list_positions(linked)
+
+
+# --- search -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {ENTITIES_SQL} select type as value, onto, count(*) as n from ent group by 1, 2")
+def type_statistics(t):
+    return entities(t).groupBy(F.col("type").alias("value"), "onto").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select 'event_type' as field, event_type as value, count(*) as n from events where user_id % 2 = 0 group by 2
+union all select 'even', 'true', count(*) from events where user_id % 2 = 0""")
+def faceted_events(t):
+    rows = t.events.select(F.col("event_id").alias("id"), "event_type", (F.col("user_id") % 2 == 0).cast("string").alias("even"), F.lit("x").alias("label"))
+    spec = search.SearchSpec(filters={"even": ["true"], "event_type": ["click", "view"]}, facets=("event_type",))
+    counts = search.facets(rows, spec)
+    return counts.union(search.facets(rows.where("even = 'true'"), search.SearchSpec(facets=("even",))))
+
+
+@query("select o_orderkey as id, o_orderstatus as status, o_orderpriority as priority from orders where lower(o_orderpriority) in ('1-urgent', '2-high') and lower(o_orderstatus) in ('o', 'p')")
+def dynamic_filter_entities(t):
+    params = search.dynamic_filters({"o_orderpriority": ["1-urgent,2-HIGH"], "o_orderstatus": ["o,p"], "page": ["0"]}, include_obsolete=True)
+    rows = t.orders
+    for name, repeats in params.items():
+        for values in repeats:
+            rows = search.filtered(rows, {name: values}, fold=True)
+    return rows.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(f"""with s as (select doc_id as id, {_TOK.format(c='text')} as tok, lang, source from documents),
+m as (select id, case when list_contains(tok, 'the') and list_contains(tok, 'that') then 5.0 else 0.0 end as hit, case when lang = 'en' then 10.0 else 0.0 end + case when source = 'src3' then 2.0 else 0.0 end as boost from s)
+select id, hit + boost as score from m where hit > 0 order by score desc, id limit 50""")
+def ranked_search_documents(t):
+    """A page of ranked hits is the feature here."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    spec = search.SearchSpec("the that", fields=(("text", 5.0, search.LOWER_TOKENS),), boosts=(("lang", "en", 10.0, search.WHOLE), ("source", "src3", 2.0, search.WHOLE)), rows=50)
+    return search.page(search.search(docs, spec).select("id", "score"), 0, spec.rows)
+
+
+@query("select p_partkey as id, p_name as label from part where p_name = (select min(p_name) from part)")
+def exact_match_lookup(t):
+    first = t.part.agg(F.min("p_name").alias("wanted"))
+    parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    return parts.join(F.broadcast(first), F.col("label") == F.col("wanted"), "left_semi")
+
+
+@query(r"""with l as (select p_name as label, lower(p_name) as low, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda w: starts_with(w, 'b')) as hit from part)
+select label, max(case when low = 'b' then 10.0 when starts_with(low, 'b') then 2.0 else 1.0 end) as score from l where len(hit) > 0 or starts_with(low, 'b') group by 1""")
+def suggest_labels(t):
+    return search.suggest(t.part, "b", "p_name")
+
+
+@query("""select p_name as iri, p_partkey as id, p_brand as brand, cast(p_size as double) as score from part
+qualify row_number() over (partition by p_name order by p_size desc, p_partkey) = 1""")
+def collapse_by_iri(t):
+    rows = t.part.select(F.col("p_name").alias("iri"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("score"))
+    return search.collapsed(rows, "iri")
+
+
+@query(f"""select doc_id as id, regexp_replace(text, '(?i)(with|from)', '<b>\\1</b>', 'g') as text_autosuggest from documents
+where list_contains({_TOK.format(c='text')}, 'with') and list_contains({_TOK.format(c='text')}, 'from')""")
+def select_intersection_highlight(t):
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    hits = docs.where(search.matches(docs, "text", "with from", search.LOWER_TOKENS))
+    return hits.select("id", text.highlighted(F.col("text"), ["with", "from"]).alias("text_autosuggest"))
+
+
+@query(f"with recursive {ENTITIES_SQL}, {PARENTS_SQL}, {_CLO} select id, label from ent where id in (select src from clo where dst in ('nation:3', 'region:1')) or id in ('nation:3', 'region:1')")
+def subtree_search_inclusive(t):
+    pairs = hier.closure(_parents(t))
+    return search.subtree(entities(t).select("id", "label"), pairs, ["nation:3", "region:1"], inclusive=True)
+
+
+@query("""select 'o_orderstatus' as field, o_orderstatus as value, count(*) as n from orders where o_totalprice > 1000 group by 2
+union all select 'o_orderpriority', o_orderpriority, count(*) from orders where o_totalprice > 1000 group by 2""")
+def flat_facets(t):
+    rows = t.orders.where("o_totalprice > 1000").withColumn("id", F.col("o_orderkey"))
+    return search.facets(rows, search.SearchSpec(facets=("o_orderstatus", "o_orderpriority")))
+
+
+@query(f"with {ENTITIES_SQL} select id, rank from (select id, 0 as rank from ent where id in ('part:7', 'zzz') union all select id, case when label = (select min(p_name) from part) then 1 end from ent where label = (select min(p_name) from part) and kind = 'part')")
+def id_cascade_lookup(t):
+    wanted = t.part.agg(F.min("p_name").alias("wanted")).union(t.part.where("p_partkey = 7").select(key("part", "p_partkey").alias("wanted")))
+    return graph.by_cascade(entities(t).where(F.col("kind") == "part"), wanted, ["id", "label"]).select("id", "rank")
+
+
+# --- strings and derived properties -----------------------------------------------------------------------------------
+
+
+@query(r"""select page_id, regexp_extract(url, '([^/#]*)$', 1) as short_form, regexp_replace(replace(regexp_extract(url, '([^/#]*)$', 1), '?page=', '_'), '_(\d+)$', ':\1') as curie, translate(lower(url), '.-_/', '') as normal from pages""")
+def short_forms_curies(t):
+    short = text.local_name(F.col("url"))
+    marked = F.replace(short, F.lit("?page="), F.lit("_"))
+    return t.pages.select("page_id", short.alias("short_form"), text.curie(marked).alias("curie"), text.normal_prefix(F.col("url")).alias("normal"))
+
+
+@query("""select doc_id as id, coalesce(case when lang = 'en' then source end, case when lang = 'de' then source || '@de' end, 'doc_' || doc_id) as label,
+case when lang in ('en', 'de') then 1 else 2 end as rank from documents""")
+def collate_labels_with_fallback(t):
+    en, de = F.when(F.col("lang") == "en", F.col("source")), F.when(F.col("lang") == "de", F.concat("source", F.lit("@de")))
+    label = F.coalesce(en, de, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
+    return t.documents.select(F.col("doc_id").alias("id"), label.alias("label"), F.when(en.isNotNull() | de.isNotNull(), 1).otherwise(2).alias("rank"))
+
+
+@query("""with l as (select source, lang, min(doc_id) as first_id from documents where lang is not null group by 1, 2),
+r as (select *, case lang when 'de' then 1 when 'en' then 2 when 'fr' then 3 else 4 end as k from l)
+select source, first_id, lang as used from r qualify row_number() over (partition by source order by k, first_id) = 1""")
+def localise_with_fallback(t):
+    each = t.documents.where("lang is not null").groupBy("source", "lang").agg(F.min("doc_id").alias("first_id"))
+    k = F.when(F.col("lang") == "de", 1).when(F.col("lang") == "en", 2).when(F.col("lang") == "fr", 3).otherwise(4)
+    best = each.groupBy("source").agg(F.min(F.struct(k.alias("k"), "first_id", "lang")).alias("b"))
+    return best.select("source", "b.first_id", F.col("b.lang").alias("used"))
+
+
+@query("""select 'part:' || p_partkey as id, array_to_string(list_sort([p_name, p_brand, p_type]), '|') as searchable_values from part
+union all select 'customer:' || c_custkey, array_to_string(list_sort([c_name, c_mktsegment]), '|') from customer""")
+def searchable_values(t):
+    joined = lambda *c: F.array_join(F.array_sort(F.array(*c)), "|").alias("searchable_values")
+    parts = t.part.select(key("part", "p_partkey").alias("id"), joined("p_name", "p_brand", "p_type"))
+    return parts.union(t.customer.select(key("customer", "c_custkey").alias("id"), joined("c_name", "c_mktsegment")))
+
+
+@query("select 'order:' || o_orderkey as id, o_orderstatus = 'F' or o_totalprice < 1500 as is_obsolete from orders")
+def obsolete_flags(t):
+    return t.orders.select(key("order", "o_orderkey").alias("id"), ((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") < 1500)).alias("is_obsolete"))
+
+
+@query("""with f as (select text, min(doc_id) as first_id from documents group by 1), s as (select doc_id as a, first_id as b from documents join f using (text) where doc_id <> first_id)
+select a, b from s union select b, a from s""")
+def symmetric_equivalence(t):
+    """Each document states that it equals the first with its text; completion adds the other direction, not all pairs of a group."""
+    digest = t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = digest.groupBy("h").agg(F.min("doc_id").alias("b"))
+    stated = digest.join(first, "h").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    return stated.union(stated.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+@query("select distinct x.conv_id, x.role as a, y.role as b, x.turn as turn_a, y.turn as turn_b from conversations x join conversations y on x.conv_id = y.conv_id and x.turn <> y.turn and abs(x.turn - y.turn) = 1")
+def pairwise_different(t):
+    """Ordered pairs of neighbouring members of each list."""
+    other = t.conversations.select("conv_id", F.col("role").alias("b"), F.col("turn").alias("turn_b"), F.explode(F.array(F.col("turn") - 1, F.col("turn") + 1)).alias("turn_a"))
+    own = t.conversations.select("conv_id", F.col("role").alias("a"), F.col("turn").alias("turn_a"))
+    return own.join(other, ["conv_id", "turn_a"]).select("conv_id", "a", "b", "turn_a", "turn_b").distinct()
+
+
+@query("select 'customer:' || c_custkey as id from customer where c_custkey in (select o_custkey from orders)")
+def has_individuals(t):
+    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(key("customer", "c_custkey").alias("id"))
+
+
+@query("select 'doc:' || doc_id as id, 'negativePropertyAssertion+toxic' as predicate, quality as value from labels where toxic = 1")
+def negative_assertions(t):
+    return t.labels.where("toxic = 1").select(key("doc", "doc_id").alias("id"), F.concat(F.lit("negativePropertyAssertion+"), F.lit("toxic")).alias("predicate"), F.col("quality").alias("value"))
+
+
+@query("""select 'order:' || o_orderkey as id, count(l_orderkey) as n_axioms, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag) filter (l_returnflag is not null))), '|'), '') as flags
+from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
+def reified_axioms_fold(t):
+    folded = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("flags"))
+    rows = t.orders.join(folded, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select(key("order", "o_orderkey").alias("id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_axioms"), F.coalesce("flags", F.lit("")).alias("flags"))
+
+
+# --- linking ----------------------------------------------------------------------------------------------------------
+
+
+def _definitions(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_name").alias("iri"), F.col("p_brand").alias("ontology_id"), F.lit("class").alias("type"))
+
+
+@query("select p_name as iri, count(distinct p_brand) as n_definitions, string_agg(distinct p_brand, '|' order by p_brand) as appears_in from part group by 1")
+def definitions_index(t):
+    return link.definitions(_definitions(t)).select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"))
+
+
+@query("""with d as (select p_name as iri, min(p_brand) as definer from part group by 1)
+select distinct p_brand as ontology_id, definer as imports_from from part join d on iri = p_name where p_brand <> definer""")
+def import_export_pairs(t):
+    rows = _definitions(t)
+    return link.import_pairs(rows, rows.groupBy("iri").agg(F.min("ontology_id").alias("ontology_id")))
+
+
+@query(r"""with g as (select page_id, regexp_extract_all(url || ' ' || html, '[A-Z]+:[0-9A-z]+', 0) as a, regexp_extract_all(url || ' ' || html, '[A-z]+://[^\s]+', 0) as b from pages)
+select distinct page_id, unnest(list_concat(a, b)) as s from g""")
+def gathered_strings(t):
+    return link.gathered(t.pages.select("page_id", F.concat_ws(" ", "url", "html").alias("s")), "page_id", "s")
+
+
+_REGISTRY = r"""reg as (select distinct regexp_extract(url, '^https?://[^/]+/', 0) as uri_prefix, 'h' || length(regexp_extract(url, '^https?://[^/]+/', 0)) as prefix from pages
+union select distinct regexp_extract(url, '^https?://[^/]+/[^/?#]+/', 0), 's' || length(regexp_extract(url, '^https?://[^/]+/[^/?#]+/', 0)) from pages where regexp_matches(url, '^https?://[^/]+/[^/?#]+/'))"""
+
+
+def _registry(t: Tables) -> DataFrame:
+    host, section = F.regexp_extract("url", "^https?://[^/]+/", 0), F.regexp_extract("url", "^https?://[^/]+/[^/?#]+/", 0)
+    rows = [t.pages.select(p.alias("uri_prefix"), F.concat(F.lit(mark), F.length(p).cast("string")).alias("prefix")) for p, mark in ((host, "h"), (section, "s"))]
+    return rows[0].union(rows[1]).where("uri_prefix <> ''").distinct()
+
+
+@query(f"with {_REGISTRY} select url, arg_max(prefix, length(uri_prefix)) || ':' || substring(url, max(length(uri_prefix)) + 1) as curie from (select distinct url from pages) join reg on starts_with(url, uri_prefix) where uri_prefix <> '' group by url")
+def longest_prefix_curie(t):
+    return link.url_to_curie(t.pages.select("url"), "url", _registry(t))
+
+
+@query("""select p_name as iri, p_partkey as id, p_brand as ontology_id from part
+qualify row_number() over (partition by p_name order by case when p_size > 40 then 0 else 1 end, p_brand, p_partkey) = 1""")
+def link_precedence(t):
+    rows = t.part.select(F.col("p_name").alias("iri"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("ontology_id"), F.when(F.col("p_size") > 40, 0).otherwise(1).alias("k"))
+    return link.by_precedence(rows, "iri", [F.col("k"), F.col("ontology_id"), F.col("id")]).select("iri", "id", "ontology_id")
+
+
+@query(r"""select page_id, case when regexp_matches(x, '^https?:') then null when regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then null else split_part(x, ':', 1) end as database,
+case when regexp_matches(x, '^https?:') or regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then x else split_part(x, ':', 2) end as id, case when regexp_matches(x, '^https?:') then x end as url
+from (select page_id, case page_id % 3 when 0 then url when 1 then 'DB:' || page_id || ':x' else 'plain' || page_id end as x from pages)""")
+def xref_parse(t):
+    k = F.col("page_id").cast("string")
+    value = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("DB:"), k, F.lit(":x"))).otherwise(F.concat(F.lit("plain"), k))
+    return t.pages.select("page_id", text.xref(value).alias("x")).select("page_id", "x.*")
+
+
+# --- exports and merges -----------------------------------------------------------------------------------------------
+
+
+@query("select event_id, event_type, props->>'$.k' as k, cast(props->>'$.k' as integer) % 2 = 0 as even from events")
+def json_flatten(t):
+    k = F.get_json_object("props", "$.k")
+    return t.events.select("event_id", "event_type", k.alias("k"), (k.cast("int") % 2 == 0).alias("even"))
+
+
+@query(f"""with {ENTITIES_SQL}, {PARENTS_SQL} select a.onto || '+' || a.type || '+' || src as src, 'directParent' as edge_type, b.onto || '+' || b.type || '+' || dst as dst
+from par join ent a on a.id = src join ent b on b.id = dst""")
+def edges_export(t):
+    nodes = entities(t).select("id", export.entity_id(F.col("onto"), F.col("type"), F.col("id")).alias("node_id"))
+    rows = edges(t, "directParent")
+    a, b = nodes.select(F.col("id").alias("src"), F.col("node_id").alias("s")), nodes.select(F.col("id").alias("dst"), F.col("node_id").alias("d"))
+    return rows.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"))
+
+
+@query("""with new as (select o_custkey % 7 as ontology_id, o_orderkey as id, 'new' as load from orders where o_custkey % 7 in (1, 3)),
+old as (select o_custkey % 7 as ontology_id, o_orderkey as id, 'old' as load from orders where o_custkey % 7 in (0, 1, 2)) select * from new union all select * from old where ontology_id not in (select ontology_id from new)""")
+def incremental_merge(t):
+    rows = t.orders.select((F.col("o_custkey") % 7).alias("ontology_id"), F.col("o_orderkey").alias("id"))
+    return export.merged(rows.where("ontology_id in (0, 1, 2)").withColumn("load", F.lit("old")), rows.where("ontology_id in (1, 3)").withColumn("load", F.lit("new")))
+
+
+@query(f"with {ENTITIES_SQL} select onto as ontology_id, count(*) filter (type = 'class') as classes, count(*) filter (type = 'individual') as individuals, count(*) as entities from ent group by 1")
+def counters(t):
+    kinds = entities(t).groupBy(F.col("onto").alias("ontology_id"))
+    return kinds.agg(F.count_if(F.col("type") == "class").alias("classes"), F.count_if(F.col("type") == "individual").alias("individuals"), F.count(F.lit(1)).alias("entities"))
+
+
+@query("""select user_id, event_type as name, array_to_string(list_sort(list_distinct(list(props->>'$.k'))), '|') as vals from events group by 1, 2""")
+def annotation_map(t):
+    values = F.array_join(F.array_sort(F.collect_set(F.get_json_object("props", "$.k"))), "|")
+    return t.events.groupBy("user_id", F.col("event_type").alias("name")).agg(values.alias("vals"))
+
+
+@query("""with u as (select p_brand as prefix, p_type as namespace, min(p_partkey) as seen from part group by 1, 2)
+select prefix, namespace, case when row_number() over (partition by prefix order by seen, namespace) = 1 then prefix else prefix || '_' || row_number() over (partition by prefix order by seen, namespace) end as name from u""")
+def curie_map_allocation(t):
+    return link.allocated_prefixes(t.part.select(F.col("p_brand").alias("prefix"), F.col("p_type").alias("namespace"), F.col("p_partkey").alias("seen")))
+
+
+@query("""select distinct 'part:' || l_partkey as subject_id, p_name as subject_label, 'skos:exactMatch' as predicate_id, 'supplier:' || l_suppkey as object_id, s_name as object_label, 'semapv:UnspecifiedMatching' as mapping_justification
+from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey""")
+def sssom_mappings(t):
+    props = edges(t, "supplied_by").select(F.lit("x").alias("ontology_id"), F.col("src").alias("id"), F.col("edge_type").alias("predicate"), F.col("dst").alias("value"))
+    labels = entities(t).where(F.col("kind").isin("part", "supplier")).select(F.lit("x").alias("ontology_id"), "id", F.lit(0).alias("pos"), F.col("label").alias("value"))
+    return export.mappings(props, labels, {"supplied_by": "skos:exactMatch"})
+
+
+@query("select 'region:' || r_regionkey as id, r_name in (select max(r_name) from region union all select min(r_name) from region) as is_preferred_root from region")
+def preferred_roots(t):
+    wanted = t.region.agg(F.array(F.max("r_name"), F.min("r_name")).alias("n")).select(F.explode("n").alias("r_name"), F.lit(True).alias("w"))
+    return t.region.join(F.broadcast(wanted.distinct()), "r_name", "left").select(key("region", "r_regionkey").alias("id"), F.coalesce("w", F.lit(False)).alias("is_preferred_root"))
+
+
+@query("select 'part:' || p_partkey as id, 'label' as field, p_name as label from part union all select 'part:' || p_partkey, 'synonym', p_brand || ' ' || p_name from part")
+def autocomplete_rows(t):
+    pair = F.array(F.struct(F.lit("label").alias("field"), F.col("p_name").alias("label")), F.struct(F.lit("synonym").alias("field"), F.concat_ws(" ", "p_brand", "p_name").alias("label")))
+    return t.part.select(key("part", "p_partkey").alias("id"), F.explode(pair).alias("x")).select("id", "x.*")
