@@ -56,15 +56,15 @@ class Model:
         self.langs = sorted(counts)
         trees = [self._tree(*counts[lang]) for lang in self.langs]
         self.keys, self.costs, self.contexts, self.escapes = [], [], [], []
-        for k in range(ORDER + 1):
-            keys = np.unique(np.concatenate([t[k][0] for t in trees])) if trees else np.empty(0, dtype=np.uint64)
+        for k in range(ORDER + 1 if trees else 0):
+            keys = np.unique(np.concatenate([t[k][0] for t in trees]))
             contexts = np.unique(keys >> np.uint64(8))
             self.keys.append(keys)
             self.contexts.append(contexts)
-            self.escapes.append(np.stack([self._find(t[k][2], t[k][3], contexts, 0.0) for t in trees], axis=1).astype(np.float32) if trees else None)
+            self.escapes.append(np.stack([self._find(t[k][2], t[k][3], contexts, 0.0) for t in trees], axis=1).astype(np.float32))
             below = self._below(k, keys)
             cost = [np.where((own := self._find(t[k][0], t[k][1], keys, np.nan)) == own, own, below[:, i]) for i, t in enumerate(trees)]
-            self.costs.append(np.stack(cost, axis=1).astype(np.float32) if trees else None)
+            self.costs.append(np.stack(cost, axis=1).astype(np.float32))
 
     @staticmethod
     def _tree(keys: np.ndarray, counts: np.ndarray):
