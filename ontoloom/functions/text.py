@@ -15,7 +15,7 @@ def short_form(iri: Column, base_uris: Column | None = None, prefix: Column | No
     """``PREFIX_rest`` under one of the ontology's base URIs (an array), else the local name."""
     if base_uris is None or prefix is None:
         return local_name(iri)
-    base = F.element_at(F.filter(base_uris, lambda b: iri.startswith(b)), 1)
+    base = F.try_element_at(F.filter(base_uris, lambda b: iri.startswith(b)), F.lit(1))
     return F.when(base.isNotNull(), F.concat(prefix, F.lit("_"), F.substr(iri, F.length(base) + 1))).otherwise(local_name(iri))
 
 

@@ -49,7 +49,7 @@ def synonyms(found: DataFrame) -> DataFrame:
     scope = F.regexp_extract("predicate", "has(Exact|Related|Narrow|Broad)Synonym$", 1)
     rows = found.where(scope != "")
     note = lambda p: F.col("annotations")[V.OIO + p]
-    return rows.select(*KEY, F.col("value").alias("name"), scope.alias("scope"), F.element_at(note("hasSynonymType"), 1).alias("type"), note("hasDbXref").alias("xrefs")).distinct()
+    return rows.select(*KEY, F.col("value").alias("name"), scope.alias("scope"), F.try_element_at(note("hasSynonymType"), F.lit(1)).alias("type"), note("hasDbXref").alias("xrefs")).distinct()
 
 
 def definition_citations(found: DataFrame, predicates: tuple[str, ...] = V.DEFINITIONS) -> DataFrame:
@@ -61,7 +61,7 @@ def definition_citations(found: DataFrame, predicates: tuple[str, ...] = V.DEFIN
 def xrefs(found: DataFrame) -> DataFrame:
     """(…, database, xref_id, description, url) of reified cross references: the last source, else the last label, describes one."""
     rows = found.where(F.col("predicate") == V.OIO + "hasDbXref")
-    last = lambda p: F.element_at(F.col("annotations")[p], -1)
+    last = lambda p: F.try_element_at(F.col("annotations")[p], F.lit(-1))
     x = text.xref(F.col("value"))
     return rows.select(*KEY, x["database"].alias("database"), x["id"].alias("xref_id"), F.coalesce(last(V.OIO + "source"), last(V.LABEL)).alias("description"), F.coalesce(last(V.OIO + "url"), x["url"]).alias("url")).distinct()
 
