@@ -25,6 +25,7 @@ from ontoloom.session import shared_dir
 
 #: Tokens of a shard, about; rounds of replacement; the least count of a pair that a rule is worth.
 SHARD_TOKENS, ROUNDS, LEAST_COUNT = 1 << 20, 6, 8
+SLOT_BITS = 20
 _SHARD = pa.schema(
     [("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("symbols", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))]
     + [("base", pa.int32())]
@@ -44,19 +45,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int
             break
         keys = (seq[:-1] << np.uint64(32)) | seq[1:]
         inside = ~last[:-1]
-        pairs, counts = np.unique(keys[inside], return_counts=True)
+        # a pair is as frequent as its slot of a hash table at most: the sort that counts pairs sees full slots alone
+        slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        full = np.bincount(slots[inside], minlength=1 << SLOT_BITS) >= least
+        able = np.flatnonzero(full[slots] & inside)
+        pairs, counts = np.unique(keys[able], return_counts=True)
         frequent = counts >= max(least, int(counts.max(initial=0)) // 64)
         if not frequent.any():
             break
         pairs = pairs[frequent]
-        # a hash table of one probe per position finds the few positions that can match; they are checked exactly
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        there = np.zeros(1 << 20, dtype=bool)
-        there[slot(pairs)] = True
-        maybe = np.flatnonzero(there[slot(keys)] & inside)
-        k = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
-        hit = pairs[k] == keys[maybe]
-        maybe, k = maybe[hit], k[hit]
+        k = np.minimum(np.searchsorted(pairs, keys[able]), len(pairs) - 1)
+        hit = pairs[k] == keys[able]
+        maybe, k = able[hit], k[hit]
         if not len(maybe):
             break
         # of neighbours that overlap, every second one of a run is replaced
