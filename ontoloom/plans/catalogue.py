@@ -162,7 +162,7 @@ _TOK = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), la
 
 @query(f"""with s as (select doc_id as id, {_TOK.format(c='text')} as tok, lang, source from documents),
 m as (select id, case when list_contains(tok, 'the') and list_contains(tok, 'that') then 5.0 else 0.0 end as hit, case when lang = 'en' then 10.0 else 0.0 end + case when source = 'src3' then 2.0 else 0.0 end as boost from s)
-select id, hit + boost as score from m where hit > 0 order by score desc, id limit 50""")
+select id, cast(hit + boost as double) as score from m where hit > 0 order by score desc, id limit 50""")
 def ranked_search_documents(t):
     """A page of ranked hits is the feature here."""
     docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
@@ -178,7 +178,7 @@ def exact_match_lookup(t):
 
 
 @query(r"""with l as (select p_name as label, lower(p_name) as low, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda w: starts_with(w, 'b')) as hit from part)
-select label, max(case when low = 'b' then 10.0 when starts_with(low, 'b') then 2.0 else 1.0 end) as score from l where len(hit) > 0 or starts_with(low, 'b') group by 1""")
+select label, cast(max(case when low = 'b' then 10.0 when starts_with(low, 'b') then 2.0 else 1.0 end) as double) as score from l where len(hit) > 0 or starts_with(low, 'b') group by 1""")
 def suggest_labels(t):
     return search.suggest(t.part, "b", "p_name")
 
