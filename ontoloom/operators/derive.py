@@ -273,7 +273,20 @@ def expression_hashes(props: DataFrame, max_depth: int = 50) -> DataFrame:
             ready = rest.join(rest.where("canonical is null and kind = 'bnode'").select(*KEY).distinct(), KEY, "left_anti")
         line = F.struct("predicate", "pos", F.when(F.col("kind") == "bnode", "bnode").otherwise(F.col("kind")).alias("k"), "canonical", "datatype", "lang")
         new = staged(ready.groupBy(*KEY).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(line))), 256).alias("canonical")), "canonical")
-        if new.isEmpty():
+        if done is not None and new.isEmpty():
             break
         done = new if done is None else done.union(new)
     return done
+
+
+def ontology_nodes(nodes: DataFrame, props: DataFrame, config: DataFrame) -> DataFrame:
+    """(ontology_id, iri, stated): the node that stands for each ontology of the config (ontology_id, base_uris, path).
+
+    The first typed as an ontology in the ontology's own file; else the only named node of no known type; else the first base URI; else the path.
+    """
+    named = nodes.where(~F.col("bnode"))
+    own = named.where(_is("ontology")).groupBy("ontology_id").agg(F.min_by("id", F.struct("imported", "id")).alias("own"))
+    untyped = named.where(F.size("types") == 0).join(props.where(F.col("predicate") == V.TYPE).select(*KEY), KEY, "left_anti")
+    lone = untyped.groupBy("ontology_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lone")).where("n = 1").drop("n")
+    out = config.select("ontology_id", "base_uris", "path").join(own, "ontology_id", "left").join(lone, "ontology_id", "left")
+    return out.select("ontology_id", F.coalesce("own", "lone", F.try_element_at("base_uris", F.lit(1)), "path").alias("iri"), F.col("own").isNotNull().alias("stated"))

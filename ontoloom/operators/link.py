@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions import text
+from ontoloom.functions import text, vocabulary as V
 
 
 def definitions(entities: DataFrame) -> DataFrame:
@@ -50,13 +50,22 @@ def url_to_curie(rows: DataFrame, column: str, registry: DataFrame) -> DataFrame
     return best.select(column, F.concat("prefix", F.lit(":"), F.substr(F.col(column), F.length("uri_prefix") + 1)).alias("curie"))
 
 
-def curie_to_url(rows: DataFrame, column: str, registry: DataFrame) -> DataFrame:
-    """(column, url) of CURIEs whose prefix is registered and whose local part fits its pattern."""
+def curie_to_url(rows: DataFrame, column: str, registry: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """(column, url, source) of CURIEs: by a database's URL pattern (database, url_syntax) first, else by the registry.
+
+    The registry's pattern must fit the whole local part; a prefix without a pattern gives no URL. ``uri_format`` holds the place
+    of the local part as ``$1``; a registry with only ``uri_prefix`` puts it at the end.
+    """
     database, local = F.substring_index(column, ":", 1), F.substring(F.col(column), F.instr(F.col(column), ":") + 1, F.length(column))
-    keyed = rows.select(column, text.normal_prefix(database).alias("__key"), local.alias("__local")).distinct()
-    known = registry.select(text.normal_prefix(F.col("prefix")).alias("__key"), "pattern", "uri_prefix")
-    fits = F.col("pattern").isNull() | F.expr("__local rlike concat('^(?:', pattern, ')$')")
-    return keyed.join(known, "__key").where(fits).select(column, F.concat("uri_prefix", "__local").alias("url"))
+    keyed = rows.select(column, text.normal_prefix(database).alias("__key"), F.lower(database).alias("__db"), local.alias("__local")).where(F.col(column).contains(":")).distinct()
+    form = F.col("uri_format") if "uri_format" in registry.columns else F.concat("uri_prefix", F.lit("$1"))
+    known = registry.select(text.normal_prefix(F.col("prefix")).alias("__key"), "pattern", form.alias("__form"))
+    found = keyed.join(known, "__key").where(F.expr("__form is not null and __local rlike concat('^(?:', pattern, ')$')"))
+    found = found.select(column, F.replace("__form", F.lit("$1"), F.col("__local")).alias("url"), F.lit("registry").alias("source"), F.lit(2).alias("__rank"))
+    if databases is not None:
+        own = keyed.join(databases.select(F.col("database").alias("__db"), "url_syntax"), "__db")
+        found = found.union(own.select(column, F.replace("url_syntax", F.lit("[example_id]"), F.col("__local")).alias("url"), F.lit("databases").alias("source"), F.lit(1).alias("__rank")))
+    return found.groupBy(column).agg(F.min(F.struct("__rank", "url", "source")).alias("b")).select(column, "b.url", "b.source")
 
 
 def import_pairs(entities: DataFrame, definers: DataFrame) -> DataFrame:
@@ -109,3 +118,67 @@ def allocated_prefixes(uses: DataFrame) -> DataFrame:
     first = uses.groupBy("prefix", "namespace").agg(F.min("seen").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy("seen", "namespace"))
     return first.select("prefix", "namespace", F.when(rank == 1, F.col("prefix")).otherwise(F.concat("prefix", F.lit("_"), rank.cast("string"))).alias("name"))
+
+
+def stated_definers(props: DataFrame, ontologies: DataFrame) -> DataFrame:
+    """(iri, ontology_id): an entity's isDefinedBy values that are IRIs of known ontologies (iri, ontology_id)."""
+    stated = props.where(F.col("predicate") == V.RDFS + "isDefinedBy").select(F.col("id").alias("iri"), F.col("value").alias("__of"))
+    return stated.join(ontologies.select(F.col("iri").alias("__of"), "ontology_id"), "__of").select("iri", "ontology_id").distinct()
+
+
+def repaired_curies(entities: DataFrame, definers: DataFrame) -> DataFrame:
+    """``entities`` where a curie without a colon gives way to that of the first defining ontology that has one with a colon."""
+    whole = entities.where(F.col("curie").contains(":")).join(definers.select("iri", "ontology_id").distinct(), ["iri", "ontology_id"], "left_semi")
+    best = whole.groupBy("iri").agg(F.min_by("curie", F.struct("ontology_id", "curie")).alias("__curie"))
+    out = entities.join(best, "iri", "left")
+    return out.withColumn("curie", F.when(F.col("curie").contains(":"), F.col("curie")).otherwise(F.coalesce("__curie", "curie"))).select(*entities.columns)
+
+
+def payloads(uses: DataFrame, entities: DataFrame, definers: DataFrame) -> DataFrame:
+    """(ontology_id, iri, defined_by, num_appears_in, has_local_definition, label, curie, types) of IRIs that an ontology mentions.
+
+    ``uses`` holds ontology_id and iri; IRIs of no entity are left out. Label, curie and types come from the first defining ontology, else
+    the ontology's own copy, else the first ontology's. An IRI that one ontology alone has is defined by it; else, without a definer, by none.
+    """
+    each = entities.groupBy("iri", "ontology_id").agg(F.min("label").alias("label"), F.min("curie").alias("curie"), F.array_sort(F.collect_set("type")).alias("types"))
+    marks = definers.select("iri", "ontology_id").distinct().withColumn("defines", F.lit(True))
+    each = each.join(marks, ["iri", "ontology_id"], "left")
+    shown = F.struct("label", "curie", "types")
+    by = F.when(F.col("defines"), F.col("ontology_id"))
+    whole = each.groupBy("iri").agg(
+        F.array_sort(F.collect_set(by)).alias("definers"), F.array_sort(F.collect_set("ontology_id")).alias("holders"), F.sum(F.size("types")).alias("num_appears_in"),
+        F.min_by(F.when(F.col("defines"), shown), by).alias("defining"), F.min_by(shown, "ontology_id").alias("any"),
+    )
+    own = each.select("iri", "ontology_id", shown.alias("own"))
+    met = uses.select("ontology_id", "iri").distinct().join(whole, "iri").join(own, ["iri", "ontology_id"], "left")
+    out = met.withColumn("shown", F.coalesce("defining", "own", "any"))
+    defined_by = F.when(F.size("definers") > 0, F.col("definers")).when(F.size("holders") == 1, F.col("holders"))
+    return out.select("ontology_id", "iri", defined_by.alias("defined_by"), "num_appears_in", F.col("own").isNotNull().alias("has_local_definition"), "shown.*")
+
+
+def linked_entities(strings: DataFrame, entities: DataFrame, definers: DataFrame, registry: DataFrame, bases: DataFrame, databases: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(ontology_id, s, iri, …, url, source): what each string (ontology_id, s) of an ontology refers to, with the columns of ``payloads``.
+
+    Blank strings and the rdf and owl namespaces refer to nothing. A string is an entity's IRI; else a URL under a registered prefix
+    (``registry`` with database, uri_prefix) or a CURIE, which names an entity under an ontology's ``bases`` (prefix, base), or has a URL, or
+    both; else a key of ``links`` (key, source, url, label). Strings that are none of these have no row.
+    """
+    todo = strings.select("ontology_id", "s").where(F.length(F.trim("s")) > 0).where(~F.col("s").startswith(V.RDF) & ~F.col("s").startswith(V.OWL)).distinct()
+    iris = entities.select(F.col("iri").alias("s")).distinct()
+    direct = todo.join(iris, "s", "left_semi").select("ontology_id", "s", F.col("s").alias("iri"))
+    rest = todo.join(iris, "s", "left_anti")
+    curies = url_to_curie(rest, "s", registry).withColumn("rank", F.lit(1)).union(rest.where(text.looks_like_curie(F.col("s"))).select("s", F.col("s").alias("curie"), F.lit(2).alias("rank")))
+    curies = curies.groupBy("s").agg(F.min_by("curie", F.struct("rank", "curie")).alias("c"))
+    split = curies.select("s", "c", F.substring_index("c", ":", 1).alias("prefix"), F.expr("substring(c, instr(c, ':') + 1)").alias("local"))
+    named = split.join(bases, "prefix").select("s", F.concat("base", "local").alias("iri")).join(entities.select("iri").distinct(), "iri", "left_semi").groupBy("s").agg(F.min("iri").alias("iri"))
+    urls = curie_to_url(curies.select("c"), "c", registry, databases)
+    with_urls = split.join(urls, "c", "left").join(named, "s", "left").where("iri is not null or url is not null").select("s", "iri", "c", "url", "source")
+    by_curie = rest.join(with_urls, "s").select("ontology_id", "s", "iri", F.when(F.col("url").isNotNull(), F.col("c")).alias("c"), "url", "source", F.lit(None).cast("string").alias("l"))
+    none = [F.lit(None).cast("string").alias(n) for n in ("c", "url", "source", "l")]
+    found = direct.select("ontology_id", "s", "iri", *none).union(by_curie)
+    if links is not None:
+        other = rest.join(with_urls.select("s"), "s", "left_anti").join(links.withColumnRenamed("key", "s"), "s")
+        found = found.union(other.select("ontology_id", "s", F.lit(None).cast("string").alias("iri"), F.lit(None).cast("string").alias("c"), "url", "source", F.col("label").alias("l")))
+    told = payloads(found.where("iri is not null"), entities, definers)
+    out = found.join(told, ["ontology_id", "iri"], "left")
+    return out.select("ontology_id", "s", "iri", "defined_by", "num_appears_in", "has_local_definition", F.coalesce("label", "l").alias("label"), F.coalesce("c", "curie").alias("curie"), "types", "url", "source")

@@ -118,7 +118,57 @@ def rendered(props: DataFrame, max_depth: int = 30) -> DataFrame:
         as_list = (F.size("fs") == 1) & (F.col("fs")[0]["predicate"] == "")
         json = F.when(as_list, F.col("fs")[0]["a"]).otherwise(F.concat(F.lit("{"), F.array_join(F.transform("fs", lambda x: x["f"]), ","), F.lit("}")))
         new = staged(whole.select(*KEY, json.alias("json")), "rendered")
-        if new.isEmpty():
+        if done is not None and new.isEmpty():
             break
         done = new if done is None else done.union(new)
     return done
+
+
+def _texts(values: DataFrame, name: str) -> DataFrame:
+    """(…, name): an entity's values as one array, in order."""
+    return values.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias(name))
+
+
+def properties(labels: DataFrame, shorts: DataFrame, flags: DataFrame, definitions: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """Legacy property records: iri, label, short_form, obo_id, has_children, is_root, description, synonyms. Every underscore of an obo_id is a colon."""
+    return _records(labels, shorts, definitions, synonyms, flags).withColumn("obo_id", F.replace("short_form", F.lit("_"), F.lit(":")))
+
+
+def individuals(labels: DataFrame, shorts: DataFrame, definitions: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+    """Legacy records of individuals: iri, label, short_form, obo_id, description, synonyms."""
+    return _records(labels, shorts, definitions, synonyms).withColumn("obo_id", F.replace("short_form", F.lit("_"), F.lit(":")))
+
+
+def _records(labels: DataFrame, shorts: DataFrame, definitions: DataFrame | None, synonyms: DataFrame | None, flags: DataFrame | None = None) -> DataFrame:
+    label = labels.groupBy(*KEY).agg(F.min("value").alias("label"))
+    out = shorts.join(label, KEY, "left")
+    for values, name in ((definitions, "description"), (synonyms, "synonyms")):
+        out = out.join(_texts(values, name), KEY, "left") if values is not None else out.withColumn(name, F.lit(None).cast("array<string>"))
+    shown = ["ontology_id", F.col("id").alias("iri"), "label", "short_form", "description", "synonyms"]
+    if flags is not None:
+        no = F.lit(False)
+        out = out.join(flags, KEY, "left")
+        shown += [F.coalesce("has_children", no).alias("has_children"), (~F.coalesce("has_parents", no)).alias("is_root")]
+    return out.select(*shown)
+
+
+def ontologies(configs: DataFrame, nodes: DataFrame, props: DataFrame, counts: DataFrame) -> DataFrame:
+    """Legacy records of ontologies: config (map of JSON texts), title, description, version, counts, languages and status.
+
+    ``nodes`` is ``derive.ontology_nodes``, ``counts`` ``derive.counters``. What the ontology itself states as dc:title and dc:description
+    stands before the config's; of several values the alphabetically first. The version is the ontology's versionInfo.
+    """
+    own = nodes.select("ontology_id", F.col("iri").alias("id"))
+    value = lambda p: F.min(F.when(F.col("predicate") == p, F.col("value")))
+    stated = props.join(own, KEY, "left_semi").groupBy("ontology_id").agg(
+        value(V.DC + "title").alias("t"), value(V.DC + "description").alias("d"), value(V.OWL + "versionInfo").alias("version"), value(V.OWL + "versionIRI").alias("version_iri")
+    )
+    plain = lambda n: F.get_json_object(F.concat(F.lit('{"x":'), F.col("config")[n], F.lit("}")), "$.x")
+    out = configs.join(own.withColumnRenamed("id", "iri"), "ontology_id", "left").join(stated, "ontology_id", "left").join(counts, "ontology_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "ontology_id", "iri", F.coalesce("t", plain("title")).alias("title"), F.coalesce("d", plain("description")).alias("description"), "version", "version_iri",
+        plain("preferredPrefix").alias("preferred_prefix"), F.coalesce(plain("label_property"), F.lit(V.LABEL)).alias("label_property"),
+        *[F.coalesce(c, zero).alias(f"number_of_{n}") for c, n in (("classes", "terms"), ("properties", "properties"), ("individuals", "individuals"))],
+        "languages", F.lit("LOADED").alias("status"), "config",
+    )
