@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.text import path_id
 from ontoloom.operators.closure import closure, root_paths
+from ontoloom.plans.staging import staged
 
 
 def nodes_where(nodes: DataFrame, **equal) -> DataFrame:
@@ -63,3 +64,23 @@ def by_cascade(df: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFram
         found = hit if found is None else found.union(hit)
     best = found.groupBy("wanted").agg(F.min("rank").alias("best"))
     return found.join(best, "wanted").where("rank = best").drop("best")
+
+
+def reach_from(edges: DataFrame, focus: DataFrame, types: list[str], incoming: bool = False, max_rounds: int = 100) -> DataFrame:
+    """(focus, id): the nodes one or more edges from each focus node (column id).
+
+    Only what the focus nodes reach is walked, a round for each step, so a lookup never closes the whole graph. A focus node is in its own
+    result only over a cycle. Edges join on their near end; a round's new rows are all that the next one joins.
+    """
+    a, b = ("dst", "src") if incoming else ("src", "dst")
+    near = edges.where(F.col("edge_type").isin(types)).select(F.col(a).alias("at"), F.col(b).alias("next")).where("at is not null and next is not null").distinct()
+    start = focus.select(F.col("id").alias("focus"), F.col("id").alias("at")).distinct()
+    found: DataFrame | None = None
+    ahead = start
+    for _ in range(max_rounds):
+        step_ = ahead.join(near, "at").select("focus", F.col("next").alias("at")).distinct()
+        ahead = staged(step_.join(found, ["focus", "at"], "left_anti") if found is not None else step_, "reach")
+        if found is not None and ahead.isEmpty():
+            return found.select("focus", F.col("at").alias("id"))
+        found = ahead if found is None else found.union(ahead)
+    raise RuntimeError(f"nodes more than {max_rounds} edges away")

@@ -11,6 +11,7 @@ from ontoloom.functions import text
 from ontoloom.operators import closure as hier
 from ontoloom.operators import export, graph, link, search
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
+from ontoloom.service import Service
 
 _QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -411,3 +412,106 @@ def preferred_roots(t):
 def autocomplete_rows(t):
     pair = F.array(F.struct(F.lit("label").alias("field"), F.col("p_name").alias("label")), F.struct(F.lit("synonym").alias("field"), F.concat_ws(" ", "p_brand", "p_name").alias("label")))
     return t.part.select(key("part", "p_partkey").alias("id"), F.explode(pair).alias("x")).select("id", "x.*")
+
+
+# --- links in full ----------------------------------------------------------------------------------------------------
+
+_PART_ENTITIES = "pe as (select p_name as iri, p_brand as ontology_id, p_type as type, 'n' || p_size as label, case when p_partkey % 3 = 0 then 'P:' else 'P_' end || p_size as curie from part), de as (select distinct p_name as iri, p_brand as ontology_id from part where p_size > 40)"
+
+
+def _part_entities(t: Tables) -> tuple[DataFrame, DataFrame]:
+    size = F.col("p_size").cast("string")
+    mark = F.when(F.col("p_partkey") % 3 == 0, "P:").otherwise("P_")
+    rows = t.part.select(F.col("p_name").alias("iri"), F.col("p_brand").alias("ontology_id"), F.col("p_type").alias("type"), F.concat(F.lit("n"), size).alias("label"), F.concat(mark, size).alias("curie"))
+    return rows, t.part.where("p_size > 40").select(F.col("p_name").alias("iri"), F.col("p_brand").alias("ontology_id")).distinct()
+
+
+@query(f"""with {_PART_ENTITIES}, uses as (select distinct s.p_brand as ontology_id, a.p_name as iri from part a join part s on s.p_partkey = a.p_partkey + 1),
+ea as (select iri, ontology_id, min(label) as label, min(curie) as curie, string_agg(distinct type, '|' order by type) as types, count(distinct type) as n from pe group by 1, 2),
+em as (select ea.*, de.iri is not null as d from ea left join de using (iri, ontology_id)),
+w as (select iri, sum(n) as num, count(*) filter (d) as n_def, string_agg(ontology_id, '|' order by ontology_id) filter (d) as definers, count(*) as n_all, min(ontology_id) as first_o, min(ontology_id) filter (d) as first_d from em group by 1)
+select u.ontology_id, u.iri, case when n_def > 0 then definers when n_all = 1 then first_o end as defined_by, cast(num as bigint) as num_appears_in, own.iri is not null as has_local_definition,
+shown.label, shown.curie, shown.types
+from uses u join w using (iri) left join ea own on own.iri = u.iri and own.ontology_id = u.ontology_id
+join ea shown on shown.iri = u.iri and shown.ontology_id = coalesce(first_d, own.ontology_id, first_o)""")
+def linked_entity_payloads(t):
+    """What an ontology (a brand) is told about each IRI it mentions, here the names of the parts numbered before its own."""
+    rows, definers = _part_entities(t)
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_brand").alias("ontology_id"))
+    uses = t.part.select("p_partkey", F.col("p_name").alias("iri")).join(after, "p_partkey")
+    told = link.payloads(uses, rows, definers)
+    return told.withColumns({"defined_by": F.array_join("defined_by", "|"), "types": F.array_join("types", "|")})
+
+
+@query(f"""with {_PART_ENTITIES}, good as (select iri, ontology_id, curie from pe join de using (iri, ontology_id) where curie like '%:%'),
+best as (select iri, curie as fixed from good qualify row_number() over (partition by iri order by ontology_id, curie) = 1)
+select iri, ontology_id, case when curie like '%:%' then curie else coalesce(fixed, curie) end as curie, count(*) as n from pe left join best using (iri) group by 1, 2, 3""")
+def curies_repaired(t):
+    fixed = link.repaired_curies(*_part_entities(t))
+    return fixed.groupBy("iri", "ontology_id", "curie").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""with c as (select distinct p_brand || ':' || p_size as curie, p_brand as db, p_size as local from part), pats as (select p_brand as db, case when min(p_partkey) % 2 = 0 then '\d' else '\d+' end as pattern from part group by 1)
+select curie, 'http://' || db || '/' || local || '/x' as url from c join pats using (db) where regexp_full_match(cast(local as varchar), pattern)""")
+def curie_urls(t):
+    """URLs of CURIEs whose local part fits the pattern of their prefix as a whole."""
+    curies = t.part.select(F.concat_ws(":", "p_brand", F.col("p_size").cast("string")).alias("curie"))
+    pattern = F.when(F.min("p_partkey") % 2 == 0, r"\d").otherwise(r"\d+")
+    registry = t.part.groupBy(F.col("p_brand").alias("prefix")).agg(pattern.alias("pattern")).withColumn("uri_format", F.concat(F.lit("http://"), "prefix", F.lit("/$1/x")))
+    return link.curie_to_url(curies, "curie", registry).select("curie", "url")
+
+
+# --- the service's answers --------------------------------------------------------------------------------------------
+
+
+def _service(t: Tables) -> Service:
+    flags = hier.hierarchy_flags(entities(t), _parents(t))
+    docs = entities(t).join(flags, "id").select(
+        "id", F.col("id").alias("iri"), F.col("onto").alias("ontologyId"), F.array("type").alias("type"), F.array("label").alias("label"), F.replace("id", F.lit(":"), F.lit("_")).alias("shortForm"),
+        F.col("id").endswith("7").alias("isObsolete"), F.col("has_parents").alias("hasDirectParents"), F.col("has_parents").alias("hasHierarchicalParents"),
+        F.col("has_children").alias("hasDirectChildren"), F.col("has_children").alias("hasHierarchicalChildren"),
+    )
+    return Service(docs, edges(t, "directParent").withColumn("props", F.lit(None).cast("map<string,array<string>>")))
+
+
+_BEGINS = r"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: starts_with(w, 'b'))) > 0"
+
+
+@query(f"""with {ENTITIES_SQL} select id, cast(100 + case when {_BEGINS.format(c="label")} then 500 else 0 end + case when {_BEGINS.format(c="id")} then 500 else 0 end as double) as score
+from ent where onto = 'catalog' and type = 'class' and id not like '%7' and len(list_filter(string_split(lower(label), ' '), lambda w: starts_with(w, 'b'))) > 0""")
+def service_classes(t):
+    return _service(t).entities("class", "catalog", "b").hits.select("id", "score")
+
+
+@query(f"""with {ENTITIES_SQL} select 'onto' as field, onto as value, count(*) as n from ent where id not like '%7' group by 2""")
+def service_facets(t):
+    """Counts of a facet that is also filtered: its own filter does not bear on it."""
+    return _service(t).entities("entity", facets=("ontologyId",), ontologyId=["geo,sales"]).facets.select(F.lit("onto").alias("field"), "value", "n")
+
+
+@query(f"with recursive {ENTITIES_SQL}, {PARENTS_SQL}, walk as (select 'region:1' as id union select src from walk join par on dst = id) select id, label from ent where id in (select id from walk) and id <> 'region:1'")
+def service_descendants(t):
+    return _service(t).related("class", "geo", "region:1", "descendants").select("id", F.col("label")[0].alias("label"))
+
+
+@query(f"""with recursive {ENTITIES_SQL}, {PARENTS_SQL}, walk as (select 'nation:3' as id union select src from walk join par on dst = id)
+select id, cast(10 as double) as score from ent where id in (select id from walk) and id not like '%7' and lower(label) like 'order %'""")
+def service_search(t):
+    hits = _service(t).search("order", below=("nation:3",), inclusive=True, relation="directParent", group=True).hits
+    return hits.select("id", "score")
+
+
+@query(f"""with {ENTITIES_SQL} select id, cast(501 as double) as score, regexp_replace(label, '(?i)(ord|12)', '<b>\\1</b>', 'g') as label_autosuggest from ent
+where id not like '%7' and lower(label) like 'ord%' and lower(label) like '% 12%'""")
+def service_select(t):
+    return _service(t).select("ord 12").hits.select("id", "score", F.col("label_autosuggest")[0].alias("label_autosuggest"))
+
+
+@query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id from ent where type = 'class' and onto = 'catalog' and id not in (select src from par) and id not like '%7'")
+def service_roots(t):
+    return _service(t).roots("class", "catalog").select("id")
+
+
+@query(f"with {ENTITIES_SQL} select type, count(*) as n from ent group by 1")
+def service_stats(t):
+    return _service(t).stats()
