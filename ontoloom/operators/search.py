@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,26 +92,23 @@ def words(value: Column) -> Column:
 
 
 def matches(df: DataFrame, name: str, text: str, how: str) -> Column:
-    """Whether any value of a field matches. Tokens: every token of the text is one of the value's (or begins one)."""
+    """Whether any value of a field matches. Tokens: every token of the text is one of the value's (or begins one).
+
+    A token is looked for between its separators, which stops at the first hit and never builds the value's tokens.
+    """
     values = values_of(df, name)
     if how == WHOLE:
         return F.coalesce(F.array_contains(values, text), F.lit(False))
-    spaced = how in (SPACE_TOKENS, SPACE_EDGES)
     fold = how != TOKENS
-    cut = (lambda v: F.split(F.lower(v) if fold else v, r"\s+")) if spaced or not fold else words
-    wanted = (text.lower() if fold else text).split() if spaced or not fold else [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    spaced = not fold or how in (SPACE_TOKENS, SPACE_EDGES)
+    lowered = text.lower() if fold else text
+    wanted = lowered.split() if spaced else [w for w in re.split(r"[^\w]+|_", lowered) if w]
     if not wanted:
         return F.lit(False)
-
-    def one(v: Column) -> Column:
-        tokens = cut(v)
-        test = (lambda w: F.exists(tokens, lambda t: t.startswith(w))) if how in (EDGES, SPACE_EDGES) else (lambda w: F.array_contains(tokens, w))
-        held = test(wanted[0])
-        for w in wanted[1:]:
-            held = held & test(w)
-        return held
-
-    return F.coalesce(F.exists(values, one), F.lit(False))
+    before, after = (r"(?<!\S)", r"(?!\S)") if spaced else (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])")
+    patterns = [before + re.escape(w) + ("" if how in (EDGES, SPACE_EDGES) else after) for w in wanted]
+    folded = F.transform(values, F.lower) if fold else values
+    return F.coalesce(F.exists(folded, lambda v: reduce(Column.__and__, [v.rlike(p) for p in patterns])), F.lit(False))
 
 
 def filtered(df: DataFrame, filters: dict[str, list[str]], fold: bool = False) -> DataFrame:
@@ -139,7 +137,8 @@ def search(df: DataFrame, spec: SearchSpec) -> DataFrame:
     kept = filtered(df, spec.filters)
     if not spec.text:
         return kept.withColumn("score", F.lit(1.0))
-    return kept.withColumn("score", score(kept, spec)).where("score > 0")
+    # a generated column is computed once, where a plain one would be for the filter and again for the result
+    return kept.select("*", F.explode(F.array(score(kept, spec))).alias("score")).where("score > 0")
 
 
 def page(df: DataFrame, start: int, rows: int, order: list | None = None, key: str = "id") -> DataFrame:
