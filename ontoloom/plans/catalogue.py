@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions import text
 from ontoloom.operators import closure as hier
-from ontoloom.operators import export, graph, link, search
+from ontoloom.operators import display, export, graph, link, search
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
 
@@ -515,3 +515,27 @@ def service_roots(t):
 @query(f"with {ENTITIES_SQL} select type, count(*) as n from ent group by 1")
 def service_stats(t):
     return _service(t).stats()
+
+
+# --- display ----------------------------------------------------------------------------------------------------------
+
+
+@query("""with recursive ups as (select 'nation:' || n_nationkey as src, 'region:' || n_regionkey as dst from nation union all select 'customer:' || c_custkey, 'nation:' || c_nationkey from customer),
+walk as (select 'region:1' as id, 'region:1' as path, '#' as parent_id, 1 as depth union all select src, path || ';' || src, base64(encode(path)), depth + 1 from walk join ups on dst = id),
+n as (select dst, count(*) as n from ups group by 1)
+select id, base64(encode(path)) as node_id, parent_id, cast(depth as bigint) as depth, coalesce(n, 0) as n_below from walk left join n on dst = id""")
+def preferred_root_tree(t):
+    """The tree below the flagged root, with how many children each node has for its count."""
+    nodes = entities(t).where(F.col("kind").isin("region", "nation", "customer")).select("id", (F.col("id") == "region:1").alias("preferred"))
+    up = _parents(t).where(F.col("src").startswith("nation:") | F.col("src").startswith("customer:"))
+    counts = up.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("num_descendants"))
+    return display.tree(nodes.join(counts, "id", "left"), up, preferred="preferred")
+
+
+@query("""with notes as (select l_orderkey as k, 'flag' as note, l_returnflag as v from lineitem union all select l_orderkey, 'status', l_linestatus from lineitem)
+select 'order:' || k as id, note, string_agg(distinct v, '|' order by v) as vals from notes where v is not null group by 1, 2""")
+def merged_axiom_notes(t):
+    """Each lineitem of an order as an axiom on it; the axioms on an order show as one map."""
+    note = F.create_map(F.lit("flag"), F.array("l_returnflag"), F.lit("status"), F.array("l_linestatus"))
+    rows = t.lineitem.select(F.lit("o").alias("ontology_id"), key("order", "l_orderkey").alias("id"), F.lit("p").alias("predicate"), F.lit("v").alias("value"), F.array(note).alias("axioms"))
+    return display.merged_axioms(rows).select("id", F.explode("annotations").alias("note", "vs")).select("id", "note", F.array_join("vs", "|").alias("vals"))
