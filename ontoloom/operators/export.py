@@ -49,9 +49,12 @@ def autocomplete(labels: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 def columns_of(props: DataFrame, kinds: DataFrame) -> DataFrame:
     """(ontology_id, type, column): the columns an export of each kind needs; other languages than English have columns of their own."""
-    foreign = F.coalesce("lang", F.lit("")).isin("", "en")
-    name = F.when(foreign, F.col("predicate")).otherwise(F.concat("lang", F.lit("+"), "predicate"))
-    return props.join(kinds, KEY).select("ontology_id", "type", name.alias("column")).distinct()
+    return props.join(kinds, KEY).select("ontology_id", "type", _column_name().alias("column")).distinct()
+
+
+def _column_name() -> Column:
+    own = F.coalesce("lang", F.lit("")).isin("", "en")
+    return F.when(own, F.col("predicate")).otherwise(F.concat("lang", F.lit("+"), "predicate"))
 
 
 def csv_value(values: Column) -> Column:
@@ -59,6 +62,29 @@ def csv_value(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.replace(v, F.lit("|"), F.lit("\\u007C"))), "|")
 
 
+def graph_nodes(props: DataFrame, kinds: DataFrame, rendered: DataFrame, kind: str) -> DataFrame:
+    """Rows of the node file of a kind: ``id:ID``, ``:LABEL``, ``_json`` and a column ``<name>:string[]`` for each name of ``columns_of``, in order.
+
+    The names are the predicates a kind uses, a matter of the schema; they are read once to fix the header, the values stay rows until
+    they meet in a map of a node. ``rendered`` holds each node's JSON (ontology_id, id, json). A node without values has empty columns.
+    """
+    own = kinds.where(F.col("type") == kind)
+    shown = props.where(~F.col("predicate").isin(*V.HIDDEN_PROPERTIES) & (F.col("kind") != "bnode") & F.col("value").isNotNull())
+    names = sorted(r["column"] for r in columns_of(shown, own).select("column").distinct().collect())
+    rows = shown.join(own.select(*KEY), KEY, "left_semi").withColumn("column", _column_name())
+    values = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"])
+    lists = rows.groupBy(*KEY, "column").agg(csv_value(values).alias("text"))
+    by_node = lists.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("m"))
+    out = own.join(by_node, KEY, "left").join(rendered.select(*KEY, "json"), KEY, "left")
+    cells = [F.coalesce(F.col("m")[n], F.lit("")).alias(f"{n}:string[]") for n in names]
+    return out.select(entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("id:ID"), F.lit(kind).alias(":LABEL"), F.col("json").alias("_json"), *cells)
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """Rows of the edge file: ``:START_ID``, ``:TYPE``, ``:END_ID``, and the edge's properties as ``_json``."""
+    return edges.select(F.col("src").alias(":START_ID"), F.col("edge_type").alias(":TYPE"), F.col("dst").alias(":END_ID"), F.coalesce(F.to_json("props"), F.lit("{}")).alias("_json"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
