@@ -73,7 +73,7 @@ def damaged_replica(pages: DataFrame) -> DataFrame:
 def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     damage, _ = warc.audit(pages, damaged_replica(pages))
-    return damage.where("state <> 'moved'").select("page_id", "shard", "slot", "expected", "found", "state")
+    return damage.select("page_id", "shard", "slot", "expected", "found", "state")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Fixity of replicated WARC records by Merkle trees.
 
-Pages become WARC records, records of a shard stand in order of their key at running byte offsets. A leaf hashes a record together with its
-offset range; a node hashes its 16 children in order with the range they cover; a shard has one root. An audit compares the
-roots of two replicas and descends, level by level, only below nodes that differ, to the records that are damaged, missing
-or extra. Hashing and comparing are SQL functions; a node gathers 16 children at most.
+Pages become WARC records, and the records of 4096 successive keys are a shard, in order of their keys. A leaf holds all records of
+a key: their number, their bytes and the sums of their hashes. A node hashes its 16 children in order, each with the range of bytes
+it covers, counted from the node's own beginning; a shard has one root. As ranges begin anew in every node, a record that is lost or
+shortened changes the nodes above it and no other. An audit compares the roots of two replicas and descends, level by level, only
+below nodes that differ, to the records that are damaged, missing or extra.
+
+Hashing and comparing are SQL functions. A node gathers 16 children at most; leaves are sums, which combine before the shuffle, so a
+key that very many records share is no burden.
 """
 
 from __future__ import annotations
@@ -32,50 +36,63 @@ def record(url: Column, payload: Column) -> Column:
     )
 
 
-def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """(shard, slot, page_id, start, length, digest): the records in order with their offset ranges.
-
-    Records are keyed by page_id, so a shard holds the records of 4096 successive keys and one replica's damage moves no record
-    of another shard. Slot is the key within the shard; where a key repeats (or is null: such rows are keyed by url) records of a slot follow each
-    other by content and each has its own row.
-    """
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """(shard, slot, page_id, length, content): the hash of every record, at its key's slot. Rows with a null id are keyed by url."""
     key = F.coalesce(F.col(id_col).cast("long"), F.pmod(F.xxhash64(F.col(url_col)), F.lit(1 << 40)))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), key.alias("key"), record(F.col(url_col), F.col(body_col)).alias("r"))
-    rows = rows.select("page_id", F.floor(F.col("key") / SHARD).cast("long").alias("shard"), F.pmod("key", F.lit(SHARD)).cast("int").alias("slot"), F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("content"))
-    order = Window.partitionBy("shard").orderBy("slot", "content")
-    rows = rows.withColumn("start", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    rows = rows.withColumn("nth", (F.row_number().over(Window.partitionBy("shard", "slot").orderBy("content", "start")) - 1).cast("int"))
-    ranged = F.concat_ws(":", F.col("start").cast("string"), F.col("length").cast("string"), "content")
-    return rows.withColumn("digest", F.sha2(ranged, 256)).select("shard", "slot", "nth", "page_id", "start", "length", "content", "digest")
+    shard, slot = F.floor(F.col("key") / SHARD).cast("long"), F.pmod("key", F.lit(SHARD)).cast("int")
+    return rows.select(shard.alias("shard"), slot.alias("slot"), "page_id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("content"))
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    """(shard, level, node, size, digest) of each slot: sums of the 32-bit parts of its records' hashes, so their order is free and repeats count."""
+    parts = [F.sum(F.conv(F.substring("content", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
+    sums = rows.groupBy("shard", F.col("slot").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), *parts)
+    line = F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "size", *[f"s{i}" for i in range(8)])])
+    return sums.select("shard", F.lit(0).alias("level"), "node", "size", F.sha2(line, 256).alias("digest"))
 
 
 def _up(children: DataFrame, level: int) -> DataFrame:
-    kids = F.sort_array(F.collect_list(F.struct("node", "start", "size", "digest")))
-    up = children.groupBy("shard", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(kids.alias("k"), F.min("start").alias("start"), F.sum("size").alias("size"))
-    line = F.array_join(F.transform("k", lambda c: F.concat_ws(":", c["node"].cast("string"), c["start"].cast("string"), c["size"].cast("string"), c["digest"])), ",")
-    return up.select("shard", F.lit(level).alias("level"), F.col("parent").alias("node"), "start", "size", F.sha2(line, 256).alias("digest"))
+    kids = F.sort_array(F.collect_list(F.struct("node", "size", "digest")))
+    up = children.groupBy("shard", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(kids.alias("k"), F.sum("size").alias("size"))
+    none = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("text"))
 
+    def next_(done: Column, c: Column) -> Column:
+        part = F.concat_ws(":", c["node"].cast("string"), done["end"].cast("string"), c["size"].cast("string"), c["digest"])
+        return F.struct((done["end"] + c["size"]).alias("end"), F.concat(done["text"], part, F.lit(",")).alias("text"))
 
-def merkle(leaf: DataFrame) -> list[DataFrame]:
-    """Nodes (shard, level, node, start, size, digest) of each level: slots first, roots last."""
-    slots = leaf.groupBy("shard", F.col("slot").alias("node")).agg(
-        F.min("start").alias("start"), F.sum("length").alias("size"), F.sha2(F.array_join(F.sort_array(F.collect_list("digest")), ","), 256).alias("digest")
-    )
-    levels = [slots.select("shard", F.lit(0).alias("level"), "node", "start", "size", "digest")]
+    line = F.aggregate("k", none, next_, lambda done: done["text"])
+    return up.select("shard", F.lit(level).alias("level"), F.col("parent").alias("node"), "size", F.sha2(line, 256).alias("digest"))
+
+
+def merkle(rows: DataFrame) -> DataFrame:
+    """Nodes (shard, level, node, size, digest) of the trees over ``records``; level 0 has the slots, level ``LEVELS`` the roots."""
+    level = staged(_leaves(rows), "leaves")
+    out = level
     for k in range(1, LEVELS + 1):
-        levels.append(_up(levels[-1], k))
-    return levels
+        level = _up(level, k)
+        out = out.union(level)
+    return staged(out, "merkle")
+
+
+def _starts(nodes: DataFrame, shards: DataFrame) -> DataFrame:
+    """(shard, slot, start): where a slot's records begin in their shard. A window sees the slots of one shard, 4096 at most."""
+    slots = nodes.where("level = 0").join(shards, "shard", "left_semi")
+    before = Window.partitionBy("shard").orderBy("node")
+    return slots.select("shard", F.col("node").alias("slot"), (F.sum("size").over(before) - F.col("size")).alias("start"))
 
 
 def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, DataFrame]:
     """(damage, visited) of two replicas of a page table.
 
-    damage has a row for each record that differs: shard, slot, nth, page_id, start, length, expected, found, state (damaged, missing,
-    extra or moved). visited counts the nodes compared by level. Empty replicas differ in every shard of the other.
+    damage has a row for each record that differs: shard, slot, page_id, start, length, expected, found, copies, state. start is the
+    offset in its shard of the slot's first byte (in the replica for extra records), expected and found are hashes, copies counts
+    records of equal bytes. A record is damaged where one of its key differs on either side; where several do, nothing tells which became
+    which, and they are missing and extra. visited counts the nodes compared by level. Empty replicas differ in every shard of the other.
     """
-    left, right = staged(leaves(primary, **names), "primary"), staged(leaves(replica, **names), "replica")
-    a, b = (staged(_all(merkle(x)), "merkle") for x in (left, right))
-    suspects, visited = None, None
+    left, right = staged(records(primary, **names), "primary"), staged(records(replica, **names), "replica")
+    a, b = merkle(left), merkle(right)
+    suspects, visited, shards = None, None, None
     for level in range(LEVELS, -1, -1):
         x, y = (n.where(F.col("level") == level).select("shard", "node", F.col("digest").alias(d)) for n, d in ((a, "x"), (b, "y")))
         if suspects is not None:
@@ -85,17 +102,26 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, D
         seen = met.agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"))
         visited = seen if visited is None else visited.union(seen)
         suspects = met.where(~F.col("x").eqNullSafe(F.col("y"))).select("shard", "node")
+        shards = suspects.select("shard") if shards is None else shards
     bad = suspects.select("shard", F.col("node").alias("slot"))
-    p, r = (n.join(bad, ["shard", "slot"], "left_semi") for n in (left, right))
-    r = r.select("shard", "slot", "nth", F.col("page_id").alias("r_id"), F.col("start").alias("r_start"), F.col("length").alias("r_length"), F.col("content").alias("found"))
-    both = p.join(r, ["shard", "slot", "nth"], "full")
-    state = F.when(F.col("found").isNull(), "missing").when(F.col("content").isNull(), "extra").when(F.col("content") != F.col("found"), "damaged").otherwise("moved")
-    out = both.select("shard", "slot", "nth", F.coalesce("page_id", "r_id").alias("page_id"), F.coalesce("start", "r_start").alias("start"), F.coalesce("length", "r_length").alias("length"), F.col("content").alias("expected"), "found", state.alias("state"))
-    return out, visited
-
-
-def _all(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    both = left.withColumn("n", F.lit(1)).union(right.withColumn("n", F.lit(-1))).join(bad, ["shard", "slot"], "left_semi")
+    # equal records of the two sides cancel: what is left over on one side is gone from, or new to, the other
+    over = both.groupBy("shard", "slot", "content").agg(F.sum("n").alias("over"), F.min("page_id").alias("page_id"), F.min("length").alias("length"))
+    over = staged(over.where("over <> 0"), "over")
+    gone, new = F.col("over") > 0, F.col("over") < 0
+    keys = over.groupBy("shard", "slot").agg(
+        (F.count_if(gone) == 1).alias("one_gone"),
+        (F.count_if(new) == 1).alias("one_new"),
+        F.sum("over").alias("balance"),
+        F.max("over").alias("copies"),
+        F.max(F.when(gone, F.struct("page_id", "length", "content"))).alias("p"),
+        F.max(F.when(new, F.struct("page_id", "length", "content"))).alias("r"),
+    )
+    keys = keys.withColumn("pair", F.col("one_gone") & F.col("one_new") & (F.col("balance") == 0))
+    paired = keys.where("pair").select("shard", "slot", F.coalesce("p.page_id", "r.page_id").alias("page_id"), "p.length", F.col("p.content").alias("expected"), F.col("r.content").alias("found"), "copies", F.lit("damaged").alias("state"))
+    rest = over.join(keys.where("not pair"), ["shard", "slot"], "left_semi")
+    rest = rest.select("shard", "slot", "page_id", "length", F.when(gone, F.col("content")).alias("expected"), F.when(new, F.col("content")).alias("found"), F.abs("over").alias("copies"), F.when(gone, "missing").otherwise("extra").alias("state"))
+    p, r = (_starts(n, shards).withColumnRenamed("start", s) for n, s in ((a, "p_start"), (b, "r_start")))
+    out = paired.union(rest).join(p, ["shard", "slot"], "left").join(r, ["shard", "slot"], "left")
+    start = F.when(F.col("state") == "extra", F.col("r_start")).otherwise(F.col("p_start"))
+    return out.select("shard", "slot", "page_id", start.alias("start"), "length", "expected", "found", "copies", "state"), visited

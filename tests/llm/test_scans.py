@@ -163,8 +163,13 @@ def test_audit_finds_each_fault(spark):
     bad = [r for r in good if r[0] != 70]
     bad = [(r[0], r[1], "Z" + (r[2] or "")[1:], 1, "s") if r[0] == 4900 else r for r in bad] + [(5000, "http://new", "n", 1, "s")]
     damage, visited = warc.audit(spark.createDataFrame(good, schema), spark.createDataFrame(bad, schema))
-    real = {(r["page_id"], r["state"]) for r in damage.where("state <> 'moved'").collect()}
-    assert real == {(70, "missing"), (4900, "damaged"), (5000, "extra")}
+    rows = {r["page_id"]: r for r in damage.collect()}
+    assert {(k, r["state"], r["copies"]) for k, r in rows.items()} == {(70, "missing", 1), (4900, "damaged", 1), (5000, "extra", 1)}
+    # a lost record moves all later ones of its shard, and still no node but those above it differs
+    assert {r["level"]: r["differing"] for r in visited.collect()} == {3: 2, 2: 2, 1: 3, 0: 3}  # slots 804 and 904 share a node of level 2
+    before = [r for r in good if r[0] is not None and r[0] < 70]
+    size = lambda r: len(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {r[1]}\r\nContent-Type: text/html\r\nContent-Length: {len(r[2] or '')}\r\n\r\n{r[2] or ''}\r\n\r\n")
+    assert rows[70]["start"] == sum(map(size, before))
     same, looked = warc.audit(spark.createDataFrame(good, schema), spark.createDataFrame(good, schema))
     assert same.count() == 0
     levels = {r["level"]: r["compared"] for r in looked.collect()}
@@ -172,3 +177,16 @@ def test_audit_finds_each_fault(spark):
     nothing = spark.createDataFrame([], schema)
     assert warc.audit(nothing, nothing)[0].count() == 0
     assert warc.audit(spark.createDataFrame(good[:5], schema), nothing)[0].count() == 5
+
+
+def test_audit_of_repeated_keys(spark):
+    """Records of one key cancel by content: a lost copy is one missing record, several changed ones are missing and extra."""
+    schema = "page_id long, url string, html string, start long, over long"
+    good = [(7, "u", "same", 1, 1)] * 500 + [(7, "u", f"own {i}", 1, 1) for i in range(20)] + [(None, None, None, None, None)] * 30
+    bad = [(7, "u", "same", 1, 1)] * 498 + [(7, "u", f"own {i}" if i > 1 else f"new {i}", 1, 1) for i in range(20)] + [(None, None, None, None, None)] * 30
+    damage, _ = warc.audit(spark.createDataFrame(good, schema), spark.createDataFrame(bad, schema))
+    found = sorted((r["state"], r["copies"]) for r in damage.collect())
+    assert found == [("extra", 1), ("extra", 1), ("missing", 1), ("missing", 1), ("missing", 2)]
+    one = [(*r[:2], "own 3!", 1, 1) if r[2] == "own 3" else r for r in good]
+    damage, _ = warc.audit(spark.createDataFrame(good, schema), spark.createDataFrame(one, schema))
+    assert [(r["page_id"], r["state"]) for r in damage.collect()] == [(7, "damaged")]
