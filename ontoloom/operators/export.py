@@ -93,6 +93,11 @@ def write_json_lines(df: DataFrame, path: str, by: str | None = None) -> None:
     (df.write.partitionBy(by) if by else df.write).json(path)
 
 
+def save_table(df: DataFrame, name: str, path: str, key: str = "id", buckets: int = 64) -> None:
+    """A table bucketed and sorted by its key: joins of such tables on the key shuffle nothing, and a lookup reads one bucket."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+
+
 def merged(old: DataFrame, new: DataFrame, key: str = "ontology_id") -> DataFrame:
     """A new load over an old one: ontologies that were not loaded again keep their old rows."""
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
@@ -112,3 +117,10 @@ def mappings(props: DataFrame, labels: DataFrame, predicates: dict[str, str]) ->
 def mapping_header(name: str, curie_map: dict[str, str]) -> str:
     lines = [f"mapping_set_id: {name}", "curie_map:", *(f"  {k}: {v!r}" for k, v in sorted(curie_map.items()))]
     return "".join(f"# {x}\n" for x in lines)
+
+
+def write_mappings(rows: DataFrame, path: str, name: str, curie_map: dict[str, str]) -> None:
+    """A mapping set: its header under ``path``/header, and under ``path``/mappings tab-separated rows, in as many parts as there are."""
+    lines = mapping_header(name, curie_map).splitlines()
+    rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/header")
+    rows.write.option("sep", "\t").option("header", True).csv(f"{path}/mappings")

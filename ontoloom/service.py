@@ -7,12 +7,13 @@ subset a load has; flags are booleans. ``edges`` has src, edge_type, dst (docume
 
 from __future__ import annotations
 
+from base64 import b64decode
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import highlighted
+from ontoloom.functions.text import highlighted, path_id
 from ontoloom.functions.vocabulary import SUBCLASS, TYPE
 from ontoloom.operators import graph, search
 from ontoloom.operators.search import EDGES, LOWER_TOKENS, SPACE_EDGES, WHOLE, SearchSpec
@@ -130,6 +131,13 @@ class Service:
         docs = docs.where("isPreferredRoot") if preferred else docs.where("not hasDirectParents and not hasHierarchicalParents")
         return docs if obsolete else docs.where("not isObsolete")
 
+    def individual_roots(self, ontology: str, obsolete: bool = False) -> DataFrame:
+        """Where a tree of individuals begins: classes that some individual has as its type, and individuals without parents."""
+        typed = self.edges.where(F.col("edge_type") == TYPE).join(self._of("individual", ontology).select(F.col("id").alias("src")), "src", "left_semi")
+        classes = self._of("class", ontology).join(typed.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        classes = classes if obsolete else classes.where("not isObsolete")
+        return classes.unionByName(self.roots("individual", ontology, obsolete=obsolete))
+
     # --- graph --------------------------------------------------------------------------------------------------------
 
     def related(self, kind: str, ontology: str, iri: str, relation: str) -> DataFrame:
@@ -163,6 +171,13 @@ class Service:
         up = self.edges.where(F.col("edge_type").isin(types)).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
         return graph.js_tree(nodes, up.select("src", "dst").distinct())
 
+    def js_tree_children(self, kind: str, ontology: str, iri: str, node_id: str) -> DataFrame:
+        """(id, node_id, parent_id, has_children): the children of an entity at the place ``node_id`` of a tree that ``js_tree`` gave."""
+        kids = self.related(kind, ontology, iri, "hierarchicalChildren" if kind == "class" else "children")
+        path = [F.lit(x) for x in b64decode(node_id).decode().split(";")]
+        flags = [F.coalesce(F.col(n), F.lit(False)) for n in ("hasDirectChildren", "hasHierarchicalChildren") if n in self._names]
+        return kids.select("id", path_id(F.array(*path, F.col("id"))).alias("node_id"), F.lit(node_id).alias("parent_id"), _any(flags).alias("has_children"))
+
     # --- legacy searches ----------------------------------------------------------------------------------------------
 
     def _restricted(self, ontologies=None, types=None, slims=None, local=False, leaf=False, obsolete=False, below=(), inclusive=False, local_flag="imported", relation="hierarchicalParent") -> DataFrame:

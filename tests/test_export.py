@@ -26,3 +26,29 @@ def test_node_file(spark, tmp_path):
 def test_edge_file(spark):
     edges = spark.createDataFrame([("a", "p", "b", {"n": ["1"]}), ("a", "p", "c", None)], "src string, edge_type string, dst string, props map<string,array<string>>")
     assert {tuple(r) for r in export.edge_rows(edges).collect()} == {("a", "p", "b", '{"n":["1"]}'), ("a", "p", "c", "{}")}
+
+
+def test_saved_tables_join_without_a_shuffle(spark, tmp_path):
+    nodes = spark.range(200).selectExpr("cast(id as string) id", "id % 7 n")
+    edges = spark.range(400).selectExpr("cast(id % 200 as string) id", "id w")
+    export.save_table(nodes, "saved_nodes", str(tmp_path / "nodes"), buckets=4)
+    export.save_table(edges, "saved_edges", str(tmp_path / "edges"), buckets=4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        both = spark.table("saved_nodes").join(spark.table("saved_edges"), "id")
+        assert both.count() == 400
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        spark.sql("drop table saved_nodes")
+        spark.sql("drop table saved_edges")
+
+
+def test_mapping_set(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "skos:exactMatch", "b"), ("c", "skos:exactMatch", None)], "subject_id string, predicate_id string, object_id string")
+    export.write_mappings(rows, str(tmp_path), "set", {"X": "http://x/", "A": "http://a/"})
+    head = [r["value"] for r in spark.read.text(str(tmp_path / "header")).collect()]
+    assert head[:2] == ["# mapping_set_id: set", "# curie_map:"] and "X" in head[3] and len(head) == 4
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "mappings"))
+    assert back.columns == rows.columns and {tuple(r) for r in back.collect()} == {tuple(r) for r in rows.collect()}

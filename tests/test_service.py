@@ -93,3 +93,14 @@ def test_walks_over_cycles(spark):
     assert {tuple(r) for r in graph.reach_from(edges, focus, ["e"]).collect()} == {("a", x) for x in "abc"} | {("d", x) for x in "abcd"}
     assert {tuple(r) for r in graph.reach_from(edges, focus, ["e"], incoming=True).collect()} == {("a", x) for x in "abcd"} | {("d", "d")}
     assert graph.reach_from(edges, focus, ["other"]).count() == 0
+
+
+def test_tree_children_and_roots_of_individuals(service):
+    node = {r["id"]: r["node_id"] for r in service.js_tree("class", "o", "b").collect()}
+    under = {r["id"]: r for r in service.js_tree("class", "o", "c").collect()}
+    kids = service.js_tree_children("class", "o", "b", node["o+class+b"]).collect()
+    assert [(r["id"], r["parent_id"], r["has_children"]) for r in kids] == [("o+class+c", node["o+class+b"], False)]
+    assert kids[0]["node_id"] == under["o+class+c"]["node_id"]
+    assert service.js_tree_children("class", "o", "zz", node["o+class+a"]).count() == 0
+    assert ids(service.individual_roots("o")) == ["o+class+b"]
+    assert ids(service.individual_roots("p")) == []
