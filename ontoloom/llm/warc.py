@@ -20,6 +20,7 @@ from ontoloom.plans.staging import staged
 FANOUT, LEVELS = 16, 3
 #: Slots of a shard.
 SHARD = FANOUT**LEVELS
+PRIMARY, REPLICA = 1, -1
 
 
 def record(url: Column, payload: Column) -> Column:
@@ -45,16 +46,16 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
 
 def _leaves(rows: DataFrame) -> DataFrame:
-    """(shard, level, node, size, digest) of each slot: sums of the 32-bit parts of its records' hashes, so their order is free and repeats count."""
+    """(side, shard, level, node, size, digest) of each slot: sums of the 32-bit parts of its records' hashes, so their order is free and repeats count."""
     parts = [F.sum(F.conv(F.substring("content", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
-    sums = rows.groupBy("shard", F.col("slot").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), *parts)
+    sums = rows.groupBy("side", "shard", F.col("slot").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), *parts)
     line = F.concat_ws(":", *[F.col(c).cast("string") for c in ("n", "size", *[f"s{i}" for i in range(8)])])
-    return sums.select("shard", F.lit(0).alias("level"), "node", "size", F.sha2(line, 256).alias("digest"))
+    return sums.select("side", "shard", F.lit(0).alias("level"), "node", "size", F.sha2(line, 256).alias("digest"))
 
 
 def _up(children: DataFrame, level: int) -> DataFrame:
     kids = F.sort_array(F.collect_list(F.struct("node", "size", "digest")))
-    up = children.groupBy("shard", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(kids.alias("k"), F.sum("size").alias("size"))
+    up = children.groupBy("side", "shard", F.floor(F.col("node") / FANOUT).cast("int").alias("parent")).agg(kids.alias("k"), F.sum("size").alias("size"))
     none = F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("text"))
 
     def next_(done: Column, c: Column) -> Column:
@@ -62,12 +63,12 @@ def _up(children: DataFrame, level: int) -> DataFrame:
         return F.struct((done["end"] + c["size"]).alias("end"), F.concat(done["text"], part, F.lit(",")).alias("text"))
 
     line = F.aggregate("k", none, next_, lambda done: done["text"])
-    return up.select("shard", F.lit(level).alias("level"), F.col("parent").alias("node"), "size", F.sha2(line, 256).alias("digest"))
+    return up.select("side", "shard", F.lit(level).alias("level"), F.col("parent").alias("node"), "size", F.sha2(line, 256).alias("digest"))
 
 
 def merkle(rows: DataFrame) -> DataFrame:
-    """Nodes (shard, level, node, size, digest) of the trees over ``records``; level 0 has the slots, level ``LEVELS`` the roots."""
-    level = staged(_leaves(rows), "leaves")
+    """Nodes (side, shard, level, node, size, digest) of the trees over each side's ``records``; level 0 has the slots, level ``LEVELS`` the roots."""
+    level = _leaves(rows)
     out = level
     for k in range(1, LEVELS + 1):
         level = _up(level, k)
@@ -76,10 +77,12 @@ def merkle(rows: DataFrame) -> DataFrame:
 
 
 def _starts(nodes: DataFrame, shards: DataFrame) -> DataFrame:
-    """(shard, slot, start): where a slot's records begin in their shard. A window sees the slots of one shard, 4096 at most."""
+    """(shard, slot, p_start, r_start): where a slot's records begin in their shard on each side. A window sees the slots of one shard, 4096 at most."""
     slots = nodes.where("level = 0").join(shards, "shard", "left_semi")
-    before = Window.partitionBy("shard").orderBy("node")
-    return slots.select("shard", F.col("node").alias("slot"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+    before = Window.partitionBy("side", "shard").orderBy("node")
+    slots = slots.select("side", "shard", F.col("node").alias("slot"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("start")))
+    return slots.groupBy("shard", "slot").agg(of(PRIMARY).alias("p_start"), of(REPLICA).alias("r_start"))
 
 
 def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, DataFrame]:
@@ -90,23 +93,25 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, D
     records of equal bytes. A record is damaged where one of its key differs on either side; where several do, nothing tells which became
     which, and they are missing and extra. visited counts the nodes compared by level. Empty replicas differ in every shard of the other.
     """
-    left, right = staged(records(primary, **names), "primary"), staged(records(replica, **names), "replica")
-    a, b = merkle(left), merkle(right)
+    both = records(primary, **names).withColumn("side", F.lit(PRIMARY)).union(records(replica, **names).withColumn("side", F.lit(REPLICA)))
+    both = staged(both, "records")
+    nodes = merkle(both)
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("digest")))
     suspects, visited, shards = None, None, None
     for level in range(LEVELS, -1, -1):
-        x, y = (n.where(F.col("level") == level).select("shard", "node", F.col("digest").alias(d)) for n, d in ((a, "x"), (b, "y")))
+        here = nodes.where(F.col("level") == level)
         if suspects is not None:
             under = suspects.select("shard", F.col("node").alias("up"))
-            x, y = (n.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).join(under, ["shard", "up"], "left_semi").drop("up") for n in (x, y))
-        met = staged(x.join(y, ["shard", "node"], "full"), "met")
+            here = here.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).join(under, ["shard", "up"], "left_semi")
+        met = staged(here.groupBy("shard", "node").agg(of(PRIMARY).alias("x"), of(REPLICA).alias("y")), "met")
         seen = met.agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("compared"), F.count_if(~F.col("x").eqNullSafe(F.col("y"))).alias("differing"))
         visited = seen if visited is None else visited.union(seen)
         suspects = met.where(~F.col("x").eqNullSafe(F.col("y"))).select("shard", "node")
         shards = suspects.select("shard") if shards is None else shards
     bad = suspects.select("shard", F.col("node").alias("slot"))
-    both = left.withColumn("n", F.lit(1)).union(right.withColumn("n", F.lit(-1))).join(bad, ["shard", "slot"], "left_semi")
+    held = both.join(bad, ["shard", "slot"], "left_semi")
     # equal records of the two sides cancel: what is left over on one side is gone from, or new to, the other
-    over = both.groupBy("shard", "slot", "content").agg(F.sum("n").alias("over"), F.min("page_id").alias("page_id"), F.min("length").alias("length"))
+    over = held.groupBy("shard", "slot", "content").agg(F.sum("side").alias("over"), F.min("page_id").alias("page_id"), F.min("length").alias("length"))
     over = staged(over.where("over <> 0"), "over")
     gone, new = F.col("over") > 0, F.col("over") < 0
     keys = over.groupBy("shard", "slot").agg(
@@ -121,7 +126,6 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, D
     paired = keys.where("pair").select("shard", "slot", F.coalesce("p.page_id", "r.page_id").alias("page_id"), "p.length", F.col("p.content").alias("expected"), F.col("r.content").alias("found"), "copies", F.lit("damaged").alias("state"))
     rest = over.join(keys.where("not pair"), ["shard", "slot"], "left_semi")
     rest = rest.select("shard", "slot", "page_id", "length", F.when(gone, F.col("content")).alias("expected"), F.when(new, F.col("content")).alias("found"), F.abs("over").alias("copies"), F.when(gone, "missing").otherwise("extra").alias("state"))
-    p, r = (_starts(n, shards).withColumnRenamed("start", s) for n, s in ((a, "p_start"), (b, "r_start")))
-    out = paired.union(rest).join(p, ["shard", "slot"], "left").join(r, ["shard", "slot"], "left")
+    out = paired.union(rest).join(_starts(nodes, shards), ["shard", "slot"], "left")
     start = F.when(F.col("state") == "extra", F.col("r_start")).otherwise(F.col("p_start"))
     return out.select("shard", "slot", "page_id", start.alias("start"), "length", "expected", "found", "copies", "state"), visited
