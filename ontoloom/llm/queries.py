@@ -59,7 +59,7 @@ def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score(_table(spark, sf_dir, "documents"))
+    return ctw.score(_table(spark, sf_dir, "documents"), ctw.DEPTH)
 
 
 def damaged_replica(pages: DataFrame) -> DataFrame:

@@ -167,3 +167,71 @@ def test_score_edge_cases(spark):
     assert Counter((*(r[k] for k in keys), round(r["base_score"], 6)) for r in got) == plain_base([(r[0], r[1]) for r in rows()])
     assert ctw.score(empty(spark)).count() == 0
     assert np.isfinite([r["score"] for r in got]).all()
+
+
+def plain_deep_ctw(train, text, depth):
+    """log10 P(text) of trees of any depth, one decision at a time."""
+    counts, below = defaultdict(lambda: [0, 0]), defaultdict(set)
+    pad = b"\0" * depth
+    for t in train:
+        b = pad + t.encode().lower()
+        for i in range(depth, len(b)):
+            node = 1
+            for bit in range(7, -1, -1):
+                one = b[i] >> bit & 1
+                for d in range(depth + 1):
+                    counts[(b[i - d : i], node)][one] += 1
+                    if d:
+                        below[(b[i - d + 1 : i], node)].add(b[i - d : i])
+                node = 2 * node + one
+
+    def kt(key):
+        a, b = counts.get(key, (0, 0))
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    memo = {}
+
+    def weighted(context, node):
+        if len(context) == depth:
+            return kt((context, node))
+        if (context, node) not in memo:
+            own, kids = kt((context, node)), sum(weighted(s, node) for s in below.get((context, node), ()))
+            memo[(context, node)] = max(own, kids) + math.log1p(math.exp(-abs(own - kids))) - math.log(2)
+        return memo[(context, node)]
+
+    def p_one(history, node, d=0):
+        key = (history[len(history) - d :], node)
+        a, b = counts.get(key, (0, 0))
+        own = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return own
+        w = math.exp(math.log(0.5) + kt(key) - weighted(*key))
+        return w * own + (1 - w) * p_one(history, node, d + 1)
+
+    b, total = pad + text.encode().lower(), 0.0
+    for i in range(depth, len(b)):
+        node = 1
+        for bit in range(7, -1, -1):
+            one, p = b[i] >> bit & 1, p_one(b[i - depth : i], node)
+            total += math.log10(p if one else 1 - p)
+            node = 2 * node + one
+    return total
+
+
+def test_deep_scores_against_plain_trees(spark):
+    docs = [(i, t) for i, t in enumerate(["the cat sat on the mat", "that cat ran", "", None, "a mat, the mat", "Der Bär", "the cat ran off", "zzz qqq"] * 3)]
+    train = [t or "" for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    text = dict(docs)
+    for depth in (2, ctw.DEPTH, 7):
+        got = ctw.score(spark.createDataFrame(docs, "doc_id long, text string"), depth).collect()
+        assert len(got) == len(docs)
+        for r in got:
+            assert r["score"] == pytest.approx(plain_deep_ctw(train, text[r["doc_id"]] or "", depth), rel=1e-5, abs=1e-9)
+    assert ctw.DEPTH >= 5
+
+
+def test_score_query_looks_past_two_bytes(spark, tmp_path):
+    """'xab' is followed by c, 'yab' by d: two bytes of context cannot tell."""
+    docs = [(i, "xabc yabd " * 20) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert max(r["bits_per_byte"] for r in queries.op9_ctw(spark, str(tmp_path)).collect()) < 0.05
