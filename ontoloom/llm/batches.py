@@ -50,5 +50,16 @@ def crc_column(doc_id: Column | str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary"))
 
 
+def text_hash(text: Column | str = "text") -> Column:
+    """Hash of a text, null as empty: with doc_id it names a row where ids are null or repeat."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id and text hash are in ``gone`` (doc_id, h)."""
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_hash")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (text_hash(docs["text"]) == gone["__gone_hash"]), "left_anti")
+
+
 def emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

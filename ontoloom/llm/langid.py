@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.batches import crc_column, emit, slices, texts_of
+from ontoloom.llm.batches import crc_column, emit, slices, text_hash, texts_of, without
 from ontoloom.plans.staging import staged
 
 ORDER = 4
@@ -180,10 +180,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def learn_and_predict(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte) for every row, learned from the rows that are not held out."""
+    return _predicted(docs, ("doc_id", "held_out"))
+
+
+def _predicted(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(rows.where(~held_out()))
-    named = rows.select("doc_id", "text", held_out().alias("held_out"))
-    return predict(named, model, ("doc_id", "held_out"))
+    return predict(rows.select("doc_id", "text", held_out().alias("held_out"), text_hash().alias("h")), model, keep)
 
 
 #: A text that the best language model codes no shorter than its plain bytes is in none of the learned languages.
@@ -191,7 +194,6 @@ PLAIN_BITS = 8.0
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language; ``und`` and texts that no learned model compresses go. Rows that share a doc_id share its fate."""
-    found = learn_and_predict(docs)
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") >= PLAIN_BITS)).select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
+    """The documents in a learned language; ``und`` and texts that no learned model compresses go, told apart by doc_id and text."""
+    found = _predicted(docs, ("doc_id", "h"))
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") >= PLAIN_BITS)).select("doc_id", "h"))

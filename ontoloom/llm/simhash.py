@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.batches import documents, emit, slices, texts_of
+from ontoloom.llm.batches import documents, emit, slices, text_hash, texts_of, without
 from ontoloom.operators.components import connected_components
 from ontoloom.plans.staging import staged
 
@@ -31,7 +31,7 @@ SHINGLE_WORDS, HASH_SEED, MAX_BITS = 3, 42, 3
 BLOCK = 2048
 _ODD = 0x5555555555555555
 _GROUP_SEGMENTS = (6, 5, 5, 6, 5, 5)
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("h", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -66,14 +66,15 @@ def fingerprint_batch(texts: list[bytes], width: int = SHINGLE_WORDS) -> np.ndar
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1 << 20):
-            yield emit(_FP, doc_id=part.column("doc_id"), fp=fingerprint_batch(texts_of(part), width))
+            yield emit(_FP, doc_id=part.column("doc_id"), fp=fingerprint_batch(texts_of(part), width), h=part.column("h"))
 
     return run
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) of every document, of whole texts."""
-    return documents(docs).mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    """(doc_id, fp, h) of every document, of whole texts; h is ``text_hash``."""
+    rows = documents(docs.select("doc_id", "text")).withColumn("h", text_hash())
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long, h long")
 
 
 def _signed(x: int) -> int:
@@ -170,18 +171,34 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX
     is never a component_id unless its component has no other. Rows that repeat a doc_id each get a row. An empty table
     gives an empty table. Columns besides doc_id and text are not looked at.
     """
+    return _grouped(docs, width, bits).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """``near_duplicates`` with h, the hash of the text, and group, which no two components share."""
     rows = staged(fingerprints(docs, width), "fingerprints")
     distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     member = connected_components(links(distinct, bits))
     joined = distinct.join(member.withColumnRenamed("member", "fp"), "fp")
     least = joined.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    of_fp = staged(joined.join(least, "component").select("fp", "least_id"), "reached")
-    named = staged(distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")), "named")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    of_fp = staged(joined.join(least, "component").select("fp", "component", "least_id"), "reached")
+    named = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("group"))
+    return rows.join(staged(named, "named"), "fp", "left").select("doc_id", "fp", "component_id", "h", "group")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents less all but the least doc_id of each component. Rows that share a doc_id share its fate."""
-    found = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
+    """One document of each component: the least doc_id (null last), of several such rows the least text hash.
+
+    Rows that repeat both doc_id and text are one document; where it stays, one of them does.
+    """
+    rows = staged(_grouped(docs), "grouped")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    crowded = rows.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = staged(rows.join(crowded, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))), "crowded")
+    left = without(docs, found.where("not stays").select("doc_id", "h"))
+    twice = staged(found.where("stays").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    cols = docs.columns
+    again = twice.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"))
+    keyed = left.join(again, left["doc_id"].cast("long").eqNullSafe(again["__id"]) & (text_hash(left["text"]) == again["__hash"]), "left_semi")
+    one = keyed.groupBy(F.col("doc_id").alias("__k"), text_hash().alias("__h")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row"))
+    return without(left, twice).union(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in cols]))

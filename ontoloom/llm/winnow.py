@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.batches import emit, slices, texts_of
+from ontoloom.llm.batches import emit, slices, text_hash, texts_of, without
 from ontoloom.plans.staging import staged
 
 WINDOW, GRAM = 13, 5
@@ -136,7 +136,7 @@ def bitmap(marks: DataFrame) -> bytes:
 
 
 def _document_marks(shared, short: list[int], long_items: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("marks", pa.list_(pa.struct(_HIT)))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("marks", pa.list_(pa.struct(_HIT)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
@@ -163,7 +163,7 @@ def _document_marks(shared, short: list[int], long_items: bool):
                     if d not in own:
                         own[d] = texts[d].split()
                     marks[d].append(_around(own[d], int(p - lo), k, reach) | {"hash": int(g[p].view(np.int64))})
-            yield emit(schema, doc_id=part.column("doc_id"), n_words=np.diff(bound), marks=marks)
+            yield emit(schema, doc_id=part.column("doc_id"), h=part.column("h"), n_words=np.diff(bound), marks=marks)
 
     return run
 
@@ -181,12 +181,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     strings, the item_ids with such a window. A document is contaminated when a twentieth of its words or more are hit. Null
     and empty texts have no words; items without words match nothing; items with a null id are reported as an empty id.
     """
+    return _contamination(docs, benchmark).drop("h")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with h, the hash of the text."""
     items = staged(benchmark_marks(benchmark).withColumn("item_id", F.coalesce("item_id", F.lit(""))), "item-marks")
     needs = [r[0] for r in items.select("need").distinct().orderBy("need").collect()]  # 13 values at most
     short, long_items = [n for n in needs if n < WINDOW], WINDOW in needs
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(items))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = rows.mapInArrow(_document_marks(shared, short, long_items), f"doc_id long, n_words long, marks {_HIT_SQL}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("h"))
+    marked = rows.mapInArrow(_document_marks(shared, short, long_items), f"doc_id long, h long, n_words long, marks {_HIT_SQL}")
     base = staged(marked.withColumn("row", F.monotonically_increasing_id()), "document-marks")
     found = base.where(F.size("marks") > 0).select("row", F.explode("marks").alias("d")).select("row", "d.*")
     item = items.select("item_id", "need", "k", "hash", *[F.col(c).alias(f"i_{c}") for c in ("mid", "left", "right")])
@@ -200,10 +205,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = spans.select("row", "s").distinct().select("row", F.explode(F.sequence("s.a", F.col("s.b") - 1)).alias("at"))
     hit = hit.distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     which = spans.select("row", "item_id").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("items"))
-    out = base.select("row", "doc_id", "n_words").join(hit.join(which, "row"), "row", "left")
+    out = base.select("row", "doc_id", "h", "n_words").join(hit.join(which, "row"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
+        "h",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -213,6 +219,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents less the contaminated ones. Rows that share a doc_id share its fate."""
-    gone = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left_anti")
+    """The documents less the contaminated ones, told apart by doc_id and text."""
+    return without(docs, _contamination(docs, benchmark).where("contaminated").select("doc_id", "h"))

@@ -1,6 +1,7 @@
 """Each stage of the pipeline on what its predecessor kept, against plain versions."""
 
 import corpus_pipeline
+from ontoloom.llm import langid, simhash, winnow
 from tests.llm.test_duplicates import plain_components
 from tests.llm.test_scans import plain_contamination
 from tests.llm.test_tokens import check_packing
@@ -33,3 +34,21 @@ def test_stages(spark, small, tmp_path):
             want = [k[0] for k in plain_contamination(rows, items) if not k[-1]]
         assert kept == sorted(want), name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "pack"]
+
+
+def test_stages_judge_rows_that_share_an_id_apart(spark):
+    """Null and repeated ids: a rejected row takes no other row along, and of near copies without ids one stays."""
+    words = [f"word{i}" for i in range(400)]
+    near, other, item = " ".join(words), "quite another sort of text about the sea and ships", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = [(None, near), (None, near + " end"), (None, other), (7, "123 456"), (7, item), (7, "a clean text of plain words"), (None, "!!"), (8, other + " x"), (8, other + " x")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
+    learn = spark.createDataFrame([(i, t, "en") for i in range(100, 120) for _, t in docs if any(map(str.isalpha, t))], df.schema)
+    known = {(r["doc_id"], r["text"]) for r in langid.keep_known_language(df.union(learn)).where("doc_id is null or doc_id < 100").collect()}
+    assert known == {d for d in docs if d[1] not in ("123 456", "!!")}
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()]
+    assert len(kept) == len(set(kept)) and {k for k, t in kept} == {None, 7, 8} and (None, other) in kept
+    bits = bin(int(simhash.fingerprint_batch([near.encode()]).view("u8")[0]) ^ int(simhash.fingerprint_batch([(near + " end").encode()]).view("u8")[0])).count("1")
+    assert bits <= 3 and sum(t.startswith(near) for _, t in kept) == 1
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    clean = sorted((str(r["doc_id"]), r["text"]) for r in winnow.drop_contaminated(df, bench).collect())
+    assert clean == sorted((str(i), t) for i, t in docs if t != item)
