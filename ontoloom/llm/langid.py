@@ -9,7 +9,7 @@ code length is a sum over its windows of five bytes. The language with the short
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,10 @@ from ontoloom.llm.batches import crc_column, emit, slices, text_hash, texts_of,
 from ontoloom.plans.staging import staged
 
 ORDER = 4
-#: Bounds of the fit: rows of text a language learns from, about (taken by a hash of doc_id and text), windows of a language
-#: that are kept (the most frequent), and languages (the most frequent).
-ROWS_PER_LANG, WINDOWS_PER_LANG, LANGUAGES = 3000, 250_000, 64
+#: Rows of text a language learns from, about (taken by a hash of doc_id and text).
+ROWS_PER_LANG = 3000
+#: Windows of one model, about: languages past it are learned and scored in a further pass. One language is never divided.
+SHARD_WINDOWS = 1_000_000
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _COUNT = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
@@ -112,27 +113,46 @@ class Model:
 
 
 def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Model:
-    """Learn from rows with text and lang; of each language about ``rows_per_lang`` rows, chosen by hash.
+    """One model of all languages, from rows with text and lang."""
+    counts, shards = _learned(docs, rows_per_lang)
+    return _model(counts, [lang for langs in shards for lang in langs])
 
-    Counting is a Spark aggregate; what comes to the driver is bounded by WINDOWS_PER_LANG and LANGUAGES.
-    """
+
+def fit_shards(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Iterator[Model]:
+    """Models of all languages in order, each of about SHARD_WINDOWS windows; one is built at a time."""
+    counts, shards = _learned(docs, rows_per_lang)
+    for langs in shards:
+        yield _model(counts, langs)
+
+
+def _learned(docs: DataFrame, rows_per_lang: int) -> tuple[DataFrame, list[list[str]]]:
+    """All windows of each language's sample (lang, key, n), counted by Spark, and the languages dealt to shards in order."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Model({})
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
     unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows_per_lang / r["n"]))).otherwise(share)
-    sample = rows.where(unit < share).select("lang", F.lower(F.col("text").cast("string")).cast("binary").alias("text"))
+    sample = rows.withColumn("unit", unit).join(F.broadcast(sizes), "lang").where(F.col("unit") < F.lit(float(rows_per_lang)) / F.col("rows_of_lang"))
+    sample = sample.select("lang", F.lower(F.col("text").cast("string")).cast("binary").alias("text"))
     counts = sample.mapInArrow(_counts, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counts = staged(counts, "ppm-counts")
-    learned = {}
-    for r in sizes:
-        got = counts.where(F.col("lang") == r["lang"]).orderBy(F.desc("n"), "key").limit(WINDOWS_PER_LANG).select("key", "n").toArrow()
-        if got.num_rows:
-            learned[r["lang"]] = (got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(float))
-    return Model(learned)
+    shards, held = [], 0
+    for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():
+        shards.append((r["lang"], r["n"]))
+    out: list[list[str]] = []
+    for lang, n in sorted(shards):
+        if not out or held + n > SHARD_WINDOWS:
+            out.append([])
+            held = 0
+        out[-1].append(lang)
+        held += n
+    return counts, out
+
+
+def _model(counts: DataFrame, langs: list[str]) -> Model:
+    if not langs:
+        return Model({})
+    got = counts.where(F.col("lang").isin(*langs)).toArrow().combine_chunks()
+    lang, key, n = np.asarray(got.column("lang").to_pylist(), dtype=object), got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy().astype(float)
+    return Model({x: (key[at], n[at]) for x in langs for at in [np.flatnonzero(lang == x)]})
 
 
 def has_letter(text: bytes) -> bool:
@@ -140,34 +160,62 @@ def has_letter(text: bytes) -> bool:
     return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, models: Model | Iterable[Model], keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns with lang_pred, score and bits_per_byte for every row, from whole texts alone.
 
     Null, empty and letterless texts get ``und`` and score 0; with no learned language every text does. A tie goes to the
-    language first in order. bits_per_byte is the best language's code length, null for an empty text.
+    language first in order. bits_per_byte is the best language's code length, null for an empty text. Each model is a pass
+    over the texts that carries the best language so far, so languages may be as many as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    passed = docs.select(*keep, F.lower(F.col("text").cast("string")).cast("binary").alias("__text"))
-    kinds = pa.schema([(n, _ARROW[t]) for n, t in passed.dtypes if n != "__text"] + [("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+    nothing = [F.lit(None).cast("string").alias("__best"), F.lit(None).cast("double").alias("__low"), F.lit(0.0).alias("__total")]
+    rows = docs.select(*keep, F.lower(F.col("text").cast("string")).cast("binary").alias("__text"), *nothing)
+    for k, model in enumerate([models] if isinstance(models, Model) else models):
+        if model.langs:
+            rows = _passed(staged(rows, "ppm-pass") if k else rows, model, keep)
+    return _named(rows, keep)
+
+
+def _fields(rows: DataFrame, keep: tuple[str, ...]) -> list:
+    return [(n, _ARROW[t]) for n, t in rows.dtypes if n in keep]
+
+
+def _passed(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
+    """Best language, its bits, and the sum of 2^(best - bits) over languages, with those of one more model."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([*_fields(rows, keep), ("__text", pa.binary()), ("__best", pa.string()), ("__low", pa.float64()), ("__total", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in slices(batches, column="__text"):
-            texts = texts_of(part, "__text")
-            bits = m.code_lengths(texts)
-            lettered = np.array([has_letter(t) for t in texts])
-            size = np.array([len(t) for t in texts])
-            if m.langs:
-                best = bits.argmin(axis=1)
-                low = bits.min(axis=1)
-                score = 1 / np.exp2(np.minimum(low[:, None] - bits, 0)).sum(axis=1)
-            else:
-                best, low, score, lettered = np.zeros(len(texts), int), np.full(len(texts), np.nan), np.zeros(len(texts)), lettered & False
-            named = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)]
-            yield emit(kinds, **{n: part.column(n) for n in keep}, lang_pred=named, score=np.where(lettered, score, 0.0), bits_per_byte=[b / n if n and b == b else None for b, n in zip(low, size, strict=True)])
-
-    ddl = ", ".join(f"`{n}` {t}" for n, t in passed.dtypes if n != "__text")
-    return passed.mapInArrow(run, f"{ddl}, lang_pred string, score double, bits_per_byte double")
+            bits = m.code_lengths(texts_of(part, "__text"))
+            before = np.array([np.inf if x is None else x for x in part.column("__low").to_pylist()])
+            own, at = bits.min(axis=1), bits.argmin(axis=1)
+            low = np.minimum(before, own)
+            total = part.column("__total").to_numpy() * np.exp2(low - before) + np.exp2(np.minimum(low[:, None] - bits, 0)).sum(axis=1)
+            best = [m.langs[i] if x < b else old for i, x, b, old in zip(at, own, before, part.column("__best").to_pylist(), strict=True)]
+            yield emit(schema, **{n: part.column(n) for n in (*keep, "__text")}, __best=best, __low=low, __total=total)
+
+    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
+    return rows.mapInArrow(run, f"{ddl + ', ' if keep else ''}__text binary, __best string, __low double, __total double")
+
+
+def _named(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    schema = pa.schema([*_fields(rows, keep), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, column="__text"):
+            texts, best, low, total = texts_of(part, "__text"), *(part.column(c).to_pylist() for c in ("__best", "__low", "__total"))
+            known = [b is not None and has_letter(t) for b, t in zip(best, texts, strict=True)]
+            yield emit(
+                schema,
+                **{n: part.column(n) for n in keep},
+                lang_pred=[b if ok else UNKNOWN for b, ok in zip(best, known, strict=True)],
+                score=[1 / s if ok else 0.0 for s, ok in zip(total, known, strict=True)],
+                bits_per_byte=[b / len(t) if t and b is not None else None for b, t in zip(low, texts, strict=True)],
+            )
+
+    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
+    return rows.mapInArrow(run, f"{ddl + ', ' if keep else ''}lang_pred string, score double, bits_per_byte double")
 
 
 _ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
@@ -185,8 +233,7 @@ def learn_and_predict(docs: DataFrame) -> DataFrame:
 
 def _predicted(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = fit(rows.where(~held_out()))
-    return predict(rows.select("doc_id", "text", held_out().alias("held_out"), text_hash().alias("h")), model, keep)
+    return predict(rows.select("doc_id", "text", held_out().alias("held_out"), text_hash().alias("h")), fit_shards(rows.where(~held_out())), keep)
 
 
 #: A text that the best language model codes no shorter than its plain bytes is in none of the learned languages.

@@ -235,3 +235,16 @@ def test_score_query_looks_past_two_bytes(spark, tmp_path):
     docs = [(i, "xabc yabd " * 20) for i in range(200)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert max(r["bits_per_byte"] for r in queries.op9_ctw(spark, str(tmp_path)).collect()) < 0.05
+
+
+def test_every_language_is_learned_in_shards(spark, monkeypatch):
+    """70 languages, each with its own words: none is left out, and shards of any size give the same."""
+    docs = [(200 * k + i, f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} " * 5, f"l{k:02}") for k in range(70) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {}
+    for size in (200, 1 << 20):
+        monkeypatch.setattr(langid, "SHARD_WINDOWS", size)
+        models = list(langid.fit_shards(df))
+        assert [x for m in models for x in m.langs] == sorted({x for *_, x in docs}) and (len(models) > 1) == (size == 200)
+        found[size] = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6), round(r["bits_per_byte"], 4)) for r in langid.predict(df, models, ("doc_id",)).collect()}
+    assert found[200] == found[1 << 20] and {i: x for i, _, x in docs} == {i: v[0] for i, v in found[200].items()}
