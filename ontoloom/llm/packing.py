@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm import tokens
-from ontoloom.llm.batches import emit
+from ontoloom.llm.batches import documents, emit, slices, texts_of
 from ontoloom.plans.staging import staged
 
 #: Rows of one length that one rank window orders at most, about.
@@ -50,23 +50,22 @@ def cut(length: int, limit: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokens.encode(text.as_py(), path)
-                view = memoryview(ids)
-                for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
-                    rows.append((doc_id, k, start, length, tokens.crc(view[4 * start : 4 * (start + length)])))
-            if rows:
-                yield emit(_PIECE, **dict(zip(_PIECE.names, map(list, zip(*rows, strict=True)), strict=True)))
+        encode = tokens.encoder(path)
+        for part in slices(batches, 1 << 20):
+            flat, counts = encode(texts_of(part))
+            view, rows, at = memoryview(flat.astype("<u4").tobytes()), [], 0
+            for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                for k, (start, length) in enumerate(cut(n, limit)):
+                    rows.append((doc_id, k, start, length, tokens.crc(view[4 * (at + start) : 4 * (at + start + length)])))
+                at += n
+            yield emit(_PIECE, **dict(zip(_PIECE.names, map(list, zip(*rows, strict=True)), strict=True)))
 
     return run
 
 
 def pieces(docs: DataFrame, limit: int = 1024, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all documents; a null text is empty and so is its end id alone."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(vocabulary or tokens.default_vocabulary(), limit), _PIECE_SQL)
+    return documents(docs).mapInArrow(_pieces(vocabulary or tokens.default_vocabulary(), limit), _PIECE_SQL)
 
 
 def plan(histogram: dict[int, int], capacity: Capacity) -> dict[int, list[tuple[int, int, int]]]:

@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.llm import tokens
-from ontoloom.llm.batches import emit
+from ontoloom.llm.batches import documents, emit, slices, texts_of
 from ontoloom.session import shared_dir
 
-#: Tokens of a shard, about; rounds of replacement; the least count of a pair that a rule is worth.
-SHARD_TOKENS, ROUNDS, LEAST_COUNT = 1 << 20, 6, 8
+#: Tokens of a shard, about; the least count of a pair that a rule is worth.
+SHARD_TOKENS, LEAST_COUNT = 1 << 20, 8
+#: Slots (a power of two) of the table that counts pairs, at most.
 SLOT_BITS = 20
 _SHARD = pa.schema(
     [("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("symbols", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32()))]
@@ -34,55 +35,100 @@ _SHARD = pa.schema(
 _SHARD_SQL = "shard long, doc_ids array<long>, symbols array<int>, lengths array<int>, base int, rules binary, expansion binary, data binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT):
-    """(symbols, ends, base, rules, expansion) of ids whose documents end before ``ends``. No rule spans two documents."""
-    base = int(ids.max()) + 1 if len(ids) else 0
-    seq, last = ids.astype(np.uint64), np.zeros(len(ids), dtype=bool)
+def _counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, pair, counts): places of the keys that occur ``least`` times or more, the number of each one's pair, and counts by pair."""
+    bits = min(SLOT_BITS, len(keys).bit_length() + 1)
+    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    # a key is as frequent as its slot of a hash table at most; full slots are counted exactly, those of one key without a sort
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+    slot, own = slot[at], keys[at]
+    first = np.empty(1 << bits, dtype=np.uint64)
+    first[slot] = own
+    others = np.flatnonzero(first[slot] != own)
+    if len(others):
+        slot[others] = (1 << bits) + np.unique(own[others], return_inverse=True)[1]
+    counts = np.bincount(slot, minlength=1)
+    often = counts[slot] >= least
+    number = np.cumsum(counts >= least) - 1
+    return at[often], number[slot[often]], counts[counts >= least]
+
+
+def _best(near: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether each occurrence ranks before those that overlap it (``near``: it and the next one do); equal ones never overlap here."""
+    wins = np.ones(len(rank), dtype=bool)
+    wins[1:] &= ~near | (rank[1:] < rank[:-1])
+    wins[:-1] &= ~near | (rank[:-1] < rank[1:])
+    return wins
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = LEAST_COUNT):
+    """(symbols, ends, base, rules, expansion) of ids whose documents end before ``ends``. No rule spans two documents.
+
+    Rounds until no pair occurs ``least`` times. In a round every such pair is ranked by its count (occurrences that do not overlap,
+    from the left; ties by the pair), and an occurrence is replaced where it ranks before both pairs that overlap it; a pair that would
+    be replaced less than ``least`` times waits. The first pair in rank is always replaced everywhere, as one pair at a time would be.
+    A pair can only become frequent where a symbol is new, so later rounds look there and at frequent pairs that are left.
+    """
+    size, base = len(ids), int(ids.max()) + 1 if len(ids) else 0
+    seq, last, gone, mark = ids.astype(np.uint64), *(np.zeros(size + 1, dtype=bool) for _ in range(3))
     last[ends - 1] = True
+    after, before = np.arange(1, size + 1), np.arange(-1, size)
     rules, expansion = np.empty((0, 2), dtype=np.uint32), np.empty(0, dtype=np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        keys = (seq[:-1] << np.uint64(32)) | seq[1:]
-        inside = ~last[:-1]
-        # a pair is as frequent as its slot of a hash table at most: the sort that counts pairs sees full slots alone
-        slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        full = np.bincount(slots[inside], minlength=1 << SLOT_BITS) >= least
-        able = np.flatnonzero(full[slots] & inside)
-        pairs, counts = np.unique(keys[able], return_counts=True)
-        frequent = counts >= max(least, int(counts.max(initial=0)) // 64)
-        if not frequent.any():
-            break
-        pairs = pairs[frequent]
-        k = np.minimum(np.searchsorted(pairs, keys[able]), len(pairs) - 1)
-        hit = pairs[k] == keys[able]
-        maybe, k = able[hit], k[hit]
-        if not len(maybe):
+    look = np.flatnonzero(~last[:size])
+    while len(look):
+        follows = after[look]
+        keys = (seq[look] << np.uint64(32)) | seq[follows]
+        # of a pair that overlaps itself (a run of one symbol) every second occurrence counts
+        same = np.flatnonzero((follows[:-1] == look[1:]) & (keys[1:] == keys[:-1])) + 1
+        begins = np.concatenate([[True], np.diff(same) > 1])[: len(same)]
+        nth = np.arange(len(same)) - np.maximum.accumulate(np.where(begins, np.arange(len(same)), 0))
+        counted = np.ones(len(look), dtype=bool)
+        counted[odd := same[nth % 2 == 0]] = False
+        own = np.flatnonzero(counted)
+        at, pair, counts = _counted(keys[own], least)
+        if not len(counts):
             break
-        # of neighbours that overlap, every second one of a run is replaced
-        new_run = np.concatenate([[True], np.diff(maybe) > 1])
-        first = np.flatnonzero(new_run)
-        rank = np.arange(len(maybe)) - np.repeat(first, np.diff(np.append(first, len(maybe))))
-        maybe, k = maybe[rank % 2 == 0], k[rank % 2 == 0]
-        used, k = np.unique(k, return_inverse=True)
-        start = base + len(rules)
-        left, right = (pairs[used] >> np.uint64(32)).astype(np.uint32), (pairs[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size = lambda s: np.where(s < base, 1, expansion[np.maximum(s.astype(np.int64) - base, 0)] if len(expansion) else 1)
-        grown = (size(left) + size(right)).astype(np.uint32)
-        rules, expansion = np.vstack([rules, np.stack([left, right], axis=1)]), np.concatenate([expansion, grown])
-        before = len(seq)
-        seq[maybe] = (start + k).astype(np.uint64)
-        last[maybe] = last[maybe + 1]
-        keep = np.ones(len(seq), dtype=bool)
-        keep[maybe + 1] = False
-        seq, last = seq[keep], last[keep]
-        if len(seq) > 0.99 * before:
-            break
-    return seq.astype(np.uint32), np.flatnonzero(last) + 1, base, rules.astype(np.uint32), expansion
+        at = own[at]
+        value = np.empty(len(counts), dtype=np.uint64)
+        value[pair] = keys[at]
+        order = np.lexsort((value, -counts))
+        ranks = np.empty(len(counts), dtype=np.int64)
+        ranks[order] = np.arange(len(counts))
+        rank = ranks[pair]
+        chosen = _best(follows[at[:-1]] == look[at[1:]], rank)
+        fit = np.bincount(rank[chosen], minlength=len(counts)) >= least
+        chosen &= fit[rank]
+        made = value[order][fit]
+        left, right = (made >> np.uint64(32)).astype(np.uint32), (made & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        spans = lambda s: np.where(s < base, 1, expansion[np.maximum(s.astype(np.int64) - base, 0)] if len(expansion) else 1)
+        number = base + len(rules) + np.cumsum(fit) - 1
+        rules, expansion = np.vstack([rules, np.stack([left, right], axis=1)]), np.concatenate([expansion, (spans(left) + spans(right)).astype(np.uint32)])
+        frequent = np.zeros(len(look), dtype=bool)
+        frequent[at] = True
+        frequent[odd] = frequent[odd - 1]
+        where = look[at[chosen]]
+        eaten = after[where]
+        seq[where], last[where], gone[eaten] = number[rank[chosen]].astype(np.uint64), last[eaten], True
+        after[where] = after[eaten]
+        before[after[where]] = where
+        mark[look[frequent]] = mark[where] = True
+        mark[before[where]] = True  # the place before the first is the spare last one
+        mark &= ~(gone | last)
+        mark[size] = False
+        look = np.flatnonzero(mark)
+        mark[look] = False
+    keep = ~gone[:size]
+    return seq[keep].astype(np.uint32), np.flatnonzero(last[:size][keep]) + 1, base, rules.astype(np.uint32), expansion
+
+
+def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, one after another."""
+    upto = np.cumsum(size)
+    return flat[np.repeat(start - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """Token ids of any run of symbols."""
+    """Token ids of any run of symbols, each rule replaced by its pair until none is left."""
     seq = symbols.astype(np.uint32)
     while len(seq) and (deep := seq >= base).any():
         width = np.where(deep, 2, 1)
@@ -94,28 +140,36 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+def expand_all(data: np.ndarray, base: int, rules: np.ndarray, expansion: np.ndarray) -> np.ndarray:
+    """Token ids of a whole shard: each rule is expanded once, and the symbols are looked up."""
+    size = expansion.astype(np.int64)
+    flat = np.concatenate([np.arange(base, dtype=np.uint32), expand(base + np.arange(len(rules), dtype=np.uint32), base, rules)])
+    at = np.concatenate([np.arange(base), base + np.cumsum(size) - size])
+    n = np.concatenate([np.ones(base, dtype=np.int64), size])
+    return _ragged(flat, at[data], n[data])
+
+
 def _shards(path: str, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, held, ids_of, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, k, held, ids_of, size, encode = TaskContext.get().partitionId(), 0, [], [], 0, tokens.encoder(path)
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], dtype=np.int32)
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            data, ends, base, rules, expansion = compress(ids, np.cumsum(lengths))
+            lengths = np.array([len(x) for x in held], dtype=np.int32)
+            data, ends, base, rules, expansion = compress(np.concatenate(held), np.cumsum(lengths))
             symbols = np.diff(ends, prepend=0).astype(np.int32)
             row = {"shard": (part << 32) + k, "doc_ids": ids_of, "symbols": symbols, "lengths": lengths, "base": base}
             row |= {"rules": rules.astype("<u4").tobytes(), "expansion": expansion.astype("<u4").tobytes(), "data": data.astype("<u4").tobytes()}
             return emit(_SHARD, **{n: [v] for n, v in row.items()})
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokens.encode(text.as_py(), path)
-                if held and size + len(ids) // 4 > shard_tokens:
+        for rows in slices(batches, 1 << 20):
+            flat, counts = encode(texts_of(rows))
+            for doc_id, n, end in zip(rows.column("doc_id").to_pylist(), counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+                if held and size + n > shard_tokens:
                     yield flush()
                     k, held, ids_of, size = k + 1, [], [], 0
-                held.append(ids)
+                held.append(flat[end - n : end])
                 ids_of.append(doc_id)
-                size += len(ids) // 4
+                size += n
         if held:
             yield flush()
 
@@ -128,7 +182,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shard_t
     Null texts are empty (an end id alone), null doc_ids come first, rows that repeat a doc_id follow each other. A shard ends
     before the document that would take it past ``shard_tokens``; a longer document is a shard of its own.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = documents(docs)
     # the hash of the text splits a doc_id that very many rows share (null, say)
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(_shards(vocabulary or tokens.default_vocabulary(), shard_tokens), _SHARD_SQL).write.parquet(path)
@@ -138,7 +192,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
-            ids = expand(np.frombuffer(row["data"], dtype="<u4"), row["base"], rules)
+            ids = expand_all(np.frombuffer(row["data"], dtype="<u4"), row["base"], rules, np.frombuffer(row["expansion"], dtype="<u4"))
             ends = np.cumsum(row["lengths"], dtype=np.int64)
             starts = ends - np.array(row["lengths"], dtype=np.int64)
             raw = memoryview(ids.astype("<u4").tobytes())

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -9,10 +10,15 @@ from ontoloom.llm import packing, queries, repair, tokens
 from tests.llm.edge import empty, frame, rows
 
 
-def plain(text, path=None):
-    t = Tokenizer.from_file(path or tokens.default_vocabulary())
+@lru_cache(1)
+def library():
+    t = Tokenizer.from_file(tokens.default_vocabulary())
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return t
+
+
+def plain(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def test_encoder_equals_the_library():
@@ -85,8 +91,8 @@ def test_repair_round_trip():
     for n, words in ((1, 3), (50, 2), (4000, 30), (4000, 3000)):
         ids = rnd.integers(0, words, n).astype(np.uint32)
         ends = np.unique(np.append(rnd.integers(1, n + 1, 7), n))
-        data, at, base, rules, sizes = repair.compress(ids, ends, rounds=20, least=2)
-        assert (repair.expand(data, base, rules) == ids).all()
+        data, at, base, rules, sizes = repair.compress(ids, ends, least=2)
+        assert (repair.expand(data, base, rules) == ids).all() and (repair.expand_all(data, base, rules, sizes) == ids).all()
         starts = np.concatenate([[0], at[:-1]])
         for a, b, x, y in zip(starts, at, np.concatenate([[0], ends[:-1]]), ends, strict=True):
             assert (repair.expand(data[a:b], base, rules) == ids[x:y]).all()
@@ -95,6 +101,76 @@ def test_repair_round_trip():
     assert len(data) <= n
 
 
+def plain_round(docs, least, number):
+    """One round of replacement on lists of symbols: (docs, rules)."""
+    counts, spots = Counter(), []
+    for d, own in enumerate(docs):
+        free = -1
+        for i, pair in enumerate(zip(own, own[1:], strict=False)):
+            if pair[0] != pair[1] or i > free:  # occurrences of one pair do not overlap
+                counts[pair] += 1
+                spots.append((d, i, pair))
+                free = i + 1 if pair[0] == pair[1] else -1
+            else:
+                free = -1
+    order = {p: k for k, (p, _) in enumerate(sorted(((p, c) for p, c in counts.items() if c >= least), key=lambda x: (-x[1], x[0])))}
+    at = {(d, i): order[p] for d, i, p in spots if p in order}
+    far = len(order)
+    chosen = {s: r for s, r in at.items() if r < at.get((s[0], s[1] - 1), far) and r < at.get((s[0], s[1] + 1), far)}
+    uses = Counter(chosen.values())
+    fit = [p for p in order if uses[order[p]] >= least]
+    name = {order[p]: number + k for k, p in enumerate(fit)}
+    out = []
+    for d, own in enumerate(docs):
+        new, i = [], 0
+        while i < len(own):
+            rule = name.get(chosen.get((d, i)))
+            new.append(own[i] if rule is None else rule)
+            i += 1 if rule is None else 2
+        out.append(new)
+    return out, fit
+
+
+def test_repair_rules_equal_a_plain_version():
+    rnd = random.Random(5)
+    for n, words, least in ((60, 2, 2), (400, 3, 2), (900, 9, 3), (2000, 25, 4)):
+        docs = [[rnd.choice(range(words)) for _ in range(rnd.randint(1, n))] for _ in range(4)] + [[0] * n, [1]]
+        base = max(map(max, docs)) + 1
+        data, at, got_base, rules, _ = repair.compress(np.array(sum(docs, []), dtype=np.uint32), np.cumsum([len(d) for d in docs]), least)
+        want, now = [], docs
+        while True:
+            now, fit = plain_round(now, least, base + len(want))
+            if not fit:
+                break
+            want += fit
+        assert got_base == base and [tuple(r) for r in rules.tolist()] == want
+        assert [x.tolist() for x in np.split(data, at[:-1])] == now
+        left = Counter(p for own in now for p in zip(own, own[1:], strict=False) if p[0] != p[1])
+        assert max(left.values(), default=0) < least  # no frequent pair is left
+
+
+def test_repair_is_about_as_short_as_one_pair_at_a_time():
+    rnd = random.Random(6)
+    vocabulary = [rnd.choices(range(60), k=rnd.randint(2, 6)) for _ in range(80)]
+    ids = sum((rnd.choices(vocabulary, weights=[1 / (k + 1) for k in range(80)])[0] for _ in range(900)), [])
+    data, _, _, rules, _ = repair.compress(np.array(ids, dtype=np.uint32), np.array([len(ids)]), 4)
+    seq, made = list(ids), 0
+    while True:
+        counts = Counter(zip(seq, seq[1:], strict=False))
+        pair, n = max(counts.items(), key=lambda x: (x[1], x[0]))
+        if n < 4:
+            break
+        out, i = [], 0
+        while i < len(seq):
+            hit = tuple(seq[i : i + 2]) == pair
+            out.append(10_000 + made if hit else seq[i])
+            i += 1 + hit
+        if len(out) == len(seq):
+            break
+        seq, made = out, made + 1
+    assert len(data) + 2 * len(rules) <= 1.05 * (len(seq) + 2 * made)
+
+
 def test_id_files(spark, small, tmp_path):
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     got = {r["doc_id"]: r for r in queries.op8_repair(spark, small).collect()}
