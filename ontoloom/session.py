@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
