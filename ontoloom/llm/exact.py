@@ -1,8 +1,8 @@
 """Exact duplicates by progressive refinement: length, then a hash of a prefix, then a hash of the whole text.
 
 Each step looks only at groups that the step before left with two rows or more; whole texts are hashed for the rows of
-such groups alone. Groups are counted by aggregates that combine before the shuffle, never gathered, so a text that a third
-of all rows share costs no task more than another.
+such groups alone. Groups are counted by aggregates that combine before the shuffle, never gathered, and rows meet their
+group's row by ``spread_join``, which deals a text, prefix or length that very many rows share over many tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ontoloom.plans.spread import spread_join
 from ontoloom.plans.staging import staged
 
 PREFIX_CHARS = 64
@@ -28,21 +29,17 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     brief = staged(
         base.select("doc_id", F.octet_length("text").alias("len"), F.xxhash64(F.substring("text", 1, PREFIX_CHARS)).alias("pre")), "brief"
     )
-    lengths = brief.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    prefixes = brief.join(lengths, "len", "left_semi").groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_groups = staged(prefixes.select("len", "pre"), "open-groups")
-    whole = (
-        base.withColumn("len", F.octet_length("text"))
-        .withColumn("pre", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
-        .join(open_groups, ["len", "pre"], "left_semi")
-        .select("doc_id", "len", "pre", F.sha2("text", 256).alias("content_hash"))
-    )
+    # rows of one length are first counted by prefix, so a length that very many rows share is a few rows here
+    small = staged(brief.groupBy("len", "pre").agg(F.count(F.lit(1)).alias("n")), "prefixes")
+    lengths = staged(small.groupBy("len").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n")).where("rows > 1").drop("rows"), "lengths")
+    open_groups = staged(spread_join(small, lengths, ["len"], ["pre"], "left_semi").where("n > 1"), "open-groups")
+    whole = base.withColumn("len", F.octet_length("text")).withColumn("pre", F.xxhash64(F.substring("text", 1, PREFIX_CHARS)))
+    whole = spread_join(whole, open_groups, ["len", "pre"], ["doc_id"], "left_semi").select("doc_id", "len", "pre", F.sha2("text", 256).alias("content_hash"))
     whole = staged(whole, "whole-hash")
-    classes = staged(
-        whole.groupBy("content_hash").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")), "classes"
-    )
-    grouped = whole.join(classes, "content_hash").select("doc_id", "keep_id", "group_size", "content_hash")
-    alone = brief.join(open_groups, ["len", "pre"], "left_anti").select(
+    sizes = whole.groupBy("content_hash").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+    classes = staged(sizes.withColumn("n", F.col("group_size")), "classes")
+    grouped = spread_join(whole, classes, ["content_hash"], ["doc_id"]).select("doc_id", "keep_id", "group_size", "content_hash")
+    alone = spread_join(brief, open_groups, ["len", "pre"], ["doc_id"], "left_anti").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(None).cast("string").alias("content_hash")
     )
     return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
