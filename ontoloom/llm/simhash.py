@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.llm.batches import documents, emit, slices, text_hash, texts_of, without
 from ontoloom.operators.components import connected_components
+from ontoloom.plans.spread import spread_join
 from ontoloom.plans.staging import staged
 
 SHINGLE_WORDS, HASH_SEED, MAX_BITS = 3, 42, 3
@@ -157,10 +158,11 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         "blocks",
     )
     one = blocks.where("blocks = 1").select(F.col("fps").alias("x"), F.array().cast("array<bigint>").alias("y"))
-    many = blocks.where("blocks > 1")
-    other = many.select("grid", "cell", F.col("block").alias("block2"), F.col("fps").alias("y"))
-    two = many.join(other, ["grid", "cell"]).where("block <= block2").select(F.col("fps").alias("x"), "y")
-    found = one.union(two).mapInArrow(_forests(bits), "a long, b long")
+    # each block goes to every pair of blocks that it is part of, so a crowded cell's pairs are spread over all tasks
+    many = blocks.where("blocks > 1").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = [F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")]
+    met = many.groupBy("grid", "cell", *pair).agg(F.min_by("fps", "block").alias("x"), F.max_by("fps", "block").alias("y"))
+    found = one.union(met.select("x", "y")).mapInArrow(_forests(bits), "a long, b long")
     return twos.select("a", "b").union(found).distinct()
 
 
@@ -177,13 +179,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX
 def _grouped(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
     """``near_duplicates`` with h, the hash of the text, and group, which no two components share."""
     rows = staged(fingerprints(docs, width), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct")
     member = connected_components(links(distinct, bits))
     joined = distinct.join(member.withColumnRenamed("member", "fp"), "fp")
     least = joined.groupBy("component").agg(F.min("first_id").alias("least_id"))
     of_fp = staged(joined.join(least, "component").select("fp", "component", "least_id"), "reached")
-    named = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("group"))
-    return rows.join(staged(named, "named"), "fp", "left").select("doc_id", "fp", "component_id", "h", "group")
+    named = distinct.join(of_fp, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("group"), "n")
+    return spread_join(rows, staged(named, "named"), ["fp"], ["doc_id", "h"]).select("doc_id", "fp", "component_id", "h", "group")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,8 +195,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = staged(_grouped(docs), "grouped")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    crowded = rows.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = staged(rows.join(crowded, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))), "crowded")
+    crowded = staged(rows.groupBy("group").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    found = staged(spread_join(rows, crowded, ["group"], ["doc_id", "h"]).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))), "crowded")
     left = without(docs, found.where("not stays").select("doc_id", "h"))
     twice = staged(found.where("stays").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
     cols = docs.columns
