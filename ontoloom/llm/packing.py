@@ -133,7 +133,7 @@ def ranked(rows: DataFrame, histogram: DataFrame) -> DataFrame:
     """``rows`` with a dense rank from 0 among those of the same length. Frequent lengths are dealt to several windows."""
     split = histogram.select(F.col("length").alias("l"), F.ceil(F.col("n") / RANK_ROWS).cast("int").alias("parts"))
     dealt = rows.join(split, rows["length"] == split["l"]).drop("l")
-    dealt = staged(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit("rank")), F.col("parts")).cast("int")).drop("parts"), "dealt")
+    dealt = staged(dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("rank")), F.col("parts")).cast("int")).drop("parts"), "dealt")
     sizes = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     base = sizes.select(F.col("length").alias("l"), F.col("part").alias("p"), before.alias("before"))
