@@ -22,8 +22,9 @@ from ontoloom.plans.staging import staged
 ORDER = 4
 #: Rows of text a language learns from, about (taken by a hash of doc_id and text).
 ROWS_PER_LANG = 3000
-#: Windows of one model, about: languages past it are learned and scored in a further pass. One language is never divided.
-SHARD_WINDOWS = 1_000_000
+#: Windows of one model, and windows times languages (its cells of four bytes), about: languages past these are learned and scored in a
+#: further pass. One language is never divided.
+SHARD_WINDOWS, SHARD_CELLS = 1_000_000, 16_000_000
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _COUNT = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
@@ -139,7 +140,7 @@ def _learned(docs: DataFrame, rows_per_lang: int) -> tuple[DataFrame, list[list[
         shards.append((r["lang"], r["n"]))
     out: list[list[str]] = []
     for lang, n in sorted(shards):
-        if not out or held + n > SHARD_WINDOWS:
+        if not out or held + n > SHARD_WINDOWS or (held + n) * (len(out[-1]) + 1) > SHARD_CELLS:
             out.append([])
             held = 0
         out[-1].append(lang)
