@@ -125,7 +125,8 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
     while start < len(text) and skipped < 4 and text[start] in " :#.=":
         start, skipped = start + 1, skipped + 1
     end = start
-    while end < len(text) and (text[end] in _ALNUM or text[end] in " -" and end + 1 < len(text) and text[end + 1] in _ALNUM and any(c in _DIGITS for c in text[end + 1 : end + 5])):
+    # 34 signs are the longest code; a longer run is none
+    while end < len(text) and end - start < 70 and (text[end] in _ALNUM or text[end] in " -" and end + 1 < len(text) and text[end + 1] in _ALNUM and any(c in _DIGITS for c in text[end + 1 : end + 5])):
         end += 1
     code = "".join(c for c in text[start:end] if c in _ALNUM)
     return (start, end) if iban(code) or sum(c in _DIGITS for c in code) >= 6 and len(code) <= 34 else None
@@ -180,14 +181,17 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= sum(c in _DIGITS for c in text[at:end]) <= 15:
                     found[kind].append((at, end))
         elif kind == "url":
-            end = last + 1
-            while end < len(text) and text[end] not in _URL_END:
-                end += 1
+            if at < free[kind]:  # within the one before, which ran to the end of its signs
+                continue
+            run = last + 1
+            while run < len(text) and text[run] not in _URL_END:
+                run += 1
+            end = run
             while end > last + 1 and text[end - 1] in ".,;:!?)":
                 end -= 1
-            if at >= free[kind] and end > last + 1:
+            free[kind] = run
+            if end > last + 1:
                 found[kind].append((at, end))
-                free[kind] = end
         else:
             whole = at == 0 or not text[at - 1].isalnum() or kind == "address"
             span = whole and (account_after(text, last + 1) if kind == "account" else address_before(text, at, last + 1))
