@@ -1,11 +1,14 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on everything else that looks like a token.
 
-A candidate is a run of 20 or more of the base64, hex or identifier signs. The smallest encoding that holds it (digits, hex in one case,
-letters and digits, base64) is its alphabet, and against it three tests are made: chi-squared uniformity of its signs, runs above
-and below the middle of the alphabet, and serial correlation of neighbours. A candidate that any test refuses at 0.001 isn't
-random. The evidence against plain text is the likelihood ratio of uniform signs to the sign frequencies of text; by
-Markov's inequality its inverse bounds the p-value of text, so long strings count for more. Among a document's candidates,
-Benjamini-Hochberg at rate 0.01 on those p-values decides which are reported (kind: random).
+A candidate is a run of 20 or more of the base64, hex or identifier signs. The smallest encoding that holds it (digits, hex, base32,
+letters of one case with digits, letters and digits, base64) is its alphabet, and against it three tests are made: chi-squared
+uniformity of its signs, runs above and below the middle of the alphabet, and serial correlation of neighbours. Fisher's method makes
+one p-value of the three, the battery's. A candidate that it refuses at 0.001 isn't random.
+
+False discoveries are pieces of plain text. The likelihood ratio of uniform signs to the sign frequencies of text grows with the length
+of a string; times the battery's p-value, which is one at most, its mean under text is still one at most (an e-value), so by Markov's
+inequality the inverse of that product bounds the p-value of text. Among a document's candidates, Benjamini-Hochberg at rate 0.01 on
+those bounds decides which are reported (kind: random): a short string must look more random than a long one.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ ALPHABETS = (
     string.digits,
     string.digits + "abcdef",
     string.digits + "ABCDEF",
+    string.ascii_lowercase + "234567",
+    string.ascii_uppercase + "234567",
+    string.digits + string.ascii_lowercase,
+    string.digits + string.ascii_uppercase,
     string.digits + string.ascii_uppercase + string.ascii_lowercase,
     string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/",
     string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
@@ -94,17 +101,33 @@ def serial_p(values: list[int]) -> float:
     return normal_tail((r + 1 / n) * math.sqrt(n))
 
 
-def text_p(word: str) -> float | None:
-    """Bound of the p-value under plain text, or None where a test refuses randomness."""
-    alphabet = next((a for a in ALPHABETS if set(word) <= set(a)), None)
-    if alphabet is None:
-        return None
+def fisher(p: list[float]) -> float:
+    """One p-value of three independent ones: the tail of a chi-squared variable of six degrees of freedom."""
+    if min(p) <= 0:
+        return 0.0
+    s = -sum(map(math.log, p))
+    return min(1.0, math.exp(-s) * (1 + s + s * s / 2))
+
+
+def battery_p(word: str, alphabet: str) -> float:
+    """The three tests' p-value of ``word`` as uniform signs of ``alphabet``."""
     values = [alphabet.index(c) for c in word]
-    if min(chi_squared_p(word, alphabet), runs_p(values, len(alphabet)), serial_p(values)) < REFUSE:
+    return fisher([chi_squared_p(word, alphabet), runs_p(values, len(alphabet)), serial_p(values)])
+
+
+def encoding(word: str) -> str | None:
+    """The smallest alphabet that holds a word, the first of equal ones."""
+    return next((a for a in ALPHABETS if set(word) <= set(a)), None)
+
+
+def text_p(word: str) -> float | None:
+    """Bound of the p-value under plain text, or None where the battery refuses randomness."""
+    alphabet = encoding(word)
+    if alphabet is None or (battery := battery_p(word, alphabet)) < REFUSE:
         return None
-    # the encoding was chosen from six by looking: the bound is multiplied by six
     bits = sum(-math.log2(len(alphabet)) - math.log2(TEXT[c]) for c in word)
-    return min(1.0, len(ALPHABETS) * 2.0**-bits)
+    # the encoding was chosen by looking: the bound is multiplied by the number of choices
+    return min(1.0, len(ALPHABETS) * 2.0**-bits / battery)
 
 
 def accepted(p: list[float], tests: int, rate: float = FALSE_RATE) -> float:
