@@ -6,7 +6,7 @@ around it and is extended in both directions, and a run as long as the item's wi
 item) is a hit. Items of fewer than 13 words are kept whole: one hash of their own length, with every hash of that length of
 a document, which is the same guarantee.
 
-A bitmap of fixed size over the benchmark's hashes goes to all tasks; it only spares rows that the join would drop.
+A bitmap of bounded size over the benchmark's hashes goes to all tasks; it only spares rows that the join would drop.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from ontoloom.plans.staging import staged
 
 WINDOW, GRAM = 13, 5
 KEEP_OF = WINDOW - GRAM + 1
-SLOT_BITS, CHUNK_BITS = 24, 12
+#: Bits that name a slot of the bitmap, least and most (2 and 128 MB), and those of a slot within a chunk.
+SLOT_BITS, MOST_BITS, CHUNK_BITS = 24, 30, 12
 _TABLE = bytes((c | 32 if 0x41 <= c <= 0x5A else c) if 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _P = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -79,8 +80,8 @@ def kept(g: np.ndarray, of: int = KEEP_OF) -> np.ndarray:
     return out
 
 
-def slot(g: np.ndarray) -> np.ndarray:
-    return (g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slot(g: np.ndarray, bits: int) -> np.ndarray:
+    return (g >> np.uint64(64 - bits)).astype(np.int64)
 
 
 _HIT = [("pos", pa.int32()), ("k", pa.int32()), ("hash", pa.int64()), ("mid", pa.string()), ("left", pa.list_(pa.string())), ("right", pa.list_(pa.string()))]
@@ -123,23 +124,26 @@ def benchmark_marks(benchmark: DataFrame) -> DataFrame:
     return found.select("item_id", "need", F.explode("marks").alias("m")).select("item_id", "need", "m.*")
 
 
-def bitmap(marks: DataFrame) -> bytes:
-    """2^24 bits, one set for each hash's leading bits: gathered as at most 4096 chunks, however large the benchmark."""
-    chunk = SLOT_BITS - CHUNK_BITS
-    at = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
+def bitmap(marks: DataFrame) -> tuple[int, bytes]:
+    """Bits of a slot's name, and a map with a bit set for each hash's leading bits: about 16 slots a hash, 2^30 at most, gathered by chunks."""
+    bits = min(MOST_BITS, max(SLOT_BITS, marks.count().bit_length() + 4))
+    chunk = bits - CHUNK_BITS
+    at = F.shiftrightunsigned("hash", 64 - bits)
     slots = marks.select(at.alias("slot")).distinct()
     rows = slots.groupBy(F.shiftright("slot", chunk).alias("chunk")).agg(F.collect_set(F.col("slot").bitwiseAND((1 << chunk) - 1).cast("int")).alias("in"))
-    out = np.zeros(1 << SLOT_BITS, dtype=bool)
+    out = np.zeros(1 << bits - 3, dtype=np.uint8)
     for r in rows.toLocalIterator():
-        out[(int(r["chunk"]) << chunk) + np.array(r["in"], dtype=np.int64)] = True
-    return np.packbits(out).tobytes()
+        place = (int(r["chunk"]) << chunk) + np.array(r["in"], dtype=np.int64)
+        np.bitwise_or.at(out, place >> 3, (0x80 >> (place & 7)).astype(np.uint8))
+    return bits, out.tobytes()
 
 
 def _document_marks(shared, short: list[int], long_items: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("marks", pa.list_(pa.struct(_HIT)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+        bits, packed = shared.value
+        packed = np.frombuffer(packed, dtype=np.uint8)
         for part in slices(batches, 1 << 20):
             texts = [t.translate(_TABLE) for t in texts_of(part)]
             flat = b" ".join(texts)
@@ -152,7 +156,8 @@ def _document_marks(shared, short: list[int], long_items: bool):
             for k in sorted({*short, *[GRAM] * long_items}):
                 g = grams(h, k)
                 reach = WINDOW - GRAM if k == GRAM and long_items else 0
-                for p in np.flatnonzero(there[slot(g)]) if len(g) else ():
+                place = slot(g, bits)
+                for p in np.flatnonzero(packed[place >> 3] & (0x80 >> (place & 7)).astype(np.uint8)):
                     d = int(doc_of[p])
                     lo, hi = int(bound[d]), int(bound[d + 1])
                     if p + k > hi:
