@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from ontoloom.llm import langid, simhash, winnow
+from tests.llm.edge import empty, frame, rows
 from tests.llm.test_duplicates import plain_components
 from tests.llm.test_scans import plain_contamination
 from tests.llm.test_tokens import check_packing
@@ -52,3 +53,19 @@ def test_stages_judge_rows_that_share_an_id_apart(spark):
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
     clean = sorted((str(r["doc_id"]), r["text"]) for r in winnow.drop_contaminated(df, bench).collect())
     assert clean == sorted((str(i), t) for i, t in docs if t != item)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, small):
+    """Nulls in every column, repeated rows and ids, empty and long texts, clashing columns; and no rows at all."""
+    have = {(r[0], r[1]) for r in rows()}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (frame(spark), empty(spark)):
+            out = stage(spark, docs, small)
+            got = out.collect()
+            if name != "pack":
+                assert out.columns == docs.columns, name
+                assert {(r["doc_id"], r["text"]) for r in got} <= have
+            if docs.isEmpty():
+                assert not got, name
+    exact = [(r["doc_id"], r["text"]) for r in corpus_pipeline.exact_dedup(spark, frame(spark), small).collect()]
+    assert len({t or "" for _, t in exact}) == len(exact) == len({t or "" for _, t in have})

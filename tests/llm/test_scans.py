@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 from ontoloom.llm import pii, queries, secrets, warc, winnow
@@ -57,6 +59,56 @@ def test_pii_adds_spans():
     assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == ["DE89 3704 0044 0532 0130 00", "12345678"]
 
 
+def test_pii_urls_equal_a_pattern():
+    rnd = random.Random(16)
+    pieces = ["http://", "HTTPS://", "ftp://", "mailto:", "a", "x.y", "/p?q=1", ".", ",", ")", " ", "\n", "<", "'", "é", "http:/", "!?"]
+    pattern = re.compile(r"""(http://|https://|ftp://|mailto:)([^ \t\n\r\x0b\x0c<>"'`{}|\\^]+)""", re.I | re.A)
+    for text in noise(rnd, pieces, 4000):
+        want = [(m.start(), m.end(1) + len(body)) for m in pattern.finditer(text) if (body := m[2].rstrip(".,;:!?)"))]
+        assert [(a, b) for k, a, b in pii.spans(text) if k == "url"] == want, repr(text)
+
+
+def test_scans_take_time_in_proportion_to_a_text():
+    began = time.time()
+    for piece in ("http://", "mailto:x", "ssn1-", "iban 1-", "a@", "+1 ", "1.", " street"):
+        text = piece * (1_000_000 // len(piece))
+        assert isinstance(pii.spans(text), list)
+    secrets.spans("token=" * 170_000)
+    assert time.time() - began < 60
+
+
+def test_secrets_battery():
+    rnd = random.Random(9)
+    for alphabet in secrets.ALPHABETS:
+        p = [secrets.battery_p("".join(rnd.choices(alphabet, k=48)), alphabet) for _ in range(400)]
+        assert sum(x < 0.05 for x in p) < 44 and sum(x < 0.5 for x in p) > 100  # close to uniform under its own hypothesis
+        if len(alphabet) > 10:
+            found = sum(any(k == "random" for k, *_ in secrets.spans("a " + "".join(rnd.choices(alphabet, k=32)) + " b")) for _ in range(200))
+            assert found >= 180, alphabet
+    for word in ("internationalizationandlocalization", "this-is-a-long-slug-about-nothing", "0" * 40, "abcabcabcabcabcabcabcabcabc", "2021-01-01-2021-01-02-2021", "THISISALLUPPERCASETEXTWITHOUTSPACES"):
+        assert all(k != "random" for k, *_ in secrets.spans(word)), word
+
+
+def test_secrets_random_equals_a_plain_version():
+    """The bound of each candidate by direct formulas, and Benjamini-Hochberg by trying every cut."""
+    rnd = random.Random(10)
+    for _ in range(60):
+        words = ["".join(rnd.choices(rnd.choice(secrets.ALPHABETS), k=rnd.randint(20, 40))) for _ in range(rnd.randint(1, 5))] + ["pneumonoultramicroscopicsilico"]
+        text, p = " ".join(words), {}
+        for w in words:
+            alphabet = min((a for a in secrets.ALPHABETS if all(c in a for c in w)), key=len)
+            v = [alphabet.index(c) for c in w]
+            three = secrets.chi_squared_p(w, alphabet), secrets.runs_p(v, len(alphabet)), secrets.serial_p(v)
+            s = -math.log(math.prod(three)) if min(three) else math.inf
+            battery = math.exp(-s) * (1 + s + s**2 / 2) if s < math.inf else 0
+            if battery >= 1e-3:
+                ratio = math.prod(1 / len(alphabet) / secrets.TEXT[c] for c in w) * battery
+                p[w] = min(1, len(secrets.ALPHABETS) / ratio)
+        cut = max((k for k in range(len(p) + 1) if sum(x <= 0.01 * k / len(words) for x in p.values()) >= k), default=0)
+        want = {w for w, x in p.items() if x <= 0.01 * cut / len(words)}
+        assert {text[a:b] for k, a, b in secrets.spans(text) if k == "random"} == want
+
+
 def test_pii_and_secret_queries(spark):
     small = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
