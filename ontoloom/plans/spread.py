@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ontoloom.plans.staging import staged
 
-#: A key with more than this part of all rows is hot, so there are fewer hot keys than this.
-PARTS = 1000
+#: A table of this many rows at most is broadcast whole. Beyond it, a key with more than one in PARTS of all rows is hot, so there are
+#: fewer hot keys than PARTS.
+SMALL_ROWS, PARTS = 100_000, 1000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], mix: list[str], how: str = "inner", n: str = "n") -> DataFrame:
     """``rows`` joined to ``table``, which has a row for each key and says in ``n`` how many of ``rows`` have that key.
 
-    A hot key's rows are dealt over as many tasks as it is hot times over, by a hash of their columns ``mix``, and its row of the
+    A small table is broadcast: then no row moves. Else a hot key's rows are dealt over as many tasks as it is hot times over, by a hash of their columns ``mix``, and its row of the
     table goes to each of these; the table of hot keys is below ``PARTS`` rows and is broadcast. Keys are not null. ``n`` is dropped.
     """
-    total = table.agg(F.sum(n).alias("n")).first()["n"] or 0
-    hot = staged(table.where(F.col(n) * PARTS > F.lit(total)).select(*keys, F.ceil(F.col(n) * PARTS / F.lit(max(total, 1))).cast("int").alias("__parts")), "hot-keys")
+    size = table.agg(F.count(F.lit(1)).alias("keys"), F.sum(n).alias("rows")).first()
+    if size["keys"] <= SMALL_ROWS:
+        return rows.join(F.broadcast(table.drop(n)), keys, how)
+    total = size["rows"]
+    hot = staged(table.where(F.col(n) * PARTS > F.lit(total)).select(*keys, F.ceil(F.col(n) * PARTS / F.lit(total)).cast("int").alias("__parts")), "hot-keys")
     if hot.isEmpty():
         return rows.join(table.drop(n), keys, how)
     salt = F.coalesce(F.pmod(F.xxhash64(*mix), F.col("__parts")).cast("int"), F.lit(0))

@@ -38,8 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+#: Bytes that one Arrow batch to or from a Python task holds, about: by default only its rows are limited, and texts may be long.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once for each context (nothing happens where they have it already)."""
+    """Give the executors this package, once for each context (nothing happens where they have it already), and bound Arrow batches where the session doesn't."""
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_ontoloom_shipped", False):
         return
