@@ -11,8 +11,6 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.plans.staging import staged
-
 #: Bytes of text that one vectorised step looks at; a longer single text is a step of its own.
 SLICE_BYTES = 1 << 20
 
@@ -59,7 +57,8 @@ def text_hash(text: Column | str = "text") -> Column:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id and text hash are in ``gone`` (doc_id, h)."""
-    gone = staged(gone.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_hash")).distinct(), "gone")
+    # rows that go may be a part of all rows, so the plan is a merge of both sides at every size
+    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_hash")).distinct().hint("merge")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (text_hash(docs["text"]) == gone["__gone_hash"]), "left_anti")
 
 

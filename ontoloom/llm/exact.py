@@ -50,7 +50,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     rows = staged(exact_classes(docs), "classified")
     cols = docs.columns
     gone = rows.where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.col("content_hash").alias("__gone_hash")).distinct()
-    gone = staged(gone, "gone")
+    gone = gone.hint("merge")  # these may be a part of all rows
     # a document written twice keeps its doc_id in both rows: those few are narrowed to one by an aggregate
     twice = rows.where("kept and content_hash is not null").groupBy("doc_id", "content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     twice = staged(twice.select(F.col("doc_id").alias("__twice_id"), F.col("content_hash").alias("__twice_hash")), "twice")

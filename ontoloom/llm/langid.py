@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.llm.batches import crc_column, emit, slices, text_hash, texts_of, without
+from ontoloom.llm.batches import crc_column, emit, slices, texts_of
 from ontoloom.plans.staging import staged
 
 ORDER = 4
@@ -169,57 +169,54 @@ def predict(docs: DataFrame, models: Model | Iterable[Model], keep: tuple[str, .
     over the texts that carries the best language so far, so languages may be as many as they are.
     """
     nothing = [F.lit(None).cast("string").alias("__best"), F.lit(None).cast("double").alias("__low"), F.lit(0.0).alias("__total")]
-    rows = docs.select(*keep, F.lower(F.col("text").cast("string")).cast("binary").alias("__text"), *nothing)
-    for k, model in enumerate([models] if isinstance(models, Model) else models):
-        if model.langs:
-            rows = _passed(staged(rows, "ppm-pass") if k else rows, model, keep)
-    return _named(rows, keep)
+    rows = docs.select(*(F.col(f"`{n}`") for n in keep), F.lower(F.col("text").cast("string")).cast("binary").alias("__text"), *nothing)
+    held = None
+    for model in [models] if isinstance(models, Model) else models:
+        if held is not None:
+            rows = staged(_passed(rows, held, keep, last=False), "ppm-pass")
+        held = model
+    return _passed(rows, held or Model({}), keep, last=True)
 
 
-def _fields(rows: DataFrame, keep: tuple[str, ...]) -> list:
-    return [(n, _ARROW[t]) for n, t in rows.dtypes if n in keep]
-
-
-def _passed(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """Best language, its bits, and the sum of 2^(best - bits) over languages, with those of one more model."""
+def _passed(rows: DataFrame, model: Model, keep: tuple[str, ...], last: bool) -> DataFrame:
+    """Best language, its bits, and the sum of 2^(best - bits) over languages, with those of one more model; after the last one, what they say."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([*_fields(rows, keep), ("__text", pa.binary()), ("__best", pa.string()), ("__low", pa.float64()), ("__total", pa.float64())])
+    between = pa.schema([("__text", pa.binary()), ("__best", pa.string()), ("__low", pa.float64()), ("__total", pa.float64())])
+    final = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for part in slices(batches, column="__text"):
-            bits = m.code_lengths(texts_of(part, "__text"))
-            before = np.array([np.inf if x is None else x for x in part.column("__low").to_pylist()])
-            own, at = bits.min(axis=1), bits.argmin(axis=1)
-            low = np.minimum(before, own)
-            total = part.column("__total").to_numpy() * np.exp2(low - before) + np.exp2(np.minimum(low[:, None] - bits, 0)).sum(axis=1)
-            best = [m.langs[i] if x < b else old for i, x, b, old in zip(at, own, before, part.column("__best").to_pylist(), strict=True)]
-            yield emit(schema, **{n: part.column(n) for n in (*keep, "__text")}, __best=best, __low=low, __total=total)
-
-    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(run, f"{ddl + ', ' if keep else ''}__text binary, __best string, __low double, __total double")
-
-
-def _named(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    schema = pa.schema([*_fields(rows, keep), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column="__text"):
-            texts, best, low, total = texts_of(part, "__text"), *(part.column(c).to_pylist() for c in ("__best", "__low", "__total"))
+            texts, low = texts_of(part, "__text"), np.array([np.inf if x is None else x for x in part.column("__low").to_pylist()])
+            best, total = part.column("__best").to_pylist(), part.column("__total").to_numpy()
+            if m.langs:
+                bits, before = m.code_lengths(texts), low
+                least, at = bits.min(axis=1), bits.argmin(axis=1)
+                low = np.minimum(before, least)
+                total = total * np.exp2(low - before) + np.exp2(np.minimum(low[:, None] - bits, 0)).sum(axis=1)
+                best = [m.langs[i] if x < b else old for i, x, b, old in zip(at, least, before, best, strict=True)]
+            same = part.select(list(keep))
+            if not last:
+                yield _beside(same, between, __text=part.column("__text"), __best=best, __low=low, __total=total)
+                continue
             known = [b is not None and has_letter(t) for b, t in zip(best, texts, strict=True)]
-            yield emit(
-                schema,
-                **{n: part.column(n) for n in keep},
+            yield _beside(
+                same,
+                final,
                 lang_pred=[b if ok else UNKNOWN for b, ok in zip(best, known, strict=True)],
                 score=[1 / s if ok else 0.0 for s, ok in zip(total, known, strict=True)],
-                bits_per_byte=[b / len(t) if t and b is not None else None for b, t in zip(low, texts, strict=True)],
+                bits_per_byte=[b / len(t) if t and x is not None else None for x, b, t in zip(best, low, texts, strict=True)],
             )
 
-    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.select(*keep).dtypes)
-    return rows.mapInArrow(run, f"{ddl + ', ' if keep else ''}lang_pred string, score double, bits_per_byte double")
+    out = rows.select(*(F.col(f"`{n}`") for n in keep)).schema
+    for name, kind in (("lang_pred", "string"), ("score", "double"), ("bits_per_byte", "double")) if last else (("__text", "binary"), ("__best", "string"), ("__low", "double"), ("__total", "double")):
+        out = out.add(name, kind)
+    return rows.mapInArrow(run, out)
 
 
-_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+def _beside(same: pa.RecordBatch, schema: pa.Schema, **columns) -> pa.RecordBatch:
+    new = emit(schema, **columns)
+    return pa.RecordBatch.from_arrays([*same.columns, *new.columns], schema=pa.schema([*same.schema, *schema]))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -229,12 +226,12 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def learn_and_predict(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits_per_byte) for every row, learned from the rows that are not held out."""
-    return _predicted(docs, ("doc_id", "held_out"))
+    rows = _labelled(docs)
+    return predict(rows.select("doc_id", "text", held_out().alias("held_out")), fit_shards(rows.where(~held_out())), ("doc_id", "held_out"))
 
 
-def _predicted(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return predict(rows.select("doc_id", "text", held_out().alias("held_out"), text_hash().alias("h")), fit_shards(rows.where(~held_out())), keep)
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
 #: A text that the best language model codes no shorter than its plain bytes is in none of the learned languages.
@@ -242,6 +239,13 @@ PLAIN_BITS = 8.0
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """The documents in a learned language; ``und`` and texts that no learned model compresses go, told apart by doc_id and text."""
-    found = _predicted(docs, ("doc_id", "h"))
-    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("bits_per_byte") >= PLAIN_BITS)).select("doc_id", "h"))
+    """The documents in a learned language; ``und`` and texts that no learned model compresses go.
+
+    Each row is judged by its own text and carried along whole, so no rows are joined: nulls, repeated ids and repeated rows stay what
+    they are. Without learned languages no document stays; an empty table stays empty.
+    """
+    learn = _labelled(docs)
+    cols = [f"c{k}" for k in range(len(docs.columns))]  # names of documents may be those of the answer
+    found = predict(docs.withColumn("__own", F.col("text")).toDF(*cols, "text"), fit_shards(learn.where(~held_out())), tuple(cols))
+    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.coalesce("bits_per_byte", F.lit(0.0)) < PLAIN_BITS))
+    return known.select(*[F.col(c).alias(n) for c, n in zip(cols, docs.columns, strict=True)])
