@@ -59,7 +59,7 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return roots(nodes, edges).join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-def root_paths(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def root_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, path): every path from a root down to a node, as an array of ids.
 
     Multiple parents give multiple paths; an edge back to a node of its own path is not followed.
@@ -67,7 +67,7 @@ def root_paths(nodes: DataFrame, edges: DataFrame, max_depth: int = 100) -> Data
     level = roots(nodes, edges).select("id", F.array("id").alias("path"))
     down = staged(edges.select(F.col("dst").alias("id"), F.col("src").alias("child")).distinct(), "down")
     found = [staged(level, "paths")]
-    for _ in range(max_depth):
+    while True:  # no path repeats a node, so paths end
         grown = found[-1].join(down, "id").where(~F.array_contains("path", F.col("child")))
         grown = staged(grown.select(F.col("child").alias("id"), F.concat("path", F.array("child")).alias("path")), "paths")
         if grown.isEmpty():

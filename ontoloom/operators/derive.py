@@ -254,7 +254,7 @@ def has_individuals(nodes: DataFrame, props: DataFrame) -> DataFrame:
     return _of(nodes, "class").join(typed.select("ontology_id", F.col("value").alias("id")), KEY, "left_semi").select(*KEY)
 
 
-def expression_hashes(props: DataFrame, max_depth: int = 50) -> DataFrame:
+def expression_hashes(props: DataFrame) -> DataFrame:
     """(…, canonical): a hash of the tree below each blank node, equal for trees of equal shape and values.
 
     Bottom-up: a node is hashed once all blank nodes it names are; nodes on a cycle never are, and are left out.
@@ -263,7 +263,7 @@ def expression_hashes(props: DataFrame, max_depth: int = 50) -> DataFrame:
 
     own = staged(props.where(F.col("id").startswith("_:")).select(*KEY, "predicate", "pos", *VALUE), "expressions")
     done = None
-    for _ in range(max_depth):
+    while True:
         if done is None:
             ready = own.join(own.where("kind = 'bnode'").select(*KEY).distinct(), KEY, "left_anti").withColumn("canonical", F.col("value"))
         else:

@@ -43,11 +43,11 @@ def _expression(parts: Column) -> Column:
     return out.otherwise(F.lit(UNKNOWN))
 
 
-def class_expressions(props: DataFrame, names: DataFrame, max_depth: int = 30) -> DataFrame:
+def class_expressions(props: DataFrame, names: DataFrame) -> DataFrame:
     """(…, text) of every blank node that is no cell of a list; names: ontology_id, id, label.
 
     IRIs show as their label, else their local name; literals as they are. Built bottom-up, a level of nesting in each round: a node is
-    written once the blank nodes it names are. Nodes on a cycle, and nodes nested deeper than ``max_depth``, have no row.
+    written once the blank nodes it names are. Nodes on a cycle have no row.
     """
     cells = props.where(F.col("predicate").isin(V.FIRST, V.REST)).select(*KEY).distinct()
     # a list takes the place of its head cell, its members that of the cell's values
@@ -60,7 +60,7 @@ def class_expressions(props: DataFrame, names: DataFrame, max_depth: int = 30) -
     shown = F.when(F.col("value") == V.NIL, F.array().cast("array<string>")).when(shown.isNotNull(), F.array(shown))
     rows = staged(rows.select(*KEY, "predicate", "pos", "value", shown.alias("parts")), "expressions")
     done = None
-    for _ in range(max_depth):
+    while True:
         todo = rows
         if done is not None:
             inner = done.select("ontology_id", F.col("id").alias("value"), F.col("parts").alias("inner"))
@@ -82,7 +82,7 @@ def visible_edges(nodes: DataFrame, edges: DataFrame, top: tuple[str, ...] = (V.
     return kept.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def tree(nodes: DataFrame, edges: DataFrame, root: str | None = None, preferred: str | None = None, max_depth: int = 100) -> DataFrame:
+def tree(nodes: DataFrame, edges: DataFrame, root: str | None = None, preferred: str | None = None) -> DataFrame:
     """(id, node_id, parent_id, depth, n_below) of each place of a node in the tree shown.
 
     Roots are the one asked for; else those flagged in the column ``preferred``, if any; else nodes without a shown parent. An edge back
@@ -96,7 +96,7 @@ def tree(nodes: DataFrame, edges: DataFrame, root: str | None = None, preferred:
         tops = flagged
     # the chosen roots lose their parents, and nothing hangs from what is no root and has none
     down = shown if tops is None else shown.join(tops.select(F.col("id").alias("src")), "src", "left_anti")
-    paths = root_paths(nodes.select("id"), down, max_depth)
+    paths = root_paths(nodes.select("id"), down)
     if tops is not None:
         paths = paths.where(F.size("path") > 0).join(tops.select(F.col("id").alias("__top")), F.col("path")[0] == F.col("__top"), "left_semi")
     size = F.size("path")

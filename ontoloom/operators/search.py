@@ -21,7 +21,7 @@ WHOLE, TOKENS, LOWER_TOKENS, EDGES, SPACE_TOKENS, SPACE_EDGES = "whole", "tokens
 DEFAULT_FIELDS = ("iri", "ontologyId", "curie", "shortForm", "label", "id", "oboId", "synonym", "searchableAnnotationValues")
 DEFAULT_BOOSTS = (("type", "ontology", 10, WHOLE), ("isDefiningOntology", "true", 1000, WHOLE), ("label", None, 1000, WHOLE), ("label", None, 500, EDGES), ("curie", None, 500, EDGES), ("shortForm", None, 500, EDGES), ("synonym", None, 500, WHOLE))
 V1_FIELDS = {"short_form": "shortForm", "obo_id": "curie", "ontology_name": "ontologyId", "description": "definition", "annotations_trimmed": "searchableAnnotationValues"}
-V1_SAME = ("label", "synonym", "definition", "iri", "type", "id", "ontologyId", "logical_description")
+V1_SAME = ("label", "synonym", "definition", "iri", "type")
 RESERVED = ("search", "searchFields", "boostFields", "facetFields", "exactMatch", "lang", "page", "size", "sort", "includeObsoleteEntities")
 
 
@@ -65,7 +65,7 @@ def v1_field(spec: str) -> tuple[str, float, str] | None:
     """A legacy field name with suffix and weight as (field, weight, match); None for unknown names."""
     name, _, weight = spec.partition("^")
     match = SPACE_EDGES
-    for suffix, kind in (("_s", WHOLE), ("_e", EDGES)):
+    for suffix, kind in (("_s", LOWER_TOKENS), ("_e", EDGES)):
         if name.endswith(suffix) and name not in V1_FIELDS:
             name, match = name[: -len(suffix)], kind
     mapped = V1_FIELDS.get(name, name if name in V1_SAME else None)
@@ -112,8 +112,10 @@ def matches(df: DataFrame, name: str, text: str, how: str) -> Column:
 
 
 def filtered(df: DataFrame, filters: dict[str, list[str]], fold: bool = False) -> DataFrame:
-    """AND over fields of OR over values. Plain fields stay plain predicates, so they reach the scan."""
+    """AND over fields of OR over values; no row has a field that the table lacks. Plain fields stay plain predicates, so they reach the scan."""
     for name, wanted in filters.items():
+        if name not in df.columns:
+            return df.where("false")
         column = F.col(name)
         if dict(df.dtypes)[name].startswith("array"):
             own = F.transform(values_of(df, name), F.lower) if fold else values_of(df, name)

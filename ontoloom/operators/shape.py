@@ -85,7 +85,7 @@ def replaced_by(props: DataFrame) -> DataFrame:
     return first.select(*KEY, F.when(F.col("r.kind") == "uri", text.local_name(F.col("r.value"))).otherwise(F.col("r.value")).alias("term_replaced_by"))
 
 
-def rendered(props: DataFrame, max_depth: int = 30) -> DataFrame:
+def rendered(props: DataFrame) -> DataFrame:
     """(…, json): each node's properties as JSON, blank nodes nested and lists as arrays, built bottom-up.
 
     A blank node that nothing describes renders as an empty text; blank nodes on a cycle are left out.
@@ -105,7 +105,7 @@ def rendered(props: DataFrame, max_depth: int = 30) -> DataFrame:
     one = F.when(F.col("kind") == "literal", F.coalesce(literal, tagged)).otherwise(scalar)
     rows = rows.withColumn("text", one).withColumn("text", F.expr("substring(text, 2, length(text) - 2)"))
     done = None
-    for _ in range(max_depth):
+    while True:
         todo = rows
         if done is not None:
             nested = done.select("ontology_id", F.col("id").alias("value"), F.col("json").alias("inner"))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text
+from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import display, export, graph, link, search
+from ontoloom.operators import derive, display, export, graph, link, search, shape
+from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
 
@@ -32,6 +35,22 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
 
 
+def _props(frame: DataFrame, id_: Column, predicate: str | Column, value: Column, kind: str = "literal", lang: Column | None = None) -> DataFrame:
+    """Rows of a table as properties of nodes."""
+    name = F.lit(predicate) if isinstance(predicate, str) else predicate
+    lang = F.lit("") if lang is None else lang
+    return frame.select(
+        F.lit("x").alias("ontology_id"), id_.cast("string").alias("id"), name.alias("predicate"), F.lit(0).alias("pos"),
+        F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit("").alias("datatype"), lang.alias("lang"),
+    )
+
+
+def _nodes(frame: DataFrame, id_: Column, *types: str) -> DataFrame:
+    """Rows of a table as nodes of the given types."""
+    kinds = F.array(*map(F.lit, types))
+    return frame.select(F.lit("x").alias("ontology_id"), id_.cast("string").alias("id"), id_.cast("string").startswith("_:").alias("bnode"), kinds.alias("types"), F.lit(False).alias("imported"))
+
+
 def _parents(t: Tables) -> DataFrame:
     return edges(t, "directParent").select("src", "dst")
 
@@ -86,8 +105,9 @@ def roots_and_orphans(t):
 def children_page(t):
     """A page of a node's children is the feature here."""
     kids = graph.step(edges(t, "directParent"), ["directParent"], incoming=True).where((F.col("id") == "nation:3") & F.col("other").startswith("customer:"))
-    named = kids.select(F.col("other").alias("id")).join(entities(t).select("id", "label"), "id")
-    return search.page(named, 5, 20, [F.col("id")]).select("id", "label", F.lit(kids.count()).cast("long").alias("total"))
+    named = kids.select(F.col("id").alias("node"), F.col("other").alias("id")).join(entities(t).select("id", "label"), "id")
+    totals = kids.groupBy(F.col("id").alias("node")).agg(F.count(F.lit(1)).alias("total"))
+    return search.page(named, 5, 20, [F.col("id")]).join(totals, "node").select("id", "label", "total")
 
 
 @query("select 'part:' || l_partkey as id, count(distinct l_orderkey) as related_from from lineitem group by 1")
@@ -231,9 +251,13 @@ def short_forms_curies(t):
 @query("""select doc_id as id, coalesce(case when lang = 'en' then source end, case when lang = 'de' then source || '@de' end, 'doc_' || doc_id) as label,
 case when lang in ('en', 'de') then 1 else 2 end as rank from documents""")
 def collate_labels_with_fallback(t):
-    en, de = F.when(F.col("lang") == "en", F.col("source")), F.when(F.col("lang") == "de", F.concat("source", F.lit("@de")))
-    label = F.coalesce(en, de, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
-    return t.documents.select(F.col("doc_id").alias("id"), label.alias("label"), F.when(en.isNotNull() | de.isNotNull(), 1).otherwise(2).alias("rank"))
+    """Labels of documents: the untagged and English one, else one tagged German, else the short form."""
+    nodes, own = _nodes(t.documents, F.col("doc_id"), "class"), F.col("lang")
+    tagged = t.documents.where(own.isin("en", "de"))
+    props = _props(tagged, F.col("doc_id"), V.LABEL, F.when(own == "de", F.concat("source", F.lit("@de"))).otherwise(F.col("source")), lang=own)
+    shorts = nodes.select("ontology_id", "id", F.concat(F.lit("doc_"), "id").alias("short_form"))
+    first = derive.labels(nodes, props, shorts).where("pos = 0")
+    return first.select(F.col("id").cast("long").alias("id"), F.col("value").alias("label"), F.when(F.col("lang") == "", 2).otherwise(1).alias("rank"))
 
 
 @query("""with l as (select source, lang, min(doc_id) as first_id from documents where lang is not null group by 1, 2),
@@ -249,14 +273,19 @@ def localise_with_fallback(t):
 @query("""select 'part:' || p_partkey as id, array_to_string(list_sort([p_name, p_brand, p_type]), '|') as searchable_values from part
 union all select 'customer:' || c_custkey, array_to_string(list_sort([c_name, c_mktsegment]), '|') from customer""")
 def searchable_values(t):
-    joined = lambda *c: F.array_join(F.array_sort(F.array(*c)), "|").alias("searchable_values")
-    parts = t.part.select(key("part", "p_partkey").alias("id"), joined("p_name", "p_brand", "p_type"))
-    return parts.union(t.customer.select(key("customer", "c_custkey").alias("id"), joined("c_name", "c_mktsegment")))
+    parts = [_props(t.part, key("part", "p_partkey"), c, F.col(c)) for c in ("p_name", "p_brand", "p_type")]
+    named = [_props(t.customer, key("customer", "c_custkey"), c, F.col(c)) for c in ("c_name", "c_mktsegment")]
+    nodes = _nodes(t.part, key("part", "p_partkey"), "class").union(_nodes(t.customer, key("customer", "c_custkey"), "class"))
+    found = derive.searchable_values(nodes, reduce(DataFrame.union, [*parts, *named]))
+    return found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("searchable_values"))
 
 
 @query("select 'order:' || o_orderkey as id, o_orderstatus = 'F' or o_totalprice < 1500 as is_obsolete from orders")
 def obsolete_flags(t):
-    return t.orders.select(key("order", "o_orderkey").alias("id"), ((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") < 1500)).alias("is_obsolete"))
+    orders, one = key("order", "o_orderkey"), t.orders
+    said = _props(one.where("o_orderstatus = 'F'"), orders, V.DEPRECATED, F.lit("true"))
+    below = _props(one.where("o_totalprice < 1500"), orders, V.SUBCLASS, F.lit(V.OBSOLETE_CLASS), "uri")
+    return derive.obsolete(_nodes(one, orders, "individual"), said.union(below)).select("id", "is_obsolete")
 
 
 @query("""with f as (select text, min(doc_id) as first_id from documents group by 1), s as (select doc_id as a, first_id as b from documents join f using (text) where doc_id <> first_id)
@@ -265,8 +294,9 @@ def symmetric_equivalence(t):
     """Each document states that it equals the first with its text; completion adds the other direction, not all pairs of a group."""
     digest = t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
     first = digest.groupBy("h").agg(F.min("doc_id").alias("b"))
-    stated = digest.join(first, "h").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    return stated.union(stated.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    stated = _props(digest.join(first, "h").where("doc_id <> b"), F.col("doc_id"), V.OWL + "equivalentClass", F.col("b"), "uri")
+    pairs = derive.equivalents(_nodes(t.documents, F.col("doc_id"), "class"), stated)
+    return pairs.select(F.col("id").cast("long").alias("a"), F.col("value").cast("long").alias("b"))
 
 
 @query("select distinct x.conv_id, x.role as a, y.role as b, x.turn as turn_a, y.turn as turn_b from conversations x join conversations y on x.conv_id = y.conv_id and x.turn <> y.turn and abs(x.turn - y.turn) = 1")
@@ -279,20 +309,28 @@ def pairwise_different(t):
 
 @query("select 'customer:' || c_custkey as id from customer where c_custkey in (select o_custkey from orders)")
 def has_individuals(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(key("customer", "c_custkey").alias("id"))
+    nodes = _nodes(t.customer, key("customer", "c_custkey"), "class").union(_nodes(t.orders, key("order", "o_orderkey"), "individual"))
+    return derive.has_individuals(nodes, _props(t.orders, key("order", "o_orderkey"), V.TYPE, key("customer", "o_custkey"), "uri")).select("id")
 
 
 @query("select 'doc:' || doc_id as id, 'negativePropertyAssertion+toxic' as predicate, quality as value from labels where toxic = 1")
 def negative_assertions(t):
-    return t.labels.where("toxic = 1").select(key("doc", "doc_id").alias("id"), F.concat(F.lit("negativePropertyAssertion+"), F.lit("toxic")).alias("predicate"), F.col("quality").alias("value"))
+    toxic, ax = t.labels.where("toxic = 1"), F.concat(F.lit("_:n"), F.col("doc_id").cast("string"))
+    parts = [("sourceIndividual", key("doc", "doc_id"), "uri"), ("assertionProperty", F.lit("toxic"), "uri"), ("targetValue", F.col("quality"), "literal")]
+    props = reduce(DataFrame.union, [_props(toxic, ax, V.OWL + p, v, kind) for p, v, kind in parts])
+    return derive.negative_assertions(props).select("id", "predicate", F.col("value").cast(dict(t.labels.dtypes)["quality"]).alias("value"))
 
 
 @query("""select 'order:' || o_orderkey as id, count(l_orderkey) as n_axioms, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag) filter (l_returnflag is not null))), '|'), '') as flags
 from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
 def reified_axioms_fold(t):
-    folded = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), "|").alias("flags"))
-    rows = t.orders.join(folded, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select(key("order", "o_orderkey").alias("id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_axioms"), F.coalesce("flags", F.lit("")).alias("flags"))
+    """Each lineitem as an axiom on its order's one value."""
+    fields = [(V.OWL + "annotatedSource", key("order", "l_orderkey")), (V.OWL + "annotatedProperty", F.lit("p")), (V.OWL + "annotatedTarget", F.lit("v")), ("flag", F.col("l_returnflag"))]
+    rows = t.lineitem.withColumn("k", F.monotonically_increasing_id()).select("k", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), v.alias("v")) for p, v in fields])).alias("x"))
+    said = staged(_props(rows, F.concat(F.lit("_:a"), F.col("k").cast("string")), F.col("x.p"), F.col("x.v")).withColumn("kind", F.when(F.col("predicate").endswith("Source") | F.col("predicate").endswith("Property"), "uri").otherwise("literal")), "axioms")
+    folded = derive.reified(_props(t.orders, key("order", "o_orderkey"), "p", F.lit("v")), derive.axioms(said))
+    flags = F.array_sort(F.array_distinct(F.flatten(F.transform("axioms", lambda m: m["flag"]))))
+    return folded.select("id", F.coalesce(F.size("axioms"), F.lit(0)).cast("long").alias("n_axioms"), F.coalesce(F.array_join(flags, "|"), F.lit("")).alias("flags"))
 
 
 # --- linking ----------------------------------------------------------------------------------------------------------
@@ -378,14 +416,18 @@ def incremental_merge(t):
 
 @query(f"with {ENTITIES_SQL} select onto as ontology_id, count(*) filter (type = 'class') as classes, count(*) filter (type = 'individual') as individuals, count(*) as entities from ent group by 1")
 def counters(t):
-    kinds = entities(t).groupBy(F.col("onto").alias("ontology_id"))
-    return kinds.agg(F.count_if(F.col("type") == "class").alias("classes"), F.count_if(F.col("type") == "individual").alias("individuals"), F.count(F.lit(1)).alias("entities"))
+    iri = F.when(F.col("type") == "class", V.OWL + "Class").otherwise(V.NAMED_INDIVIDUAL)
+    said = entities(t).select(F.col("onto").alias("ontology_id"), F.lit(False).alias("s_bnode"), F.lit(V.TYPE).alias("p"), iri.alias("o"), F.lit("").alias("lang"))
+    return derive.counters(said).select("ontology_id", "classes", "individuals", "entities")
 
 
 @query("""select user_id, event_type as name, array_to_string(list_sort(list_distinct(list(props->>'$.k'))), '|') as vals from events group by 1, 2""")
 def annotation_map(t):
-    values = F.array_join(F.array_sort(F.collect_set(F.get_json_object("props", "$.k"))), "|")
-    return t.events.groupBy("user_id", F.col("event_type").alias("name")).agg(values.alias("vals"))
+    k = F.get_json_object("props", "$.k")
+    props = _props(t.events, F.col("user_id"), F.concat(F.lit("http://notes/"), "event_type"), k)
+    names = t.events.select(F.lit("x").alias("ontology_id"), F.concat(F.lit("http://notes/"), "event_type").alias("id"), F.col("event_type").alias("label")).distinct()
+    found = shape.annotations(props, names, ()).select(F.col("id").cast("long").alias("user_id"), F.explode("annotations").alias("name", "values"))
+    return found.select("user_id", "name", F.array_join(F.array_sort("values"), "|").alias("vals"))
 
 
 @query("""with u as (select p_brand as prefix, p_type as namespace, min(p_partkey) as seen from part group by 1, 2)
@@ -404,8 +446,11 @@ def sssom_mappings(t):
 
 @query("select 'region:' || r_regionkey as id, r_name in (select max(r_name) from region union all select min(r_name) from region) as is_preferred_root from region")
 def preferred_roots(t):
-    wanted = t.region.agg(F.array(F.max("r_name"), F.min("r_name")).alias("n")).select(F.explode("n").alias("r_name"), F.lit(True).alias("w"))
-    return t.region.join(F.broadcast(wanted.distinct()), "r_name", "left").select(key("region", "r_regionkey").alias("id"), F.coalesce("w", F.lit(False)).alias("is_preferred_root"))
+    regions = _nodes(t.region, key("region", "r_regionkey"), "class")
+    ends = t.region.agg(F.array(F.max_by("r_regionkey", "r_name"), F.min_by("r_regionkey", "r_name")).alias("k"))
+    config = ends.select(F.lit("x").alias("ontology_id"), F.transform("k", lambda k: F.concat(F.lit("region:"), k.cast("string"))).alias("preferred_root_term"))
+    none = _props(t.region.where("false"), key("region", "r_regionkey"), V.LABEL, F.col("r_name"))
+    return derive.preferred_roots(regions, none, config).select("id", "is_preferred_root")
 
 
 @query("select 'part:' || p_partkey as id, 'label' as field, p_name as label from part union all select 'part:' || p_partkey, 'synonym', p_brand || ' ' || p_name from part")
@@ -414,6 +459,86 @@ def autocomplete_rows(t):
     return t.part.select(key("part", "p_partkey").alias("id"), F.explode(pair).alias("x")).select("id", "x.*")
 
 
+@query(f"""with {ENTITIES_SQL}, {PARENTS_SQL} select a.onto || '+' || a.type || '+' || src as src, 'directParent' as edge_type, b.onto || '+' || b.type || '+' || dst as dst
+from par join ent a on a.id = src join ent b on b.id = dst where a.onto = b.onto""")
+def graph_edges(t):
+    """Edges within an ontology, as the export of the property graph writes them."""
+    kinds = entities(t).select(F.col("onto").alias("ontology_id"), "id", "type")
+    up = edges(t, "directParent").select(F.col("src").alias("id"), "edge_type", "dst").join(kinds.select("id", "ontology_id"), "id")
+    props = up.select("ontology_id", "id", F.col("edge_type").alias("predicate"), F.lit("uri").alias("kind"), F.col("dst").alias("value"))
+    return export.graph_edges(props, kinds).select("src", "edge_type", "dst")
+
+
+@query("select 'part:' || p_partkey as id, p_name as label from part union all select 'part:' || p_partkey, p_brand || ' ' || p_name from part")
+def autocomplete_terms(t):
+    names = _props(t.part, key("part", "p_partkey"), V.LABEL, F.col("p_name"))
+    return export.autocomplete(names, _props(t.part, key("part", "p_partkey"), V.SYNONYMS[0], F.concat_ws(" ", "p_brand", "p_name"))).select("id", "label")
+
+
+# --- derived properties in full ---------------------------------------------------------------------------------------
+
+
+@query("""with r as (select source, doc_id, case coalesce(lower(lang), '') when 'de' then 0 when '' then 1 when 'en' then 2 end as k from documents),
+b as (select source, min(k) as k from r where k is not null group by 1) select source as id, doc_id from r join b using (source, k)""")
+def localised_values(t):
+    """Documents of each source in German, else untagged, else in English."""
+    props = _props(t.documents.where("source is not null"), F.col("source"), "text", F.col("doc_id"), lang=F.coalesce("lang", F.lit("")))
+    return shape.localised(props, "de").select("id", F.col("value").cast("long").alias("doc_id"))
+
+
+@query(f"with {PARENTS_SQL} select distinct src as id, dst as parent from par")
+def direct_parents(t):
+    kind = F.when(F.col("type") == "class", F.array(F.lit("class"))).otherwise(F.array(F.lit("individual")))
+    nodes = entities(t).select(F.lit("x").alias("ontology_id"), "id", F.lit(False).alias("bnode"), kind.alias("types"), F.lit(False).alias("imported"))
+    rule = F.when(F.col("src").startswith("order:"), V.TYPE).otherwise(V.SUBCLASS)
+    return derive.direct_parents(nodes, _props(edges(t, "directParent"), F.col("src"), rule, F.col("dst"), "uri")).select("id", "parent")
+
+
+@query(f"""select 'part:' || p_partkey as id, 'type:' || p_type as parent, cast(null as varchar) as relation from part
+union all select 'part:' || p_partkey, 'brand:' || p_brand, '{V.PART_OF}' from part""")
+def hierarchical_parents(t):
+    ids = [(t.part, "part", "p_partkey"), (t.part.select("p_type").distinct(), "type", "p_type"), (t.part.select("p_brand").distinct(), "brand", "p_brand")]
+    nodes = reduce(DataFrame.union, [_nodes(frame, key(kind, k), "class") for frame, kind, k in ids])
+    props = _props(t.part, key("part", "p_partkey"), V.SUBCLASS, key("type", "p_type"), "uri")
+    relations = _props(t.part, key("part", "p_partkey"), V.PART_OF, key("brand", "p_brand"), "uri").select("ontology_id", "id", F.col("predicate").alias("property"), "value")
+    return derive.hierarchical_parents(nodes, props, relations).select("id", "parent", "relation")
+
+
+@query("select 'part:' || p_partkey as id, unnest(['brand', 'type']) as predicate from part")
+def used_predicates(t):
+    props = reduce(DataFrame.union, [_props(t.part, key("part", "p_partkey"), n, F.col(f"p_{n}")) for n in ("name", "brand", "type")])
+    return derive.used_predicates(_nodes(t.part, key("part", "p_partkey"), "class"), props, ("brand", "type")).select("id", "predicate")
+
+
+@query("select 'part:' || p_partkey as id, 0 as pos, p_brand as value from part union all select 'part:' || p_partkey, 1, p_name from part")
+def collated_definitions(t):
+    """Two predicates of a definition as one list, by predicate."""
+    said = _props(t.part, key("part", "p_partkey"), V.DEFINITIONS[0], F.col("p_name")).union(_props(t.part, key("part", "p_partkey"), V.DEFINITIONS[1], F.col("p_brand")))
+    return derive.collated(_nodes(t.part, key("part", "p_partkey"), "class"), said, V.DEFINITIONS).select("id", "pos", "value")
+
+
+@query("select p_partkey as id, 'CAT_' || p_partkey as short_form, 'CAT:' || p_partkey as curie from part")
+def obo_short_forms(t):
+    iri = F.concat(F.lit(V.OBO + "CAT_"), F.col("p_partkey").cast("string"))
+    config = t.region.limit(1).select(F.lit("x").alias("ontology_id"), F.lit("CAT").alias("prefix"), F.lit(None).cast("array<string>").alias("base_uris"))
+    found = derive.short_forms(_nodes(t.part, iri, "class"), config)
+    return found.select(F.substring_index("id", "_", -1).cast("long").alias("id"), "short_form", "curie")
+
+
+@query("select 'nation:' || x.n_nationkey as id, 'nation:' || y.n_nationkey as value from nation x join nation y on x.n_regionkey = y.n_regionkey and x.n_nationkey <> y.n_nationkey")
+def pairwise_members(t):
+    """The nations of each region as a list of all-different members."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    cells = t.nation.withColumn("k", place).withColumn("last", F.col("k") == F.count(F.lit(1)).over(Window.partitionBy("n_regionkey")))
+    cell = lambda k: F.concat(F.lit("_:c"), F.col("n_regionkey").cast("string"), F.lit("-"), k.cast("string"))
+    first = _props(cells, cell(F.col("k")), V.FIRST, key("nation", "n_nationkey"), "uri")
+    rest = _props(cells, cell(F.col("k")), V.REST, F.when(F.col("last"), F.lit(V.NIL)).otherwise(cell(F.col("k") + 1)), "bnode")
+    axiom = F.concat(F.lit("_:d"), F.col("n_regionkey").cast("string"))
+    heads = cells.where("k = 1")
+    props = first.union(rest).union(_props(heads, axiom, V.OWL + "distinctMembers", cell(F.lit(1)), "bnode"))
+    return derive.pairwise(_nodes(heads, axiom, "allDifferent"), props).select("id", "value")
+
+
 # --- links in full ----------------------------------------------------------------------------------------------------
 
 _PART_ENTITIES = "pe as (select p_name as iri, p_brand as ontology_id, p_type as type, 'n' || p_size as label, case when p_partkey % 3 = 0 then 'P:' else 'P_' end || p_size as curie from part), de as (select distinct p_name as iri, p_brand as ontology_id from part where p_size > 40)"

@@ -80,6 +80,10 @@ class Service:
         docs = docs.where(~F.array_contains("type", "ontology")) if kind == "entity" else docs.where(F.array_contains("type", kind))
         return docs if ontology is None else docs.where(F.col("ontologyId") == search.checked_ontology(ontology))
 
+    def _flag(self, name: str):
+        """A flag that a load may lack; then no document has it."""
+        return F.coalesce(F.col(name), F.lit(False)) if name in self._names else F.lit(False)
+
     def _have(self, fields) -> tuple:
         return tuple(f for f in fields if f[0] in self._names)
 
@@ -113,7 +117,7 @@ class Service:
         """Documents by the first kind of name given, or for ``any_id`` by the first of IRI, short form and OBO id that some document has."""
         docs = self._of(kind, ontology)
         if defining:
-            docs = docs.where("isDefiningOntology")
+            docs = docs.where(self._flag("isDefiningOntology"))
         columns = [c for c in ("iri", "shortForm", "curie") if c in self._names]
         if any_id is not None:
             rank = F.coalesce(*[F.when(F.col(c) == any_id, i) for i, c in enumerate(columns)])
@@ -129,7 +133,7 @@ class Service:
         """Entities without direct and hierarchical parents, or those flagged as preferred roots."""
         docs = self._of(kind, ontology)
         docs = docs.where("isPreferredRoot") if preferred else docs.where("not hasDirectParents and not hasHierarchicalParents")
-        return docs if obsolete else docs.where("not isObsolete")
+        return docs if obsolete else docs.where(~self._flag("isObsolete"))
 
     def individual_roots(self, ontology: str, obsolete: bool = False) -> DataFrame:
         """Where a tree of individuals begins: classes that some individual has as its type, and individuals without parents."""
@@ -183,10 +187,10 @@ class Service:
     def _restricted(self, ontologies=None, types=None, slims=None, local=False, leaf=False, obsolete=False, below=(), inclusive=False, local_flag="imported", relation="hierarchicalParent") -> DataFrame:
         docs = search.filtered(self.documents, {n: list(v) for n, v in (("ontologyId", ontologies), ("type", types), ("subset", slims)) if v})
         if local:
-            docs = docs.where(~F.col("imported") if local_flag == "imported" else F.col(local_flag))
+            docs = docs.where(~self._flag("imported") if local_flag == "imported" else self._flag(local_flag))
         if leaf:
             docs = docs.where("not hasDirectChildren and not hasHierarchicalChildren")
-        docs = docs.where(F.col("isObsolete") == obsolete)
+        docs = docs.where(self._flag("isObsolete") == obsolete)
         if below:
             tops = self.documents.where(F.col("iri").isin(*below)).select("id")
             ids = graph.reach_from(self.edges, tops, [relation], incoming=True).select("id")

@@ -250,13 +250,13 @@ def triples(spark: SparkSession, files: DataFrame) -> DataFrame:
     return met.select("ontology_id", F.col("file_rank").cast("int").alias("file_rank"), F.col("path").alias("base"), "content").mapInArrow(_parsed, SCHEMA)
 
 
-def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, str], max_rounds: int = 50) -> DataFrame:
+def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> DataFrame:
     """``files`` with every file that owl:imports reaches. ``resolve`` maps import IRIs to paths; each file of an ontology is read once, so import cycles end."""
     from ontoloom.functions.vocabulary import OWL
 
     seen = {(r["ontology_id"], r["path"]): r["file_rank"] for r in files.collect()}
     new = files
-    for _ in range(max_rounds):
+    while True:
         found = triples(spark, new).where(F.col("p") == OWL + "imports").select("ontology_id", "o").distinct().orderBy("ontology_id", "o").collect()
         rows = []
         for r in found:

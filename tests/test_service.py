@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.vocabulary import TYPE
 from ontoloom.operators import graph
+from ontoloom.operators.search import EDGES, LOWER_TOKENS, SPACE_EDGES, v1_field
 from ontoloom.service import Service
 
 DOCS = "id string, iri string, ontologyId string, type array<string>, label array<string>, synonym array<string>, shortForm string, curie string, isObsolete boolean, isDefiningOntology boolean, imported boolean, isPreferredRoot boolean, hasDirectParents boolean, hasHierarchicalParents boolean, hasDirectChildren boolean, hasHierarchicalChildren boolean"
@@ -104,3 +105,19 @@ def test_tree_children_and_roots_of_individuals(service):
     assert service.js_tree_children("class", "o", "zz", node["o+class+a"]).count() == 0
     assert ids(service.individual_roots("o")) == ["o+class+b"]
     assert ids(service.individual_roots("p")) == []
+
+
+def test_loads_that_lack_flags_and_properties(service, spark):
+    """An unknown property matches nothing; flags that a load lacks are those of no document."""
+    assert ids(service.entities("class", foo=["bar"]).hits) == []
+    bare = Service(service.documents.drop("isObsolete", "isDefiningOntology", "imported"), service.edges)
+    assert ids(bare.search("heart").hits) == ids(bare.documents.where(F.exists("label", lambda v: v.contains("heart"))))
+    assert ids(bare.find("class", iri="b", defining=True)) == []
+    assert "o+class+a" in ids(bare.roots("class", "o"))
+
+
+def test_legacy_field_names():
+    assert v1_field("label_s^5") == ("label", 5.0, LOWER_TOKENS) and v1_field("label_e") == ("label", 1.0, EDGES)
+    assert v1_field("short_form") == ("shortForm", 1.0, SPACE_EDGES)
+    for dropped in ("id", "ontologyId", "logical_description", "nothing_s"):
+        assert v1_field(dropped) is None
