@@ -35,6 +35,21 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES, column:
             at = to
 
 
+def runs(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Row runs over batches with about ``limit`` bytes of text, made of parts of an eighth at most; a longer single text is a run of its own."""
+    held, size = [], 0
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for part in slices(batches, limit // 8, column):
+        own = int(pa.compute.sum(pa.compute.binary_length(part.column(column))).as_py() or 0)
+        if held and size + own > limit:
+            yield joined()
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield joined()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """Texts as bytes, null as empty."""
     return [x or b"" for x in batch.column(column).to_pylist()]

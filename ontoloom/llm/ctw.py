@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.llm.batches import crc_column, crc_of, emit, slices, texts_of
+from ontoloom.llm.batches import crc_column, crc_of, emit, runs, texts_of
 from ontoloom.plans.staging import staged
 
 SMOOTH = 0.1
@@ -141,7 +141,7 @@ def _word_ids(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
 def _blocks(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for k, rows in enumerate(slices(batches, BLOCK_BYTES)):
+        for k, rows in enumerate(runs(batches, BLOCK_BYTES)):
             texts = [t.lower() for t in texts_of(rows)]
             ids = rows.column("doc_id").to_pylist()
             out = [x is None or crc_of(x) % 10 == 0 for x in ids]
