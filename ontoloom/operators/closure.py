@@ -38,14 +38,14 @@ def descendant_counts(nodes: DataFrame, pairs: DataFrame, name: str = "num_desce
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce(name, F.lit(0).cast("long")).alias(name))
 
 
-def hierarchy_flags(nodes: DataFrame, edges: DataFrame, top: tuple[str, ...] = ()) -> DataFrame:
-    """(id, has_parents, has_children) by semi-join tests; nodes in ``top`` do not count as parents."""
+def hierarchy_flags(nodes: DataFrame, edges: DataFrame, top: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, id, has_parents, has_children) by semi-join tests; nodes in ``top`` do not count as parents. ``keys`` keep edge sets apart."""
     up = edges.where(~F.col("dst").isin(*top)) if top else edges
-    parents = up.select(F.col("src").alias("id")).distinct().withColumn("p", F.lit(True))
-    children = edges.select(F.col("dst").alias("id")).distinct().withColumn("c", F.lit(True))
-    out = nodes.select("id").join(parents, "id", "left").join(children, "id", "left")
+    parents = up.select(*keys, F.col("src").alias("id")).distinct().withColumn("p", F.lit(True))
+    children = edges.select(*keys, F.col("dst").alias("id")).distinct().withColumn("c", F.lit(True))
+    out = nodes.select(*keys, "id").join(parents, [*keys, "id"], "left").join(children, [*keys, "id"], "left")
     no = F.lit(False)
-    return out.select("id", F.coalesce("p", no).alias("has_parents"), F.coalesce("c", no).alias("has_children"))
+    return out.select(*keys, "id", F.coalesce("p", no).alias("has_parents"), F.coalesce("c", no).alias("has_children"))
 
 
 def roots(nodes: DataFrame, edges: DataFrame, obsolete: str | None = None) -> DataFrame:

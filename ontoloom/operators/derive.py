@@ -100,6 +100,14 @@ def list_members(props: DataFrame) -> DataFrame:
     return placed.join(first, "id").select("ontology_id", F.substring_index("head", " ", -1).alias("list"), "pos", "member", "kind")
 
 
+def flat_lists(props: DataFrame) -> DataFrame:
+    """``props`` with the members of a list as values of its head under an empty predicate, in place of its cells."""
+    none = F.lit(None).cast("string")
+    cells = props.where(F.col("predicate").isin(V.FIRST, V.REST)).select(*KEY).distinct()
+    items = list_members(props).select("ontology_id", F.col("list").alias("id"), F.lit("").alias("predicate"), F.col("pos").cast("long").alias("pos"), "kind", F.col("member").alias("value"), none.alias("datatype"), none.alias("lang"))
+    return props.select(*KEY, "predicate", F.col("pos").cast("long").alias("pos"), *VALUE).join(cells, KEY, "left_anti").union(items)
+
+
 def related(nodes: DataFrame, props: DataFrame) -> DataFrame:
     """(…, property, value, expression): what anonymous superclasses of named classes relate them to.
 
@@ -129,12 +137,12 @@ def related(nodes: DataFrame, props: DataFrame) -> DataFrame:
     return by_list.union(some).union(held).distinct()
 
 
-def hierarchical_parents(nodes: DataFrame, props: DataFrame, relations: DataFrame, extra: tuple[str, ...] = (V.PART_OF,)) -> DataFrame:
-    """(…, parent, relation, inverse): named superclasses, and what hierarchical properties relate a class to."""
+def hierarchical_parents(nodes: DataFrame, props: DataFrame, relations: DataFrame, extra: tuple[str, ...] | DataFrame = (V.PART_OF,)) -> DataFrame:
+    """(…, parent, relation, inverse): named superclasses, and what hierarchical properties (``extra``, as in ``collated``) relate a class to."""
     known = nodes.select("ontology_id", F.col("id").alias("parent"))
     direct = props.where((F.col("predicate") == V.SUBCLASS) & (F.col("kind") == "uri")).join(_of(nodes, "class"), KEY, "left_semi")
     direct = direct.select(*KEY, F.col("value").alias("parent"), F.lit(None).cast("string").alias("relation"))
-    by = relations.where(F.col("property").isin(*extra)).select(*KEY, F.col("value").alias("parent"), F.col("property").alias("relation"))
+    by = _under(relations.withColumnRenamed("property", "predicate"), extra).withColumnRenamed("predicate", "property").select(*KEY, F.col("value").alias("parent"), F.col("property").alias("relation"))
     inverse = _first(props, V.OWL + "inverseOf", "i").select("ontology_id", F.col("id").alias("relation"), F.col("i.value").alias("inverse"))
     both = direct.union(by).join(known, ["ontology_id", "parent"], "left_semi")
     return both.join(inverse, ["ontology_id", "relation"], "left").select(*KEY, "parent", "relation", "inverse").distinct()
@@ -155,14 +163,23 @@ def short_forms(nodes: DataFrame, config: DataFrame) -> DataFrame:
     return named.join(config.select("ontology_id", "prefix", "base_uris"), "ontology_id", "left").select(*KEY, short.alias("short_form"), text.curie(short).alias("curie"))
 
 
-def collated(nodes: DataFrame, props: DataFrame, predicates: tuple[str, ...], kinds: tuple[str, ...] = V.ENTITY_TYPES) -> DataFrame:
-    """(…, pos, kind, value, datatype, lang): values of several predicates as one list, by predicate, then place, each once."""
-    rows = props.where(F.col("predicate").isin(*predicates)).join(_of(nodes, *kinds), KEY, "left_semi")
+def collated(nodes: DataFrame, props: DataFrame, predicates: tuple[str, ...] | DataFrame, kinds: tuple[str, ...] = V.ENTITY_TYPES) -> DataFrame:
+    """(…, pos, kind, value, datatype, lang): values of several predicates as one list, by predicate, then place, each once.
+
+    ``predicates`` are the same for all ontologies, or rows (ontology_id, predicate).
+    """
+    rows = _under(props, predicates).join(_of(nodes, *kinds), KEY, "left_semi")
     first = rows.groupBy(*KEY, *VALUE).agg(F.min(F.struct("predicate", "pos")).alias("at"))
     return first.select(*KEY, (F.row_number().over(Window.partitionBy(*KEY).orderBy("at")) - 1).alias("pos"), *VALUE)
 
 
-def labels(nodes: DataFrame, props: DataFrame, shorts: DataFrame, predicates: tuple[str, ...] = V.LABELS) -> DataFrame:
+def _under(props: DataFrame, predicates: tuple[str, ...] | DataFrame) -> DataFrame:
+    if isinstance(predicates, DataFrame):
+        return props.join(predicates.select("ontology_id", "predicate").distinct(), ["ontology_id", "predicate"], "left_semi")
+    return props.where(F.col("predicate").isin(*predicates))
+
+
+def labels(nodes: DataFrame, props: DataFrame, shorts: DataFrame, predicates: tuple[str, ...] | DataFrame = V.LABELS) -> DataFrame:
     """Collated labels; an entity with no value that is untagged, English or no literal also gets its short form."""
     own = collated(nodes, props, predicates)
     plain = (F.col("kind") != "literal") | (F.coalesce("lang", F.lit("")).isin("", "en"))
@@ -173,9 +190,9 @@ def labels(nodes: DataFrame, props: DataFrame, shorts: DataFrame, predicates: tu
     return own.union(extra)
 
 
-def used_predicates(nodes: DataFrame, props: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
+def used_predicates(nodes: DataFrame, props: DataFrame, predicates: tuple[str, ...] | DataFrame) -> DataFrame:
     """(…, predicate): which of the configured predicates an entity has."""
-    return props.where(F.col("predicate").isin(*predicates)).join(_of(nodes, *V.ENTITY_TYPES), KEY, "left_semi").select(*KEY, "predicate").distinct()
+    return _under(props, predicates).join(_of(nodes, *V.ENTITY_TYPES), KEY, "left_semi").select(*KEY, "predicate").distinct()
 
 
 def axioms(props: DataFrame) -> DataFrame:
@@ -192,15 +209,28 @@ def axioms(props: DataFrame) -> DataFrame:
     return out.select("ontology_id", F.col("source.value").alias("id"), F.col("prop.value").alias("predicate"), F.col("target.kind").alias("kind"), F.col("target.value").alias("value"), F.col("id").alias("axiom"), "annotations")
 
 
-def reified(props: DataFrame, found: DataFrame) -> DataFrame:
-    """``props`` with an array ``axioms`` of annotation maps; a target that no value equals is appended as a value of its own."""
-    notes = found.groupBy(*KEY, "predicate", "kind", "value").agg(F.transform(F.sort_array(F.collect_list(F.struct("axiom", F.map_entries("annotations").alias("a")))), lambda x: F.map_from_entries(x["a"])).alias("axioms"))
-    with_notes = props.join(notes, [*KEY, "predicate", "kind", "value"], "left")
-    extra = notes.join(props, [*KEY, "predicate", "kind", "value"], "left_anti")
+def reified(props: DataFrame, found: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
+    """``props`` with an array ``axioms`` of annotation maps; a target that no value equals is appended as a value of its own.
+
+    Blank nodes are equal where their trees are, by ``canonical`` (``expression_hashes``); without it, or on a cycle, where their ids are.
+    """
+    by = [*KEY, "predicate", "kind", "__same"]
+    props, found = _with_same(props, canonical), _with_same(found, canonical)
+    notes = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("axiom", F.map_entries("annotations").alias("a")))), lambda x: F.map_from_entries(x["a"])).alias("axioms"), F.min("value").alias("target"))
+    with_notes = props.join(notes, by, "left")
+    extra = notes.join(props, by, "left_anti").withColumnRenamed("target", "value")
     extra = extra.select(*KEY, "predicate", F.lit(1 << 30).alias("pos"), "kind", "value", F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"), "axioms")
     return with_notes.select(*extra.columns).union(extra)
 
 
+def _with_same(rows: DataFrame, canonical: DataFrame | None) -> DataFrame:
+    """With what a value is compared by: a blank node's hash, if it has one, else the value."""
+    if canonical is None:
+        return rows.withColumn("__same", F.col("value"))
+    hashes = canonical.select("ontology_id", F.col("id").alias("value"), F.lit("bnode").alias("kind"), "canonical")
+    return rows.join(hashes, ["ontology_id", "kind", "value"], "left").withColumn("__same", F.coalesce("canonical", "value")).drop("canonical")
+
+
 def synonym_type_names(props: DataFrame) -> DataFrame:
     """(…, name) of axiom nodes: the label of their synonym type."""
     kinds = _first(props, V.OIO + "hasSynonymType", "t").where("t.kind = 'uri'").select("ontology_id", "id", F.col("t.value").alias("type_id"))
@@ -257,11 +287,11 @@ def has_individuals(nodes: DataFrame, props: DataFrame) -> DataFrame:
 def expression_hashes(props: DataFrame) -> DataFrame:
     """(…, canonical): a hash of the tree below each blank node, equal for trees of equal shape and values.
 
-    Bottom-up: a node is hashed once all blank nodes it names are; nodes on a cycle never are, and are left out.
+    Bottom-up: a node is hashed once all blank nodes it names are, a list as a whole; nodes on a cycle never are, and are left out.
     """
     from ontoloom.plans.staging import staged
 
-    own = staged(props.where(F.col("id").startswith("_:")).select(*KEY, "predicate", "pos", *VALUE), "expressions")
+    own = staged(flat_lists(props).where(F.col("id").startswith("_:")), "expressions")
     done = None
     while True:
         if done is None:

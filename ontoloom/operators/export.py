@@ -89,8 +89,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_json_lines(df: DataFrame, path: str, by: str | None = None) -> None:
-    (df.write.partitionBy(by) if by else df.write).json(path)
+def write_json_lines(df: DataFrame, path: str, *by: str) -> None:
+    df.write.partitionBy(*by).json(path)
 
 
 def save_table(df: DataFrame, name: str, path: str, key: str = "id", buckets: int = 64) -> None:

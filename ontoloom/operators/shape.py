@@ -85,24 +85,30 @@ def replaced_by(props: DataFrame) -> DataFrame:
     return first.select(*KEY, F.when(F.col("r.kind") == "uri", text.local_name(F.col("r.value"))).otherwise(F.col("r.value")).alias("term_replaced_by"))
 
 
-def rendered(props: DataFrame) -> DataFrame:
+def rendered(props: DataFrame, plain: bool = False) -> DataFrame:
     """(…, json): each node's properties as JSON, blank nodes nested and lists as arrays, built bottom-up.
 
+    Keys that are no IRIs come first, then all by name; null values are left out. A literal is an object with its language and datatype, or
+    its bare value if ``plain``. A value with ``axioms`` (``derive.reified``), if that column is there, is an object of the value and them.
     A blank node that nothing describes renders as an empty text; blank nodes on a cycle are left out.
     """
-    from ontoloom.operators.derive import list_members
+    from ontoloom.operators.derive import VALUE, flat_lists
     from ontoloom.plans.staging import staged
 
-    lists = list_members(props)
-    cells = props.where(F.col("predicate").isin(V.FIRST, V.REST)).select(*KEY).distinct()
-    items = lists.select("ontology_id", F.col("list").alias("id"), F.lit("").alias("predicate"), "pos", "kind", F.col("member").alias("value"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"))
-    rows = props.select(*KEY, "predicate", F.col("pos").cast("long").alias("pos"), "kind", "value", "datatype", "lang").join(cells, KEY, "left_anti").union(items)
+    props = props.where("value is not null")
+    rows = flat_lists(props)
+    if "axioms" in props.columns:
+        notes = props.where("axioms is not null").select(*KEY, "predicate", F.col("pos").cast("long").alias("pos"), *VALUE[:2], F.to_json("axioms").alias("notes"))
+        rows = rows.join(notes, [*KEY, "predicate", "pos", *VALUE[:2]], "left")
+    else:
+        rows = rows.withColumn("notes", F.lit(None).cast("string"))
     described = rows.select("ontology_id", F.col("id").alias("value")).distinct().withColumn("there", F.lit(True))
     rows = staged(rows.join(described, ["ontology_id", "value"], "left"), "render")
     scalar = F.when(F.col("kind") == "uri", F.to_json(F.array("value"))).when(F.col("kind") == "bnode", F.when(F.col("there").isNull(), F.lit('[""]')))
     literal = F.when(F.col("datatype").isin(V.XSD + "boolean", V.XSD + "integer", V.XSD + "int", V.XSD + "double"), F.concat(F.lit("["), F.lower("value"), F.lit("]")))
     tagged = F.to_json(F.array(F.struct(F.array(F.lit("literal")).alias("type"), F.col("value"), F.when(F.col("lang") != "", F.col("lang")).alias("lang"), F.when(~F.col("datatype").isin("", V.XSD + "string"), F.col("datatype")).alias("datatype"))))
-    one = F.when(F.col("kind") == "literal", F.coalesce(literal, tagged)).otherwise(scalar)
+    bare = F.to_json(F.array("value"))
+    one = F.when(F.col("kind") == "literal", F.coalesce(literal, bare if plain else tagged)).otherwise(scalar)
     rows = rows.withColumn("text", one).withColumn("text", F.expr("substring(text, 2, length(text) - 2)"))
     done = None
     while True:
@@ -111,10 +117,12 @@ def rendered(props: DataFrame) -> DataFrame:
             nested = done.select("ontology_id", F.col("id").alias("value"), F.col("json").alias("inner"))
             todo = rows.join(done, KEY, "left_anti").join(nested, ["ontology_id", "value"], "left").withColumn("text", F.coalesce("text", "inner")).drop("inner")
         ready = todo.join(todo.where("text is null").select(*KEY).distinct(), KEY, "left_anti")
+        wrapped = F.concat(F.lit('{"type":["reification"],"value":'), "text", F.lit(',"axioms":'), "notes", F.lit("}"))
+        ready = ready.withColumn("text", F.when(F.col("notes").isNotNull(), wrapped).otherwise(F.col("text")))
         values = ready.groupBy(*KEY, "predicate").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda v: v["text"]).alias("v"))
         array = F.concat(F.lit("["), F.array_join("v", ","), F.lit("]"))
         field = F.concat(F.regexp_extract(F.to_json(F.array("predicate")), r"^\[(.*)\]$", 1), F.lit(":"), F.when(F.size("v") == 1, F.col("v")[0]).otherwise(array))
-        whole = values.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("predicate", field.alias("f"), array.alias("a")))).alias("fs"))
+        whole = values.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("predicate").contains("://").alias("iri"), "predicate", field.alias("f"), array.alias("a")))).alias("fs"))
         as_list = (F.size("fs") == 1) & (F.col("fs")[0]["predicate"] == "")
         json = F.when(as_list, F.col("fs")[0]["a"]).otherwise(F.concat(F.lit("{"), F.array_join(F.transform("fs", lambda x: x["f"]), ","), F.lit("}")))
         new = staged(whole.select(*KEY, json.alias("json")), "rendered")

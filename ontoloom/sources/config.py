@@ -24,12 +24,17 @@ def merged_configs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def with_sources(configs: DataFrame) -> DataFrame:
     """With ``path``: ontology_purl, else the first product's that ends in .owl; null where there is none."""
-    own = F.get_json_object(F.concat(F.lit('{"x":'), F.col("config")["ontology_purl"], F.lit("}")), "$.x")
+    own = text_of("ontology_purl")
     products = F.from_json(F.col("config")["products"], "array<struct<ontology_purl:string>>")
     owl = F.filter(F.transform(products, lambda p: p["ontology_purl"]), lambda u: u.endswith(".owl"))
     return configs.withColumn("path", F.coalesce(own, F.try_element_at(owl, F.lit(1))))
 
 
 def list_of(name: str):
-    """A configured list of strings."""
-    return F.coalesce(F.from_json(F.col("config")[name], "array<string>"), F.array().cast("array<string>"))
+    """A configured list of strings; one string alone is a list of one."""
+    return F.coalesce(F.from_json(F.col("config")[name], "array<string>"), F.array_compact(F.array(text_of(name))))
+
+
+def text_of(name: str):
+    """A configured string; null where there is none."""
+    return F.get_json_object(F.concat(F.lit('{"x":'), F.col("config")[name], F.lit("}")), "$.x")
