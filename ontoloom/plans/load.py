@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import vocabulary as V
-from ontoloom.operators import closure, derive, export, link
+from ontoloom.operators import closure, derive, export, link, shape
 from ontoloom.plans.staging import staged
 from ontoloom.session import ship_package
 from ontoloom.sources import config as conf
@@ -26,6 +26,8 @@ TEXTS = ("shortForm", "curie")
 FLAGS = ("isObsolete", "isPreferredRoot", "isDefiningOntology", "imported", "hasIndividuals", "hasDirectParents", "hasDirectChildren", "hasHierarchicalParents", "hasHierarchicalChildren")
 #: Config key -> predicates that a role has besides, and the predicates where the config names none.
 ROLES = {"label_property": (V.LABELS, ()), "definition_property": (V.DEFINITIONS, ()), "synonym_property": (V.SYNONYMS, ()), "hierarchical_property": ((), (V.PART_OF,))}
+#: Predicates whose values are fields of their own, not annotations.
+NOT_NOTES = (*V.DEFINITIONS, *V.SYNONYMS, *V.PREFERRED_ROOT, V.PART_OF)
 TOPS = (V.THING, V.TOP_PROPERTY)
 
 
@@ -110,7 +112,8 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
         *_names(entities, definers, shorts),
         *_flags(nodes, props, config, kinds, definers, direct, upward),
     ]
-    documents = staged(_documents(reduce(DataFrame.union, fields), kinds, nodes, tops, config), "documents")
+    notes = shape.annotations(props.where("kind <> 'bnode'"), labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label")), NOT_NOTES)
+    documents = staged(_documents(reduce(DataFrame.union, fields), kinds, nodes, tops, config, notes), "documents")
     edges = staged(_edges(values, kinds, direct, upward, relations), "edges")
     return Load(triples, nodes, values, kinds, documents, edges, _ontologies(configs, tops, triples), link.import_pairs(entities, definers), definers)
 
@@ -171,17 +174,17 @@ def _flags(nodes: DataFrame, props: DataFrame, config: DataFrame, kinds: DataFra
     return out
 
 
-def _documents(rows: DataFrame, kinds: DataFrame, nodes: DataFrame, tops: DataFrame, config: DataFrame) -> DataFrame:
+def _documents(rows: DataFrame, kinds: DataFrame, nodes: DataFrame, tops: DataFrame, config: DataFrame, notes: DataFrame) -> DataFrame:
     """One row for each entity and kind: the rows of its fields meet in one map, the map's entries become columns."""
     lists = rows.groupBy(*KEY, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("values"))
     fields = lists.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field", "values"))).alias("m"))
     stamps = tops.select("ontology_id", F.col("iri").alias("ontology_iri")).join(config.select("ontology_id", "prefix"), "ontology_id", "left")
-    out = kinds.join(fields, KEY, "left").join(nodes.select(*KEY, "types"), KEY, "left").join(stamps, "ontology_id", "left")
+    out = kinds.join(fields, KEY, "left").join(notes, KEY, "left").join(nodes.select(*KEY, "types"), KEY, "left").join(stamps, "ontology_id", "left")
     finer = F.when(F.col("type") == "property", F.filter("types", lambda t: t.endswith("Property")))
     kind = F.array_union(F.array("type"), F.coalesce(finer, F.array().cast("array<string>")))
     shown = [export.entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("id"), F.col("id").alias("iri"), F.col("ontology_id").alias("ontologyId"), F.col("ontology_iri").alias("ontologyIri"), F.col("prefix").alias("ontologyPreferredPrefix"), kind.alias("type")]
     shown += [F.col("m")[n].alias(n) for n in LISTS] + [F.try_element_at(F.col("m")[n], F.lit(1)).alias(n) for n in TEXTS]
-    return out.select(*shown, *[F.coalesce(F.map_contains_key("m", n), F.lit(False)).alias(n) for n in FLAGS])
+    return out.select(*shown, "annotations", *[F.coalesce(F.map_contains_key("m", n), F.lit(False)).alias(n) for n in FLAGS])
 
 
 def _edges(values: DataFrame, kinds: DataFrame, direct: DataFrame, upward: DataFrame, relations: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """The query API as Python functions over the tables of a load: each endpoint's answer is a DataFrame.
 
 ``documents`` has a row for each entity: id, iri, ontologyId, type (array), label (array), and whichever of synonym, definition, shortForm, curie,
-isObsolete, isDefiningOntology, imported, isPreferredRoot, hasDirectParents, hasDirectChildren, hasHierarchicalParents, hasHierarchicalChildren and
-subset a load has; flags are booleans. ``edges`` has src, edge_type, dst (document ids) and props.
+isObsolete, isDefiningOntology, imported, isPreferredRoot, hasDirectParents, hasDirectChildren, hasHierarchicalParents, hasHierarchicalChildren,
+subset and annotations (map of name to values) a load has; flags are booleans. ``edges`` has src, edge_type, dst (document ids) and props.
 """
 
 from __future__ import annotations
@@ -40,6 +40,13 @@ SEARCH_FIELDS = (("label", 5.0), ("synonym", 3.0), ("definition", 1.0), ("shortF
 SEARCH_BOOSTS = (("isDefiningOntology", "true", 100.0, WHOLE), ("label", None, 5.0, LOWER_TOKENS), ("synonym", None, 3.0, LOWER_TOKENS))
 SELECT_FIELDS = ("label", "synonym", "shortForm", "curie", "iri")
 SELECT_BOOSTS = (("type", "ontology", 10.0, WHOLE), ("isDefiningOntology", "true", 100.0, WHOLE), ("label", None, 1000.0, WHOLE), ("label", None, 500.0, EDGES), ("synonym", None, 1.0, WHOLE), ("synonym", None, 100.0, EDGES))
+# Fields of the legacy answers as (field of a document, one text of it or all), and those given where none is asked for.
+LISTED = {
+    "id": ("id", "one"), "iri": ("iri", "one"), "ontology_name": ("ontologyId", "one"), "label": ("label", "one"), "description": ("definition", "all"), "short_form": ("shortForm", "one"),
+    "obo_id": ("curie", "one"), "is_defining_ontology": ("isDefiningOntology", "flag"), "type": ("type", "first"), "synonym": ("synonym", "all"), "ontology_prefix": ("ontologyPreferredPrefix", "one"),
+    "subset": ("subset", "all"), "ontology_iri": ("ontologyIri", "one"), "score": ("score", "same"),
+}
+LISTED_DEFAULT = ("id", "iri", "ontology_name", "label", "description", "short_form", "obo_id", "type", "ontology_prefix")
 SEARCH_FACETS = ("ontologyId", "ontologyIri", "ontologyPreferredPrefix", "type", "isDefiningOntology", "isObsolete")
 
 
@@ -224,6 +231,36 @@ class Service:
                 hits = hits.withColumn(f"{name}_autosuggest", F.transform(search.values_of(hits, name), lambda v: highlighted(v, words)))
         return Answer(hits)
 
+    def listed(self, hits: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+        """The fields of ``LISTED`` that a legacy search asks for, in that order; of several texts the alphabetically first where one is shown.
+
+        ``<name>_annotation`` gives the values of the annotation so labelled (map column ``annotations``). Unknown names give no column; what a
+        load or a document lacks is null.
+        """
+        out = []
+        for name in dict.fromkeys(fields or LISTED_DEFAULT):
+            if name.endswith("_annotation"):
+                key = name.removesuffix("_annotation")
+                value = F.try_element_at("annotations", F.lit(key)) if "annotations" in hits.columns else F.lit(None).cast("array<string>")
+            elif name not in LISTED:
+                continue
+            else:
+                field, how = LISTED[name]
+                if how == "flag":
+                    value = self._flag(field)
+                elif field not in hits.columns:
+                    value = F.lit(None).cast("array<string>" if how == "all" else "double" if how == "same" else "string")
+                else:
+                    texts = search.values_of(hits, field)
+                    value = {"same": F.col(field), "all": texts, "one": F.array_min(texts), "first": F.try_element_at(texts, F.lit(1))}[how]
+            out.append(value.alias(name))
+        return hits.select(*out)
+
+    def flat_facets(self, counts: DataFrame) -> DataFrame:
+        """(field, counts) of ``Answer.facets``: values and their counts in turn, as texts, the most frequent first. Facet fields have few values."""
+        each = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", F.col("n").cast("string").alias("n"))))
+        return counts.groupBy("field").agg(F.flatten(F.transform(each, lambda x: F.array(x["value"], x["n"]))).alias("counts"))
+
     def suggest(self, text: str) -> DataFrame:
         """(label, score) of labels and synonyms that begin with the text or hold a word that does."""
         names = [search.values_of(self.documents, n) for n in ("label", "synonym") if n in self._names]

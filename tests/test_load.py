@@ -90,6 +90,18 @@ def test_service_over_a_load(loaded):
     assert iris(service.entities("class", "one", text="beta").hits) == ["B"]
 
 
+def test_fields_of_legacy_answers(loaded):
+    service = Service(loaded.documents, loaded.edges)
+    answer = service.search("alpha", facets=True)
+    (got,) = service.listed(answer.hits.where("ontologyId = 'one'")).collect()
+    assert got.asDict() == {"id": "one+class+http://t/one#A", "iri": "http://t/one#A", "ontology_name": "one", "label": "Alpha", "description": None, "short_form": "ONE_A", "obo_id": "ONE_A", "type": "class", "ontology_prefix": "ONE"}
+    (got,) = service.listed(answer.hits.where("ontologyId = 'one'"), ("note_annotation", "score", "is_defining_ontology", "synonym", "nothing", "ontology_iri", "odd_annotation")).collect()
+    assert list(got.asDict()) == ["note_annotation", "score", "is_defining_ontology", "synonym", "ontology_iri", "odd_annotation"]
+    assert (got["note_annotation"], got["is_defining_ontology"], got["synonym"], got["ontology_iri"], got["odd_annotation"]) == (["a note"], True, ["leading"], "http://t/one", None)
+    flat = {r["field"]: r["counts"] for r in service.flat_facets(answer.facets).collect()}
+    assert flat["ontologyId"] == ["one", "1", "two", "1"] and flat["type"] == ["class", "2"]
+
+
 def test_axioms_on_blank_nodes_fold_onto_equal_values(loaded):
     own = loaded.values.where((F.col("ontology_id") == "one") & (F.col("id") == "http://t/one#B") & (F.col("predicate") == V.SUBCLASS)).collect()
     assert len(own) == 3 and sorted(r["axioms"] is not None for r in own) == [False, True, True]
