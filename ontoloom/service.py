@@ -146,7 +146,7 @@ class Service:
         """Where a tree of individuals begins: classes that some individual has as its type, and individuals without parents."""
         typed = self.edges.where(F.col("edge_type") == TYPE).join(self._of("individual", ontology).select(F.col("id").alias("src")), "src", "left_semi")
         classes = self._of("class", ontology).join(typed.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        classes = classes if obsolete else classes.where("not isObsolete")
+        classes = classes if obsolete else classes.where(~self._flag("isObsolete"))
         return classes.unionByName(self.roots("individual", ontology, obsolete=obsolete))
 
     # --- graph --------------------------------------------------------------------------------------------------------

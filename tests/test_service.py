@@ -48,6 +48,11 @@ def test_stats_and_lookups(service):
     assert ids(service.roots("class", "o", preferred=True)) == ["o+class+a"]
 
 
+def test_roots_of_individuals_without_the_optional_flag(service):
+    bare = Service(service.documents.drop("isObsolete"), service.edges)
+    assert ids(bare.individual_roots("o")) == ids(service.individual_roots("o")) == ["o+class+b"]
+
+
 def test_entities(service):
     assert ids(service.entities("class").hits) == ["o+class+a", "o+class+b", "o+class+n", "p+class+b"]
     assert len(ids(service.entities("class", obsolete=True).hits)) == 5
