@@ -159,13 +159,13 @@ def type_statistics(t):
     return entities(t).groupBy(F.col("type").alias("value"), "onto").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select 'event_type' as field, event_type as value, count(*) as n from events where user_id % 2 = 0 group by 2
-union all select 'even', 'true', count(*) from events where user_id % 2 = 0""")
+@query("""select 'event_type' as field, event_type as value, count(*) as n from events where value >= 250 group by 2
+union all select 'high', 'true', count(*) from events where value >= 250""")
 def faceted_events(t):
-    rows = t.events.select(F.col("event_id").alias("id"), "event_type", (F.col("user_id") % 2 == 0).cast("string").alias("even"), F.lit("x").alias("label"))
-    spec = search.SearchSpec(filters={"even": ["true"], "event_type": ["click", "view"]}, facets=("event_type",))
+    rows = t.events.select(F.col("event_id").alias("id"), "event_type", (F.col("value") >= 250).cast("string").alias("high"), F.lit("x").alias("label"))
+    spec = search.SearchSpec(filters={"high": ["true"], "event_type": ["click", "view"]}, facets=("event_type",))
     counts = search.facets(rows, spec)
-    return counts.union(search.facets(rows.where("even = 'true'"), search.SearchSpec(facets=("even",))))
+    return counts.union(search.facets(rows.where("high = 'true'"), search.SearchSpec(facets=("high",))))
 
 
 @query("select o_orderkey as id, o_orderstatus as status, o_orderpriority as priority from orders where lower(o_orderpriority) in ('1-urgent', '2-high') and lower(o_orderstatus) in ('o', 'p')")
@@ -380,13 +380,16 @@ def link_precedence(t):
     return link.by_precedence(rows, "iri", [F.col("k"), F.col("ontology_id"), F.col("id")]).select("iri", "id", "ontology_id")
 
 
-@query(r"""select page_id, case when regexp_matches(x, '^https?:') then null when regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then null else split_part(x, ':', 1) end as database,
-case when regexp_matches(x, '^https?:') or regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then x else split_part(x, ':', 2) end as id, case when regexp_matches(x, '^https?:') then x end as url
-from (select page_id, case page_id % 3 when 0 then url when 1 then 'DB:' || page_id || ':x' else 'plain' || page_id end as x from pages)""")
+_XREFS = "xs as (select url as x from pages union select p_brand || ':' || p_size || ':x' from part union select p_name from part)"
+
+
+@query(rf"""with {_XREFS} select x as value, case when regexp_matches(x, '^https?:') then null when regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then null else split_part(x, ':', 1) end as database,
+case when regexp_matches(x, '^https?:') or regexp_matches(x, '^[A-Z]+:.+://') or strpos(x, ':') = 0 then x else split_part(x, ':', 2) end as id, case when regexp_matches(x, '^https?:') then x end as url from xs""")
 def xref_parse(t):
-    k = F.col("page_id").cast("string")
-    value = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("DB:"), k, F.lit(":x"))).otherwise(F.concat(F.lit("plain"), k))
-    return t.pages.select("page_id", text.xref(value).alias("x")).select("page_id", "x.*")
+    """Addresses of pages, names of parts, and their brands and sizes as accessions, each once."""
+    brands = F.concat("p_brand", F.lit(":"), F.col("p_size").cast("string"), F.lit(":x"))
+    values = t.pages.select(F.col("url").alias("value")).union(t.part.select(brands)).union(t.part.select("p_name")).distinct()
+    return values.select("value", text.xref(F.col("value")).alias("x")).select("value", "x.*")
 
 
 # --- exports and merges -----------------------------------------------------------------------------------------------
@@ -407,11 +410,13 @@ def edges_export(t):
     return rows.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"))
 
 
-@query("""with new as (select o_custkey % 7 as ontology_id, o_orderkey as id, 'new' as load from orders where o_custkey % 7 in (1, 3)),
-old as (select o_custkey % 7 as ontology_id, o_orderkey as id, 'old' as load from orders where o_custkey % 7 in (0, 1, 2)) select * from new union all select * from old where ontology_id not in (select ontology_id from new)""")
+@query("""with open_ as (select distinct o_custkey from orders where o_orderstatus = 'O')
+select o_custkey as ontology_id, o_orderkey as id, case when o_custkey in (select o_custkey from open_) then 'new' else 'old' end as load from orders""")
 def incremental_merge(t):
-    rows = t.orders.select((F.col("o_custkey") % 7).alias("ontology_id"), F.col("o_orderkey").alias("id"))
-    return export.merged(rows.where("ontology_id in (0, 1, 2)").withColumn("load", F.lit("old")), rows.where("ontology_id in (1, 3)").withColumn("load", F.lit("new")))
+    """An old load of all orders by customer; customers with an open order are loaded again."""
+    rows = t.orders.select(F.col("o_custkey").alias("ontology_id"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    again = rows.join(rows.where("o_orderstatus = 'O'").select("ontology_id").distinct(), "ontology_id", "left_semi").drop("o_orderstatus")
+    return export.merged(rows.drop("o_orderstatus").withColumn("load", F.lit("old")), again.withColumn("load", F.lit("new")))
 
 
 @query(f"with {ENTITIES_SQL} select onto as ontology_id, count(*) filter (type = 'class') as classes, count(*) filter (type = 'individual') as individuals, count(*) as entities from ent group by 1")
@@ -520,7 +525,7 @@ def collated_definitions(t):
 @query("select p_partkey as id, 'CAT_' || p_partkey as short_form, 'CAT:' || p_partkey as curie from part")
 def obo_short_forms(t):
     iri = F.concat(F.lit(V.OBO + "CAT_"), F.col("p_partkey").cast("string"))
-    config = t.region.limit(1).select(F.lit("x").alias("ontology_id"), F.lit("CAT").alias("prefix"), F.lit(None).cast("array<string>").alias("base_uris"))
+    config = t.spark.range(1).select(F.lit("x").alias("ontology_id"), F.lit("CAT").alias("prefix"), F.lit(None).cast("array<string>").alias("base_uris"))
     found = derive.short_forms(_nodes(t.part, iri, "class"), config)
     return found.select(F.substring_index("id", "_", -1).cast("long").alias("id"), "short_form", "curie")
 
@@ -593,7 +598,7 @@ def _service(t: Tables) -> Service:
     flags = hier.hierarchy_flags(entities(t), _parents(t))
     docs = entities(t).join(flags, "id").select(
         "id", F.col("id").alias("iri"), F.col("onto").alias("ontologyId"), F.array("type").alias("type"), F.array("label").alias("label"), F.replace("id", F.lit(":"), F.lit("_")).alias("shortForm"),
-        F.col("id").endswith("7").alias("isObsolete"), F.col("has_parents").alias("hasDirectParents"), F.col("has_parents").alias("hasHierarchicalParents"),
+        F.col("label").startswith("small").alias("isObsolete"), F.col("has_parents").alias("hasDirectParents"), F.col("has_parents").alias("hasHierarchicalParents"),
         F.col("has_children").alias("hasDirectChildren"), F.col("has_children").alias("hasHierarchicalChildren"),
     )
     return Service(docs, edges(t, "directParent").withColumn("props", F.lit(None).cast("map<string,array<string>>")))
@@ -603,12 +608,12 @@ _BEGINS = r"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]
 
 
 @query(f"""with {ENTITIES_SQL} select id, cast(100 + case when {_BEGINS.format(c="label")} then 500 else 0 end + case when {_BEGINS.format(c="id")} then 500 else 0 end as double) as score
-from ent where onto = 'catalog' and type = 'class' and id not like '%7' and len(list_filter(string_split(lower(label), ' '), lambda w: starts_with(w, 'b'))) > 0""")
+from ent where onto = 'catalog' and type = 'class' and label not like 'small%' and len(list_filter(string_split(lower(label), ' '), lambda w: starts_with(w, 'b'))) > 0""")
 def service_classes(t):
     return _service(t).entities("class", "catalog", "b").hits.select("id", "score")
 
 
-@query(f"""with {ENTITIES_SQL} select 'onto' as field, onto as value, count(*) as n from ent where id not like '%7' group by 2""")
+@query(f"""with {ENTITIES_SQL} select 'onto' as field, onto as value, count(*) as n from ent where label not like 'small%' group by 2""")
 def service_facets(t):
     """Counts of a facet that is also filtered: its own filter does not bear on it."""
     return _service(t).entities("entity", facets=("ontologyId",), ontologyId=["geo,sales"]).facets.select(F.lit("onto").alias("field"), "value", "n")
@@ -620,19 +625,19 @@ def service_descendants(t):
 
 
 @query(f"""with recursive {ENTITIES_SQL}, {PARENTS_SQL}, walk as (select 'nation:3' as id union select src from walk join par on dst = id)
-select id, cast(10 as double) as score from ent where id in (select id from walk) and id not like '%7' and lower(label) like 'order %'""")
+select id, cast(10 as double) as score from ent where id in (select id from walk) and label not like 'small%' and lower(label) like 'order %'""")
 def service_search(t):
     hits = _service(t).search("order", below=("nation:3",), inclusive=True, relation="directParent", group=True).hits
     return hits.select("id", "score")
 
 
 @query(f"""with {ENTITIES_SQL} select id, cast(501 as double) as score, regexp_replace(label, '(?i)(ord|12)', '<b>\\1</b>', 'g') as label_autosuggest from ent
-where id not like '%7' and lower(label) like 'ord%' and lower(label) like '% 12%'""")
+where label not like 'small%' and lower(label) like 'ord%' and lower(label) like '% 12%'""")
 def service_select(t):
     return _service(t).select("ord 12").hits.select("id", "score", F.col("label_autosuggest")[0].alias("label_autosuggest"))
 
 
-@query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id from ent where type = 'class' and onto = 'catalog' and id not in (select src from par) and id not like '%7'")
+@query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id from ent where type = 'class' and onto = 'catalog' and id not in (select src from par) and label not like 'small%'")
 def service_roots(t):
     return _service(t).roots("class", "catalog").select("id")
 
