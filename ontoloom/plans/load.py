@@ -76,8 +76,7 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
     ship_package(spark)
     configs = staged(configs.where("path is not null"), "configs")
     config, roles = settings(configs), role_predicates(configs)
-    files = rdf.imports_closure(spark, config.select("ontology_id", F.lit(0).alias("file_rank"), "path"), resolve or {})
-    triples = staged(rdf.triples(spark, files), "triples")
+    _, triples = rdf.with_imports(spark, config.select("ontology_id", F.lit(0).alias("file_rank"), "path"), resolve or {})
     nodes, props = staged(derive.node_table(triples), "nodes"), staged(derive.prop_table(triples), "props")
 
     found = derive.axioms(props)

@@ -1,18 +1,22 @@
 """RDF files (RDF/XML, N-Triples, and Turtle of the kind ontologies are written in) as a table of triples.
 
-``triples(spark, files)`` reads (ontology_id, file_rank, path) rows through Spark's ``binaryFile``, so any store that Spark reads will do, and
-gives ontology_id, file_rank, seq, s, s_bnode, p, o_kind, o, datatype, lang. A file is parsed by one task; ontologies are many, and parsed side by side.
+``triples(spark, files)`` reads (ontology_id, file_rank, path) rows by Spark's own readers, so any store that Spark reads will do, and gives
+ontology_id, file_rank, seq, s, s_bnode, p, o_kind, o, datatype, lang. N-Triples (paths that end in .nt, or .nt with a compression Spark knows) are read by
+line and split over tasks. Any other file is parsed by one task, which holds its bytes and one top-level element or statement at a time; such
+files are many, and parsed side by side. A large dump should come as N-Triples.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from io import BytesIO
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.vocabulary import FIRST, NIL, RDF, REST, TYPE, XSD
@@ -46,9 +50,11 @@ def _node(iri: str) -> tuple[str, str, str, str]:
 
 
 def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
-    """Triples of an RDF/XML document: typed nodes, nested nodes, collections, resource and literal parse types, xml:base and xml:lang."""
+    """Triples of an RDF/XML document: typed nodes, nested nodes, collections, resource and literal parse types, xml:base and xml:lang.
+
+    An element below rdf:RDF is dropped as soon as its triples are given, so memory grows with the largest of them, not with the document.
+    """
     names = _Names(scope)
-    root = ElementTree.fromstring(data)
 
     def iri(tag: str) -> str:
         return tag[1:].replace("}", "") if tag[0] == "{" else tag
@@ -71,12 +77,17 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                 yield (s, TYPE, *_node(urljoin(at, v)))
             elif k[0] == "{" and not k.startswith((_R, XML)):
                 yield (s, iri(k), *_literal(v, lang=lang))
-        for n, child in enumerate(e):
-            yield from prop(s, child, at, lang, n)
+        yield from props(s, e, at, lang)
+
+    def props(s: str, e, at: str, lang: str) -> Iterator[Triple]:
+        members = 0
+        for child in e:
+            members += child.tag == _R + "li"
+            yield from prop(s, child, at, lang, members)
 
     def prop(s: str, e, at: str, lang: str, n: int) -> Iterator[Triple]:
         at, lang = e.get(XML + "base", at), e.get(XML + "lang", lang)
-        p = iri(e.tag) if e.tag != _R + "li" else f"{RDF}_{n + 1}"
+        p = iri(e.tag) if e.tag != _R + "li" else f"{RDF}_{n}"
         kind = e.get(_R + "parseType")
         if (target := e.get(_R + "resource")) is not None:
             yield (s, p, *_node(urljoin(at, target)))
@@ -92,8 +103,7 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
         elif kind == "Resource":
             inner = names.fresh()
             yield (s, p, *_node(inner))
-            for i, child in enumerate(e):
-                yield from prop(inner, child, at, lang, i)
+            yield from props(inner, e, at, lang)
         elif kind == "Literal":
             text = (e.text or "") + "".join(ElementTree.tostring(c, encoding="unicode") for c in e)
             yield (s, p, *_literal(text, RDF + "XMLLiteral"))
@@ -112,14 +122,18 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                 kind = e.get(_R + "datatype", "")
                 yield (s, p, *_literal(e.text or "", kind, "" if kind else lang))
 
-    top = root.get(XML + "base", base)
-    for e in root if root.tag == _R + "RDF" else [root]:
-        yield from node(e, top, root.get(XML + "lang", ""))
+    root, depth = None, 0
+    for event, e in ElementTree.iterparse(BytesIO(data), ("start", "end")):
+        root = e if root is None else root
+        depth += 1 if event == "start" else -1
+        if event == "end" and depth == (1 if root.tag == _R + "RDF" else 0):
+            yield from node(e, root.get(XML + "base", base), root.get(XML + "lang", ""))
+            del root[:]
 
 
 _TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^>]*>)|(?P<long>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)"""
-    r"""|(?P<type>\^\^)|(?P<bnode>_:[\w.-]*\w)|(?P<num>[+-]?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?(?![\w:]))|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w:%-]|\\.|\.(?=[\w:%-]))*)|(?P<word>[A-Za-z]+)|(?P<mark>[][().;,])""",
+    r"""|(?P<type>\^\^)|(?P<bnode>_:[\w.-]*\w)|(?P<num>[+-]?(?:\d+\.\d*[eE][+-]?\d+|(?:\d*\.)?\d+(?:[eE][+-]?\d+)?)(?![\w:]))|(?P<name>[\w-]*(?:\.[\w-]+)*:(?:[\w:%-]|\\.|\.(?=[\w:%-]))*)|(?P<word>[A-Za-z]+)|(?P<mark>[][().;,])|(?P<bad>.)""",
     re.VERBOSE | re.DOTALL,
 )
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
@@ -130,11 +144,32 @@ def _unescaped(s: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _PLAIN.get(m[3], m[3]), s)
 
 
+def _statements(text: str, base: str) -> Iterator[list[tuple[str, str]]]:
+    """The tokens of each statement of a Turtle text: up to a full stop outside brackets, or a directive that needs none. What is no token raises."""
+    tokens, depth = [], 0
+    for m in _TOKEN.finditer(text):
+        kind, word = m.lastgroup, m[0]
+        if kind is None:
+            continue
+        if kind == "bad":
+            raise ValueError(f"unexpected {word!r} in {base}")
+        if word == "." and kind == "mark" and not depth:
+            if tokens:
+                yield [*tokens, (kind, word)]
+            tokens = []
+            continue
+        depth += (word in "[(") - (word in ")]") if kind == "mark" else 0
+        tokens.append((kind, word))
+        if tokens[0][0] == "word" and len(tokens) == {"prefix": 3, "base": 2}.get(tokens[0][1].lower()):
+            yield tokens
+            tokens = []
+    if tokens:
+        raise ValueError(f"unfinished statement in {base}")
+
+
 def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
-    """Triples of a Turtle or N-Triples document."""
-    names, prefixes, out = _Names(scope), {}, []
-    tokens = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(data.decode("utf-8")) if m.lastgroup]
-    at = 0
+    """Triples of a Turtle or N-Triples document, statement by statement."""
+    names, prefixes, out, tokens, at = _Names(scope), {}, [], [], 0
 
     def iri(kind: str, text: str) -> str:
         if kind == "iri":
@@ -195,23 +230,17 @@ def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                     break
                 at += 1
 
-    while at < len(tokens):
-        word = tokens[at][1].lower().lstrip("@")
-        if tokens[at][0] in ("word", "lang") and word in ("prefix", "base"):
-            if word == "prefix":
-                prefixes[tokens[at + 1][1][:-1]] = iri(*tokens[at + 2])
-                at += 3
-            else:
-                base = iri(*tokens[at + 1])
-                at += 2
-            if at < len(tokens) and tokens[at][1] == ".":
-                at += 1
-            continue
-        subject = term()[1]
-        statements(subject)
-        at += 1
-        yield from out
-        out.clear()
+    for tokens in _statements(data.decode("utf-8-sig"), base):
+        at, (kind, word) = 0, tokens[0]
+        if kind in ("word", "lang") and word.lower().lstrip("@") == "prefix":
+            prefixes[tokens[1][1][:-1]] = iri(*tokens[2])
+        elif kind in ("word", "lang") and word.lower().lstrip("@") == "base":
+            base = iri(*tokens[1])
+        else:
+            subject = term()[1]
+            statements(subject)
+            yield from out
+            out.clear()
 
 
 def parse(data: bytes, base: str, scope: str) -> Iterator[Triple]:
@@ -240,24 +269,76 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+#: The parts of a line of N-Triples, and what an escape of one character stands for.
+_LINE = r"""^\s*(?:<([^>]*)>|_:(\S+))\s*<([^>]*)>\s*(?:<([^>]*)>|_:(\S*[^\s.])|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?)\s*\.\s*(?:#.*)?$"""
+_ESCAPED = r"\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)"
+
+
+def _plain(value: Column) -> Column:
+    """A string of N-Triples without its escapes."""
+
+    def one(escape: Column) -> Column:
+        mark = F.substring(escape, 2, 1)
+        coded = F.decode(F.unhex(F.lpad(F.substring(escape, 3, 8), 8, "0")), "UTF-32")
+        short = F.create_map(*[F.lit(x) for pair in _PLAIN.items() for x in pair])
+        return F.when((F.length(escape) > 2) & mark.isin("u", "U"), coded).otherwise(F.coalesce(F.try_element_at(short, mark), mark))
+
+    pieces, escapes = F.split(value, _ESCAPED, -1), F.regexp_extract_all(value, F.lit(_ESCAPED), F.lit(0))
+    whole = F.array_join(F.zip_with(pieces, escapes, lambda piece, escape: F.concat(piece, F.when(escape.isNull(), F.lit("")).otherwise(one(escape)))), "")
+    return F.when(F.contains(value, F.lit("\\")), whole).otherwise(value)
+
+
+def n_triples(lines: DataFrame) -> DataFrame:
+    """Triples of (ontology_id, file_rank, seq, value) lines. Blank lines and comments give none, any other line that is no triple raises."""
+    part = lambda i: F.regexp_extract("value", _LINE, i)
+    rows = lines.where(~F.col("value").rlike(r"^\s*(?:#.*)?$"))
+    fits = F.when(F.col("value").rlike(_LINE), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no triple: "), "value")).cast("boolean"))
+    rows = rows.where(fits).select("ontology_id", "file_rank", "seq", *[part(i).alias(n) for i, n in enumerate(("s", "sb", "p", "o", "ob", "text", "lang", "type"), 1)])
+    blank = lambda c: F.concat(F.lit("_:"), "ontology_id", F.lit("-"), F.col("file_rank").cast("string"), F.lit("-n-"), c)
+    kind = F.when(F.col("ob") != "", "bnode").when(F.col("o") != "", "uri").otherwise("literal")
+    datatype = F.when(F.col("type") != "", _plain(F.col("type"))).when(F.col("lang") != "", "").otherwise(XSD + "string")
+    return rows.withColumn("o_kind", kind).select(
+        "ontology_id", "file_rank", "seq", F.when(F.col("sb") != "", blank("sb")).otherwise(_plain(F.col("s"))).alias("s"), (F.col("sb") != "").alias("s_bnode"), _plain(F.col("p")).alias("p"), "o_kind",
+        F.when(F.col("o_kind") == "bnode", blank("ob")).when(F.col("o_kind") == "uri", _plain(F.col("o"))).otherwise(_plain(F.col("text"))).alias("o"),
+        F.when(F.col("o_kind") == "literal", datatype).otherwise("").alias("datatype"), "lang",
+    )
+
+
 def triples(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Triples of (ontology_id, file_rank, path) rows; file_rank 0 is the ontology's own file, higher ones its imports."""
+    """Triples of (ontology_id, file_rank, path) rows; file_rank 0 is the ontology's own file, higher ones its imports.
+
+    The list of files is on the driver, as readers take paths, so it is broadcast to the lines. seq follows the order in a file.
+    """
     paths = [r["path"] for r in files.select("path").distinct().collect()]
-    content = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("full"), "content")
+    by_line = [p for p in paths if re.search(r"\.nt(?:\.[a-z0-9]+)?$", p)]
+    whole = [p for p in paths if p not in set(by_line)]
+    files = files.select("ontology_id", F.col("file_rank").cast("int").alias("file_rank"), "path")
     # the store may spell a path with its scheme: they meet on what follows it
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    met = files.join(content, plain(F.col("path")) == plain(F.col("full")))
-    return met.select("ontology_id", F.col("file_rank").cast("int").alias("file_rank"), F.col("path").alias("base"), "content").mapInArrow(_parsed, SCHEMA)
-
-
-def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> DataFrame:
-    """``files`` with every file that owl:imports reaches. ``resolve`` maps import IRIs to paths; each file of an ontology is read once, so import cycles end."""
+    found = []
+    if whole or not by_line:
+        content = spark.read.format("binaryFile").load(whole) if whole else spark.createDataFrame([], "path string, content binary")
+        met = files.join(content.select(F.col("path").alias("full"), "content"), plain(F.col("path")) == plain(F.col("full")))
+        found.append(met.select("ontology_id", "file_rank", F.col("path").alias("base"), "content").mapInArrow(_parsed, SCHEMA))
+    if by_line:
+        # the parts of a file are read in order: partitions are listed by size, and all but a file's last part are of one size
+        lines = spark.read.text(by_line).select("value", F.col("_metadata.file_path").alias("full"), F.monotonically_increasing_id().alias("seq"))
+        found.append(n_triples(lines.join(F.broadcast(files), plain(F.col("path")) == F.url_decode(F.replace(plain(F.col("full")), F.lit("+"), F.lit("%2B"))))))
+    return found[0] if len(found) == 1 else found[0].union(found[1])
+
+
+def with_imports(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``files`` with every file that owl:imports reaches, and the triples of all of them.
+
+    ``resolve`` maps import IRIs to paths. Each file of an ontology is read once, in the round that finds it, so import cycles end.
+    """
     from ontoloom.functions.vocabulary import OWL
+    from ontoloom.plans.staging import staged
 
     seen = {(r["ontology_id"], r["path"]): r["file_rank"] for r in files.collect()}
-    new = files
+    read = [staged(triples(spark, files), "triples")]
     while True:
-        found = triples(spark, new).where(F.col("p") == OWL + "imports").select("ontology_id", "o").distinct().orderBy("ontology_id", "o").collect()
+        found = read[-1].where(F.col("p") == OWL + "imports").select("ontology_id", "o").distinct().orderBy("ontology_id", "o").collect()
         rows = []
         for r in found:
             key = (r["ontology_id"], resolve.get(r["o"]))
@@ -266,5 +347,11 @@ def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, st
                 rows.append((*key, seen[key]))
         if not rows:
             break
-        new = spark.createDataFrame(rows, "ontology_id string, path string, file_rank int")
-    return spark.createDataFrame([(o, n, p) for (o, p), n in seen.items()], "ontology_id string, file_rank int, path string")
+        read.append(staged(triples(spark, spark.createDataFrame(rows, "ontology_id string, path string, file_rank int")), "triples"))
+    every = spark.createDataFrame([(o, n, p) for (o, p), n in seen.items()], "ontology_id string, file_rank int, path string")
+    return every, reduce(DataFrame.union, read)
+
+
+def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> DataFrame:
+    """The files of ``with_imports``."""
+    return with_imports(spark, files, resolve)[0]
