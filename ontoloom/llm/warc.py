@@ -66,19 +66,20 @@ def _up(children: DataFrame, level: int) -> DataFrame:
     return up.select("side", "shard", F.lit(level).alias("level"), F.col("parent").alias("node"), "size", F.sha2(line, 256).alias("digest"))
 
 
-def merkle(rows: DataFrame) -> DataFrame:
-    """Nodes (side, shard, level, node, size, digest) of the trees over each side's ``records``; level 0 has the slots, level ``LEVELS`` the roots."""
-    level = _leaves(rows)
-    out = level
+def merkle(rows: DataFrame) -> list[DataFrame]:
+    """Nodes (side, shard, level, node, size, digest) of the trees over each side's ``records``: a table for each level, from the slots to the roots.
+
+    Each level is built from the one written before, and a descent reads a level's nodes once and no other's.
+    """
+    levels = [staged(_leaves(rows), "leaves")]
     for k in range(1, LEVELS + 1):
-        level = _up(level, k)
-        out = out.union(level)
-    return staged(out, "merkle")
+        levels.append(staged(_up(levels[-1], k), "nodes"))
+    return levels
 
 
-def _starts(nodes: DataFrame, shards: DataFrame) -> DataFrame:
+def _starts(slots: DataFrame, shards: DataFrame) -> DataFrame:
     """(shard, slot, p_start, r_start): where a slot's records begin in their shard on each side. A window sees the slots of one shard, 4096 at most."""
-    slots = nodes.where("level = 0").join(shards, "shard", "left_semi")
+    slots = slots.join(shards, "shard", "left_semi")
     before = Window.partitionBy("side", "shard").orderBy("node")
     slots = slots.select("side", "shard", F.col("node").alias("slot"), (F.sum("size").over(before) - F.col("size")).alias("start"))
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("start")))
@@ -95,11 +96,11 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, D
     """
     both = records(primary, **names).withColumn("side", F.lit(PRIMARY)).union(records(replica, **names).withColumn("side", F.lit(REPLICA)))
     both = staged(both, "records")
-    nodes = merkle(both)
+    levels = merkle(both)
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("digest")))
     suspects, visited, shards = None, None, None
     for level in range(LEVELS, -1, -1):
-        here = nodes.where(F.col("level") == level)
+        here = levels[level]
         if suspects is not None:
             under = suspects.select("shard", F.col("node").alias("up"))
             here = here.withColumn("up", F.floor(F.col("node") / FANOUT).cast("int")).join(under, ["shard", "up"], "left_semi")
@@ -126,6 +127,6 @@ def audit(primary: DataFrame, replica: DataFrame, **names) -> tuple[DataFrame, D
     paired = keys.where("pair").select("shard", "slot", F.coalesce("p.page_id", "r.page_id").alias("page_id"), "p.length", F.col("p.content").alias("expected"), F.col("r.content").alias("found"), "copies", F.lit("damaged").alias("state"))
     rest = over.join(keys.where("not pair"), ["shard", "slot"], "left_semi")
     rest = rest.select("shard", "slot", "page_id", "length", F.when(gone, F.col("content")).alias("expected"), F.when(new, F.col("content")).alias("found"), F.abs("over").alias("copies"), F.when(gone, "missing").otherwise("extra").alias("state"))
-    out = paired.union(rest).join(_starts(nodes, shards), ["shard", "slot"], "left")
+    out = paired.union(rest).join(_starts(levels[0], shards), ["shard", "slot"], "left")
     start = F.when(F.col("state") == "extra", F.col("r_start")).otherwise(F.col("p_start"))
     return out.select("shard", "slot", "page_id", start.alias("start"), "length", "expected", "found", "copies", "state"), visited
