@@ -1,4 +1,4 @@
-"""Exports: property-graph nodes and edges, flat search documents, autocomplete rows, mapping tables, merges of loads."""
+"""Exports: property-graph nodes and edges, flat search documents, autocomplete rows, merges of loads."""
 
 from __future__ import annotations
 
@@ -101,26 +101,3 @@ def save_table(df: DataFrame, name: str, path: str, key: str = "id", buckets: in
 def merged(old: DataFrame, new: DataFrame, key: str = "ontology_id") -> DataFrame:
     """A new load over an old one: ontologies that were not loaded again keep their old rows."""
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
-
-
-def mappings(props: DataFrame, labels: DataFrame, predicates: dict[str, str]) -> DataFrame:
-    """(subject_id, subject_label, predicate_id, object_id, object_label, mapping_justification): cross references as mappings."""
-    names = F.create_map(*[F.lit(x) for kv in predicates.items() for x in kv])
-    first = labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label"))
-    rows = props.where(F.col("predicate").isin(*predicates)).select("ontology_id", F.col("id"), names[F.col("predicate")].alias("predicate_id"), F.col("value").alias("object_id"))
-    subject = rows.join(first.withColumnRenamed("label", "subject_label"), KEY, "left")
-    objects = first.select("ontology_id", F.col("id").alias("object_id"), F.col("label").alias("object_label"))
-    out = subject.join(objects, ["ontology_id", "object_id"], "left")
-    return out.select(F.col("id").alias("subject_id"), "subject_label", "predicate_id", "object_id", "object_label", F.lit("semapv:UnspecifiedMatching").alias("mapping_justification"))
-
-
-def mapping_header(name: str, curie_map: dict[str, str]) -> str:
-    lines = [f"mapping_set_id: {name}", "curie_map:", *(f"  {k}: {v!r}" for k, v in sorted(curie_map.items()))]
-    return "".join(f"# {x}\n" for x in lines)
-
-
-def write_mappings(rows: DataFrame, path: str, name: str, curie_map: dict[str, str]) -> None:
-    """A mapping set: its header under ``path``/header, and under ``path``/mappings tab-separated rows, in as many parts as there are."""
-    lines = mapping_header(name, curie_map).splitlines()
-    rows.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{path}/header")
-    rows.write.option("sep", "\t").option("header", True).csv(f"{path}/mappings")

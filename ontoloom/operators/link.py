@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text, vocabulary as V
@@ -91,6 +91,15 @@ def gathered(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.where(value.isNotNull()).select(F.col(key), F.explode(F.array_distinct(found)).alias("s"))
 
 
+def gathered_values(props: DataFrame) -> DataFrame:
+    """(ontology_id, s): all that values of an ontology may refer to: predicates, whole values, and the CURIE-like and IRI-like parts of texts."""
+    rows = props.where((F.col("kind") != "bnode") & F.col("value").isNotNull())
+    whole = rows.select("ontology_id", F.col("value").alias("s"))
+    parts = gathered(rows.select("ontology_id", "value").distinct(), "ontology_id", "value")
+    plain = F.regexp_replace("predicate", r"^[A-z]+\+(.+)$", "$1")
+    return whole.union(parts).union(props.select("ontology_id", plain)).distinct()
+
+
 def resolved(strings: DataFrame, entities: DataFrame, registry: DataFrame) -> DataFrame:
     """(s, how, target): a string's link by the first rule that fits.
 
@@ -113,13 +122,6 @@ def by_precedence(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__key")).agg(best.alias("b")).select("b.*")
 
 
-def allocated_prefixes(uses: DataFrame) -> DataFrame:
-    """(prefix, namespace, name): a prefix with several namespaces gets _2, _3 … in order of first use (column seen)."""
-    first = uses.groupBy("prefix", "namespace").agg(F.min("seen").alias("seen"))
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("seen", "namespace"))
-    return first.select("prefix", "namespace", F.when(rank == 1, F.col("prefix")).otherwise(F.concat("prefix", F.lit("_"), rank.cast("string"))).alias("name"))
-
-
 def stated_definers(props: DataFrame, ontologies: DataFrame) -> DataFrame:
     """(iri, ontology_id): an entity's isDefinedBy values that are IRIs of known ontologies (iri, ontology_id)."""
     stated = props.where(F.col("predicate") == V.RDFS + "isDefinedBy").select(F.col("id").alias("iri"), F.col("value").alias("__of"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, search, shape
+from ontoloom.operators import derive, display, export, graph, link, mapping, search, shape
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -358,6 +358,16 @@ def gathered_strings(t):
     return link.gathered(t.pages.select("page_id", F.concat_ws(" ", "url", "html").alias("s")), "page_id", "s")
 
 
+@query(r"""with p as (select source, url as v from documents join pages on doc_id = page_id),
+parts as (select source, unnest(list_concat(regexp_extract_all(v, '[A-Z]+:[0-9A-z]+', 0), regexp_extract_all(v, '[A-z]+://[^\s]+', 0))) as s from p)
+select source as ontology_id, v as s from p union select source, s from parts union select source, 'http://x/address' from p""")
+def gathered_values(t):
+    """What the addresses of pages may refer to, by the source of the document with the page's id."""
+    rows = t.documents.select("doc_id", "source").join(t.pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    props = _props(rows, F.col("doc_id"), F.lit("seen+http://x/address"), F.col("url"))
+    return link.gathered_values(props.join(rows.select(F.col("doc_id").cast("string").alias("id"), "source"), "id").drop("ontology_id").withColumnRenamed("source", "ontology_id"))
+
+
 _REGISTRY = r"""reg as (select distinct regexp_extract(url, '^https?://[^/]+/', 0) as uri_prefix, 'h' || length(regexp_extract(url, '^https?://[^/]+/', 0)) as prefix from pages
 union select distinct regexp_extract(url, '^https?://[^/]+/[^/?#]+/', 0), 's' || length(regexp_extract(url, '^https?://[^/]+/[^/?#]+/', 0)) from pages where regexp_matches(url, '^https?://[^/]+/[^/?#]+/'))"""
 
@@ -435,18 +445,25 @@ def annotation_map(t):
     return found.select("user_id", "name", F.array_join(F.array_sort("values"), "|").alias("vals"))
 
 
-@query("""with u as (select p_brand as prefix, p_type as namespace, min(p_partkey) as seen from part group by 1, 2)
-select prefix, namespace, case when row_number() over (partition by prefix order by seen, namespace) = 1 then prefix else prefix || '_' || row_number() over (partition by prefix order by seen, namespace) end as name from u""")
+@query("""with u as (select p_brand as prefix, p_type || '/' || p_size as namespace, min(p_partkey) as seen, count(*) as n from part group by 1, 2),
+r as (select *, row_number() over (partition by prefix order by seen, namespace) as rank from u),
+o as (select namespace, arg_min(prefix, (seen, prefix)) as owner from r where rank = 1 group by 1),
+f as (select namespace, arg_min(prefix, (seen, prefix)) as base, min(seen) as seen from r where rank > 1 and namespace not in (select namespace from o) group by 1),
+g as (select namespace, base || '_' || (1 + row_number() over (partition by base order by seen, namespace)) as given from f)
+select prefix, namespace, case when rank = 1 then prefix else coalesce(owner, given) end as name, n from r left join o using (namespace) left join g using (namespace)""")
 def curie_map_allocation(t):
-    return link.allocated_prefixes(t.part.select(F.col("p_brand").alias("prefix"), F.col("p_type").alias("namespace"), F.col("p_partkey").alias("seen")))
+    space = F.concat("p_type", F.lit("/"), F.col("p_size").cast("string"))
+    return mapping.allocated_prefixes(t.part.select(F.col("p_brand").alias("prefix"), space.alias("namespace"), F.col("p_partkey").alias("seen")))
 
 
 @query("""select distinct 'part:' || l_partkey as subject_id, p_name as subject_label, 'skos:exactMatch' as predicate_id, 'supplier:' || l_suppkey as object_id, s_name as object_label, 'semapv:UnspecifiedMatching' as mapping_justification
 from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey""")
 def sssom_mappings(t):
     props = edges(t, "supplied_by").select(F.lit("x").alias("ontology_id"), F.col("src").alias("id"), F.col("edge_type").alias("predicate"), F.col("dst").alias("value"))
-    labels = entities(t).where(F.col("kind").isin("part", "supplier")).select(F.lit("x").alias("ontology_id"), "id", F.lit(0).alias("pos"), F.col("label").alias("value"))
-    return export.mappings(props, labels, {"supplied_by": "skos:exactMatch"})
+    named = entities(t).where(F.col("kind").isin("part", "supplier")).select(F.lit("x").alias("ontology_id"), "id", "label", F.col("id").alias("curie"), F.lit(None).cast("string").alias("url"))
+    linked = named.select("ontology_id", F.col("id").alias("s"), F.col("id").alias("iri"), "url", "curie", "label")
+    rows, _ = mapping.mappings(props, named, linked, {"supplied_by": "skos:exactMatch"}, {}, {})
+    return rows.drop("ontology_id")
 
 
 @query("select 'region:' || r_regionkey as id, r_name in (select max(r_name) from region union all select min(r_name) from region) as is_preferred_root from region")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import vocabulary as V
-from ontoloom.operators import closure, derive, export, link, shape
+from ontoloom.operators import closure, derive, export, link, mapping, shape
 from ontoloom.plans.staging import staged
 from ontoloom.session import ship_package
 from ontoloom.sources import config as conf
@@ -52,6 +52,23 @@ class Load:
         export.write_json_lines(self.ontologies, f"{path}/ontologies")
 
 
+def mapping_sets(loaded: Load, registry: DataFrame, databases: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and prefixes of each ontology's mapping set (``mapping.mappings``), for ``mapping.write``. An entity maps where an ontology defines it.
+
+    What values refer to is looked up in the load itself, then in ``registry``, ``databases`` and ``links`` (``link.linked_entities``).
+    """
+    docs = loaded.documents.where(F.col("type")[0] != "ontology")
+    entities = docs.select(F.col("ontologyId").alias("ontology_id"), "iri", F.col("type")[0].alias("type"), F.try_element_at("label", F.lit(1)).alias("label"), "curie")
+    spaces = settings(loaded.ontologies.withColumn("path", F.lit(None).cast("string")))
+    bases = spaces.select("prefix", F.explode("base_uris").alias("base")).where("prefix is not null").distinct()
+    values = loaded.values.where(F.col("predicate").isin(*mapping.PREDICATES, *mapping.STRUCTURES) & (F.col("kind") != "bnode"))
+    linked = link.linked_entities(values.select("ontology_id", F.col("value").alias("s")), entities, loaded.definers, registry, bases, databases, links)
+    first = F.min_by(F.struct("iri", "url", "curie", "label"), F.struct("source", "url", "iri", "label")).alias("f")
+    linked = linked.groupBy("ontology_id", "s").agg(first).select("ontology_id", "s", "f.*")
+    own = entities.withColumnRenamed("iri", "id").join(loaded.definers.select("ontology_id", F.col("iri").alias("id")), KEY, "left_semi")
+    return mapping.mappings(values, own, linked)
+
+
 def settings(configs: DataFrame) -> DataFrame:
     """(ontology_id, path, prefix, base_uris, preferred_root_term) of configurations with sources."""
     return configs.select("ontology_id", "path", conf.text_of("preferredPrefix").alias("prefix"), conf.list_of("base_uri").alias("base_uris"), conf.list_of("preferred_root_term").alias("preferred_root_term"))

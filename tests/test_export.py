@@ -43,12 +43,3 @@ def test_saved_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
         spark.sql("drop table saved_nodes")
         spark.sql("drop table saved_edges")
-
-
-def test_mapping_set(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "skos:exactMatch", "b"), ("c", "skos:exactMatch", None)], "subject_id string, predicate_id string, object_id string")
-    export.write_mappings(rows, str(tmp_path), "set", {"X": "http://x/", "A": "http://a/"})
-    head = [r["value"] for r in spark.read.text(str(tmp_path / "header")).collect()]
-    assert head[:2] == ["# mapping_set_id: set", "# curie_map:"] and "X" in head[3] and len(head) == 4
-    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "mappings"))
-    assert back.columns == rows.columns and {tuple(r) for r in back.collect()} == {tuple(r) for r in rows.collect()}

@@ -137,3 +137,18 @@ def test_written_load(loaded, spark, tmp_path):
     back = spark.read.json(str(tmp_path / "out" / "documents"))
     assert back.count() == loaded.documents.count() and {"ontology", "kind"} <= set(back.columns)
     assert spark.read.json(str(tmp_path / "out" / "edges")).count() == loaded.edges.count()
+
+
+def test_mapping_sets(spark, loaded):
+    from ontoloom.plans.load import mapping_sets
+
+    registry = spark.createDataFrame([("ex", "ex", r"\d+", "http://ex/$1", "http://ex/")], "database string, prefix string, pattern string, uri_format string, uri_prefix string")
+    rows, prefixes = mapping_sets(loaded, registry)
+    assert rows.count() == 0 and prefixes.count() == 0
+    extra = [("one", "http://t/one#i", V.SKOS + "exactMatch", "literal", "ex:5"), ("two", "http://t/one#i", V.SKOS + "exactMatch", "literal", "ex:5"), ("two", "http://t/two#Z", V.OIO + "hasDbXref", "uri", "http://nowhere/1")]
+    values = spark.createDataFrame(extra, "ontology_id string, id string, predicate string, kind string, value string")
+    more = type(loaded)(**{**loaded.__dict__, "values": values, "documents": loaded.documents.withColumn("curie", F.regexp_replace("curie", "_", ":"))})
+    rows, prefixes = mapping_sets(more, registry)
+    # only the ontology that defines an entity maps it
+    assert [(r["ontology_id"], r["subject_id"], r["object_id"]) for r in rows.collect()] == [("one", "ONE:i", "ex:5")]
+    assert {r["prefix"]: r["namespace"] for r in prefixes.collect()}["ONE"] == "http://t/one#"
