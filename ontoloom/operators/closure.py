@@ -16,18 +16,23 @@ from ontoloom.plans.staging import staged
 def closure(edges: DataFrame, max_rounds: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, src, dst, depth): every pair one or more edges apart, once, with the least number of edges.
 
-    Semi-naive: each round joins only the pairs that the round before found. A node reaches itself only over a cycle, and
-    cycles end the loop like anything else. ``keys`` (an ontology id, say) keep edge sets apart. Null ends are no edges.
+    Semi-naive: each round puts an edge before the pairs that the round before found. A node with one edge reaches all else over it, so its
+    pairs come up once each and are only written; those of nodes with several edges are held against what such nodes reached before. A node
+    reaches itself only over a cycle, and cycles end the loop like anything else. ``keys`` (an ontology id, say) keep edge sets apart. Null ends are no edges.
     """
-    base = staged(edges.where("src is not null and dst is not null").select(*keys, "src", "dst").distinct(), "edges")
-    step = base.select(*keys, F.col("src").alias("mid"), F.col("dst").alias("far"))
+    base = edges.where("src is not null and dst is not null").select(*keys, "src", "dst").distinct()
+    branches = base.groupBy(*keys, "src").agg((F.count(F.lit(1)) == 1).alias("lone"))
+    base = staged(base.join(branches, [*keys, "src"]).select(*keys, "src", "dst", "lone"), "edges")
+    step = base.withColumnRenamed("dst", "mid")
     found = [base.withColumn("depth", F.lit(1))]
     for depth in range(2, max_rounds + 2):
-        ahead = found[-1].withColumnRenamed("dst", "mid").join(step, [*keys, "mid"]).select(*keys, "src", F.col("far").alias("dst")).distinct()
-        known = reduce(DataFrame.union, found).drop("depth")
-        new = staged(ahead.join(known, [*keys, "src", "dst"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        # what goes on from a node to itself is an edge, and known
+        ahead = found[-1].where("src <> dst").select(*keys, F.col("src").alias("mid"), "dst").join(step, [*keys, "mid"]).select(*keys, "src", "dst", "lone")
+        known = reduce(DataFrame.union, found).where("not lone").select(*keys, "src", "dst")
+        several = ahead.where("not lone").distinct().join(known, [*keys, "src", "dst"], "left_anti")
+        new = staged(ahead.where("lone").union(several.select(ahead.columns)).withColumn("depth", F.lit(depth)), "closure")
         if new.isEmpty():
-            return reduce(DataFrame.union, found)
+            return reduce(DataFrame.union, found).drop("lone")
         found.append(new)
     raise RuntimeError(f"the closure has pairs more than {max_rounds} edges apart")
 

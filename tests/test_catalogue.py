@@ -52,3 +52,22 @@ def test_small_languages():
     with pytest.raises(ValueError):
         checked_lang("de;x")
     assert dynamic_filters({"type": ["a,b", "c"], "size": ["3"]}) == {"isObsolete": [["false"]], "type": [["a", "b"], ["c"]]}
+
+
+def test_closure_depths_on_sparse_graphs(spark):
+    """Most nodes have one edge, some two, some lie on cycles or lead into them; depths are shortest distances, by key."""
+    rnd = random.Random(5)
+    edges = {(k, a, rnd.randrange(30)) for k in ("x", "y") for a in range(30) for _ in range(rnd.choice([0, 1, 1, 1, 2]))}
+    want = {}
+    for k, a, b in edges:
+        want[k, a, b] = 1
+    for depth in range(2, 62):
+        for (k, a, m), d in list(want.items()):
+            if d == depth - 1:
+                for k2, m2, b in edges:
+                    if (k, m) == (k2, m2):
+                        want.setdefault((k, a, b), depth)
+    got = closure(spark.createDataFrame(sorted(edges), "k string, src long, dst long"), keys=("k",)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((*p, d) for p, d in want.items()) and any(p[1] == p[2] for p in want)
+    with pytest.raises(RuntimeError):
+        closure(spark.createDataFrame([(i, i + 1) for i in range(6)], "src long, dst long"), max_rounds=3)
