@@ -66,19 +66,6 @@ def xrefs(found: DataFrame) -> DataFrame:
     return rows.select(*KEY, x["database"].alias("database"), x["id"].alias("xref_id"), F.coalesce(last(V.OIO + "source"), last(V.LABEL)).alias("description"), F.coalesce(last(V.OIO + "url"), x["url"]).alias("url")).distinct()
 
 
-def terms(labels: DataFrame, shorts: DataFrame, flags: DataFrame, obsolete: DataFrame, preferred: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
-    """Legacy term records: iri, label, short_form, obo_id, has_children, is_root, is_obsolete, is_preferred_root, term_replaced_by."""
-    label = labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label"))
-    out = shorts.join(label, KEY, "left").join(flags, KEY, "left").join(obsolete, KEY, "left").join(preferred, KEY, "left")
-    out = out.join(replaced, KEY, "left") if replaced is not None else out.withColumn("term_replaced_by", F.lit(None).cast("string"))
-    no = F.lit(False)
-    return out.select(
-        "ontology_id", F.col("id").alias("iri"), "label", "short_form", F.regexp_replace("short_form", "_([^_]*)$", ":$1").alias("obo_id"),
-        F.coalesce("has_children", no).alias("has_children"), (~F.coalesce("has_parents", no)).alias("is_root"),
-        F.coalesce("is_obsolete", no).alias("is_obsolete"), F.coalesce("is_preferred_root", no).alias("is_preferred_root"), "term_replaced_by",
-    )
-
-
 def replaced_by(props: DataFrame) -> DataFrame:
     """(…, term_replaced_by): the first replacement; of an IRI its short form."""
     first = props.where(F.col("predicate") == V.OBO + "IAO_0100001").groupBy(*KEY).agg(F.min_by(F.struct("value", "kind"), "pos").alias("r"))

@@ -152,3 +152,16 @@ def test_mapping_sets(spark, loaded):
     # only the ontology that defines an entity maps it
     assert [(r["ontology_id"], r["subject_id"], r["object_id"]) for r in rows.collect()] == [("one", "ONE:i", "ex:5")]
     assert {r["prefix"]: r["namespace"] for r in prefixes.collect()}["ONE"] == "http://t/one#"
+
+
+def test_term_records(loaded):
+    from ontoloom.plans.records import terms
+
+    by_id = {(r["ontology_name"], r["iri"].split("#")[-1]): r for r in terms(loaded, "de").collect()}
+    assert set(by_id) == {("one", n) for n in "ABC"} | {("two", n) for n in "ABCZ"}
+    a, b, c = (by_id["one", n] for n in "ABC")
+    assert (a["label"], a["synonyms"], a["obo_id"], a["short_form"], a["ontology_prefix"], a["ontology_iri"], a["lang"]) == ("Alpha", ["leading"], "ONE:A", "ONE_A", "ONE", "http://t/one", "de")
+    assert a["is_root"] and a["has_children"] and not a["is_preferred_root"] and a["annotation"] == {"note": ["a note"]} and a["related"] is None
+    assert (b["label"], b["description"], b["is_root"], c["is_obsolete"], c["label"]) == ("beta", ["what it is"], False, True, "ONE_C")
+    assert [tuple(x) for x in b["related"]] == [("http://t/one#r", "ONE_r", "one", "http://t/one#B", "http://t/one#C")]
+    assert {r["label"] for r in terms(loaded, "en").collect() if r["iri"].endswith("#A")} == {"alpha"}
