@@ -100,22 +100,6 @@ def gathered_values(props: DataFrame) -> DataFrame:
     return whole.union(parts).union(props.select("ontology_id", plain)).distinct()
 
 
-def resolved(strings: DataFrame, entities: DataFrame, registry: DataFrame) -> DataFrame:
-    """(s, how, target): a string's link by the first rule that fits.
-
-    1 an entity's IRI, 2 a URL under a registered prefix (its CURIE), 3 an entity's CURIE, 4 a CURIE the registry has a URL for, 5 a web address.
-    """
-    todo = strings.select("s").where("s is not null and trim(s) <> ''").distinct()
-    iri = todo.join(entities.select(F.col("iri").alias("s")).distinct(), "s", "left_semi").select("s", F.lit(1).alias("how"), F.col("s").alias("target"))
-    short = url_to_curie(todo, "s", registry).select("s", F.lit(2).alias("how"), F.col("curie").alias("target"))
-    curies = todo.where(text.looks_like_curie(F.col("s")))
-    own = curies.join(entities.groupBy(F.col("curie").alias("s")).agg(F.min("iri").alias("target")), "s").select("s", F.lit(3).alias("how"), "target")
-    known = curie_to_url(curies, "s", registry).select("s", F.lit(4).alias("how"), F.col("url").alias("target"))
-    web = todo.where(F.col("s").rlike("^https?://")).select("s", F.lit(5).alias("how"), F.col("s").alias("target"))
-    every = iri.union(short).union(own).union(known).union(web)
-    return every.groupBy("s").agg(F.min(F.struct("how", "target")).alias("b")).select("s", "b.how", "b.target")
-
-
 def by_precedence(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of each key in an order, combined before the shuffle."""
     best = F.min_by(F.struct(*rows.columns), F.struct(*order))
