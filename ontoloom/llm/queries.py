@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import ctw, exact, langid, packing, pii, repair, secrets, simhash, warc, winnow
+from ontoloom.llm import ctw, exact, langid, packing, periodic, pii, repair, secrets, simhash, warc, winnow
 from ontoloom.session import ship_package
 
 
@@ -76,6 +76,31 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damage.select("page_id", "shard", "slot", "expected", "found", "state")
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of all documents, where one in ten, by its id's checksum, has words that repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.floor(h / 10).alias("g"), words.alias("words"))
+    n = F.size("words").cast("long")
+    a = F.col("g") % n
+    rows = rows.select("doc_id", "text", "words", F.when(n > 0, a).alias("a"), F.when(n > 0, 1 + F.floor((n - a) / (3 + F.col("g") % 8))).alias("p"))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform("words", lambda w, i: F.get("words", source(i.cast("long")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text").cast("string")).alias("text"))
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(looped(_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.select("*", periodic.longest().alias("best"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, pipeline]
+    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, op11_periodic, pipeline]
     return {f.__name__: f for f in own}
 
 
