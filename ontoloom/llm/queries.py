@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import ctw, exact, langid, packing, periodic, pii, repair, secrets, simhash, warc, winnow
+from ontoloom.llm import ctw, exact, langid, mixing, packing, periodic, pii, repair, secrets, simhash, warc, winnow
 from ontoloom.session import ship_package
 
 
@@ -101,6 +101,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, op11_periodic, pipeline]
+    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, op11_periodic, op12_mixing, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -128,6 +132,22 @@ def oracle_sql() -> dict[str, str]:
 with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
 g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)""",
+        "op12_mixing": """
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size from documents),
+s as (select source, cast(sum(size) as bigint) as source_size,
+ case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from d group by source),
+c as (select *, 1.5::double * sum(source_size) over () as wanted, sum(weight) over () as weights,
+ coalesce(sum(source_size) over w, 0) as held, coalesce(sum(weight) over w, 0) as full_weight
+ from s window w as (order by 2::double * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+l as (select max(level) as level from (select (wanted - 2::double * held) / (weights - full_weight) as level, weight, source_size from c)
+ where level * weight <= 2::double * source_size),
+t as (select source, source_size, least(coalesce(level, 0) * weight, 2::double * source_size) as target,
+ cast('0x' || substring(md5('7' || coalesce(':' || source, '')), 1, 8) as bigint) / 4294967296::double as start from s, l),
+e as (select *, case when source_size > 0 then target / source_size else 0::double end as expected from t),
+r as (select d.doc_id, d.size, e.*, row_number() over (partition by d.source order by d.size, d.doc_id nulls last) - 1 as place
+ from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, cast(size * (floor(expected) + floor(start + (expected - floor(expected)) * (place + 1))
+ - floor(start + (expected - floor(expected)) * place)) as bigint) as taken from r""",
         "op10_merkle_audit": f"""
 with p as (select page_id, sha256({_RECORD.format(url="url", html="html")}) as expected from pages),
 r as (select page_id, sha256({_RECORD.format(**damaged)}) as found from pages where page_id % 97 <> 59)
