@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontoloom.llm import ctw, exact, langid, mixing, packing, periodic, pii, repair, secrets, simhash, warc, winnow
+from ontoloom.llm import ctw, exact, langid, mixing, negatives, packing, periodic, pii, repair, secrets, simhash, warc, winnow
 from ontoloom.session import ship_package
 
 
@@ -105,6 +105,12 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.hard_negatives(rows, vec_id % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, op11_periodic, op12_mixing, pipeline]
+    own = [op1_simhash, op2_best_fit, op3_pii, op4_exact_dedup, op5_winnowing, op6_secrets, op7_ppm_language, op8_repair, op9_ctw, op10_merkle_audit, op11_periodic, op12_mixing, op13_hard_negatives, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -148,6 +154,17 @@ r as (select d.doc_id, d.size, e.*, row_number() over (partition by d.source ord
  from d join e on d.source is not distinct from e.source)
 select doc_id, size, source_size, target, cast(size * (floor(expected) + floor(start + (expected - floor(expected)) * (place + 1))
  - floor(start + (expected - floor(expected)) * place)) as bigint) as taken from r""",
+        "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+ from embeddings where vec_id is not null and label is not null and embedding is not null
+ and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.q, b.q) as bigint) as score
+ from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score, cast(row_number() over (partition by anchor_id order by score desc, other) as integer) as positive_rank
+ from s where same qualify positive_rank <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_rank order by score desc, other) as integer) as rank,
+ other as negative_id, positive_score, score as negative_score, positive_rank
+from p join s on p.anchor_id = s.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5""",
         "op10_merkle_audit": f"""
 with p as (select page_id, sha256({_RECORD.format(url="url", html="html")}) as expected from pages),
 r as (select page_id, sha256({_RECORD.format(**damaged)}) as found from pages where page_id % 97 <> 59)
