@@ -1,10 +1,15 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on everything else that looks like a token.
 
-A candidate is a run of 20 or more of the base64, hex or identifier signs. The smallest encoding that holds it (digits, hex, base32,
+A candidate is a run of 20 or more of the base64, hex or identifier signs; an equals sign with more behind it is no padding and parts two
+candidates, as in ``NAME=value``. The smallest encoding that holds it (digits, hex, base32,
 letters of one case with digits, letters and digits, base64) is its alphabet, and against it three tests are made: chi-squared
 uniformity of its signs, runs above and below the middle of the alphabet, and serial correlation of neighbours. Fisher's method makes
 one p-value of the three, the battery's. A candidate that it refuses at 0.001 isn't random.
 
+A token may stand in a path or behind a prefix. Where no alphabet holds a candidate, or the battery refuses it, its parts between
+``- _``, between ``+ /`` and between all four are candidates too; else those of its parts are whose alphabet is a one-case one (36 signs
+at most) while the whole's isn't. Parts are reported where nothing above them is, and every candidate that was tried counts in the control below.
+
 False discoveries are pieces of plain text. The likelihood ratio of uniform signs to the sign frequencies of text grows with the length
 of a string; times the battery's p-value, which is one at most, its mean under text is still one at most (an e-value), so by Markov's
 inequality the inverse of that product bounds the p-value of text. Among a document's candidates, Benjamini-Hochberg at rate 0.01 on
@@ -17,6 +22,7 @@ import hashlib
 import math
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +40,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 BY_FREQUENCY = "etaoinshrdlcumwfgypbvkjxqz"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+PARTS = tuple(re.compile(f"[A-Za-z0-9{more}]{{20,}}") for more in ("+/", "_-", ""))
+ONE_CASE = 36
 LEAST_LENGTH, ASSIGN_LENGTH, ACCESS_LENGTH = 20, 8, 16
 REFUSE, FALSE_RATE = 1e-3, 0.01
 ALPHABETS = (
@@ -130,6 +139,31 @@ def text_p(word: str) -> float | None:
     return min(1.0, len(ALPHABETS) * 2.0**-bits / battery)
 
 
+def candidates(text: str) -> list[tuple[int, int, float | None, int]]:
+    """(start, end, bound or None, level) of everything tried: a whole has level 0, its parts 1 or 2."""
+    out = []
+    for run in CANDIDATE.finditer(text):
+        for m in PIECE.finditer(text, run.start(), run.end()):
+            bound, alphabet, tried = text_p(m[0]), encoding(m[0]), {m.span()}
+            out.append((*m.span(), bound, 0))
+            for kind in PARTS if bound is None else PARTS[2:]:
+                for part in kind.finditer(text, *m.span()):
+                    if part.span() not in tried and (bound is None or len(encoding(part[0])) <= ONE_CASE < len(alphabet)):
+                        tried.add(part.span())
+                        out.append((*part.span(), text_p(part[0]), 2 if kind is PARTS[2] else 1))
+    return out
+
+
+def apart(spans: list[tuple[int, int, float, int]]) -> list[tuple[int, int]]:
+    """Spans by level, then bound, less those that overlap an earlier one."""
+    kept: list[tuple[int, int]] = []
+    for a, b, *_ in sorted(spans, key=lambda s: (s[3], s[2], s[0])):
+        k = bisect_left(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+            kept.insert(k, (a, b))
+    return kept
+
+
 def accepted(p: list[float], tests: int, rate: float = FALSE_RATE) -> float:
     """Benjamini-Hochberg: the largest p-value that is reported, or -1."""
     best = -1.0
@@ -145,15 +179,9 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    tried = []
-    for m in CANDIDATE.finditer(text):
-        word = m[0].strip("=")
-        if len(word) >= LEAST_LENGTH:
-            start = m.start() + len(m[0]) - len(m[0].lstrip("="))
-            tried.append((start, start + len(word), text_p(word)))
-    if tried:
-        limit = accepted([p for *_, p in tried if p is not None], len(tried))
-        found += [(a, 3, b) for a, b, p in tried if p is not None and p <= limit]
+    if tried := candidates(text):
+        limit = accepted([p for _, _, p, _ in tried if p is not None], len(tried))
+        found += [(a, 3, b) for a, b in apart([t for t in tried if t[2] is not None and t[2] <= limit])]
     return [((*BASE, "random")[k], a, b) for a, k, b in sorted(found)]
 
 

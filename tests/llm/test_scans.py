@@ -242,3 +242,28 @@ def test_audit_of_repeated_keys(spark):
     one = [(*r[:2], "own 3!", 1, 1) if r[2] == "own 3" else r for r in good]
     damage, _ = warc.audit(spark.createDataFrame(good, schema), spark.createDataFrame(one, schema))
     assert [(r["page_id"], r["state"]) for r in damage.collect()] == [(7, "damaged")]
+
+
+def test_secrets_behind_names_and_in_paths():
+    """Nine of ten random tokens are found wherever they stand; the text around them is not."""
+    rnd = random.Random(21)
+    frames = ("{}", "MY_KEY={}", "export DB_PASS_1='{}'", "https://host.example.com/v1/{}", "https://host.example.com/get?sig={}&x=1", "x/{}", "static-assets/images/{}", '{{"k": "{}"}}', "A=1;B={}==")
+    for alphabet in secrets.ALPHABETS:
+        for shape in frames:
+            hits = 0
+            for _ in range(60):
+                token = "".join(rnd.choices(alphabet, k=40)).strip("-_")
+                text = "see " + shape.format(token) + " here"
+                at = text.index(token)
+                hits += any(k == "random" and a < at + len(token) and b > at for k, a, b in secrets.spans(text))
+            assert hits >= 54, (alphabet, shape, hits)
+    plain = "NAME_OF_THE_SETTING=some-plain-value-of-words path/to/a/directory/with/a/long/name/in/it README-for-developers-and-users=yes==no"
+    assert not [s for s in secrets.spans(plain + " A_B=" + "x" * 60) if s[0] == "random"]
+
+
+def test_secret_parts_do_not_overlap_their_whole():
+    rnd = random.Random(22)
+    for _ in range(100):
+        word = "".join(rnd.choices(secrets.ALPHABETS[-2], k=60)) + "/" + "".join(rnd.choices(secrets.ALPHABETS[1], k=30))
+        found = [(a, b) for k, a, b in secrets.spans(word) if k == "random"]
+        assert all(b <= a2 for (_, b), (a2, _) in zip(found, found[1:], strict=False)) and found
