@@ -135,16 +135,18 @@ class Encoder:
             rest = rest[~hit]
         return out
 
-    def _keep(self, low: np.ndarray, high: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        """Put distinct keys where a slot is free; who comes first stays, and who finds none is asked for again."""
-        rest = np.arange(len(low))
+    def _keep(self, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Put distinct keys where a slot is free, and say where; who comes first stays, and who finds none (-1) is asked for again."""
+        rest, where = np.arange(len(low)), np.full(len(low), -1)
         for slot in self._slots(low, high):
             free = rest[self.n[slot[rest]] == 0]
             own, first = np.unique(slot[free], return_index=True)
             put = free[first]
-            self.low[own], self.high[own], self.at[own], self.n[own] = low[put], high[put], at[put], n[put]
+            self.low[own], self.high[own], self.n[own] = low[put], high[put], n[put]
+            where[put] = own
             self.held += len(put)
             rest = np.setdiff1d(rest, put, assume_unique=True)
+        return where
 
     def _narrow(self, buffer: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, is_end, plain = split(buffer, ends)
@@ -173,14 +175,20 @@ class Encoder:
         one = order[new]
         found = self._of([buffer[a : a + k] for a, k in zip(start[one].tolist(), size[one].tolist(), strict=True)], plain[one])
         n = np.array([len(x) for x in found], dtype=np.int64)
-        at, total = self.used + np.cumsum(n) - n, int(n.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty(max(total, len(self.pool) // 2), dtype=np.uint32)])
-        self.pool[self.used : self.used + total] = np.concatenate(found)
+        slot = np.full(len(one), -1)
         if self.held < KEPT:
             brief = np.flatnonzero(size[one] <= SHORT)
-            self._keep(low[one[brief]], high[one[brief]], at[brief], n[brief])
-            self.used += total
+            slot[brief] = self._keep(low[one[brief]], high[one[brief]], n[brief])
+        # ids that the table points at come first and stay in the pool; the others' room is used again by the next call
+        kept = slot >= 0
+        order = np.argsort(~kept, kind="stable")
+        at, total = np.empty(len(one), dtype=np.int64), int(n.sum())
+        at[order] = self.used + np.cumsum(n[order]) - n[order]
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(total, len(self.pool) // 2), dtype=np.uint32)])
+        self.pool[self.used : self.used + total] = np.concatenate([found[i] for i in order.tolist()])
+        self.at[slot[kept]] = at[kept]
+        self.used += int(n[kept].sum())
         return at[group], n[group]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

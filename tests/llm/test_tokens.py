@@ -197,3 +197,21 @@ def test_id_files_edge_cases(spark, tmp_path):
     assert repair.document_ids(spark, path, 3) == [plain(rows()[3][1])]
     repair.write_ids(empty(spark), path + "0")
     assert repair.read_ids(spark, path + "0").count() == 0
+
+
+def test_pool_keeps_only_what_the_table_points_at(monkeypatch):
+    rnd = random.Random(31)
+    path = tokens.default_vocabulary()
+    own = tokens.Encoder(path)
+    long_words = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(40)) for _ in range(400)).encode()
+    first = [long_words(), b"short words stay here"]
+    own(first)
+    used, held = own.used, own.held
+    for _ in range(5):
+        own([long_words()])
+    assert own.used - used < 200 and own.held - held < 100  # only spaces and single signs may be new
+    assert np.array_equal(own(first)[0], tokens.Encoder(path)(first)[0])
+    monkeypatch.setattr(tokens, "KEPT", own.held)  # full: nothing more is kept
+    full = own.used
+    texts = [" ".join(f"word{i}x{j}" for i in range(50)).encode() for j in range(5)]
+    assert np.array_equal(own(texts)[0], tokens.Encoder(path)(texts)[0]) and own.used == full
