@@ -60,5 +60,5 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     again = this_id.eqNullSafe(twice["__twice_id"]) & (hashed == twice["__twice_hash"])
     one = docs.join(twice, again, "left_semi")
     key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    one = one.groupBy(F.col("doc_id").alias("__k"), key.alias("__h")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row"))
+    one = one.groupBy(F.col("doc_id").alias("__k"), key.alias("__h")).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row"))
     return left.join(twice, again, "left_anti").union(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in cols]))

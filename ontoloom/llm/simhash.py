@@ -202,5 +202,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     again = twice.select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"))
     keyed = left.join(again, left["doc_id"].cast("long").eqNullSafe(again["__id"]) & (text_hash(left["text"]) == again["__hash"]), "left_semi")
-    one = keyed.groupBy(F.col("doc_id").alias("__k"), text_hash().alias("__h")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row"))
+    one = keyed.groupBy(F.col("doc_id").alias("__k"), text_hash().alias("__h")).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("__row"))
     return without(left, twice).union(one.select(*[F.col(f"__row.`{c}`").alias(c) for c in cols]))

@@ -1,7 +1,7 @@
 """Each stage of the pipeline on what its predecessor kept, against plain versions."""
 
 import corpus_pipeline
-from ontoloom.llm import langid, simhash, winnow
+from ontoloom.llm import exact, langid, simhash, winnow
 from tests.llm.edge import empty, frame, rows
 from tests.llm.test_duplicates import plain_components
 from tests.llm.test_scans import plain_contamination
@@ -69,3 +69,17 @@ def test_stages_take_odd_rows_and_empty_tables(spark, small):
                 assert not got, name
     exact = [(r["doc_id"], r["text"]) for r in corpus_pipeline.exact_dedup(spark, frame(spark), small).collect()]
     assert len({t or "" for _, t in exact}) == len(exact) == len({t or "" for _, t in have})
+
+
+def test_stages_take_columns_without_order(spark):
+    """Map, array and struct columns pass every stage, also where whole rows repeat."""
+    docs = spark.sql("""
+        select doc_id, text, 'en' as lang, 's' as source, 1L as n_chars, map('k', doc_id) as m, array(map(1, 2)) as a, named_struct('m', map('x', text)) as s
+        from (select explode(array(1L, 1L, 2L, 3L, null, null)) as doc_id, 'the same plain words stand in this short text again' as text
+              union all select 9L, 'another text of some words that is like no other one' union all select 9L, null union all select 9L, null)""")
+    for stage in (exact.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: winnow.drop_contaminated(d, spark.createDataFrame([], "item_id long, text string"))):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        assert out.where("doc_id = 9 and text is not null").first()["s"]["m"] == {"x": "another text of some words that is like no other one"}
+    assert sorted(str(r["doc_id"]) for r in exact.drop_exact_duplicates(docs).collect()) == ["3", "9", "9"]
+    assert simhash.drop_near_duplicates(docs).count() == 3
