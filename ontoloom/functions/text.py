@@ -72,6 +72,15 @@ def highlighted(text: Column, tokens: list[str], before: str = "<b>", after: str
     return F.regexp_replace(text, "(?i)(" + "|".join(re.escape(t) for t in tokens) + ")", f"{before}$1{after}")
 
 
+def marked_tokens(text: Column, tokens: list[str], before: str = "<b>", after: str = "</b>") -> Column:
+    """Each white-space token that is one of ``tokens`` as written, between marks."""
+    if not tokens:
+        return text
+    import re
+
+    return F.regexp_replace(text, r"(?<!\S)(" + "|".join(re.escape(t) for t in tokens) + r")(?!\S)", f"{before}$1{after}")
+
+
 def version_of(iri: Column) -> Column:
     """The date in a version IRI, else its ``/v…/`` part."""
     date, tag = F.regexp_extract(iri, r"(\d{4}-\d{2}-\d{2})", 1), F.regexp_extract(iri, r"/(v[^/]+)/", 1)

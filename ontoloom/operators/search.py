@@ -1,13 +1,14 @@
 """Search over flat entity documents: weighted match, boosts, conjunctive filters, facets, groups and pages.
 
-A document frame has one row for each entity; fields are strings or arrays of strings. A score is the greatest weight among
-the fields that match plus the boosts that hold; ties fall back to the id, so pages never overlap.
+A document frame has one row for each entity; fields are strings or arrays of strings. A score is what the fields that match
+give (see ``SearchSpec.combine``) plus the boosts that hold; ties fall back to the id, so pages never overlap. The functions here look
+at every row; ``operators.textindex`` answers the same specifications from an index.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 PAGE_LIMIT = 1000
 #: How a field is matched.
 WHOLE, TOKENS, LOWER_TOKENS, EDGES, SPACE_TOKENS, SPACE_EDGES = "whole", "tokens", "lower", "edge", "whitespace", "whitespace_edge"
+#: All tokens in a row, in lower case.
+PHRASE = "phrase"
+#: What matching fields give: the greatest weight; for each word of the text, which must match somewhere, the greatest weight, summed;
+#: as before, but one point in all; or the sum of weights.
+BEST, EVERY, HELD, SUM = "best", "every", "held", "sum"
 # Fields and boosts of the default entity search.
 DEFAULT_FIELDS = ("iri", "ontologyId", "curie", "shortForm", "label", "id", "oboId", "synonym", "searchableAnnotationValues")
 DEFAULT_BOOSTS = (("type", "ontology", 10, WHOLE), ("isDefiningOntology", "true", 1000, WHOLE), ("label", None, 1000, WHOLE), ("label", None, 500, EDGES), ("curie", None, 500, EDGES), ("shortForm", None, 500, EDGES), ("synonym", None, 500, WHOLE))
@@ -35,6 +41,7 @@ class SearchSpec:
     facets: tuple[str, ...] = ()
     start: int = 0
     rows: int = 20
+    combine: str = BEST
 
 
 def checked_lang(lang: str) -> str:
@@ -91,47 +98,84 @@ def words(value: Column) -> Column:
     return F.filter(F.split(F.lower(value), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def wanted_tokens(text: str, how: str) -> list[str]:
+    """Tokens of a searched text under a match mode."""
+    if how == WHOLE:
+        return [text]
+    lowered = text if how == TOKENS else text.lower()
+    spaced = how in (TOKENS, SPACE_TOKENS, SPACE_EDGES)
+    return lowered.split() if spaced else [w for w in re.split(r"[^\w]+|_", lowered) if w]
+
+
 def matches(df: DataFrame, name: str, text: str, how: str) -> Column:
-    """Whether any value of a field matches. Tokens: every token of the text is one of the value's (or begins one).
+    """Whether any value of a field matches. Tokens: every token of the text is one of the value's (or begins one), of a phrase in a row.
 
     A token is looked for between its separators, which stops at the first hit and never builds the value's tokens.
     """
     values = values_of(df, name)
     if how == WHOLE:
         return F.coalesce(F.array_contains(values, text), F.lit(False))
-    fold = how != TOKENS
-    spaced = not fold or how in (SPACE_TOKENS, SPACE_EDGES)
-    lowered = text.lower() if fold else text
-    wanted = lowered.split() if spaced else [w for w in re.split(r"[^\w]+|_", lowered) if w]
+    wanted = wanted_tokens(text, how)
     if not wanted:
         return F.lit(False)
+    spaced = how in (TOKENS, SPACE_TOKENS, SPACE_EDGES)
     before, after = (r"(?<!\S)", r"(?!\S)") if spaced else (r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])")
-    patterns = [before + re.escape(w) + ("" if how in (EDGES, SPACE_EDGES) else after) for w in wanted]
-    folded = F.transform(values, F.lower) if fold else values
+    if how == PHRASE:
+        patterns = [before + r"[^\p{L}\p{N}]+".join(map(re.escape, wanted)) + after]
+    else:
+        patterns = [before + re.escape(w) + ("" if how in (EDGES, SPACE_EDGES) else after) for w in wanted]
+    folded = values if how == TOKENS else F.transform(values, F.lower)
     return F.coalesce(F.exists(folded, lambda v: reduce(Column.__and__, [v.rlike(p) for p in patterns])), F.lit(False))
 
 
 def filtered(df: DataFrame, filters: dict[str, list[str]], fold: bool = False) -> DataFrame:
-    """AND over fields of OR over values; no row has a field that the table lacks. Plain fields stay plain predicates, so they reach the scan."""
+    """AND over fields of OR over values; no row has a field that the table lacks.
+
+    Whole values, so plain fields stay plain predicates that reach the scan; ``fold``: a value's tokens stand in a row in the field, in any case.
+    """
     for name, wanted in filters.items():
         if name not in df.columns:
             return df.where("false")
-        column = F.col(name)
-        if dict(df.dtypes)[name].startswith("array"):
-            own = F.transform(values_of(df, name), F.lower) if fold else values_of(df, name)
-            df = df.where(F.arrays_overlap(own, F.array(*[F.lit(w.lower() if fold else w) for w in wanted])))
-        elif fold:
-            df = df.where(F.lower(column.cast("string")).isin([w.lower() for w in wanted]))
+        if fold:
+            df = df.where(reduce(Column.__or__, [matches(df, name, w, PHRASE) for w in wanted], F.lit(False)))
+        elif dict(df.dtypes)[name].startswith("array"):
+            df = df.where(F.arrays_overlap(values_of(df, name), F.array(*[F.lit(w) for w in wanted])))
         else:
+            column = F.col(name)
             df = df.where(column.isin(wanted) if dict(df.dtypes)[name] == "string" else column.cast("string").isin(wanted))
     return df
 
 
-def score(df: DataFrame, spec: SearchSpec) -> Column:
+def clauses(spec: SearchSpec) -> list[list[tuple[str, str, float, str]]]:
+    """Groups of (field, text, weight, match): of a group the greatest weight that matches counts."""
     text = spec.text or ""
-    hits = [F.when(matches(df, n, text, WHOLE if spec.exact else how), F.lit(float(w))).otherwise(F.lit(0.0)) for n, w, how in spec.fields]
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0] if hits else F.lit(1.0)
-    return F.when(best > 0, best + sum((F.when(matches(df, n, v or text, how), F.lit(float(w))).otherwise(F.lit(0.0)) for n, v, w, how in spec.boosts if v or text), F.lit(0.0))).otherwise(F.lit(0.0))
+    how_of = lambda how: WHOLE if spec.exact else how
+    if spec.combine in (EVERY, HELD):
+        # a word that is nothing but separators to every field asks for nothing
+        groups = [[(n, word, w, how_of(how)) for n, w, how in spec.fields if wanted_tokens(word, how_of(how))] for word in text.split()]
+        return [g for g in groups if g]
+    each = [(n, text, w, how_of(how)) for n, w, how in spec.fields]
+    return [[c] for c in each] if spec.combine == SUM else [each] if each else []
+
+
+def combined(spec: SearchSpec, best: list[Column], boost: Column) -> Column:
+    """The score from the best weight of each group of ``clauses`` (0.0 where none matches); 0.0 is no hit."""
+    if not best:
+        return F.lit(0.0) if spec.fields or spec.combine != BEST else F.lit(1.0) + boost
+    if spec.combine in (EVERY, HELD):
+        held = reduce(Column.__and__, [b > 0 for b in best])
+    else:
+        held = reduce(Column.__or__, [b > 0 for b in best])
+    points = F.lit(1.0) if spec.combine == HELD else sum(best[1:], best[0])
+    return F.when(held, points + boost).otherwise(F.lit(0.0))
+
+
+def score(df: DataFrame, spec: SearchSpec) -> Column:
+    text, zero = spec.text or "", F.lit(0.0)
+    points = lambda c: F.when(matches(df, c[0], c[1], c[3]), F.lit(float(c[2]))).otherwise(zero)
+    best = [F.greatest(*map(points, g)) if len(g) > 1 else points(g[0]) for g in clauses(spec)]
+    boost = sum((points((n, v or text, w, how)) for n, v, w, how in spec.boosts if v or text), zero)
+    return combined(spec, best, boost)
 
 
 def search(df: DataFrame, spec: SearchSpec) -> DataFrame:
@@ -148,9 +192,9 @@ def page(df: DataFrame, start: int, rows: int, order: list | None = None, key: s
     return df.orderBy(*(order or [F.desc("score")]), key).limit(start + min(rows, PAGE_LIMIT)).offset(start)
 
 
-def facets(df: DataFrame, spec: SearchSpec) -> DataFrame:
-    """(field, value, n) of each facet field, over rows that all filters but those on facet fields hold for."""
-    free = search(df, SearchSpec(spec.text, spec.exact, spec.fields, spec.boosts, {k: v for k, v in spec.filters.items() if k not in spec.facets}))
+def facets(df: DataFrame, spec: SearchSpec, find=search) -> DataFrame:
+    """(field, value, n) of each facet field, over rows that all filters but those on facet fields hold for. ``find`` searches (see ``search``)."""
+    free = find(df, replace(spec, filters={k: v for k, v in spec.filters.items() if k not in spec.facets}))
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), values_of(df, n).alias("values")) for n in spec.facets]))
     return free.select(stacked.alias("f")).select("f.field", F.explode("f.values").alias("value")).where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 

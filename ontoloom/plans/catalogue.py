@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, mapping, search, shape
+from ontoloom.operators import derive, display, export, graph, link, mapping, search, shape, textindex
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
+from ontoloom.session import shared_dir
 
 _QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -191,6 +193,32 @@ def ranked_search_documents(t):
     return search.page(search.search(docs, spec).select("id", "score"), 0, spec.rows)
 
 
+def _indexed(docs: DataFrame, spec: search.SearchSpec) -> textindex.TextIndex:
+    return textindex.write(docs, textindex.kinds_for(spec), f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}")
+
+
+@query(f"""with s as (select doc_id as id, {_TOK.format(c='text')} as tok, {_TOK.format(c='source')} as src, lang from documents),
+m as (select id, lang, case when list_contains(tok, 'the') then 5.0 when list_contains(src, 'the') then 3.0 else 0.0 end as a,
+case when list_contains(tok, 'src3') then 5.0 when list_contains(src, 'src3') then 3.0 else 0.0 end as b from s)
+select id, cast(a + b + case when lang = 'en' then 10.0 else 0.0 end as double) as score from m where a > 0 and b > 0""")
+def indexed_search(t):
+    """Every word in some field, from postings that this query writes first."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    fields = (("text", 5.0, search.LOWER_TOKENS), ("source", 3.0, search.LOWER_TOKENS))
+    spec = search.SearchSpec("The SRC3", fields=fields, boosts=(("lang", "en", 10.0, search.WHOLE),), combine=search.EVERY)
+    return _indexed(docs, spec).search(docs, spec).select("id", "score")
+
+
+@query(r"""with s as (select doc_id as id, lower(text) as v from documents)
+select id, cast(2.0 + case when regexp_matches(v, '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') then 10.0 else 0.0 end as double) as score
+from s where regexp_matches(v, '(^|[^\p{L}\p{N}])of([^\p{L}\p{N}]|$)') and regexp_matches(v, '(^|[^\p{L}\p{N}])the([^\p{L}\p{N}]|$)')""")
+def phrase_search(t):
+    """Both words anywhere, raised where they stand in a row; positions of postings tell."""
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    spec = search.SearchSpec("of the", fields=(("text", 2.0, search.LOWER_TOKENS),), boosts=(("text", None, 10.0, search.PHRASE),))
+    return _indexed(docs, spec).search(docs, spec).select("id", "score")
+
+
 @query("select p_partkey as id, p_name as label from part where p_name = (select min(p_name) from part)")
 def exact_match_lookup(t):
     first = t.part.agg(F.min("p_name").alias("wanted"))

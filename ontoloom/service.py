@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import highlighted, path_id
+from ontoloom.functions.text import highlighted, marked_tokens, path_id
 from ontoloom.functions.vocabulary import SUBCLASS, TYPE
-from ontoloom.operators import graph, search
-from ontoloom.operators.search import EDGES, LOWER_TOKENS, SPACE_EDGES, WHOLE, SearchSpec
+from ontoloom.operators import graph, search, textindex
+from ontoloom.operators.search import BEST, EDGES, EVERY, HELD, LOWER_TOKENS, PHRASE, SPACE_EDGES, SUM, WHOLE, SearchSpec
 
 DIRECT, HIERARCHICAL = ("directParent",), ("hierarchicalParent",)
 #: Relation of an entity -> (edge types, against the edges, any number of steps).
@@ -38,6 +38,8 @@ KIND_FIELDS = "label^100 definition"
 ONTOLOGY_FIELDS = "label^100 ontologyId^100 definition"
 SEARCH_FIELDS = (("label", 5.0), ("synonym", 3.0), ("definition", 1.0), ("shortForm", 2.0), ("curie", 2.0), ("iri", 1.0), ("searchableAnnotationValues", 1.0))
 SEARCH_BOOSTS = (("isDefiningOntology", "true", 100.0, WHOLE), ("label", None, 5.0, LOWER_TOKENS), ("synonym", None, 3.0, LOWER_TOKENS))
+EXACT_FIELDS = (("label", 5.0, LOWER_TOKENS), ("synonym", 3.0, LOWER_TOKENS), ("shortForm", 2.0, LOWER_TOKENS), ("curie", 2.0, LOWER_TOKENS), ("iri", 1.0, LOWER_TOKENS), ("searchableAnnotationValues", 1.0, SPACE_EDGES))
+EXACT_BOOSTS = (("label", None, 10.0, PHRASE), ("synonym", None, 5.0, PHRASE), ("isDefiningOntology", "true", 100.0, WHOLE))
 SELECT_FIELDS = ("label", "synonym", "shortForm", "curie", "iri")
 SELECT_BOOSTS = (("type", "ontology", 10.0, WHOLE), ("isDefiningOntology", "true", 100.0, WHOLE), ("label", None, 1000.0, WHOLE), ("label", None, 500.0, EDGES), ("synonym", None, 1.0, WHOLE), ("synonym", None, 100.0, EDGES))
 # Fields of the legacy answers as (field of a document, one text of it or all), and those given where none is asked for.
@@ -64,11 +66,25 @@ class Answer:
         return search.page(self.hits, number * min(size, search.PAGE_LIMIT), size)
 
 
+def indexed_fields() -> dict[str, tuple[str, ...]]:
+    """Fields and kinds of tokens that an index for all default searches holds."""
+    spaced = lambda names: tuple((n, 1.0, SPACE_EDGES) for n in names)
+    return textindex.kinds_for(
+        SearchSpec(fields=spaced((*search.DEFAULT_FIELDS, *(n for n, _ in SEARCH_FIELDS), *SELECT_FIELDS)), boosts=(*search.DEFAULT_BOOSTS, *SEARCH_BOOSTS, *SELECT_BOOSTS)),
+        SearchSpec(fields=EXACT_FIELDS, boosts=EXACT_BOOSTS), SearchSpec(exact=True, fields=spaced(search.DEFAULT_FIELDS)),
+    )
+
+
 class Service:
-    def __init__(self, documents: DataFrame, edges: DataFrame):
-        self.documents, self.edges = documents, edges
+    """Answers over the tables of a load; with an ``index`` of its documents, searches by text read postings and no texts."""
+
+    def __init__(self, documents: DataFrame, edges: DataFrame, index: textindex.TextIndex | None = None):
+        self.documents, self.edges, self.index = documents, edges, index
         self._names = set(documents.columns)
 
+    def _search(self, docs: DataFrame, spec: SearchSpec) -> DataFrame:
+        return self.index.search(docs, spec) if self.index else search.search(docs, spec)
+
     # --- statistics ---------------------------------------------------------------------------------------------------
 
     def stats(self) -> DataFrame:
@@ -114,7 +130,7 @@ class Service:
             named = tuple((n, 1.0, SPACE_EDGES) for n in search.DEFAULT_FIELDS)
         raised = tuple((n, v, w, WHOLE) for n, v, w in search.field_specs(boosts)) if boosts else search.DEFAULT_BOOSTS
         spec = SearchSpec(text, exact, self._have(named), self._have(raised), {}, tuple(facets))
-        return Answer(search.search(docs, spec), search.facets(plain, spec) if facets else None)
+        return Answer(self._search(docs, spec), search.facets(plain, spec, self._search) if facets else None)
 
     def entity(self, kind: str, ontology: str, iri: str):
         """The one document; LookupError where there is none."""
@@ -207,28 +223,35 @@ class Service:
     def search(self, text: str, fields: str | None = None, exact: bool = False, group: bool = False, facets: bool = False, **limits) -> Answer:
         """The legacy search: weighted fields, boosts, restrictions (see ``_restricted``), one hit for each IRI if grouped.
 
-        ``obsolete=True`` gives obsolete ones only; facets are counted over the hits.
+        ``exact``: every word is a whole token of some field, in any case, and the text as a phrase raises a hit; with ``fields``, the text is
+        a phrase of one of them, each a point. ``obsolete=True`` gives obsolete ones only; facets are counted over the hits.
         """
-        named = tuple(f for f in map(search.v1_field, fields.split(",")) if f) if fields else tuple((n, w, WHOLE if exact else SPACE_EDGES) for n, w in SEARCH_FIELDS)
-        spec = SearchSpec(None if text == "*" else text, exact, self._have(named), () if fields or exact else self._have(SEARCH_BOOSTS))
-        hits = search.search(self._restricted(**limits), spec)
+        text = None if text == "*" else text
+        if fields:
+            named = tuple(f for f in map(search.v1_field, fields.split(",")) if f)
+            named = tuple((n, 1.0, PHRASE) for n, _, _ in named) if exact else named
+            spec = SearchSpec(text, False, self._have(named), combine=SUM if exact else BEST)
+        elif exact:
+            spec = SearchSpec(text, False, self._have(EXACT_FIELDS), self._have(EXACT_BOOSTS), combine=EVERY)
+        else:
+            spec = SearchSpec(text, False, self._have(tuple((n, w, SPACE_EDGES) for n, w in SEARCH_FIELDS)), self._have(SEARCH_BOOSTS))
+        hits = self._search(self._restricted(**limits), spec)
         counts = search.facets(hits, SearchSpec(facets=tuple(f for f in SEARCH_FACETS if f in self._names))) if facets else None
         return Answer(search.collapsed(hits, "iri") if group else hits, counts)
 
     def select(self, text: str, **limits) -> Answer:
-        """The legacy autocomplete over entities: every word of the text begins a word of some field; matches are marked in label and synonym."""
+        """The legacy autocomplete over entities: every word of the text begins a word of some field.
+
+        ``label_autosuggest`` and ``synonym_autosuggest`` mark the words wherever they stand, ``label_marked`` and ``synonym_marked`` tokens as written.
+        """
         words = text.split()
         named = self._have(tuple((n, 1.0, SPACE_EDGES) for n in SELECT_FIELDS))
         docs = self._restricted(local_flag="isDefiningOntology", **limits)
-        spec = SearchSpec(text, False, named, self._have(SELECT_BOOSTS))
-        held = F.lit(bool(words))
-        for word in words:
-            held = held & _any(search.matches(docs, n, word, how) for n, _, how in named)
-        boost = sum((F.when(search.matches(docs, n, v or text, how), F.lit(w)).otherwise(F.lit(0.0)) for n, v, w, how in spec.boosts), F.lit(1.0))
-        hits = docs.where(held).withColumn("score", boost)
+        hits = self._search(docs, SearchSpec(text, False, named, self._have(SELECT_BOOSTS), combine=HELD)) if words else docs.withColumn("score", F.lit(1.0)).where("false")
         for name in ("label", "synonym"):
             if name in self._names:
                 hits = hits.withColumn(f"{name}_autosuggest", F.transform(search.values_of(hits, name), lambda v: highlighted(v, words)))
+                hits = hits.withColumn(f"{name}_marked", F.transform(search.values_of(hits, name), lambda v: marked_tokens(v, words)))
         return Answer(hits)
 
     def listed(self, hits: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
