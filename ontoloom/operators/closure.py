@@ -6,6 +6,7 @@ Edge frames hold (src, dst) with src below dst. Nothing is gathered by node: clo
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,19 +14,19 @@ from pyspark.sql import functions as F
 from ontoloom.plans.staging import staged
 
 
-def closure(edges: DataFrame, max_rounds: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
+def closure(edges: DataFrame, max_rounds: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, src, dst, depth): every pair one or more edges apart, once, with the least number of edges.
 
     Semi-naive: each round puts an edge before the pairs that the round before found. A node with one edge reaches all else over it, so its
     pairs come up once each and are only written; those of nodes with several edges are held against what such nodes reached before. A node
-    reaches itself only over a cycle, and cycles end the loop like anything else. ``keys`` (an ontology id, say) keep edge sets apart. Null ends are no edges.
+    reaches itself only over a cycle, and cycles end the loop like anything else, so there is no limit on rounds unless one is asked for. ``keys`` (an ontology id, say) keep edge sets apart. Null ends are no edges.
     """
     base = edges.where("src is not null and dst is not null").select(*keys, "src", "dst").distinct()
     branches = base.groupBy(*keys, "src").agg((F.count(F.lit(1)) == 1).alias("lone"))
     base = staged(base.join(branches, [*keys, "src"]).select(*keys, "src", "dst", "lone"), "edges")
     step = base.withColumnRenamed("dst", "mid")
     found = [base.withColumn("depth", F.lit(1))]
-    for depth in range(2, max_rounds + 2):
+    for depth in count(2) if max_rounds is None else range(2, max_rounds + 2):
         # what goes on from a node to itself is an edge, and known
         ahead = found[-1].where("src <> dst").select(*keys, F.col("src").alias("mid"), "dst").join(step, [*keys, "mid"]).select(*keys, "src", "dst", "lone")
         known = reduce(DataFrame.union, found).where("not lone").select(*keys, "src", "dst")

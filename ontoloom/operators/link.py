@@ -87,8 +87,12 @@ def unified_curies(entities: DataFrame, definers: DataFrame) -> DataFrame:
 def gathered(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, s): the CURIE-like and IRI-like parts of a text, each once."""
     value = F.col(column)
-    found = F.concat(F.regexp_extract_all(value, F.lit(r"[A-Z]+:[0-9A-z]+"), F.lit(0)), F.regexp_extract_all(value, F.lit(r"[A-z]+://\S+"), F.lit(0)))
-    return df.where(value.isNotNull()).select(F.col(key), F.explode(F.array_distinct(found)).alias("s"))
+    return df.where(value.isNotNull()).select(F.col(key), F.explode(F.array_distinct(references(value))).alias("s"))
+
+
+def references(value: Column) -> Column:
+    """The CURIE-like and IRI-like parts of a text, as an array."""
+    return F.concat(F.regexp_extract_all(value, F.lit(r"[A-Z]+:[0-9A-z]+"), F.lit(0)), F.regexp_extract_all(value, F.lit(r"[A-z]+://\S+"), F.lit(0)))
 
 
 def gathered_values(props: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, mapping, search, shape, textindex
+from ontoloom.operators import derive, display, export, graph, link, mapping, reach, search, shape, textindex
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -81,6 +81,23 @@ def hierarchical_descendants(t):
     return pairs.where(F.col("dst").startswith("brand:") | F.col("dst").startswith("type:")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BOTH = "both_ as (select * from par union all select 'part:' || p_partkey, 'brand:' || p_brand from part)"
+
+
+@query(f"""with recursive {PARENTS_SQL}, {_BOTH}, {CLOSURE_SQL.format(edges="both_")} select dst as top, src as id from clo
+where dst like 'region:%' or dst like 'brand:%' or dst like 'type:%' or dst like 'nation:%'""")
+def subtree_by_interval(t):
+    """What lies below regions, nations, brands and types, by numbers of a forest; parts have two parents, so brands are told by exceptions."""
+    tops = entities(t).where(F.col("kind").isin("region", "nation", "brand", "type")).select("id")
+    return reach.build(entities(t), edges(t, "directParent", "part_of").select("src", "dst")).below(tops)
+
+
+@query(f"""with recursive {ENTITIES_SQL}, {PARENTS_SQL}, {_BOTH}, {CLOSURE_SQL.format(edges="both_")}
+select id, coalesce(n, 0) as n from ent left join (select dst, count(*) as n from clo group by 1) on id = dst""")
+def interval_descendant_counts(t):
+    return reach.build(entities(t), edges(t, "directParent", "part_of").select("src", "dst")).descendant_counts()
+
+
 _RING = "ring as (select 'customer:' || c_custkey as src, 'nation:' || c_nationkey as dst from customer union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation union all select 'region:' || r_regionkey, 'region:' || ((r_regionkey + 1) % 5) from region)"
 
 

@@ -23,17 +23,26 @@ KEY = derive.KEY
 #: Fields of a document that hold several values, those that hold one, and flags.
 LISTS = ("label", "definition", "synonym", "subset", "searchableAnnotationValues", "definitionProperty", "synonymProperty", "hierarchicalProperty", "oboSynonymTypeName", "appearsIn", "definedBy")
 TEXTS = ("shortForm", "curie")
+#: Derived lists: what ancestors, inverses, equivalents and disjoints a document has.
+DERIVED = ("directAncestor", "hierarchicalAncestor", "inverseOf", "equivalentClass", "equivalentProperty", "disjointWith", "propertyDisjointWith", "differentFrom")
+COUNTS = ("numDescendants", "numHierarchicalDescendants")
+NEGATIVE = "negativePropertyAssertion+"
 FLAGS = ("isObsolete", "isPreferredRoot", "isDefiningOntology", "imported", "hasIndividuals", "hasDirectParents", "hasDirectChildren", "hasHierarchicalParents", "hasHierarchicalChildren")
 #: Config key -> predicates that a role has besides, and the predicates where the config names none.
 ROLES = {"label_property": (V.LABELS, ()), "definition_property": (V.DEFINITIONS, ()), "synonym_property": (V.SYNONYMS, ()), "hierarchical_property": ((), (V.PART_OF,))}
 #: Predicates whose values are fields of their own, not annotations.
 NOT_NOTES = (*V.DEFINITIONS, *V.SYNONYMS, *V.PREFERRED_ROOT, V.PART_OF)
 TOPS = (V.THING, V.TOP_PROPERTY)
+#: Columns of ``sources.registries.prefix_registry``.
+REGISTRY = "database string, prefix string, pattern string, uri_format string, uri_prefix string"
 
 
 @dataclass(frozen=True)
 class Load:
-    """Tables of a load. ``values`` are ``props`` with axioms; ``documents`` and ``edges`` are what ``Service`` takes."""
+    """Tables of a load. ``values`` are ``props`` with axioms; ``documents`` and ``edges`` are what ``Service`` takes.
+
+    ``linked`` says what each text or IRI of an ontology refers to; ``mentions`` which documents' values hold it.
+    """
 
     triples: DataFrame
     nodes: DataFrame
@@ -44,6 +53,19 @@ class Load:
     ontologies: DataFrame
     imports: DataFrame
     definers: DataFrame
+    linked: DataFrame
+    mentions: DataFrame
+
+    def with_links(self) -> DataFrame:
+        """``documents`` with ``linkedEntities``: for each text or IRI that a document mentions and that refers to something else, what that is, by text.
+
+        Texts are a document's own, so its list is as long as they are; documents without links have an empty list.
+        """
+        told = self.mentions.join(self.linked, ["ontology_id", "s"]).where(~F.col("id").eqNullSafe(F.col("s")))
+        shown = F.struct("s", *[c for c in self.linked.columns if c not in ("ontology_id", "s")])
+        lists = told.groupBy(F.col("ontology_id").alias("ontologyId"), F.col("id").alias("iri")).agg(F.array_sort(F.collect_list(shown)).alias("linkedEntities"))
+        out = self.documents.join(lists, ["ontologyId", "iri"], "left").select(*self.documents.columns, "linkedEntities")
+        return out.withColumn("linkedEntities", F.coalesce("linkedEntities", F.array().cast(out.schema["linkedEntities"].dataType)))
 
     def write(self, path: str) -> None:
         """Documents as JSON lines by ontology and type, so that an ontology is a folder and no task holds one; edges by ontology; the ontologies."""
@@ -85,9 +107,10 @@ def role_predicates(configs: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [of(role, *rule) for role, rule in ROLES.items()])
 
 
-def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None = None) -> Load:
+def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None = None, registry: DataFrame | None = None, databases: DataFrame | None = None, links: DataFrame | None = None) -> Load:
     """Load the ontologies of ``configs`` (``config.with_sources``); ``resolve`` maps import IRIs to paths. Ontologies without a path are left out.
 
+    What values refer to is looked up in the load itself, then in ``registry``, ``databases`` and ``links`` (``link.linked_entities``).
     The tables that several derivations read are staged, so a lost executor costs a re-read of them.
     """
     ship_package(spark)
@@ -127,11 +150,17 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
         *[_texts(derive.used_predicates(nodes, props, _role(roles, r)), name, "predicate") for r, name in (("definition_property", "definitionProperty"), ("synonym_property", "synonymProperty"), ("hierarchical_property", "hierarchicalProperty"))],
         *_names(entities, definers, shorts),
         *_flags(nodes, props, config, kinds, definers, direct, upward),
+        *_hierarchy(nodes, kinds, direct, upward),
+        *_relations(nodes, props),
     ]
     notes = shape.annotations(props.where("kind <> 'bnode'"), labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label")), NOT_NOTES)
     documents = staged(_documents(reduce(DataFrame.union, fields), kinds, nodes, tops, config, notes), "documents")
     edges = staged(_edges(values, kinds, direct, upward, relations), "edges")
-    return Load(triples, nodes, values, kinds, documents, edges, _ontologies(configs, tops, triples), link.import_pairs(entities, definers), definers)
+    mentions = staged(_mentions(props, kinds), "mentions")
+    known = registry if registry is not None else spark.createDataFrame([], REGISTRY)
+    spaces = config.select("prefix", F.explode("base_uris").alias("base")).where("prefix is not null").distinct()
+    linked = staged(link.linked_entities(mentions.select("ontology_id", "s"), entities, definers, known, spaces, databases, links), "linked")
+    return Load(triples, nodes, values, kinds, documents, edges, _ontologies(configs, tops, triples), link.import_pairs(entities, definers), definers, linked, mentions)
 
 
 def _role(roles: DataFrame, role: str) -> DataFrame:
@@ -190,6 +219,44 @@ def _flags(nodes: DataFrame, props: DataFrame, config: DataFrame, kinds: DataFra
     return out
 
 
+def _hierarchy(nodes: DataFrame, kinds: DataFrame, direct: DataFrame, upward: DataFrame) -> list[DataFrame]:
+    """Ancestors, as rows throughout, and how many named nodes lie below each; hierarchical ancestors are told of classes only."""
+    named, ids = nodes.where(~F.col("bnode")).select(*KEY), kinds.select(*KEY).distinct()
+    classes = kinds.where("type = 'class'").select(*KEY)
+    out = []
+    for parents, list_, count, of in ((direct, "directAncestor", "numDescendants", named), (upward, "hierarchicalAncestor", "numHierarchicalDescendants", classes)):
+        edges = parents.select("ontology_id", F.col("id").alias("src"), F.col("parent").alias("dst"))
+        pairs = staged(closure.closure(edges, keys=("ontology_id",)).select("ontology_id", F.col("src").alias("id"), "dst"), "ancestors")
+        below = pairs.join(named, KEY, "left_semi").groupBy("ontology_id", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        counts = ids.join(below, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("string"))
+        out += [_texts(pairs.join(of, KEY, "left_semi"), list_, "dst"), _texts(counts, count, "n")]
+    return out
+
+
+def _relations(nodes: DataFrame, props: DataFrame) -> list[DataFrame]:
+    """Inverses, equivalents, disjoints and differents in both directions where the statement has both, and negative assertions."""
+    only = nodes.where(~F.array_contains("types", "class"))
+    pairs = derive.pairwise(nodes, props)
+    stated = lambda name: props.where((F.col("predicate") == V.OWL + name) & (F.col("kind") == "uri")).select(*KEY, "value")
+    out = [
+        _texts(derive.symmetric(nodes, props, V.OWL + "inverseOf", "property"), "inverseOf", "value"),
+        _texts(derive.symmetric(nodes, props, V.OWL + "equivalentClass", "class"), "equivalentClass", "value"),
+        _texts(derive.symmetric(only, props, V.OWL + "equivalentProperty", "property"), "equivalentProperty", "value"),
+    ]
+    for name in ("disjointWith", "propertyDisjointWith", "differentFrom"):
+        listed = pairs.where(F.col("predicate") == V.OWL + name).select(*KEY, "value")
+        out.append(_texts(listed.union(stated(name)), name, "value"))
+    denied = derive.negative_assertions(props)
+    return [*out, denied.select(*KEY, F.col("predicate").alias("field"), F.lit(0).cast("long").alias("pos"), "value").where("value is not null").distinct()]
+
+
+def _mentions(props: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(ontology_id, id, s): what the values of each document may refer to: predicates, whole values, and parts of texts."""
+    own = props.where(F.col("kind") != "bnode").where("value is not null").join(kinds.select(*KEY).distinct(), KEY, "left_semi")
+    parts = F.array_union(F.array("predicate", "value"), link.references(F.col("value")))
+    return own.select(*KEY, F.explode(parts).alias("s")).distinct()
+
+
 def _documents(rows: DataFrame, kinds: DataFrame, nodes: DataFrame, tops: DataFrame, config: DataFrame, notes: DataFrame) -> DataFrame:
     """One row for each entity and kind: the rows of its fields meet in one map, the map's entries become columns."""
     lists = rows.groupBy(*KEY, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("values"))
@@ -200,6 +267,9 @@ def _documents(rows: DataFrame, kinds: DataFrame, nodes: DataFrame, tops: DataFr
     kind = F.array_union(F.array("type"), F.coalesce(finer, F.array().cast("array<string>")))
     shown = [export.entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("id"), F.col("id").alias("iri"), F.col("ontology_id").alias("ontologyId"), F.col("ontology_iri").alias("ontologyIri"), F.col("prefix").alias("ontologyPreferredPrefix"), kind.alias("type")]
     shown += [F.col("m")[n].alias(n) for n in LISTS] + [F.try_element_at(F.col("m")[n], F.lit(1)).alias(n) for n in TEXTS]
+    denied = F.map_filter("m", lambda k, v: k.startswith(NEGATIVE))
+    shown += [F.col("m")[n].alias(n) for n in DERIVED] + [F.try_element_at(F.col("m")[n], F.lit(1)).cast("long").alias(n) for n in COUNTS]
+    shown.append(F.transform_keys(denied, lambda k, v: F.substr(k, F.lit(len(NEGATIVE) + 1))).alias("negativePropertyAssertions"))
     return out.select(*shown, "annotations", *[F.coalesce(F.map_contains_key("m", n), F.lit(False)).alias(n) for n in FLAGS])
 
 

@@ -165,3 +165,55 @@ def test_term_records(loaded):
     assert (b["label"], b["description"], b["is_root"], c["is_obsolete"], c["label"]) == ("beta", ["what it is"], False, True, "ONE_C")
     assert [tuple(x) for x in b["related"]] == [("http://t/one#r", "ONE_r", "one", "http://t/one#B", "http://t/one#C")]
     assert {r["label"] for r in terms(loaded, "en").collect() if r["iri"].endswith("#A")} == {"alpha"}
+
+
+THIRD = HEAD % ("three", "three") + """
+<owl:Ontology rdf:about="http://t/three"/>
+<owl:Class rdf:about="#A"><rdfs:label>alpha, see EX:77</rdfs:label></owl:Class>
+<owl:Class rdf:about="#B"><rdfs:subClassOf rdf:resource="#A"/><owl:equivalentClass rdf:resource="#E"/></owl:Class>
+<owl:Class rdf:about="#C"><rdfs:subClassOf rdf:resource="#B"/><rdfs:subClassOf rdf:resource="#D"/><obo:see>http://ex/5</obo:see><obo:near rdf:resource="#A"/></owl:Class>
+<owl:Class rdf:about="#D"><rdfs:subClassOf rdf:resource="#C"/><owl:disjointWith rdf:resource="#A"/></owl:Class>
+<owl:Class rdf:about="#E"><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="#p"/><owl:someValuesFrom rdf:resource="#C"/></owl:Restriction></rdfs:subClassOf></owl:Class>
+<owl:ObjectProperty rdf:about="#p"><owl:inverseOf rdf:resource="#q"/></owl:ObjectProperty>
+<owl:ObjectProperty rdf:about="#q"><rdfs:subPropertyOf rdf:resource="#p"/></owl:ObjectProperty>
+<owl:NamedIndividual rdf:about="#i"><rdf:type rdf:resource="#C"/></owl:NamedIndividual>
+<owl:NamedIndividual rdf:about="#j"/><owl:NamedIndividual rdf:about="#k"/>
+<owl:AllDisjointClasses><owl:members rdf:parseType="Collection"><rdf:Description rdf:about="#A"/><rdf:Description rdf:about="#B"/><rdf:Description rdf:about="#E"/></owl:members></owl:AllDisjointClasses>
+<owl:AllDifferent><owl:distinctMembers rdf:parseType="Collection"><rdf:Description rdf:about="#i"/><rdf:Description rdf:about="#j"/></owl:distinctMembers></owl:AllDifferent>
+<owl:NegativePropertyAssertion><owl:sourceIndividual rdf:resource="#i"/><owl:assertionProperty rdf:resource="#p"/><owl:targetIndividual rdf:resource="#j"/></owl:NegativePropertyAssertion>
+</rdf:RDF>"""
+
+
+@pytest.fixture(scope="module")
+def derived(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("derived")
+    (top / "three.owl").write_text(THIRD)
+    (top / "c.json").write_text(json.dumps({"ontologies": [{"id": "three", "ontology_purl": str(top / "three.owl"), "preferredPrefix": "THREE", "base_uri": ["http://t/three#"], "hierarchical_property": "http://t/three#p"}]}))
+    registry = spark.createDataFrame([("ex", "ex", r"\d+", "http://ex/$1", "http://ex/")], "database string, prefix string, pattern string, uri_format string, uri_prefix string")
+    return load(spark, config.with_sources(config.merged_configs(spark, [str(top / "c.json")])), registry=registry)
+
+
+def test_derived_fields_of_documents(derived):
+    by = {r["iri"].split("#")[-1]: r for r in derived.documents.where("type[0] <> 'ontology'").collect()}
+    names = lambda n, f: [x.split("#")[-1] for x in by[n][f] or []]
+    # ancestors: C and D are on a cycle, so each is above itself; individuals by their types; only classes have hierarchical ones
+    assert names("C", "directAncestor") == ["A", "B", "C", "D"] and names("i", "directAncestor") == ["A", "B", "C", "D"] and names("A", "directAncestor") == []
+    assert names("E", "hierarchicalAncestor") == ["A", "B", "C", "D"] and names("E", "directAncestor") == [] and names("i", "hierarchicalAncestor") == [] and names("q", "directAncestor") == ["p"]
+    # every named node below counts, individuals too where they have parents of that kind
+    assert {n: (by[n]["numDescendants"], by[n]["numHierarchicalDescendants"]) for n in "ABCDEpi"} == {"A": (4, 4), "B": (3, 3), "C": (3, 3), "D": (3, 3), "E": (0, 0), "p": (1, 0), "i": (0, 0)}
+    assert names("p", "inverseOf") == ["q"] and names("q", "inverseOf") == ["p"]
+    assert names("B", "equivalentClass") == ["E"] and names("E", "equivalentClass") == ["B"] and names("C", "equivalentClass") == []
+    assert names("A", "disjointWith") == ["B", "E"] and names("D", "disjointWith") == ["A"] and names("E", "disjointWith") == ["A", "B"]
+    assert names("i", "differentFrom") == ["j"] and names("j", "differentFrom") == ["i"] and names("k", "differentFrom") == []
+    assert by["i"]["negativePropertyAssertions"] == {"http://t/three#p": ["http://t/three#j"]} and not by["j"]["negativePropertyAssertions"]
+
+
+def test_linked_entities_of_documents(derived):
+    rows = derived.with_links()
+    assert rows.count() == derived.documents.count() and rows.columns == [*derived.documents.columns, "linkedEntities"]
+    by = {r["iri"].split("#")[-1]: {x["s"]: x for x in r["linkedEntities"]} for r in rows.collect()}
+    c = by["C"]
+    assert "http://t/three#C" not in c and {"http://t/three#A", "http://t/three#B", "http://t/three#D", "http://ex/5"} <= set(c)
+    assert (c["http://t/three#A"]["label"], c["http://t/three#A"]["defined_by"], c["http://t/three#A"]["types"], c["http://t/three#A"]["has_local_definition"]) == ("alpha, see EX:77", ["three"], ["class"], True)
+    assert (c["http://ex/5"]["url"], c["http://ex/5"]["curie"]) == ("http://ex/5", "ex:5")
+    assert by["A"]["EX:77"]["url"] == "http://ex/77" and by["k"] == {}
