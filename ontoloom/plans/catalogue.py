@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, mapping, reach, search, shape, textindex
+from ontoloom.operators import derive, display, export, graph, link, mapping, reach, search, shape, textindex, treepage
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -98,6 +98,33 @@ def interval_descendant_counts(t):
     return reach.build(entities(t), edges(t, "directParent", "part_of").select("src", "dst")).descendant_counts()
 
 
+_MANY = """many as (select 'nation:' || n_nationkey as src, 'region:' || n_regionkey as dst from nation union all select 'supplier:' || s_suppkey, 'nation:' || s_nationkey from supplier
+union all select distinct 'part:' || l_partkey, 'supplier:' || l_suppkey from lineitem union all select 'part:' || p_partkey, 'type:' || p_type from part union all select 'part:' || p_partkey, 'brand:' || p_brand from part),
+walk as (select distinct dst as node, [dst] as path from many where dst not in (select src from many) union all select src, list_append(path, src) from walk join many on dst = node)"""
+
+
+def _supply(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Parts below their suppliers, types and brands; suppliers below nations, and these below regions: several ways to a part."""
+    up = edges(t, "directParent", "part_of", "supplied_by").where("src like 'nation:%' or src like 'supplier:%' or src like 'part:%'").select("src", "dst")
+    dag = treepage.acyclic(up)
+    return dag, dag.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+@query(f"with recursive {_MANY} select node as id, count(*) as n from walk group by 1")
+def tree_path_counts(t):
+    dag, nodes = _supply(t)
+    return treepage.path_counts(nodes, dag).select("id", F.col("n").cast("long").alias("n"))
+
+
+@query(f"""with recursive {_MANY}, f as (select node as focus, path, row_number() over (partition by node order by list_reverse(path)) - 1 as k from walk where node like 'part:%')
+select focus, k, array_to_string(path, '>') as path from f where k between 3 and 6""")
+def tree_page(t):
+    """Of every part, its paths number 3 to 6: a page of a tree is the feature here."""
+    dag, nodes = _supply(t)
+    found = treepage.paths(nodes.where("id like 'part:%'"), dag, treepage.path_counts(nodes, dag), 3, 4)
+    return found.select("focus", "k", F.array_join("path", ">").alias("path"))
+
+
 _RING = "ring as (select 'customer:' || c_custkey as src, 'nation:' || c_nationkey as dst from customer union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation union all select 'region:' || r_regionkey, 'region:' || ((r_regionkey + 1) % 5) from region)"
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.text import highlighted, marked_tokens, path_id
 from ontoloom.functions.vocabulary import SUBCLASS, TYPE
-from ontoloom.operators import graph, search, textindex
+from ontoloom.operators import graph, search, textindex, treepage
 from ontoloom.operators.search import BEST, EDGES, EVERY, HELD, LOWER_TOKENS, PHRASE, SPACE_EDGES, SUM, WHOLE, SearchSpec
+from ontoloom.plans.staging import staged
 
 DIRECT, HIERARCHICAL = ("directParent",), ("hierarchicalParent",)
 #: Relation of an entity -> (edge types, against the edges, any number of steps).
@@ -198,6 +199,17 @@ class Service:
         up = self.edges.where(F.col("edge_type").isin(types)).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
         return graph.js_tree(nodes, up.select("src", "dst").distinct())
 
+    def js_tree_page(self, kind: str, ontology: str, iri: str, start: int = 0, size: int = 20) -> tuple[int, DataFrame]:
+        """How many paths lead from the roots to an entity, and the rows of ``js_tree`` for a page of them; the other paths are never built."""
+        focus = staged(self._of(kind, ontology).where(F.col("iri") == iri).select("id"), "focus")
+        types = list(HIERARCHICAL if kind == "class" else DIRECT)
+        nodes = staged(graph.reach_from(self.edges, focus, types).select("id").union(focus).distinct(), "above")
+        up = self.edges.where(F.col("edge_type").isin(types)).join(nodes.withColumnRenamed("id", "src"), "src", "left_semi")
+        dag = treepage.acyclic(up)
+        counts = treepage.path_counts(nodes, dag)
+        total = counts.join(focus, "id", "left_semi").first()
+        return int(total["n"]) if total else 0, treepage.tree_rows(treepage.paths(focus, dag, counts, start, min(size, search.PAGE_LIMIT)))
+
     def js_tree_children(self, kind: str, ontology: str, iri: str, node_id: str) -> DataFrame:
         """(id, node_id, parent_id, has_children): the children of an entity at the place ``node_id`` of a tree that ``js_tree`` gave."""
         kids = self.related(kind, ontology, iri, "hierarchicalChildren" if kind == "class" else "children")
