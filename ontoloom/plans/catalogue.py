@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, mapping, reach, search, shape, textindex, treepage
+from ontoloom.operators import derive, display, export, graph, link, mapping, nested, reach, search, shape, textindex, treepage
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -477,6 +477,17 @@ def xref_parse(t):
 # --- exports and merges -----------------------------------------------------------------------------------------------
 
 
+@query("""select event_id as id, 'kind' as field, 0 as pos, event_type as value from events
+union all select event_id, 'http__//x/k', 0, props->>'$.k' from events union all select event_id, 'both', 0, 'a' from events union all select event_id, 'both', 1, event_type from events""")
+def nested_search_values(t):
+    """Events as nested documents: a plain object holds nothing to search, wrapped values count, lists keep their order."""
+    literal = lambda v: F.concat(F.lit('{"type":["literal"],"value":'), v, F.lit("}"))
+    kind, k = F.concat(F.lit('"'), "event_type", F.lit('"')), F.get_json_object("props", "$.k")
+    wrapped = F.concat(F.lit('{"type":["reification"],"axioms":[],"value":'), literal(k), F.lit("}"))
+    doc = F.concat(F.lit('{"kind":'), kind, F.lit(',"plain":'), "props", F.lit(',"http://x/k":'), wrapped, F.lit(',"both":["a",'), literal(kind), F.lit("]}"))
+    return nested.search_values(t.events.select(F.col("event_id").alias("id"), doc.alias("doc")))
+
+
 @query("select event_id, event_type, props->>'$.k' as k, cast(props->>'$.k' as integer) % 2 = 0 as even from events")
 def json_flatten(t):
     k = F.get_json_object("props", "$.k")
