@@ -1,6 +1,8 @@
 """The corpus pipeline: documents to packed training sequences, in stages that each call one operator of ``ontoloom.llm``.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written and read again as the next stage's docs.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written and read again as the next stage's docs. All stages
+but the last return the columns of documents, of any type and name, and an empty table for an empty one. Rows are told apart by doc_id and
+text, so null or repeated ids cost no other row.
 """
 
 from __future__ import annotations
@@ -14,30 +16,30 @@ from ontoloom.session import shared_dir, ship_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages go."""
+    """Documents in none of the learned languages go, and so do null texts and texts without a letter. Repeated rows share their fate; a null doc_id changes nothing."""
     ship_package(spark)
     return langid.keep_known_language(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays, a null one only where there is no other. Null counts as the empty text; of rows alike in both, any one stays."""
     return exact.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the least doc_id stays."""
+    """Of each group of near duplicates the least doc_id stays, null last; ties go to the least text hash. Texts without words are one group; rows alike in id and text leave one."""
     ship_package(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go. A null text or item has no words and contaminates nothing; repeated rows go or stay together."""
     ship_package(spark)
     return winnow.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in a sequence."""
+    """Pieces of all documents with their place in a sequence. A null text is empty, its end id one piece; repeated rows are packed each."""
     ship_package(spark)
     return packing.pack_documents(docs)
 
