@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Rows of a page at most.
@@ -205,6 +205,15 @@ def collapsed(df: DataFrame, by: str, key: str = "id") -> DataFrame:
     return df.groupBy(F.col(by).alias("__by")).agg(best.alias("r")).select("r.*")
 
 
+def expanded(df: DataFrame, by: str, rows: int = 100, key: str = "id") -> DataFrame:
+    """Each group's best row (place 0) and up to ``rows`` more, by score, then key; column ``place`` counts them.
+
+    A task keeps only a group's first rows before they meet, so a common value costs its tasks times ``rows`` and no more.
+    """
+    own = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(key))
+    return df.withColumn("place", F.row_number().over(own)).where(F.col("place") <= rows + 1).withColumn("place", F.col("place") - 1)
+
+
 def suggest(df: DataFrame, text: str, label: str = "label") -> DataFrame:
     """(label, score) by label that begins with the text or holds a word that does, highest score first."""
     low, begin = F.lower(label), text.lower()
@@ -220,6 +229,13 @@ def subtree(df: DataFrame, pairs: DataFrame, top: list[str], inclusive: bool = F
     return df.join(below.distinct(), "id", "left_semi")
 
 
+def answered(hits: DataFrame, start: int, rows: int, order: list | None = None, key: str = "id") -> dict:
+    """A page in its wrapper: rows and their total from one job, as the rows that the page is cut from are counted on their way."""
+    seen = Observation()
+    elements = page(hits.observe(seen, F.count(F.lit(1)).alias("total")), start, rows, order, key).collect()
+    return envelope(seen.get["total"], start, rows, [r.asDict(recursive=True) for r in elements])
+
+
 def envelope(total: int, start: int, rows: int, elements: list) -> dict:
     """The page wrapper of API answers."""
     rows = max(1, min(rows, PAGE_LIMIT))

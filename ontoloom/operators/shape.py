@@ -147,10 +147,10 @@ def _records(labels: DataFrame, shorts: DataFrame, definitions: DataFrame | None
     return out.select(*shown)
 
 
-def ontologies(configs: DataFrame, nodes: DataFrame, props: DataFrame, counts: DataFrame) -> DataFrame:
-    """Legacy records of ontologies: config (map of JSON texts), title, description, version, counts, languages and status.
+def ontologies(configs: DataFrame, nodes: DataFrame, props: DataFrame, counts: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Legacy records of ontologies: config (map of JSON texts), title, description, version, counts, languages, status, and when loaded and updated.
 
-    ``nodes`` is ``derive.ontology_nodes``, ``counts`` ``derive.counters``. What the ontology itself states as dc:title and dc:description
+    ``times`` has ontology_id, loaded and sourceFileTimestamp, as a load's ontologies do; without it both are null. ``nodes`` is ``derive.ontology_nodes``, ``counts`` ``derive.counters``. What the ontology itself states as dc:title and dc:description
     stands before the config's; of several values the alphabetically first. The version is the ontology's versionInfo.
     """
     own = nodes.select("ontology_id", F.col("iri").alias("id"))
@@ -161,9 +161,12 @@ def ontologies(configs: DataFrame, nodes: DataFrame, props: DataFrame, counts: D
     plain = lambda n: F.get_json_object(F.concat(F.lit('{"x":'), F.col("config")[n], F.lit("}")), "$.x")
     out = configs.join(own.withColumnRenamed("id", "iri"), "ontology_id", "left").join(stated, "ontology_id", "left").join(counts, "ontology_id", "left")
     zero = F.lit(0).cast("long")
+    when = times.select("ontology_id", "loaded", F.col("sourceFileTimestamp").alias("updated")) if times is not None else None
+    none = F.lit(None).cast("timestamp")
+    out = out.join(when, "ontology_id", "left") if when is not None else out.withColumns({"loaded": none, "updated": none})
     return out.select(
         "ontology_id", "iri", F.coalesce("t", plain("title")).alias("title"), F.coalesce("d", plain("description")).alias("description"), "version", "version_iri",
         plain("preferredPrefix").alias("preferred_prefix"), F.coalesce(plain("label_property"), F.lit(V.LABEL)).alias("label_property"),
         *[F.coalesce(c, zero).alias(f"number_of_{n}") for c, n in (("classes", "terms"), ("properties", "properties"), ("individuals", "individuals"))],
-        "languages", F.lit("LOADED").alias("status"), "config",
+        "languages", F.lit("LOADED").alias("status"), "loaded", "updated", "config",
     )

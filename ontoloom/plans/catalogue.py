@@ -263,11 +263,20 @@ def phrase_search(t):
     return _indexed(docs, spec).search(docs, spec).select("id", "score")
 
 
+@query("""select p_brand as brand, p_partkey as id, p_retailprice as score, cast(row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) - 1 as integer) as place
+from part qualify place <= 7""")
+def expanded_groups(t):
+    """The best part of each brand and seven more: the first of a group are the feature here."""
+    parts = t.part.select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    return search.expanded(parts, "brand", 7)
+
+
 @query("select p_partkey as id, p_name as label from part where p_name = (select min(p_name) from part)")
 def exact_match_lookup(t):
-    first = t.part.agg(F.min("p_name").alias("wanted"))
+    wanted = t.part.agg(F.min("p_name")).first()[0]
     parts = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return parts.join(F.broadcast(first), F.col("label") == F.col("wanted"), "left_semi")
+    spec = search.SearchSpec(wanted, exact=True, fields=(("label", 1.0, search.LOWER_TOKENS),))
+    return search.search(parts, spec).select("id", "label")
 
 
 @query(r"""with l as (select p_name as label, lower(p_name) as low, list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda w: starts_with(w, 'b')) as hit from part)

@@ -156,11 +156,12 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
     notes = shape.annotations(props.where("kind <> 'bnode'"), labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label")), NOT_NOTES)
     documents = staged(_documents(reduce(DataFrame.union, fields), kinds, nodes, tops, config, notes), "documents")
     edges = staged(_edges(values, kinds, direct, upward, relations), "edges")
+    ontologies = staged(_ontologies(configs, tops, triples), "loaded")  # the time of this load, not of a later look
     mentions = staged(_mentions(props, kinds), "mentions")
     known = registry if registry is not None else spark.createDataFrame([], REGISTRY)
     spaces = config.select("prefix", F.explode("base_uris").alias("base")).where("prefix is not null").distinct()
     linked = staged(link.linked_entities(mentions.select("ontology_id", "s"), entities, definers, known, spaces, databases, links), "linked")
-    return Load(triples, nodes, values, kinds, documents, edges, _ontologies(configs, tops, triples), link.import_pairs(entities, definers), definers, linked, mentions)
+    return Load(triples, nodes, values, kinds, documents, edges, ontologies, link.import_pairs(entities, definers), definers, linked, mentions)
 
 
 def _role(roles: DataFrame, role: str) -> DataFrame:
@@ -288,5 +289,6 @@ def _edges(values: DataFrame, kinds: DataFrame, direct: DataFrame, upward: DataF
 
 
 def _ontologies(configs: DataFrame, tops: DataFrame, triples: DataFrame) -> DataFrame:
-    """(ontology_id, iri, stated, config, classes, properties, individuals, entities, languages)."""
-    return configs.select("ontology_id", "config").join(tops, "ontology_id").join(derive.counters(triples), "ontology_id", "left")
+    """(ontology_id, iri, stated, config, classes, properties, individuals, entities, languages, loaded, sourceFileTimestamp)."""
+    own = configs.select("ontology_id", "config").join(tops, "ontology_id").join(derive.counters(triples), "ontology_id", "left")
+    return own.join(rdf.file_times(configs), "ontology_id", "left").withColumn("loaded", F.current_timestamp()).select(*own.columns, "loaded", "sourceFileTimestamp")

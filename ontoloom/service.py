@@ -55,10 +55,19 @@ SEARCH_FACETS = ("ontologyId", "ontologyIri", "ontologyPreferredPrefix", "type",
 
 @dataclass(frozen=True)
 class Answer:
-    """All hits with their score; ``page`` cuts one, ``total`` counts them, ``facets`` counts values."""
+    """All hits with their score; ``page`` cuts one, ``total`` counts them, ``response`` does both in one job, ``facets`` counts values.
+
+    Where hits were grouped, ``expanded`` has each group's first rows, the hit itself in place 0.
+    """
 
     hits: DataFrame
     facets: DataFrame | None = None
+    expanded: DataFrame | None = None
+
+    def response(self, number: int = 0, size: int = 20) -> dict:
+        """A page as API answers wrap it: page, numElements, totalPages, totalElements, elements."""
+        size = max(1, min(size, search.PAGE_LIMIT))
+        return search.answered(self.hits, number * size, size)
 
     def total(self) -> int:
         return self.hits.count()
@@ -191,6 +200,26 @@ class Service:
         focus = self._of("class", ontology).where(F.col("iri") == iri).select("id")
         return graph.neighbourhood(self.edges, focus, ["directParent", "relatedTo"], ["directParent", "relatedTo"])
 
+    def term_graph(self, ontology: str, iri: str) -> tuple[DataFrame, DataFrame]:
+        """Nodes (iri, label) and edges (source, target, uri, label) around a class: its direct parents and children, and what is related either way.
+
+        An edge's uri is its property, else subClassOf; its label is the property's, in the same ontology if that has one, else "is a". Labels of several
+        texts show the alphabetically first. Ends that are no documents have no node.
+        """
+        focus = self._of("class", ontology).where(F.col("iri") == iri).select("id")
+        kept = self.edges.where(F.col("edge_type").isin("directParent", "relatedTo"))
+        out, into = kept.join(focus.withColumnRenamed("id", "src"), "src", "left_semi"), kept.join(focus.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        uri = F.coalesce(F.try_element_at(F.try_element_at("props", F.lit("property")), F.lit(1)), F.lit(SUBCLASS)) if "props" in kept.columns else F.lit(SUBCLASS)
+        around = staged(out.unionByName(into).select("src", "dst", uri.alias("uri")).distinct(), "around")
+        shown = self.documents.select("id", "iri", F.array_min(search.values_of(self.documents, "label")).alias("label"), "ontologyId")
+        ends = around.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        nodes = staged(shown.join(ends, "id", "left_semi").select("id", "iri", "label"), "nodes")
+        own = F.struct((F.col("ontologyId") != ontology.lower()).alias("other"), "ontologyId", "label")
+        named = shown.where("label is not null").join(around.select(F.col("uri").alias("iri")).distinct(), "iri", "left_semi").groupBy(F.col("iri").alias("uri")).agg(F.min(own)["label"].alias("label"))
+        a, b = (nodes.select(F.col("id").alias(end), F.col("iri").alias(name)) for end, name in (("src", "source"), ("dst", "target")))
+        edges = around.join(a, "src").join(b, "dst").join(named, "uri", "left").select("source", "target", "uri", F.coalesce("label", F.lit("is a")).alias("label"))
+        return nodes.select("iri", "label"), edges.distinct()
+
     def js_tree(self, kind: str, ontology: str, iri: str) -> DataFrame:
         """(id, node_id, parent_id, depth): the paths from the roots down to an entity, over it and its hierarchical ancestors."""
         focus = self._of(kind, ontology).where(F.col("iri") == iri).select("id")
@@ -233,7 +262,7 @@ class Service:
         return docs
 
     def search(self, text: str, fields: str | None = None, exact: bool = False, group: bool = False, facets: bool = False, **limits) -> Answer:
-        """The legacy search: weighted fields, boosts, restrictions (see ``_restricted``), one hit for each IRI if grouped.
+        """The legacy search: weighted fields, boosts, restrictions (see ``_restricted``), one hit for each IRI if grouped, with up to 100 more beside it.
 
         ``exact``: every word is a whole token of some field, in any case, and the text as a phrase raises a hit; with ``fields``, the text is
         a phrase of one of them, each a point. ``obsolete=True`` gives obsolete ones only; facets are counted over the hits.
@@ -249,7 +278,7 @@ class Service:
             spec = SearchSpec(text, False, self._have(tuple((n, w, SPACE_EDGES) for n, w in SEARCH_FIELDS)), self._have(SEARCH_BOOSTS))
         hits = self._search(self._restricted(**limits), spec)
         counts = search.facets(hits, SearchSpec(facets=tuple(f for f in SEARCH_FACETS if f in self._names))) if facets else None
-        return Answer(search.collapsed(hits, "iri") if group else hits, counts)
+        return Answer(search.collapsed(hits, "iri"), counts, search.expanded(hits, "iri")) if group else Answer(hits, counts)
 
     def select(self, text: str, **limits) -> Answer:
         """The legacy autocomplete over entities: every word of the text begins a word of some field.

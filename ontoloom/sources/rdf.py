@@ -355,3 +355,15 @@ def with_imports(spark: SparkSession, files: DataFrame, resolve: dict[str, str])
 def imports_closure(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> DataFrame:
     """The files of ``with_imports``."""
     return with_imports(spark, files, resolve)[0]
+
+
+def file_times(configs: DataFrame) -> DataFrame:
+    """(ontology_id, sourceFileTimestamp): when each ontology's own file (column path) was last changed. Contents are not read."""
+    spark = configs.sparkSession
+    paths = [r["path"] for r in configs.select("path").where("path is not null").distinct().collect()]  # one an ontology
+    if not paths:
+        return configs.select("ontology_id", F.lit(None).cast("timestamp").alias("sourceFileTimestamp")).where("false")
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    files = spark.read.format("binaryFile").load(paths).select(bare("path").alias("__file"), "modificationTime")
+    named = configs.where("path is not null").select("ontology_id", bare("path").alias("__file"))
+    return named.join(files, "__file").groupBy("ontology_id").agg(F.max("modificationTime").alias("sourceFileTimestamp"))

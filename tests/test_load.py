@@ -217,3 +217,15 @@ def test_linked_entities_of_documents(derived):
     assert (c["http://t/three#A"]["label"], c["http://t/three#A"]["defined_by"], c["http://t/three#A"]["types"], c["http://t/three#A"]["has_local_definition"]) == ("alpha, see EX:77", ["three"], ["class"], True)
     assert (c["http://ex/5"]["url"], c["http://ex/5"]["curie"]) == ("http://ex/5", "ex:5")
     assert by["A"]["EX:77"]["url"] == "http://ex/77" and by["k"] == {}
+
+
+def test_times_of_a_load(derived):
+    (row,) = derived.ontologies.collect()
+    assert row["loaded"] >= row["sourceFileTimestamp"] and row["classes"] == 5
+    configs = derived.ontologies.select("ontology_id", "config")
+    counts = derived.ontologies.select("ontology_id", "classes", "properties", "individuals", "entities", "languages")
+    nodes = derived.ontologies.select("ontology_id", "iri", "stated")
+    (got,) = shape.ontologies(configs, nodes, derive.prop_table(derived.triples), counts, derived.ontologies).collect()
+    assert (got["loaded"], got["updated"], got["number_of_terms"], got["preferred_prefix"]) == (row["loaded"], row["sourceFileTimestamp"], 5, "THREE")
+    (got,) = shape.ontologies(configs, nodes, derive.prop_table(derived.triples), counts).collect()
+    assert got["loaded"] is None and got["updated"] is None

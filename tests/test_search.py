@@ -43,3 +43,28 @@ def test_scores_once_and_pages(spark):
     assert [r["id"] for r in search.page(hits, 1, 10).collect()] == [2]
     assert hits.columns == ["id", "label", "score"]
     assert search.search(df, search.SearchSpec()).agg(F.sum("score")).first()[0] == 4.0
+
+
+def test_groups_expand_from_their_first_rows(spark):
+    rows = [(i, f"g{i % 3}" if i % 5 else "hot", float(i % 7)) for i in range(200)] + [(900, None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, g string, score double")
+    out = search.expanded(df, "g", 4)
+    want = []
+    for g in {r[1] for r in rows}:
+        want += [(*r, k) for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))[:5])]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()  # cut before the shuffle
+
+
+def test_page_and_total_in_one_job(spark):
+    df = spark.createDataFrame([(i, f"word{i % 4}", float(i % 9)) for i in range(57)], "id int, label string, score double").repartition(5)
+    spark.sparkContext.setJobGroup("one-page", "page and total")
+    got = search.answered(df, 20, 10)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one-page")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = sorted(((r["score"], r["id"]) for r in df.collect()), key=lambda x: (-x[0], x[1]))[20:30]
+    assert [(e["score"], e["id"]) for e in got["elements"]] == want
+    assert {k: got[k] for k in ("page", "numElements", "totalPages", "totalElements")} == {"page": 2, "numElements": 10, "totalPages": 6, "totalElements": 57}
+    assert len(jobs) <= 2  # at most the shuffle's map stage beside the page itself
+    nothing = search.answered(df.where("id < 0"), 0, 10)
+    assert nothing == {"page": 0, "numElements": 0, "totalPages": 0, "totalElements": 0, "elements": []}

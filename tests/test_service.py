@@ -126,3 +126,15 @@ def test_legacy_field_names():
     assert v1_field("short_form") == ("shortForm", 1.0, SPACE_EDGES)
     for dropped in ("id", "ontologyId", "logical_description", "nothing_s"):
         assert v1_field(dropped) is None
+
+
+def test_term_graph(spark):
+    docs = [(f"o+class+{n}", n, "o", ["class"], [f"label {n}"]) for n in "abcde"] + [("o+property+p", "p", "o", ["property"], ["part of", "Part"]), ("z+property+p", "p", "z", ["property"], ["another"]), ("z+property+q", "q", "z", ["property"], ["near"])]
+    edges = [("o+class+b", "directParent", "o+class+a", None), ("o+class+c", "directParent", "o+class+b", None), ("o+class+b", "relatedTo", "o+class+d", {"property": ["p"]}), ("o+class+e", "relatedTo", "o+class+b", {"property": ["q"]}), ("o+class+e", "relatedTo", "o+class+b", {"property": ["r"]}), ("o+class+d", "directParent", "o+class+a", None), ("o+class+b", "hierarchicalParent", "o+class+a", None)]
+    service = Service(spark.createDataFrame(docs, "id string, iri string, ontologyId string, type array<string>, label array<string>"), spark.createDataFrame(edges, "src string, edge_type string, dst string, props map<string, array<string>>"))
+    nodes, around = service.term_graph("O", "b")
+    assert {tuple(r) for r in nodes.collect()} == {(n, f"label {n}") for n in "abcde"}
+    up = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
+    assert sorted(tuple(r) for r in around.collect()) == [("b", "a", up, "is a"), ("b", "d", "p", "Part"), ("c", "b", up, "is a"), ("e", "b", "q", "near"), ("e", "b", "r", "is a")]
+    nodes, around = service.term_graph("o", "nothing")
+    assert nodes.isEmpty() and around.isEmpty()
