@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions import text, vocabulary as V
 from ontoloom.operators.closure import closure, list_positions
+from ontoloom.operators.reach import strong_components
+from ontoloom.plans.staging import staged
 
 KEY = ["ontology_id", "id"]
 VALUE = ["kind", "value", "datatype", "lang"]
@@ -212,7 +214,7 @@ def axioms(props: DataFrame) -> DataFrame:
 def reified(props: DataFrame, found: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
     """``props`` with an array ``axioms`` of annotation maps; a target that no value equals is appended as a value of its own.
 
-    Blank nodes are equal where their trees are, by ``canonical`` (``expression_hashes``); without it, or on a cycle, where their ids are.
+    Blank nodes are equal where their trees are, by ``canonical`` (``expression_hashes``); without it where their ids are.
     """
     by = [*KEY, "predicate", "kind", "__same"]
     props, found = _with_same(props, canonical), _with_same(found, canonical)
@@ -285,28 +287,107 @@ def has_individuals(nodes: DataFrame, props: DataFrame) -> DataFrame:
 
 
 def expression_hashes(props: DataFrame) -> DataFrame:
-    """(…, canonical): a hash of the tree below each blank node, equal for trees of equal shape and values.
+    """(…, canonical): a hash of what hangs from each blank node, equal for graphs of equal shape and values, whatever their nodes' names.
 
-    Bottom-up: a node is hashed once all blank nodes it names are, a list as a whole; nodes on a cycle never are, and are left out.
+    Bottom-up: a node is hashed once all blank nodes it names are, a list as a whole. What is left then is on or above cycles; a set of nodes that
+    reach each other, and reach no other unhashed ones, is hashed by refinement (``_hashed_cycles``), and what is above it goes on bottom-up.
     """
-    from ontoloom.plans.staging import staged
-
     own = staged(flat_lists(props).where(F.col("id").startswith("_:")), "expressions")
-    done = None
+    done, comps = _ready(own, None), None
+    while True:
+        done = _bottom_up(own, done)
+        left = own.join(done, KEY, "left_anti")
+        if left.isEmpty():
+            return done
+        if comps is None:  # the same throughout: what is hashed takes no part in a cycle of the rest
+            mark = lambda c: F.concat_ws(" ", "ontology_id", c)
+            found = strong_components(left.where("kind = 'bnode'").select(mark("id").alias("src"), mark("value").alias("dst")))
+            loops = left.where("kind = 'bnode' and id = value").select("ontology_id", "id").distinct()
+            split = found.select(F.substring_index("id", " ", 1).alias("ontology_id"), F.substring_index("id", " ", -1).alias("id"), "comp")
+            alone = loops.join(split, KEY, "left_anti").select(*KEY, mark("id").alias("comp"))
+            comps = staged(split.union(alone), "cycles")
+        new = _hashed_cycles(own, done, comps)
+        if new.isEmpty():  # what names blank nodes of no statements
+            return done
+        done = staged(done.union(new), "canonical")
+
+
+def _named(own: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Statements with ``canonical``: the value itself, of a blank node its hash, null where it has none yet. A blank node without statements counts by that alone."""
+    if done is None:
+        return own.withColumn("canonical", F.when(F.col("kind") != "bnode", F.col("value")))
+    names = done.select("ontology_id", F.col("id").alias("value"), "canonical")
+    rows = own.join(names, ["ontology_id", "value"], "left")
+    return rows.withColumn("canonical", F.when(F.col("kind") == "bnode", F.col("canonical")).otherwise(F.col("value")))
+
+
+def _hash_of(rows: DataFrame) -> DataFrame:
+    line = F.struct("predicate", "pos", F.when(F.col("kind") == "bnode", "bnode").otherwise(F.col("kind")).alias("k"), "canonical", "datatype", "lang")
+    return rows.groupBy(*KEY).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(line))), 256).alias("canonical"))
+
+
+def _ready(own: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Hashes of the nodes that are not done and whose blank nodes all are."""
+    rest = _named(own if done is None else own.join(done, KEY, "left_anti"), done)
+    return staged(_hash_of(rest.join(rest.where("canonical is null and kind = 'bnode'").select(*KEY).distinct(), KEY, "left_anti")), "canonical")
+
+
+def _bottom_up(own: DataFrame, done: DataFrame) -> DataFrame:
+    while True:
+        new = _ready(own, done)
+        if new.isEmpty():
+            return done
+        done = done.union(new)
+
+
+def _hashed_cycles(own: DataFrame, done: DataFrame, comps: DataFrame) -> DataFrame:
+    """(…, canonical) of the cycles (comp) that name no unhashed node outside.
+
+    Colours: each node's statements, with the colours that its neighbours in the cycle had a round before, until a cycle's number of colours no
+    longer grows. Nodes that are still alike are told apart by where they are seen from: a node's hash is its colour, then, with the node marked, the
+    colours that the cycle refines to. Rounds are a matter of each cycle alone, so equal cycles have equal hashes anywhere.
+    """
+    rows = _named(own.join(done, KEY, "left_anti"), done).join(comps, KEY)
+    other = comps.select("ontology_id", F.col("id").alias("value"), F.col("comp").alias("to"))
+    rows = rows.join(other, ["ontology_id", "value"], "left").withColumn("inner", (F.col("kind") == "bnode") & F.col("canonical").isNull() & F.col("to").eqNullSafe(F.col("comp")))
+    blocked = rows.where("kind = 'bnode' and canonical is null and not inner").select("comp").distinct()
+    rows = staged(rows.join(blocked, "comp", "left_anti"), "cycle-rows")
+    if rows.isEmpty():
+        return done.where("false")
+    plain = _refined(rows.withColumn("root", F.lit("")), None)
+    nodes = rows.select(*KEY, "comp").distinct()
+    # every node of a cycle as root: a cycle of n nodes is looked at n times, n being what one expression holds
+    roots = nodes.select("comp", F.col("id").alias("root"))
+    seen = _refined(rows.join(roots, "comp"), plain)
+    shown = F.sha2(F.to_json(F.sort_array(F.collect_list("colour"))), 256)
+    views = seen.groupBy("ontology_id", F.col("root").alias("id")).agg(shown.alias("view"))
+    return staged(plain.join(views, KEY).select(*KEY, F.sha2(F.concat_ws(" ", F.lit("cycle"), "colour", "view"), 256).alias("canonical")), "canonical")
+
+
+def _refined(rows: DataFrame, start: DataFrame | None) -> DataFrame:
+    """(…, root, comp, colour) of the nodes of cycles, a colouring for each (comp, root), refined until it has no more colours than the round before."""
+    key = [*KEY, "comp", "root"]
+    first = rows.select(*key).distinct()
+    if start is not None:
+        first = first.join(start.select(*KEY, "colour"), KEY)
+    base = F.col("colour") if start is not None else F.lit("")
+    now = staged(first.select(*key, F.when(F.col("id") == F.col("root"), F.concat(F.lit("root "), base)).otherwise(base).alias("colour")), "colours")
+    counts = now.groupBy("comp", "root").agg(F.count_distinct("colour").alias("n"))
+    open_, out = now, None
     while True:
-        if done is None:
-            ready = own.join(own.where("kind = 'bnode'").select(*KEY).distinct(), KEY, "left_anti").withColumn("canonical", F.col("value"))
-        else:
-            names = done.select("ontology_id", F.col("id").alias("value"), F.col("canonical"))
-            rest = own.join(done, KEY, "left_anti").join(names, ["ontology_id", "value"], "left")
-            rest = rest.withColumn("canonical", F.when(F.col("kind") == "bnode", F.col("canonical")).otherwise(F.col("value")))
-            ready = rest.join(rest.where("canonical is null and kind = 'bnode'").select(*KEY).distinct(), KEY, "left_anti")
-        line = F.struct("predicate", "pos", F.when(F.col("kind") == "bnode", "bnode").otherwise(F.col("kind")).alias("k"), "canonical", "datatype", "lang")
-        new = staged(ready.groupBy(*KEY).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(line))), 256).alias("canonical")), "canonical")
-        if done is not None and new.isEmpty():
-            break
-        done = new if done is None else done.union(new)
-    return done
+        told = open_.select("ontology_id", F.col("id").alias("value"), "comp", "root", F.col("colour").alias("far"))
+        own = rows.join(open_.select("comp", "root").distinct(), ["comp", "root"], "left_semi").join(told, ["ontology_id", "value", "comp", "root"], "left")
+        line = F.struct("predicate", "pos", "kind", F.when(F.col("inner"), F.col("far")).otherwise(F.col("canonical")).alias("c"), "datatype", "lang")
+        lines = own.groupBy(*key).agg(F.to_json(F.sort_array(F.collect_list(line))).alias("lines"))
+        new = staged(lines.join(open_, key).select(*key, F.sha2(F.concat_ws(" ", "colour", "lines"), 256).alias("colour")), "colours")
+        after = staged(new.groupBy("comp", "root").agg(F.count_distinct("colour").alias("n")), "colour-counts")
+        grown = after.join(counts.withColumnRenamed("n", "was"), ["comp", "root"]).where("n > was").select("comp", "root")
+        ended = new.join(grown, ["comp", "root"], "left_anti")
+        out = ended if out is None else out.union(ended)
+        open_ = staged(new.join(grown, ["comp", "root"], "left_semi"), "colours")
+        if open_.isEmpty():
+            return staged(out, "coloured")
+        counts = after
 
 
 def ontology_nodes(nodes: DataFrame, props: DataFrame, config: DataFrame) -> DataFrame:
