@@ -2,8 +2,8 @@
 
 ``triples(spark, files)`` reads (ontology_id, file_rank, path) rows by Spark's own readers, so any store that Spark reads will do, and gives
 ontology_id, file_rank, seq, s, s_bnode, p, o_kind, o, datatype, lang. N-Triples (paths that end in .nt, or .nt with a compression Spark knows) are read by
-line and split over tasks. Any other file is parsed by one task, which holds its bytes and one top-level element or statement at a time; such
-files are many, and parsed side by side. A large dump should come as N-Triples.
+line and split over tasks. Any other file of up to ``WHOLE_BYTES`` is parsed by one task, which holds its bytes and one top-level element or statement
+at a time; such files are many, and parsed side by side. Larger ones are cut into ranges that are parsed side by side (``rdfranges``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from io import BytesIO
+from itertools import islice
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.functions.vocabulary import FIRST, NIL, RDF, REST, TYPE, XSD
+from ontoloom.sources import rdfranges
 
 XML = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
@@ -28,17 +30,17 @@ SCHEMA = "ontology_id string, file_rank int, seq long, s string, s_bnode boolean
 
 
 class _Names:
-    """Blank node labels of one file: given ones and fresh ones never meet."""
+    """Blank node labels of one file: given ones and fresh ones never meet, nor do fresh ones of its parts."""
 
-    def __init__(self, scope: str):
-        self.scope, self.n = scope, 0
+    def __init__(self, scope: str, part: int = 0):
+        self.scope, self.fresh_scope, self.n = scope, f"{scope}-p{part}" if part else scope, 0
 
     def given(self, label: str) -> str:
         return f"_:{self.scope}-n-{label}"
 
     def fresh(self) -> str:
         self.n += 1
-        return f"_:{self.scope}-{self.n}"
+        return f"_:{self.fresh_scope}-{self.n}"
 
 
 def _literal(value: str, datatype: str = "", lang: str = "") -> tuple[str, str, str, str]:
@@ -49,12 +51,34 @@ def _node(iri: str) -> tuple[str, str, str, str]:
     return ("bnode" if iri.startswith("_:") else "uri"), iri, "", ""
 
 
-def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
+def resolved(base: str, iri: str) -> str:
+    """An IRI against a base. One with a scheme stands as it is, and an empty fragment stays, as many namespaces end in one."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri):
+        return iri
+    return urljoin(base, iri) + ("#" if iri.endswith("#") else "")
+
+
+def _elements(data: bytes, head: bytes) -> Iterator[tuple[str, ElementTree.Element]]:
+    """Starts and ends of the elements of a document, or of a range of top-level elements behind the head that opens their root."""
+    if not head:
+        yield from ElementTree.iterparse(BytesIO(data), ("start", "end"))
+        return
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    parser.feed(head)
+    for at in range(0, len(data), 1 << 16):
+        parser.feed(data[at : at + (1 << 16)])
+        yield from parser.read_events()
+    parser.flush()
+    yield from parser.read_events()
+
+
+def rdf_xml(data: bytes, base: str, scope: str, head: bytes = b"", part: int = 0) -> Iterator[Triple]:
     """Triples of an RDF/XML document: typed nodes, nested nodes, collections, resource and literal parse types, xml:base and xml:lang.
 
     An element below rdf:RDF is dropped as soon as its triples are given, so memory grows with the largest of them, not with the document.
+    ``head`` opens the root where ``data`` is a part of the document only (``rdfranges``).
     """
-    names = _Names(scope)
+    names = _Names(scope, part)
 
     def iri(tag: str) -> str:
         return tag[1:].replace("}", "") if tag[0] == "{" else tag
@@ -62,7 +86,7 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
     def node(e, at: str, lang: str) -> Iterator[Triple]:
         at, lang = e.get(XML + "base", at), e.get(XML + "lang", lang)
         if (about := e.get(_R + "about")) is not None:
-            s = urljoin(at, about) if about else at.split("#")[0]
+            s = resolved(at, about) if about else at.split("#")[0]
         elif (given := e.get(_R + "ID")) is not None:
             s = at.split("#")[0] + "#" + given
         elif (given := e.get(_R + "nodeID")) is not None:
@@ -74,7 +98,7 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
             yield (s, TYPE, *_node(iri(e.tag)))
         for k, v in e.attrib.items():
             if k == _R + "type":
-                yield (s, TYPE, *_node(urljoin(at, v)))
+                yield (s, TYPE, *_node(resolved(at, v)))
             elif k[0] == "{" and not k.startswith((_R, XML)):
                 yield (s, iri(k), *_literal(v, lang=lang))
         yield from props(s, e, at, lang)
@@ -90,13 +114,13 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
         p = iri(e.tag) if e.tag != _R + "li" else f"{RDF}_{n}"
         kind = e.get(_R + "parseType")
         if (target := e.get(_R + "resource")) is not None:
-            yield (s, p, *_node(urljoin(at, target)))
+            yield (s, p, *_node(resolved(at, target)))
         elif (given := e.get(_R + "nodeID")) is not None:
             yield (s, p, *_node(names.given(given)))
         elif kind == "Collection":
             cells = [names.fresh() for _ in e]
             yield (s, p, *_node(cells[0] if cells else NIL))
-            for cell, rest, member in zip(cells, [*cells[1:], NIL], e, strict=True):
+            for cell, rest, member in zip(cells, [*cells[1:], NIL][: len(cells)], e, strict=True):
                 yield from node(member, at, lang)
                 yield (cell, FIRST, *_node(member.get("subject")))
                 yield (cell, REST, *_node(rest))
@@ -123,7 +147,7 @@ def rdf_xml(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                 yield (s, p, *_literal(e.text or "", kind, "" if kind else lang))
 
     root, depth = None, 0
-    for event, e in ElementTree.iterparse(BytesIO(data), ("start", "end")):
+    for event, e in _elements(data, head):
         root = e if root is None else root
         depth += 1 if event == "start" else -1
         if event == "end" and depth == (1 if root.tag == _R + "RDF" else 0):
@@ -167,13 +191,13 @@ def _statements(text: str, base: str) -> Iterator[list[tuple[str, str]]]:
         raise ValueError(f"unfinished statement in {base}")
 
 
-def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
-    """Triples of a Turtle or N-Triples document, statement by statement."""
-    names, prefixes, out, tokens, at = _Names(scope), {}, [], [], 0
+def turtle(data: bytes, base: str, scope: str, head: bytes = b"", part: int = 0) -> Iterator[Triple]:
+    """Triples of a Turtle or N-Triples document, statement by statement; ``head`` holds the directives before a part of one."""
+    names, prefixes, out, tokens, at = _Names(scope, part), {}, [], [], 0
 
     def iri(kind: str, text: str) -> str:
         if kind == "iri":
-            return urljoin(base, _unescaped(text[1:-1]))
+            return resolved(base, _unescaped(text[1:-1]))
         prefix, _, rest = text.partition(":")
         return prefixes[prefix] + rest.replace("\\", "")
 
@@ -210,7 +234,7 @@ def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                 members.append(term())
             at += 1
             cells = [names.fresh() for _ in members]
-            for cell, rest, member in zip(cells, [*cells[1:], NIL], members, strict=True):
+            for cell, rest, member in zip(cells, [*cells[1:], NIL][: len(cells)], members, strict=True):
                 out.append((cell, FIRST, *member))
                 out.append((cell, REST, *_node(rest)))
             return _node(cells[0] if cells else NIL)
@@ -230,7 +254,7 @@ def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
                     break
                 at += 1
 
-    for tokens in _statements(data.decode("utf-8-sig"), base):
+    for tokens in _statements(head.decode() + data.decode("utf-8-sig"), base):
         at, (kind, word) = 0, tokens[0]
         if kind in ("word", "lang") and word.lower().lstrip("@") == "prefix":
             prefixes[tokens[1][1][:-1]] = iri(*tokens[2])
@@ -243,11 +267,14 @@ def turtle(data: bytes, base: str, scope: str) -> Iterator[Triple]:
             out.clear()
 
 
-def parse(data: bytes, base: str, scope: str) -> Iterator[Triple]:
+def is_xml(data: bytes) -> bool:
     """By content: an RDF/XML document begins with markup, the rest is Turtle (of which N-Triples is a part)."""
-    head = data.lstrip(b"\xef\xbb\xbf \t\r\n")[:200]
-    xml = head.startswith((b"<?xml", b"<rdf:", b"<!")) or re.match(rb"<[A-Za-z]+:RDF", head)
-    return rdf_xml(data, base, scope) if xml else turtle(data, base, scope)
+    first = data[:4096].replace(b"\0", b"").lstrip(b"\xef\xbb\xbf\xff\xfe \t\r\n")
+    return bool(first.startswith((b"<?xml", b"<rdf:", b"<!")) or re.match(rb"<[A-Za-z]+:RDF", first))
+
+
+def parse(data: bytes, base: str, scope: str, head: bytes = b"", part: int = 0) -> Iterator[Triple]:
+    return (rdf_xml if is_xml(head or data) else turtle)(data, base, scope, head, part)
 
 
 _ARROW = pa.schema(
@@ -256,17 +283,19 @@ _ARROW = pa.schema(
 )
 
 
+def tables(ontology_id: str, file_rank: int, part: int, found: Iterator[Triple]) -> Iterator[pa.RecordBatch]:
+    """Triples of a file, or of one part of it, as batches; seq goes by part, then by place."""
+    found, seq = iter(found), part << 40
+    while some := list(islice(found, 50_000)):
+        rows = [(ontology_id, file_rank, seq + i, s, s.startswith("_:"), p, kind, o, datatype, lang) for i, (s, p, kind, o, datatype, lang) in enumerate(some)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+        seq += len(some)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rows, scope = [], f"{row['ontology_id']}-{row['file_rank']}"
-            for seq, (s, p, kind, o, datatype, lang) in enumerate(parse(row["content"], row["base"], scope)):
-                rows.append((row["ontology_id"], row["file_rank"], seq, s, s.startswith("_:"), p, kind, o, datatype, lang))
-                if len(rows) == 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            yield from tables(row["ontology_id"], row["file_rank"], 0, parse(row["content"], row["base"], f"{row['ontology_id']}-{row['file_rank']}"))
 
 
 #: The parts of a line of N-Triples, and what an escape of one character stands for.
@@ -304,10 +333,15 @@ def n_triples(lines: DataFrame) -> DataFrame:
     )
 
 
-def triples(spark: SparkSession, files: DataFrame) -> DataFrame:
+#: XML and Turtle files up to this many bytes are parsed by one task each.
+WHOLE_BYTES = 128 << 20
+
+
+def triples(spark: SparkSession, files: DataFrame, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Triples of (ontology_id, file_rank, path) rows; file_rank 0 is the ontology's own file, higher ones its imports.
 
     The list of files is on the driver, as readers take paths, so it is broadcast to the lines. seq follows the order in a file.
+    XML and Turtle files of more than ``whole_bytes`` are read by ranges (``rdfranges``).
     """
     paths = [r["path"] for r in files.select("path").distinct().collect()]
     by_line = [p for p in paths if re.search(r"\.nt(?:\.[a-z0-9]+)?$", p)]
@@ -316,7 +350,14 @@ def triples(spark: SparkSession, files: DataFrame) -> DataFrame:
     # the store may spell a path with its scheme: they meet on what follows it
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
     found = []
-    if whole or not by_line:
+    if whole:
+        # sizes alone are read here, no contents
+        sizes = spark.read.format("binaryFile").load(whole).where(F.col("length") > whole_bytes).select(F.col("path").alias("full"))
+        large = files.join(sizes, plain(F.col("path")) == plain(F.col("full"))).select("ontology_id", "file_rank", "path").collect()
+        if large:
+            found.append(rdfranges.read(spark.createDataFrame(large, "ontology_id string, file_rank int, path string")))
+            whole = sorted(set(whole) - {r["path"] for r in large})
+    if whole or not (by_line or found):
         content = spark.read.format("binaryFile").load(whole) if whole else spark.createDataFrame([], "path string, content binary")
         met = files.join(content.select(F.col("path").alias("full"), "content"), plain(F.col("path")) == plain(F.col("full")))
         found.append(met.select("ontology_id", "file_rank", F.col("path").alias("base"), "content").mapInArrow(_parsed, SCHEMA))
@@ -324,7 +365,7 @@ def triples(spark: SparkSession, files: DataFrame) -> DataFrame:
         # the parts of a file are read in order: partitions are listed by size, and all but a file's last part are of one size
         lines = spark.read.text(by_line).select("value", F.col("_metadata.file_path").alias("full"), F.monotonically_increasing_id().alias("seq"))
         found.append(n_triples(lines.join(F.broadcast(files), plain(F.col("path")) == F.url_decode(F.replace(plain(F.col("full")), F.lit("+"), F.lit("%2B"))))))
-    return found[0] if len(found) == 1 else found[0].union(found[1])
+    return reduce(DataFrame.union, found)
 
 
 def with_imports(spark: SparkSession, files: DataFrame, resolve: dict[str, str]) -> tuple[DataFrame, DataFrame]:

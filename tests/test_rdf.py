@@ -83,3 +83,14 @@ def test_memory_follows_elements_not_the_document():
         return top
 
     assert peak(20_000) < 2 * peak(2_000)
+
+
+def test_empty_collections_are_nil():
+    text = f'<rdf:RDF xmlns:rdf="{V.RDF}" xmlns:t="http://t/"><rdf:Description rdf:about="http://t/a"><t:p rdf:parseType="Collection"/></rdf:Description></rdf:RDF>'
+    want = [("http://t/a", "http://t/p", "uri", V.NIL, "", "")]
+    assert list(rdf.parse(text.encode(), "http://t/", "t")) == list(rdf.parse(b"<http://t/a> <http://t/p> () .", "http://t/", "t")) == want
+
+
+def test_namespaces_keep_an_empty_fragment():
+    text = b"@base <http://t/x> . @prefix n: <http://n/m#> . @prefix r: <#> . n:a r:p <s#> ."
+    assert list(rdf.turtle(text, "http://t/", "t")) == [("http://n/m#a", "http://t/x#p", "uri", "http://t/s#", "", "")]
