@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
-from ontoloom.operators import derive, display, export, graph, link, mapping, nested, reach, search, shape, textindex, treepage
+from ontoloom.operators import derive, display, export, graph, link, linkdelta, mapping, nested, reach, search, shape, textindex, treepage
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -512,6 +512,50 @@ def edges_export(t):
     return rows.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"))
 
 
+_LINKED_SQL = """with kept as (select l.*, s_acctbal < 0 as again from lineitem l join supplier on s_suppkey = l_suppkey where s_acctbal <= 9000 and (s_acctbal >= 0 or l_quantity > 25)),
+ent as (select distinct 's' || l_suppkey as o, 'p' || l_partkey as iri, case when l_linestatus = 'F' then 'S' || l_suppkey || ':' || l_partkey else 'p_' || l_partkey end as curie from kept),
+base as (select distinct 's' || s_suppkey as o, case when s_acctbal < 0 then 'p1' else 'p' end || s_suppkey as b from supplier where s_acctbal <= 9000),
+def as (select distinct 'p' || l_partkey as iri, 's' || l_suppkey as o from kept where l_returnflag = 'R' union select iri, ent.o from ent join base on ent.o = base.o and starts_with(iri, b))"""
+
+
+def _merged_links(t: Tables) -> linkdelta.Links:
+    """Suppliers are ontologies of the parts in their lines. All are loaded; then those in debt again with their larger lines, and the richest are taken away.
+
+    A line that came back says that its supplier defines the part, and so does a supplier's number at the front of a part's.
+    """
+    rows = t.lineitem.select("l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
+    name, of = (lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))), t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
+    curie = F.when(F.col("l_linestatus") == "F", F.concat(name("S", "l_suppkey"), name(":", "l_partkey"))).otherwise(name("p_", "l_partkey"))
+
+    def linked(lines: DataFrame, suppliers: DataFrame, base: str) -> linkdelta.Linked:
+        own = [name("s", "l_suppkey").alias("ontology_id"), name("p", "l_partkey").alias("iri")]
+        tops = suppliers.select(own[0], name("http://s/", "l_suppkey").alias("iri"))
+        said = lines.where("l_returnflag = 'R'").select(*own, name("http://s/", "l_suppkey").alias("of"))
+        return linkdelta.Linked(lines.select(*own, F.lit("class").alias("type"), curie.alias("curie")), said, tops, suppliers.select(own[0], name(base, "l_suppkey").alias("base")))
+
+    old, poor = linked(rows, of, "p"), of.where("s_acctbal < 0")
+    changed = of.where("s_acctbal < 0 or s_acctbal > 9000").select(name("s", "l_suppkey").alias("ontology_id"))
+    fresh = linked(rows.join(poor.select("l_suppkey"), "l_suppkey", "left_semi").where("l_quantity > 25"), poor, "p1")
+    return linkdelta.merged(linkdelta.links(old).staged(), old, old.replaced(changed, fresh), changed)
+
+
+@query(f"""{_LINKED_SQL} select u.o as ontology_id, d.o as imports_from, count(*) as n from (select distinct iri, o from ent) u join def d on u.iri = d.iri
+where not exists (select 1 from def x where x.iri = u.iri and x.o = u.o) group by 1, 2""")
+def incremental_imports(t):
+    return _merged_links(t).imports
+
+
+@query(f"""{_LINKED_SQL}, who as (select iri, string_agg(distinct o, '|' order by o) as appears_in, count(distinct o) as n_definitions from ent group by 1),
+by_ as (select iri, string_agg(o, '|' order by o) as defined_by from def group by 1),
+one as (select ent.iri, arg_min(curie, (case when def.o is null then 1 else 0 end, case when contains(curie, ':') then 0 else 1 end, ent.o, curie)) as curie from ent left join def on ent.iri = def.iri and ent.o = def.o group by 1)
+select who.iri, n_definitions, appears_in, defined_by, curie from who left join by_ using (iri) left join one using (iri)""")
+def incremental_links(t):
+    now = _merged_links(t)
+    by = now.definers.groupBy("iri").agg(F.array_join(F.array_sort(F.collect_list("ontology_id")), "|").alias("defined_by"))
+    told = now.definitions.select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"))
+    return told.join(by, "iri", "left").join(now.curies.select("iri", "curie"), "iri", "left")
+
+
 @query("""with open_ as (select distinct o_custkey from orders where o_orderstatus = 'O')
 select o_custkey as ontology_id, o_orderkey as id, case when o_custkey in (select o_custkey from open_) then 'new' else 'old' end as load from orders""")
 def incremental_merge(t):

@@ -82,10 +82,10 @@ def xml_ranges(file: pa.NativeFile, size: int) -> Iterator[Range]:
         del starts[0]
 
 
-#: What a statement's end can't lie in, what brackets do to the depth, and full stops. Unclosed strings, long strings and IRIs come last.
+#: What a statement's end can't lie in, what brackets do to the depth, and full stops. What is none of these is not closed yet.
 _SPAN = re.compile(
-    r"""(?P<plain>(?:[^<"'#.\[\]()\\@]|\\.)+)|(?P<closed><[^>]*>|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')|(?P<long>\"\"\"|''')"""
-    r"""|(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\#[^\n]*|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<up>[\[(])|(?P<down>[\])])|(?P<stop>\.)|(?P<open>.)""",
+    r"""(?P<plain>(?:[^<"'#.\[\]()\\@]++|\\.|<[^>]*>|\"\"\"(?:[^\\]|\\.)*?\"\"\"|\'\'\'(?:[^\\]|\\.)*?\'\'\'|(?!\"\"\")"(?:[^"\\\n]|\\.)*"|(?!\'\'\')'(?:[^'\\\n]|\\.)*')++)"""
+    r"""|(?P<other>\#[^\n]*|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<up>[\[(])|(?P<down>[\])])|(?P<stop>\.)|(?P<open>.)""",
     re.DOTALL,
 )
 _GAP = r"(?:\s|\#[^\n]*\n)"
@@ -130,7 +130,7 @@ def turtle_ranges(file: pa.NativeFile, size: int, base: str) -> Iterator[Range]:
             fresh = False
             m = _SPAN.match(text, pos)
             kind, end = m.lastgroup, m.end()
-            if (end == len(text) and not ended) or kind in ("long", "open"):
+            if (end == len(text) and not ended) or kind == "open":
                 break
             if kind == "stop":
                 after = text[end : end + 1]
