@@ -48,13 +48,19 @@ def autocomplete(labels: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def columns_of(props: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(ontology_id, type, column): the columns an export of each kind needs; other languages than English have columns of their own."""
-    return props.join(kinds, KEY).select("ontology_id", "type", _column_name().alias("column")).distinct()
+    """(ontology_id, type, column): the columns an export of each kind needs; other languages than English have further columns of their own."""
+    return props.join(kinds, KEY).select("ontology_id", "type", F.explode(_columns()).alias("column")).distinct()
 
 
-def _column_name() -> Column:
-    own = F.coalesce("lang", F.lit("")).isin("", "en")
-    return F.when(own, F.col("predicate")).otherwise(F.concat("lang", F.lit("+"), "predicate"))
+def _columns() -> Column:
+    """The columns a value is shown in: that of its predicate, and the one of its language and predicate."""
+    other = ~F.coalesce("lang", F.lit("")).isin("", "en")
+    return F.array_compact(F.array("predicate", F.when(other, F.concat("lang", F.lit("+"), "predicate"))))
+
+
+def header(column: str) -> str:
+    """A column's name in a file, where a colon parts name and type."""
+    return column if column == "iri" else column.replace(":", "__") + ":string[]"
 
 
 def csv_value(values: Column) -> Column:
@@ -63,26 +69,34 @@ def csv_value(values: Column) -> Column:
 
 
 def graph_nodes(props: DataFrame, kinds: DataFrame, rendered: DataFrame, kind: str) -> DataFrame:
-    """Rows of the node file of a kind: ``id:ID``, ``:LABEL``, ``_json`` and a column ``<name>:string[]`` for each name of ``columns_of``, in order.
+    """Rows of the node file of a kind: ``id:ID``, ``:LABEL``, ``_json`` and a column for each name of ``columns_of``, in order (``header``).
 
-    The names are the predicates a kind uses, a matter of the schema; they are read once to fix the header, the values stay rows until
-    they meet in a map of a node. ``rendered`` holds each node's JSON (ontology_id, id, json). A node without values has empty columns.
+    A predicate's column has its values in all languages, a language's column the first in that language. The names are the predicates a kind uses, a matter of
+    the schema; they are read once to fix the header, the values stay rows until they meet in a map of a node. ``rendered`` holds each node's JSON
+    (ontology_id, id, json). A node without values has empty columns.
     """
     own = kinds.where(F.col("type") == kind)
     shown = props.where(~F.col("predicate").isin(*V.HIDDEN_PROPERTIES) & (F.col("kind") != "bnode") & F.col("value").isNotNull())
     names = sorted(r["column"] for r in columns_of(shown, own).select("column").distinct().collect())
-    rows = shown.join(own.select(*KEY), KEY, "left_semi").withColumn("column", _column_name())
+    rows = shown.join(own.select(*KEY), KEY, "left_semi").select(*KEY, "predicate", "pos", "value", F.explode(_columns()).alias("column"))
     values = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"])
-    lists = rows.groupBy(*KEY, "column").agg(csv_value(values).alias("text"))
+    lists = rows.groupBy(*KEY, "column", (F.col("column") == F.col("predicate")).alias("whole")).agg(values.alias("values"))
+    lists = lists.withColumn("text", csv_value(F.when(F.col("whole"), F.col("values")).otherwise(F.slice("values", 1, 1))))
     by_node = lists.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("m"))
     out = own.join(by_node, KEY, "left").join(rendered.select(*KEY, "json"), KEY, "left")
-    cells = [F.coalesce(F.col("m")[n], F.lit("")).alias(f"{n}:string[]") for n in names]
+    cells = [F.coalesce(F.try_element_at("m", F.lit(n)), F.lit("")).alias(header(n)) for n in names]
     return out.select(entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("id:ID"), F.lit(kind).alias(":LABEL"), F.col("json").alias("_json"), *cells)
 
 
 def edge_rows(edges: DataFrame) -> DataFrame:
-    """Rows of the edge file: ``:START_ID``, ``:TYPE``, ``:END_ID``, and the edge's properties as ``_json``."""
-    return edges.select(F.col("src").alias(":START_ID"), F.col("edge_type").alias(":TYPE"), F.col("dst").alias(":END_ID"), F.coalesce(F.to_json("props"), F.lit("{}")).alias("_json"))
+    """Rows of the edge file: ``:START_ID``, ``:TYPE``, ``:END_ID``, the edge's properties as ``_json``, and a column for each property that axioms have.
+
+    The names are read once, as those of nodes are; what a relation says of itself (its property) is in ``_json`` alone. An edge without a property has it empty.
+    """
+    said = edges.where(F.col("edge_type") != "relatedTo").select(F.explode(F.map_keys("props")).alias("name")).distinct()
+    names = sorted(r["name"] for r in said.where(~F.col("name").isin("type", *V.HIDDEN_PROPERTIES)).collect())
+    cells = [F.coalesce(csv_value(F.try_element_at("props", F.lit(n))), F.lit("")).alias(header(n)) for n in names]
+    return edges.select(F.col("src").alias(":START_ID"), F.col("edge_type").alias(":TYPE"), F.col("dst").alias(":END_ID"), F.coalesce(F.to_json("props"), F.lit("{}")).alias("_json"), *cells)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

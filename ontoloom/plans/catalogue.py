@@ -512,6 +512,30 @@ def edges_export(t):
     return rows.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), "edge_type", F.col("d").alias("dst"))
 
 
+@query("""select 'x+class+' || c_custkey as "id:ID", 'class' as ":LABEL", '{}' as _json, c_name || '|' || c_mktsegment || '|' || c_nationkey || '|' || c_custkey as "http__//t/name:string[]",
+c_mktsegment as "de+http__//t/name:string[]", c_custkey::varchar as "fr+http__//t/name:string[]" from customer""")
+def node_columns(t):
+    """Four values of a name, three of them in other languages: a language's column has its first."""
+    said = [(0, "c_name", ""), (1, "c_mktsegment", "de"), (2, "c_nationkey", "de"), (3, "c_custkey", "fr")]
+    props = reduce(DataFrame.union, [_props(t.customer, F.col("c_custkey"), "http://t/name", F.col(c), lang=F.lit(lang)).withColumn("pos", F.lit(pos)) for pos, c, lang in said])
+    nodes = _nodes(t.customer, F.col("c_custkey"), "class")
+    kinds = export.entity_types(nodes)
+    return export.graph_nodes(props, kinds, nodes.select("ontology_id", "id", F.lit("{}").alias("json")), "class")
+
+
+@query("""select 'x+individual+o:' || l_orderkey as ":START_ID", 'http://t/part' as ":TYPE", 'x+class+p:' || l_partkey as ":END_ID",
+'{"http://t/line":["' || l_linenumber || '"],"http://t/state":["' || l_returnflag || '|","' || l_linestatus || '"]}' as _json,
+l_linenumber::varchar as "http__//t/line:string[]", l_returnflag || '\\u007C|' || l_linestatus as "http__//t/state:string[]"
+from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey""")
+def edge_columns(t):
+    """Orders have parts; a line's number and states are what axioms say of the edge."""
+    line = F.create_map(F.lit("http://t/line"), F.array(F.col("l_linenumber").cast("string")), F.lit("http://t/state"), F.array(F.concat("l_returnflag", F.lit("|")), "l_linestatus"))
+    named = t.lineitem.select(key("o", "l_orderkey").alias("id"), key("p", "l_partkey").alias("value"), F.array(line).alias("axioms"))
+    rows = named.select(F.lit("x").alias("ontology_id"), "id", F.lit("http://t/part").alias("predicate"), F.lit("uri").alias("kind"), "value", "axioms")
+    nodes = _nodes(t.orders, key("o", "o_orderkey"), "individual").union(_nodes(t.part, key("p", "p_partkey"), "class"))
+    return export.edge_rows(export.graph_edges(rows, export.entity_types(nodes)))
+
+
 _LINKED_SQL = """with kept as (select l.*, s_acctbal < 0 as again from lineitem l join supplier on s_suppkey = l_suppkey where s_acctbal <= 9000 and (s_acctbal >= 0 or l_quantity > 25)),
 ent as (select distinct 's' || l_suppkey as o, 'p' || l_partkey as iri, case when l_linestatus = 'F' then 'S' || l_suppkey || ':' || l_partkey else 'p_' || l_partkey end as curie from kept),
 base as (select distinct 's' || s_suppkey as o, case when s_acctbal < 0 then 'p1' else 'p' end || s_suppkey as b from supplier where s_acctbal <= 9000),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions import vocabulary as V
-from ontoloom.operators import closure, derive, export, link, mapping, shape
+from ontoloom.operators import closure, derive, export, link, linkdelta, mapping, shape
 from ontoloom.plans.staging import staged
 from ontoloom.session import ship_package
 from ontoloom.sources import config as conf
@@ -41,7 +41,8 @@ REGISTRY = "database string, prefix string, pattern string, uri_format string, u
 class Load:
     """Tables of a load. ``values`` are ``props`` with axioms; ``documents`` and ``edges`` are what ``Service`` takes.
 
-    ``linked`` says what each text or IRI of an ontology refers to; ``mentions`` which documents' values hold it.
+    ``linked`` says what each text or IRI of an ontology refers to; ``mentions`` which documents' values hold it; ``sources`` what links are made of, and ``link_tables``
+    what they come to, for merges.
     """
 
     triples: DataFrame
@@ -55,6 +56,8 @@ class Load:
     definers: DataFrame
     linked: DataFrame
     mentions: DataFrame
+    sources: linkdelta.Linked
+    link_tables: linkdelta.Links
 
     def with_links(self) -> DataFrame:
         """``documents`` with ``linkedEntities``: for each text or IRI that a document mentions and that refers to something else, what that is, by text.
@@ -134,9 +137,10 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
     labels = staged(derive.labels(nodes, props, shorts, _role(roles, "label_property")), "labels")
 
     named = kinds.join(shorts, KEY, "left").join(labels.groupBy(*KEY).agg(F.min_by("value", "pos").alias("label")), KEY, "left")
-    entities = named.where("type <> 'ontology'").select("ontology_id", F.col("id").alias("iri"), "type", "label", "curie")
+    entities = staged(named.where("type <> 'ontology'").select("ontology_id", F.col("id").alias("iri"), "type", "label", "curie"), "named")
     bases = config.select("ontology_id", F.explode("base_uris").alias("base"))
-    definers = staged(link.defined_by(entities, bases, link.stated_definers(props, tops)), "definers")
+    sources = linkdelta.Linked(entities, linkdelta.statements(props), tops.select("ontology_id", "iri"), bases)
+    definers = staged(link.defined_by(entities, bases, sources.stated()), "definers")
     entities = staged(link.repaired_curies(entities, definers), "entities")
 
     fields = [
@@ -158,10 +162,35 @@ def load(spark: SparkSession, configs: DataFrame, resolve: dict[str, str] | None
     edges = staged(_edges(values, kinds, direct, upward, relations), "edges")
     ontologies = staged(_ontologies(configs, tops, triples), "loaded")  # the time of this load, not of a later look
     mentions = staged(_mentions(props, kinds), "mentions")
-    known = registry if registry is not None else spark.createDataFrame([], REGISTRY)
-    spaces = config.select("prefix", F.explode("base_uris").alias("base")).where("prefix is not null").distinct()
-    linked = staged(link.linked_entities(mentions.select("ontology_id", "s"), entities, definers, known, spaces, databases, links), "linked")
-    return Load(triples, nodes, values, kinds, documents, edges, ontologies, link.import_pairs(entities, definers), definers, linked, mentions)
+    linked = staged(_linked(mentions, entities, definers, ontologies, registry, databases, links), "linked")
+    tables = linkdelta.Links(link.definitions(entities), definers, link.unified_curies(entities, definers), linkdelta.import_counts(entities, definers))
+    return Load(triples, nodes, values, kinds, documents, edges, ontologies, tables.imports.drop("n"), definers, linked, mentions, sources, tables)
+
+
+def _linked(mentions: DataFrame, entities: DataFrame, definers: DataFrame, ontologies: DataFrame, registry: DataFrame | None, databases: DataFrame | None, links: DataFrame | None) -> DataFrame:
+    known = registry if registry is not None else mentions.sparkSession.createDataFrame([], REGISTRY)
+    spaces = settings(ontologies.withColumn("path", F.lit(None).cast("string"))).select("prefix", F.explode("base_uris").alias("base")).where("prefix is not null").distinct()
+    return link.linked_entities(mentions.select("ontology_id", "s"), entities, definers, known, spaces, databases, links)
+
+
+def merged(old: Load, new: Load, registry: DataFrame | None = None, databases: DataFrame | None = None, links: DataFrame | None = None) -> Load:
+    """A load over an older one: the ontologies of ``new`` stand in for their old selves, and what links them to the others is brought up to date.
+
+    Definers, import pairs and the links on documents of all ontologies change for the touched IRIs alone (``linkdelta``); what texts refer to is looked up
+    anew, in the tables that ``load`` takes. The result is that of loading all ontologies at once, but for the times of loads.
+    """
+    again = staged(new.ontologies.select("ontology_id"), "again")
+    over = lambda a, b, key="ontology_id": a.join(again.withColumnRenamed("ontology_id", key), key, "left_anti").unionByName(b)
+    sources = old.sources.replaced(again, new.sources)
+    now = linkdelta.merged(old.link_tables, old.sources, sources, again).staged()
+    documents = over(old.documents, new.documents, "ontologyId")
+    documents = staged(linkdelta.relinked(documents, now, linkdelta.touched(old.sources, sources, again)), "documents")
+    source = F.substring_index("src", "+", 1)
+    edges = old.edges.withColumn("ontology_id", source).join(again, "ontology_id", "left_anti").drop("ontology_id").unionByName(new.edges)
+    ontologies, mentions = over(old.ontologies, new.ontologies), over(old.mentions, new.mentions)
+    linked = staged(_linked(mentions, link.repaired_curies(sources.entities, now.definers), now.definers, ontologies, registry, databases, links), "linked")
+    own = (over(getattr(old, name), getattr(new, name)) for name in ("triples", "nodes", "values", "kinds"))
+    return Load(*own, documents, edges, ontologies, now.imports.drop("n"), now.definers, linked, mentions, sources, now)
 
 
 def _role(roles: DataFrame, role: str) -> DataFrame:
