@@ -98,12 +98,12 @@ def touched(old: Linked, new: Linked, again: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts).where("iri is not null").distinct()
 
 
-def merged(held: Links, old: Linked, new: Linked, again: DataFrame) -> Links:
+def merged(held: Links, old: Linked, new: Linked, again: DataFrame, iris: DataFrame | None = None) -> Links:
     """The links of ``new``, where ``held`` are those of ``old`` and only ontologies of ``again`` (ontology_id) differ.
 
-    The touched IRIs are staged, as each table is parted by them; no join but theirs reads the untouched rows, and none of these is linked again.
+    The ``touched`` IRIs are staged, if they are not given so, as each table is parted by them; no join but theirs reads the untouched rows, and none of these is linked again.
     """
-    iris = staged(touched(old, new, again), "touched")
+    iris = staged(touched(old, new, again), "touched") if iris is None else iris
 
     def here(t: DataFrame) -> DataFrame:
         return t.join(iris, "iri", "left_semi")

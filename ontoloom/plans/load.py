@@ -177,17 +177,18 @@ def merged(old: Load, new: Load, registry: DataFrame | None = None, databases: D
     """A load over an older one: the ontologies of ``new`` stand in for their old selves, and what links them to the others is brought up to date.
 
     Definers, import pairs and the links on documents of all ontologies change for the touched IRIs alone (``linkdelta``); what texts refer to is looked up
-    anew, in the tables that ``load`` takes. The result is that of loading all ontologies at once, but for the times of loads.
+    anew, in the tables that ``load`` takes. Tables without links are plans over both loads; the rest are staged, so merges may follow one another. The result is that of loading all ontologies at once, but for the times of loads.
     """
     again = staged(new.ontologies.select("ontology_id"), "again")
     over = lambda a, b, key="ontology_id": a.join(again.withColumnRenamed("ontology_id", key), key, "left_anti").unionByName(b)
-    sources = old.sources.replaced(again, new.sources)
-    now = linkdelta.merged(old.link_tables, old.sources, sources, again).staged()
+    sources = linkdelta.Linked(*[staged(t, "sources") for t in old.sources.replaced(again, new.sources).tables()])
+    iris = staged(linkdelta.touched(old.sources, sources, again), "touched")
+    now = linkdelta.merged(old.link_tables, old.sources, sources, again, iris).staged()
     documents = over(old.documents, new.documents, "ontologyId")
-    documents = staged(linkdelta.relinked(documents, now, linkdelta.touched(old.sources, sources, again)), "documents")
+    documents = staged(linkdelta.relinked(documents, now, iris), "documents")
     source = F.substring_index("src", "+", 1)
     edges = old.edges.withColumn("ontology_id", source).join(again, "ontology_id", "left_anti").drop("ontology_id").unionByName(new.edges)
-    ontologies, mentions = over(old.ontologies, new.ontologies), over(old.mentions, new.mentions)
+    ontologies, mentions = staged(over(old.ontologies, new.ontologies), "loaded"), staged(over(old.mentions, new.mentions), "mentions")
     linked = staged(_linked(mentions, link.repaired_curies(sources.entities, now.definers), now.definers, ontologies, registry, databases, links), "linked")
     own = (over(getattr(old, name), getattr(new, name)) for name in ("triples", "nodes", "values", "kinds"))
     return Load(*own, documents, edges, ontologies, now.imports.drop("n"), now.definers, linked, mentions, sources, now)
