@@ -18,15 +18,29 @@ def definitions(entities: DataFrame) -> DataFrame:
 
 
 def defined_by(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None) -> DataFrame:
-    """(iri, ontology_id): ontologies that define an IRI, by a base URI (ontology_id, base) it starts with or by statement (iri, ontology_id).
+    """(iri, ontology_id): ontologies that have an IRI and define it, by a base URI (ontology_id, base) it starts with or by statement (iri, ontology_id)."""
+    return by_iri(entities.select("iri", "ontology_id", *[F.lit("").alias(c) for c in ("type", "curie")]), bases, stated).select("iri", F.explode("definers").alias("ontology_id"))
 
-    The prefix test is an equality on as many characters as the base has, so it is an equi-join.
+
+def by_iri(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(iri, n_definitions, appears_in, definers, curie): what ``definitions``, ``defined_by`` and ``unified_curies`` say of each IRI, or of those in ``only`` (iri).
+
+    An ontology defines an IRI only if it has it, so each row is held against its own ontology's bases, and rows and statements meet in one shuffle by IRI.
     """
-    iris = entities.select("iri").distinct()
-    by_base = prefixed(iris, "iri", bases, "base").select("iri", "ontology_id")
-    own = entities.select("iri", "ontology_id").distinct()
-    met = by_base.union(stated.select("iri", "ontology_id")) if stated is not None else by_base
-    return met.distinct().join(own, ["iri", "ontology_id"], "left_semi")
+    own = bases.where(F.length("base") > 0).groupBy("ontology_id").agg(F.collect_set("base").alias("__bases"))
+    says = F.coalesce(F.exists("__bases", lambda base: F.col("iri").startswith(base)), F.lit(False))
+    copy = F.struct("ontology_id", "type", F.when(F.col("curie").contains(":"), 0).otherwise(1).alias("plain"), "curie")
+    rows = entities.join(own, "ontology_id", "left").select("iri", F.when(says, F.col("ontology_id")).alias("said"), copy.alias("copy"))
+    if stated is not None:
+        rows = rows.union(stated.where("iri is not null").select("iri", F.col("ontology_id").alias("said"), F.lit(None).cast(rows.schema["copy"].dataType).alias("copy")))
+    if only is not None:
+        rows = rows.join(only, "iri", "left_semi")
+    met = rows.groupBy("iri").agg(F.collect_set("copy").alias("copies"), F.collect_set("said").alias("said")).where(F.size("copies") > 0)
+    met = met.withColumn("appears_in", F.array_sort(F.array_compact(F.array_distinct(F.col("copies.ontology_id")))))
+    met = met.withColumn("definers", F.array_intersect("appears_in", "said"))
+    ranked = F.transform("copies", lambda c: F.struct(F.when(F.array_contains("definers", c["ontology_id"]), 0).otherwise(1).alias("d"), c["plain"].alias("plain"), c["ontology_id"].alias("ontology_id"), c["curie"].alias("curie")))
+    types = F.array_distinct(F.transform("copies", lambda c: F.struct(c["ontology_id"].alias("o"), c["type"].alias("t"))))
+    return met.select("iri", F.size(types).cast("long").alias("n_definitions"), "appears_in", "definers", F.array_min(ranked)["curie"].alias("curie"))
 
 
 def prefixed(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str) -> DataFrame:
