@@ -560,7 +560,7 @@ def _merged_links(t: Tables) -> linkdelta.Links:
     old, poor = linked(rows, of, "p"), of.where("s_acctbal < 0")
     changed = of.where("s_acctbal < 0 or s_acctbal > 9000").select(name("s", "l_suppkey").alias("ontology_id"))
     fresh = linked(rows.join(poor.select("l_suppkey"), "l_suppkey", "left_semi").where("l_quantity > 25"), poor, "p1")
-    return linkdelta.merged(linkdelta.links(old).staged(), old, old.replaced(changed, fresh), changed)
+    return linkdelta.merged(linkdelta.links(old), old, old.replaced(changed, fresh), changed)
 
 
 @query(f"""{_LINKED_SQL} select u.o as ontology_id, d.o as imports_from, count(*) as n from (select distinct iri, o from ent) u join def d on u.iri = d.iri
@@ -574,10 +574,8 @@ by_ as (select iri, string_agg(o, '|' order by o) as defined_by from def group b
 one as (select ent.iri, arg_min(curie, (case when def.o is null then 1 else 0 end, case when contains(curie, ':') then 0 else 1 end, ent.o, curie)) as curie from ent left join def on ent.iri = def.iri and ent.o = def.o group by 1)
 select who.iri, n_definitions, appears_in, defined_by, curie from who left join by_ using (iri) left join one using (iri)""")
 def incremental_links(t):
-    now = _merged_links(t)
-    by = now.definers.groupBy("iri").agg(F.array_join(F.array_sort(F.collect_list("ontology_id")), "|").alias("defined_by"))
-    told = now.definitions.select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"))
-    return told.join(by, "iri", "left").join(now.curies.select("iri", "curie"), "iri", "left")
+    by = F.when(F.size("definers") > 0, F.array_join("definers", "|")).alias("defined_by")
+    return _merged_links(t).whole.select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"), by, "curie")
 
 
 @query("""with open_ as (select distinct o_custkey from orders where o_orderstatus = 'O')
