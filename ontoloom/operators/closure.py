@@ -54,15 +54,23 @@ def hierarchy_flags(nodes: DataFrame, edges: DataFrame, top: tuple[str, ...] = (
     return out.select(*keys, "id", F.coalesce("p", no).alias("has_parents"), F.coalesce("c", no).alias("has_children"))
 
 
+def marked(nodes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``nodes`` with a flag ``name``: whether ``ids`` (id) has them.
+
+    An outer join: a semi- or anti-join would be put under a union of node tables, and ``ids`` sorted once for each of them.
+    """
+    return nodes.join(ids.select("id").distinct().withColumn(name, F.lit(True)), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def roots(nodes: DataFrame, edges: DataFrame, obsolete: str | None = None) -> DataFrame:
     """Nodes without a parent, less obsolete ones where a flag column is named."""
-    top = nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    top = marked(nodes, edges.select(F.col("src").alias("id")), "__up").where("not __up").drop("__up")
     return top.where(~F.col(obsolete)) if obsolete else top
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with neither parent nor child."""
-    return roots(nodes, edges).join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return marked(roots(nodes, edges), edges.select(F.col("dst").alias("id")), "__down").where("not __down").drop("__down")
 
 
 def root_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:

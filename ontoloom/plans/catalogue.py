@@ -143,8 +143,7 @@ def hierarchy_flags(t):
 @query(f"with {ENTITIES_SQL}, {PARENTS_SQL} select id, label, id not in (select dst from par) as orphan from ent where id not in (select src from par)")
 def roots_and_orphans(t):
     top = hier.roots(entities(t), _parents(t))
-    alone = hier.orphans(top, _parents(t)).select("id", F.lit(True).alias("orphan"))
-    return top.join(alone, "id", "left").select("id", "label", F.coalesce("orphan", F.lit(False)).alias("orphan"))
+    return hier.marked(top, _parents(t).select(F.col("dst").alias("id")), "kids").select("id", "label", (~F.col("kids")).alias("orphan"))
 
 
 @query("select 'customer:' || c_custkey as id, c_name as label, (select count(*) from customer where c_nationkey = 3) as total from customer where c_nationkey = 3 order by id limit 20 offset 5")
