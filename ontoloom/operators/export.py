@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.functions import vocabulary as V
+from ontoloom.plans.staging import staged
 
 KEY = ["ontology_id", "id"]
 
@@ -23,14 +24,15 @@ def entity_types(nodes: DataFrame) -> DataFrame:
 def graph_edges(props: DataFrame, kinds: DataFrame) -> DataFrame:
     """(src, edge_type, dst, props): every value that is an entity of the same ontology; one edge for each axiom on it.
 
-    Both ends fan out over the kinds they have. ``props`` may carry an array ``axioms`` of annotation maps.
+    Both ends fan out over the kinds they have. ``props`` may carry an array ``axioms`` of annotation maps. Rows with axioms are wide in memory, though they travel
+    well, so they pass by hash tables of the narrow kinds and are not sorted.
     """
     if "axioms" not in props.columns:
         props = props.withColumn("axioms", F.lit(None).cast("array<map<string,array<string>>>"))
     rows = props.where((F.col("kind") == "uri") & ~F.col("predicate").isin(*V.HIDDEN_EDGES)).select(*KEY, "predicate", "value", F.explode_outer("axioms").alias("props"))
     a = kinds.select("ontology_id", "id", entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("src"))
     b = kinds.select("ontology_id", F.col("id").alias("value"), entity_id(F.col("ontology_id"), F.col("type"), F.col("id")).alias("dst"))
-    return rows.join(a, KEY).join(b, ["ontology_id", "value"]).select("src", F.col("predicate").alias("edge_type"), "dst", "props")
+    return rows.join(a.hint("shuffle_hash"), KEY).join(b.hint("shuffle_hash"), ["ontology_id", "value"]).select("src", F.col("predicate").alias("edge_type"), "dst", "props")
 
 
 def search_documents(props: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -91,8 +93,9 @@ def graph_nodes(props: DataFrame, kinds: DataFrame, rendered: DataFrame, kind: s
 def edge_rows(edges: DataFrame) -> DataFrame:
     """Rows of the edge file: ``:START_ID``, ``:TYPE``, ``:END_ID``, the edge's properties as ``_json``, and a column for each property that axioms have.
 
-    The names are read once, as those of nodes are; what a relation says of itself (its property) is in ``_json`` alone. An edge without a property has it empty.
+    The edges are staged, so that what they are made of is joined once; the names are read from there, as those of nodes are. What a relation says of itself (its property) is in ``_json`` alone. An edge without a property has it empty.
     """
+    edges = staged(edges, "edge-rows")
     said = edges.where(F.col("edge_type") != "relatedTo").select(F.explode(F.map_keys("props")).alias("name")).distinct()
     names = sorted(r["name"] for r in said.where(~F.col("name").isin("type", *V.HIDDEN_PROPERTIES)).collect())
     cells = [F.coalesce(csv_value(F.try_element_at("props", F.lit(n))), F.lit("")).alias(header(n)) for n in names]
