@@ -202,12 +202,14 @@ def axioms(props: DataFrame) -> DataFrame:
 
     annotations maps each further predicate of the axiom node to its values in order.
     """
-    parts = {n: _first(props, V.OWL + p, n) for n, p in (("source", "annotatedSource"), ("prop", "annotatedProperty"), ("target", "annotatedTarget"))}
-    met = parts["source"].join(parts["prop"], KEY).join(parts["target"], KEY)
-    rest = props.where(~F.col("predicate").isin(V.TYPE, *(V.OWL + p for p in ("annotatedSource", "annotatedProperty", "annotatedTarget"))))
-    values = rest.groupBy(*KEY, "predicate").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias("values"))
-    notes = values.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("predicate", "values")))).alias("annotations"))
-    out = met.join(notes, KEY, "left")
+    named = {n: F.col("predicate") == V.OWL + p for n, p in (("source", "annotatedSource"), ("prop", "annotatedProperty"), ("target", "annotatedTarget"))}
+    parts = [F.min_by(F.when(is_it, F.struct("value", "kind")), F.when(is_it, F.col("pos"))).alias(n) for n, is_it in named.items()]
+    other = ~F.col("predicate").isin(V.TYPE, *(V.OWL + p for p in ("annotatedSource", "annotatedProperty", "annotatedTarget")))
+    met = props.groupBy(*KEY).agg(*parts, F.sort_array(F.collect_list(F.when(other, F.struct("predicate", "pos", "value")))).alias("rest"))
+    met = met.where("source is not null and prop is not null and target is not null")
+    own = lambda p: F.transform(F.filter("rest", lambda r: r["predicate"] == p), lambda r: r["value"])
+    notes = F.map_from_entries(F.transform(F.array_distinct("rest.predicate"), lambda p: F.struct(p.alias("predicate"), own(p).alias("values"))))
+    out = met.withColumn("annotations", F.when(F.size("rest") > 0, notes))
     return out.select("ontology_id", F.col("source.value").alias("id"), F.col("prop.value").alias("predicate"), F.col("target.kind").alias("kind"), F.col("target.value").alias("value"), F.col("id").alias("axiom"), "annotations")
 
 
@@ -219,10 +221,10 @@ def reified(props: DataFrame, found: DataFrame, canonical: DataFrame | None = No
     by = [*KEY, "predicate", "kind", "__same"]
     props, found = _with_same(props, canonical), _with_same(found, canonical)
     notes = found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("axiom", F.map_entries("annotations").alias("a")))), lambda x: F.map_from_entries(x["a"])).alias("axioms"), F.min("value").alias("target"))
-    with_notes = props.join(notes, by, "left")
-    extra = notes.join(props, by, "left_anti").withColumnRenamed("target", "value")
-    extra = extra.select(*KEY, "predicate", F.lit(1 << 30).alias("pos"), "kind", "value", F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("lang"), "axioms")
-    return with_notes.select(*extra.columns).union(extra)
+    met = props.withColumn("__own", F.lit(True)).join(notes, by, "full_outer")
+    own = F.col("__own").isNotNull()
+    value, pos = F.when(own, F.col("value")).otherwise(F.col("target")), F.when(own, F.col("pos")).otherwise(F.lit(1 << 30))
+    return met.select(*KEY, "predicate", pos.alias("pos"), "kind", value.alias("value"), "datatype", "lang", "axioms")
 
 
 def _with_same(rows: DataFrame, canonical: DataFrame | None) -> DataFrame:

@@ -407,7 +407,7 @@ def reified_axioms_fold(t):
     """Each lineitem as an axiom on its order's one value."""
     fields = [(V.OWL + "annotatedSource", key("order", "l_orderkey")), (V.OWL + "annotatedProperty", F.lit("p")), (V.OWL + "annotatedTarget", F.lit("v")), ("flag", F.col("l_returnflag"))]
     rows = t.lineitem.withColumn("k", F.monotonically_increasing_id()).select("k", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), v.alias("v")) for p, v in fields])).alias("x"))
-    said = staged(_props(rows, F.concat(F.lit("_:a"), F.col("k").cast("string")), F.col("x.p"), F.col("x.v")).withColumn("kind", F.when(F.col("predicate").endswith("Source") | F.col("predicate").endswith("Property"), "uri").otherwise("literal")), "axioms")
+    said = _props(rows, F.concat(F.lit("_:a"), F.col("k").cast("string")), F.col("x.p"), F.col("x.v")).withColumn("kind", F.when(F.col("predicate").endswith("Source") | F.col("predicate").endswith("Property"), "uri").otherwise("literal"))
     folded = derive.reified(_props(t.orders, key("order", "o_orderkey"), "p", F.lit("v")), derive.axioms(said))
     flags = F.array_sort(F.array_distinct(F.flatten(F.transform("axioms", lambda m: m["flag"]))))
     return folded.select("id", F.coalesce(F.size("axioms"), F.lit(0)).cast("long").alias("n_axioms"), F.coalesce(F.array_join(flags, "|"), F.lit("")).alias("flags"))
