@@ -25,15 +25,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     Nodes without a way in or out are taken away until none is left; then each node is coloured by the greatest id that reaches it, and what
     reaches back within a colour is the component of its greatest id. It is put aside, and the rest goes on.
     """
-    left = staged(edges.where("src <> dst").select("src", "dst").distinct(), "cycles")
+    left = edges.where("src <> dst").select("src", "dst").distinct()
     found = None
     while True:
-        while True:  # trim ends
-            ins, outs = left.select(F.col("dst").alias("id")).distinct(), left.select(F.col("src").alias("id")).distinct()
-            core = staged(left.join(ins.withColumnRenamed("id", "src"), "src", "left_semi").join(outs.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "core")
-            same = core.count() == left.count()
-            left = core
-            if same:
+        held = None
+        while True:  # trim ends: those without a way in first, which are most in a tree; the rest is small
+            ins = left.select(F.col("dst").alias("src")).distinct()
+            left = staged(left.join(ins, "src", "left_semi").select("src", "dst"), "core")
+            outs = left.select(F.col("src").alias("dst")).distinct()
+            left = staged(left.join(outs, "dst", "left_semi").select("src", "dst"), "core")
+            before, held = held, left.count()
+            if held in (0, before):
                 break
         if left.isEmpty():
             break
@@ -138,42 +140,53 @@ def build(nodes: DataFrame, edges: DataFrame) -> Reach:
     edges = staged(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
     ids = nodes.select("id").where("id is not null").union(edges.select(F.explode(F.array("src", "dst")))).distinct()
     cycles = strong_components(edges)
-    comps = staged(ids.join(cycles, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "contracted")
     loops = staged(cycles.select("id").union(edges.where("src = dst").select("src")).distinct(), "loops")
-    a, b = comps.select(F.col("id").alias("src"), F.col("comp").alias("comp")), comps.select(F.col("id").alias("dst"), F.col("comp").alias("parent"))
-    dag = staged(edges.join(a, "src").join(b, "dst").where("comp <> parent").select("comp", "parent").distinct(), "acyclic")
+    if cycles.isEmpty():
+        comps = staged(ids.select("id", F.col("id").alias("comp")), "contracted")
+        dag = edges.where("src <> dst").select(F.col("src").alias("comp"), F.col("dst").alias("parent"))
+    else:
+        comps = staged(ids.join(cycles, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "contracted")
+        a, b = comps.select(F.col("id").alias("src"), F.col("comp").alias("comp")), comps.select(F.col("id").alias("dst"), F.col("comp").alias("parent"))
+        dag = staged(edges.join(a, "src").join(b, "dst").where("comp <> parent").select("comp", "parent").distinct(), "acyclic")
     up = staged(dag.groupBy("comp").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n")), "tree")
-    own = comps.select("comp").distinct()
-    level = staged(_levels(up.select("comp", "parent"), own).join(up, "comp", "left").select("comp", "level", "parent"), "forest")
+    # most nodes have nothing below them: only the others, and what lies on their paths, go through the rounds
+    inner = staged(up.select(F.col("parent").alias("comp")).distinct(), "inner")
+    above = up.join(inner, "comp", "left_semi").select("comp", "parent")
+    level = staged(_levels(above, inner).join(above, "comp", "left").select("comp", "level", "parent"), "forest")
     deepest = level.agg(F.max("level").alias("m")).first()["m"] or 0
+    tips = up.join(inner, "comp", "left_anti").select("comp", "parent")
+    alone = comps.select("comp").distinct().join(up.select("comp").union(inner), "comp", "left_anti")
+    leaves = staged(tips.union(alone.withColumn("parent", F.lit(None).cast(dict(comps.dtypes)["comp"]))), "leaves")
     # sizes of subtrees, from the deepest level up
-    sizes, lower = None, None
+    tipped = leaves.where("parent is not null").groupBy(F.col("parent").alias("comp")).agg((F.count(F.lit(1)) + 1).alias("own"))
+    level = staged(level.join(tipped, "comp", "left").select("comp", "parent", "level", F.coalesce("own", F.lit(1).cast("long")).alias("size")), "forest")
+    sizes, lower = leaves.select("comp", "parent", F.lit(None).cast("long").alias("level"), F.lit(1).cast("long").alias("size")), None
     for k in range(deepest, -1, -1):
-        here = level.where(F.col("level") == k).select("comp", "parent", "level")
+        here = level.where(F.col("level") == k)
         if lower is not None:
             sums = lower.where("parent is not null").groupBy(F.col("parent").alias("comp")).agg(F.sum("size").alias("below"))
-            here = here.join(sums, "comp", "left").select("comp", "parent", "level", (F.coalesce("below", F.lit(0)) + 1).alias("size"))
-        else:
-            here = here.withColumn("size", F.lit(1).cast("long"))
+            here = here.join(sums, "comp", "left").select("comp", "parent", "level", (F.coalesce("below", F.lit(0)) + F.col("size")).alias("size"))
         lower = staged(here, "sizes")
-        sizes = lower if sizes is None else sizes.union(lower)
-    if sizes is None:
-        sizes = level.withColumn("size", F.lit(1).cast("long"))
+        sizes = sizes.union(lower)
     # places among siblings: sizes of those before, by running sums over blocks of siblings
     placed = staged(_offsets(sizes), "offsets")
-    numbered, upper = None, None
+    numbered = upper = None
     for k in range(deepest + 1):
         here = placed.where(F.col("level") == k)
-        if upper is None:
-            here = here.select("comp", F.col("offset").alias("enter"), "size")
-        else:
-            here = here.join(upper.select(F.col("comp").alias("parent"), F.col("enter").alias("from")), "parent").select("comp", (F.col("from") + 1 + F.col("offset")).alias("enter"), "size")
-        upper = staged(here, "numbers")
+        upper = staged(here.select("comp", F.col("offset").alias("enter"), "size") if upper is None else _under(here, upper), "numbers")
         numbered = upper if numbered is None else numbered.union(upper)
-    if numbered is None:
-        numbered = placed.select("comp", F.col("offset").alias("enter"), "size")
+    rest = placed.where("level is null")
+    lone = rest.where("parent is null").select("comp", F.col("offset").alias("enter"), "size")
+    numbered = numbered.union(_under(rest.where("parent is not null"), numbered)).union(lone)
     numbered = staged(numbered.select("comp", "enter", (F.col("enter") + F.col("size") - 1).alias("leave")), "intervals")
-    return Reach(staged(comps.join(numbered, "comp").select("id", "comp", "enter", "leave"), "reach"), _exceptions(dag, up, numbered), loops)
+    nodes = numbered.select(F.col("comp").alias("id"), "comp", "enter", "leave") if cycles.isEmpty() else staged(comps.join(numbered, "comp").select("id", "comp", "enter", "leave"), "reach")
+    return Reach(nodes, _exceptions(dag, up, numbered), loops)
+
+
+def _under(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """(comp, enter, size) of ``rows`` with places under numbered ``parents``."""
+    met = rows.join(parents.select(F.col("comp").alias("parent"), F.col("enter").alias("from")), "parent")
+    return met.select("comp", (F.col("from") + 1 + F.col("offset")).alias("enter"), "size")
 
 
 def _offsets(sizes: DataFrame, blocks: int = 256) -> DataFrame:
