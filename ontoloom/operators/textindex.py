@@ -6,19 +6,26 @@ The table is parted by the first signs of a token, and sorted by token within fi
 the files' statistics pass over the other tokens there. Prefixes of a token's first signs lie in one folder too, so a search for tokens
 that begin with a text reads as little, unless that text is shorter than these signs.
 
-A posting list is never gathered: matches are counted by aggregates over (clause, document, value) that combine before the shuffle, and
-a token that very many documents hold is written by as many tasks as its rows take (rows are dealt by token and document).
+Postings travel and are kept in lists: a task that cuts texts groups runs of ``BLOCK`` tokens by token, so a row is what one run has of a
+token, and no list is longer than a run. Rows are dealt by folder and by a hash of their first document, so a token that very many documents
+hold is written by several tasks, more of them where there are more shuffle partitions. Matches are counted by aggregates over
+(clause, document, value) that combine before the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontoloom.operators import search
 from ontoloom.operators.search import EDGES, LOWER_TOKENS, PHRASE, SPACE_EDGES, SPACE_TOKENS, TOKENS, WHOLE, SearchSpec
+from ontoloom.session import ship_package
 
 WORD, SPACE, CASE, VALUE = "word", "space", "case", "value"
 KIND = {WHOLE: VALUE, TOKENS: CASE, LOWER_TOKENS: WORD, EDGES: WORD, PHRASE: WORD, SPACE_TOKENS: SPACE, SPACE_EDGES: SPACE}
@@ -26,6 +33,12 @@ KIND = {WHOLE: VALUE, TOKENS: CASE, LOWER_TOKENS: WORD, EDGES: WORD, PHRASE: WOR
 BUCKETS, SIGNS = 64, 3
 #: Whole values of more bytes are held by their SHA-256.
 LONGEST = 512
+#: Tokens that a task groups at once (a single longer value is a run of its own), and rows of a batch that it gives back.
+BLOCK, BATCH_ROWS = 1 << 20, 4096
+#: One shuffle partition in so many takes a part of each folder.
+SHARE = 16
+#: Tokens of a clause that one mask holds.
+MASK = 60
 
 
 def _bucket(kind: Column, token: Column) -> Column:
@@ -45,16 +58,79 @@ def _cut(kind: str):
     return lambda v: F.split(F.lower(v), r"\s+" if kind == SPACE else r"[^\p{L}\p{N}]+")
 
 
-def postings(documents: DataFrame, fields: dict[str, tuple[str, ...]], key: str = "id") -> DataFrame:
-    """(kind, field, token, id, value_no, pos) of the fields, each with the kinds of tokens it is searched by. Null values have none."""
-    lists = [
-        F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.transform(search.values_of(documents, name), _cut(kind)).alias("values"))
-        for name, kinds in fields.items()
-        for kind in dict.fromkeys(kinds)
-    ]
-    each = documents.select(F.col(key).alias("id"), F.explode(F.array(*lists)).alias("f")).select("id", "f.kind", "f.field", F.posexplode("f.values").alias("value_no", "tokens"))
-    rows = each.select("kind", "field", "id", "value_no", F.posexplode("tokens").alias("pos", "token"))
-    return rows.where(F.col("token").isNotNull() & ((F.col("token") != "") | (F.col("kind") == VALUE))).select("kind", "field", "token", "id", "value_no", "pos")
+def _runs(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Runs of values with ``block`` tokens together at most; a longer value is a run of its own."""
+    held, size = [], 0
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + block - size, side="right"))
+            if to <= at and not held:
+                to = at + 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                size += ends[to - 1] - before
+                at = to
+            if at < batch.num_rows:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _grouped(blank: list[bool], block: int):
+    """Rows (slot, value_no, token, ids, places) of runs of values. blank: of a slot, whether empty tokens count."""
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, block):
+            lists = run.column("tokens")
+            tokens, parent = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            places = np.arange(len(tokens)) - (np.cumsum(lengths) - lengths)[parent]
+            coded = pc.dictionary_encode(tokens)
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            slot, value_no = (run.column(c).to_numpy().astype(np.int64) for c in ("slot", "value_no"))
+            empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+            kept = np.flatnonzero((code >= 0) & ((code != empty) | np.asarray(blank)[slot][parent]))
+            if not len(kept):
+                continue
+            numbers = int(value_no.max()) + 1
+            of, which = np.unique(slot * numbers + value_no, return_inverse=True)
+            # one number holds field, token and place in the run, so that a plain sort leaves a token's places in order
+            bits, words = len(tokens).bit_length(), len(coded.dictionary)
+            packed = np.sort((which[parent[kept]] * words + code[kept] << bits) | kept)
+            group, at = packed >> bits, packed & ((1 << bits) - 1)
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = pa.array(np.append(first, len(group)), type=pa.int32())
+            own = of[group[first] // words]
+            columns = {
+                "slot": pa.array(own // numbers, type=pa.int32()), "value_no": pa.array(own % numbers, type=pa.int32()), "token": coded.dictionary.take(pa.array(group[first] % words)),
+                "ids": pa.ListArray.from_arrays(ends, run.column("id").take(pa.array(parent[at]))), "places": pa.ListArray.from_arrays(ends, pa.array(places[at], type=pa.int32())),
+            }
+            rows = pa.RecordBatch.from_pydict(columns)
+            for k in range(0, rows.num_rows, BATCH_ROWS):
+                yield rows.slice(k, BATCH_ROWS)
+
+    return group
+
+
+def _schema(id_type: str) -> str:
+    return f"value_no int, token string, ids array<{id_type}>, places array<int>"
+
+
+def postings(documents: DataFrame, fields: dict[str, tuple[str, ...]], key: str = "id", block: int = BLOCK) -> DataFrame:
+    """(kind, field, value_no, token, ids, places) of the fields, each with the kinds of tokens it is searched by: a row is what a run of
+    documents has of a token in their values of one number, both lists in step. Null values have none."""
+    slots = [(name, kind) for name, kinds in fields.items() for kind in dict.fromkeys(kinds)]
+    lists = [F.struct(F.lit(slot).alias("slot"), F.transform(search.values_of(documents, name), _cut(kind)).alias("values")) for slot, (name, kind) in enumerate(slots)]
+    each = documents.select(F.col(key).alias("id"), F.explode(F.array(*lists)).alias("f")).select("f.slot", "id", F.posexplode("f.values").alias("value_no", "tokens")).where("tokens is not null")
+    ship_package(documents.sparkSession)
+    rows = each.mapInArrow(_grouped([kind == VALUE for _, kind in slots], block), f"slot int, {_schema(documents.schema[key].dataType.simpleString())}")
+    of_slot = lambda which: F.get(F.array(*[F.lit(s[which]) for s in slots]), F.col("slot"))
+    return rows.select(of_slot(1).alias("kind"), of_slot(0).alias("field"), "value_no", "token", "ids", "places")
 
 
 @dataclass(frozen=True)
@@ -82,18 +158,23 @@ class TextIndex:
                 is_it = F.col("token").startswith(token) if begins else F.col("token") == own
                 everywhere |= begins and len(token) < SIGNS
                 buckets.append(_bucket(F.lit(kind), own))
-                anchor = F.col("pos") - k if how == PHRASE else F.lit(-1)
-                parts.append(((F.col("kind") == kind) & (F.col("field") == name) & is_it, F.struct(F.lit(no).alias("clause"), F.lit(k).alias("k"), anchor.alias("anchor"))))
+                # a phrase's tokens meet where it would begin, others anywhere in a value
+                begin = F.lit(k if how == PHRASE else None).cast("int")
+                mask = F.lit(1 << k % MASK).cast("long")
+                parts.append(((F.col("kind") == kind) & (F.col("field") == name) & is_it, F.struct(F.lit(no).alias("clause"), F.lit(k // MASK).alias("part"), mask.alias("mask"), begin.alias("begin"))))
         if not parts:
-            return self.rows.select("id", F.array().cast("array<double>").alias("best"), F.lit(0.0).alias("boost")).where("false")
+            return self.rows.select(F.get("ids", F.lit(0)).alias("id"), F.array().cast("array<double>").alias("best"), F.lit(0.0).alias("boost")).where("false")
         either = parts[0][0]
         for test, _ in parts[1:]:
             either = either | test
         rows = self.rows.where(either) if everywhere else self.rows.where(F.col("bucket").isin(*buckets) & either)
         fits = F.filter(F.array(*[F.when(test, what) for test, what in parts]), lambda x: x.isNotNull())
-        rows = rows.select("id", "value_no", F.explode(fits).alias("c")).select("id", "value_no", "c.clause", "c.k", "c.anchor")
-        need = F.element_at(F.array(*[F.lit(len(search.wanted_tokens(t, how))) for _, _, t, _, how in wanted]), F.col("clause") + 1)
-        whole = rows.groupBy("id", "clause", "value_no", "anchor").agg(F.size(F.collect_set("k")).alias("n")).where(F.col("n") == need)
+        rows = rows.select("value_no", "ids", "places", F.explode(fits).alias("c")).select("value_no", "c.*", F.inline(F.arrays_zip("ids", "places")).alias("id", "place"))
+        rows = rows.withColumn("anchor", F.coalesce(F.col("place") - F.col("begin"), F.lit(-1)))
+        needs = [len(search.wanted_tokens(t, how)) for _, _, t, _, how in wanted]
+        need = F.element_at(F.array(*map(F.lit, needs)), F.col("clause") + 1)
+        seen = [F.bit_count(F.bit_or(F.when(F.col("part") == p, F.col("mask")).otherwise(F.lit(0).cast("long")))) for p in range(-(-max(needs) // MASK))]
+        whole = rows.groupBy("id", "clause", "value_no", "anchor").agg(sum(seen[1:], seen[0]).alias("n")).where(F.col("n") == need)
         weight = lambda no: F.lit(float(wanted[no][3]))
 
         def greatest(group: int) -> Column:
@@ -125,17 +206,18 @@ class TextIndex:
         return found.where("score > 0").drop("__id", "__best", "__boost")
 
 
-def write(documents: DataFrame, fields: dict[str, tuple[str, ...]], path: str, key: str = "id") -> TextIndex:
+def write(documents: DataFrame, fields: dict[str, tuple[str, ...]], path: str, key: str = "id", block: int = BLOCK) -> TextIndex:
     """Index the fields of a table, whose ``key`` tells rows apart, under ``path``. Fields that the table lacks are passed over."""
     there = {n: tuple(k) for n, k in fields.items() if n in documents.columns}
-    rows = postings(documents, there, key).withColumn("bucket", _bucket(F.col("kind"), F.col("token")))
-    order = ["bucket", "kind", "field", "token", "id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
-    return read(documents.sparkSession, path, there, documents.schema[key].dataType.simpleString())
+    rows = postings(documents, there, key, block).withColumn("bucket", _bucket(F.col("kind"), F.col("token")))
+    spark = documents.sparkSession
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARE)
+    rows.repartition("bucket", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(parts))).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(path)
+    return read(spark, path, there, documents.schema[key].dataType.simpleString())
 
 
 def read(spark: SparkSession, path: str, fields: dict[str, tuple[str, ...]], id_type: str = "string") -> TextIndex:
-    schema = f"kind string, field string, token string, id {id_type}, value_no int, pos int, bucket int"
+    schema = f"kind string, field string, {_schema(id_type)}, bucket int"
     return TextIndex(spark.read.schema(schema).parquet(path), fields)
 
 
