@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.functions import text, vocabulary as V
+from ontoloom.plans.spread import small
 
 
 def definitions(entities: DataFrame) -> DataFrame:
@@ -19,7 +20,43 @@ def definitions(entities: DataFrame) -> DataFrame:
 
 def defined_by(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None) -> DataFrame:
     """(iri, ontology_id): ontologies that have an IRI and define it, by a base URI (ontology_id, base) it starts with or by statement (iri, ontology_id)."""
-    return by_iri(entities.select("iri", "ontology_id", *[F.lit("").alias(c) for c in ("type", "curie")]), bases, stated).select("iri", F.explode("definers").alias("ontology_id"))
+    return lists(entities, bases, stated).select("iri", F.explode("definers").alias("ontology_id"))
+
+
+def own_claims(entities: DataFrame, bases: DataFrame) -> DataFrame:
+    """``entities`` with ``said``: the row's ontology where the IRI starts with one of its bases, else null."""
+    stem = bases.where(F.length("base") > 0).select("ontology_id", "base")
+    own = small(stem.groupBy("ontology_id").agg(F.collect_set("base").alias("__bases")), stem)
+    says = F.coalesce(F.exists("__bases", lambda base: F.col("iri").startswith(base)), F.lit(False))
+    return entities.join(own, "ontology_id", "left").select(*entities.columns, F.when(says, F.col("ontology_id")).alias("said"))
+
+
+#: Signs before an ontology's name: it has an IRI, has and defines it, is said to define it, had it.
+HAS, OWNS, SAID, HAD = "+", "*", "=", "-"
+
+
+def marks(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """(iri, mark): what makes an IRI's lists, an ontology and its part in one text. Null IRIs are left out."""
+    own = own_claims(entities.select("iri", "ontology_id"), bases)
+    rows = own.select("iri", F.concat(F.when(F.col("said").isNull(), HAS).otherwise(OWNS), "ontology_id").alias("mark"))
+    if stated is not None:
+        rows = rows.union(stated.select("iri", F.concat(F.lit(SAID), "ontology_id")))
+    return rows.where("iri is not null")
+
+
+def marked(column: str, *signs: str) -> Column:
+    """The ontologies that have one of the signs in an array of marks; none where this is null."""
+    found = F.filter(column, lambda m: F.substring(m, 1, 1).isin(*signs))
+    return F.coalesce(F.transform(found, lambda m: F.substring(m, 2, (1 << 31) - 1)), F.array().cast("array<string>"))
+
+
+def lists(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(iri, appears_in, definers): the ontologies that have an IRI, and those of them that define it, in order; of all IRIs or those in ``only`` (iri)."""
+    met = marks(entities, bases, stated).groupBy("iri").agg(F.collect_set("mark").alias("marks"))
+    if only is not None:
+        met = met.join(only, "iri", "left_semi")
+    met = met.withColumn("appears_in", F.array_sort(marked("marks", HAS, OWNS))).where(F.size("appears_in") > 0)
+    return met.select("iri", "appears_in", F.array_intersect("appears_in", marked("marks", OWNS, SAID)).alias("definers"))
 
 
 def by_iri(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -27,15 +64,13 @@ def by_iri(entities: DataFrame, bases: DataFrame, stated: DataFrame | None = Non
 
     An ontology defines an IRI only if it has it, so each row is held against its own ontology's bases, and rows and statements meet in one shuffle by IRI.
     """
-    own = bases.where(F.length("base") > 0).groupBy("ontology_id").agg(F.collect_set("base").alias("__bases"))
-    says = F.coalesce(F.exists("__bases", lambda base: F.col("iri").startswith(base)), F.lit(False))
     copy = F.struct("ontology_id", "type", F.when(F.col("curie").contains(":"), 0).otherwise(1).alias("plain"), "curie")
-    rows = entities.join(own, "ontology_id", "left").select("iri", F.when(says, F.col("ontology_id")).alias("said"), copy.alias("copy"))
+    rows = own_claims(entities, bases).select("iri", "said", copy.alias("copy"))
     if stated is not None:
         rows = rows.union(stated.where("iri is not null").select("iri", F.col("ontology_id").alias("said"), F.lit(None).cast(rows.schema["copy"].dataType).alias("copy")))
-    if only is not None:
-        rows = rows.join(only, "iri", "left_semi")
     met = rows.groupBy("iri").agg(F.collect_set("copy").alias("copies"), F.collect_set("said").alias("said")).where(F.size("copies") > 0)
+    if only is not None:
+        met = met.join(only, "iri", "left_semi")
     met = met.withColumn("appears_in", F.array_sort(F.array_compact(F.array_distinct(F.col("copies.ontology_id")))))
     met = met.withColumn("definers", F.array_intersect("appears_in", "said"))
     ranked = F.transform("copies", lambda c: F.struct(F.when(F.array_contains("definers", c["ontology_id"]), 0).otherwise(1).alias("d"), c["plain"].alias("plain"), c["ontology_id"].alias("ontology_id"), c["curie"].alias("curie")))

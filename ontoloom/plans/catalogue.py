@@ -13,6 +13,7 @@ from ontoloom.functions import text
 from ontoloom.functions import vocabulary as V
 from ontoloom.operators import closure as hier
 from ontoloom.operators import derive, display, export, graph, link, linkdelta, mapping, nested, reach, search, shape, textindex, treepage
+from ontoloom.plans.spread import small
 from ontoloom.plans.staging import staged
 from ontoloom.plans.tables import CLOSURE_SQL, ENTITIES_SQL, PARENTS_SQL, Tables, edges, entities, key
 from ontoloom.service import Service
@@ -541,10 +542,11 @@ base as (select distinct 's' || s_suppkey as o, case when s_acctbal < 0 then 'p1
 def as (select distinct 'p' || l_partkey as iri, 's' || l_suppkey as o from kept where l_returnflag = 'R' union select iri, ent.o from ent join base on ent.o = base.o and starts_with(iri, b))"""
 
 
-def _merged_links(t: Tables) -> linkdelta.Links:
+def _merged_links(t: Tables, *told: str) -> linkdelta.Links:
     """Suppliers are ontologies of the parts in their lines. All are loaded; then those in debt again with their larger lines, and the richest are taken away.
 
     A line that came back says that its supplier defines the part, and so does a supplier's number at the front of a part's.
+    ``told`` names what is asked for besides IRIs: type and curie.
     """
     rows = t.lineitem.select("l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus")
     name, of = (lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))), t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
@@ -554,11 +556,11 @@ def _merged_links(t: Tables) -> linkdelta.Links:
         own = [name("s", "l_suppkey").alias("ontology_id"), name("p", "l_partkey").alias("iri")]
         tops = suppliers.select(own[0], name("http://s/", "l_suppkey").alias("iri"))
         said = lines.where("l_returnflag = 'R'").select(*own, name("http://s/", "l_suppkey").alias("of"))
-        return linkdelta.Linked(lines.select(*own, F.lit("class").alias("type"), curie.alias("curie")), said, tops, suppliers.select(own[0], name(base, "l_suppkey").alias("base")))
+        return linkdelta.Linked(lines.select(*own, F.lit("class").alias("type"), curie.alias("curie")).select("ontology_id", "iri", *told), said, tops, suppliers.select(own[0], name(base, "l_suppkey").alias("base")))
 
     old, poor = linked(rows, of, "p"), of.where("s_acctbal < 0")
     changed = of.where("s_acctbal < 0 or s_acctbal > 9000").select(name("s", "l_suppkey").alias("ontology_id"))
-    fresh = linked(rows.join(poor.select("l_suppkey"), "l_suppkey", "left_semi").where("l_quantity > 25"), poor, "p1")
+    fresh = linked(rows.join(small(poor.select("l_suppkey")), "l_suppkey", "left_semi").where("l_quantity > 25"), poor, "p1")
     return linkdelta.merged(linkdelta.links(old), old, old.replaced(changed, fresh), changed)
 
 
@@ -574,7 +576,7 @@ one as (select ent.iri, arg_min(curie, (case when def.o is null then 1 else 0 en
 select who.iri, n_definitions, appears_in, defined_by, curie from who left join by_ using (iri) left join one using (iri)""")
 def incremental_links(t):
     by = F.when(F.size("definers") > 0, F.array_join("definers", "|")).alias("defined_by")
-    return _merged_links(t).whole.select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"), by, "curie")
+    return _merged_links(t, "type", "curie").whole.select("iri", "n_definitions", F.array_join("appears_in", "|").alias("appears_in"), by, "curie")
 
 
 @query("""with open_ as (select distinct o_custkey from orders where o_orderstatus = 'O')

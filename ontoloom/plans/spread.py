@@ -1,8 +1,10 @@
-"""Joins whose keys may hold a large share of all rows."""
+"""Joins whose keys may hold a large share of all rows, and joins to a table that is small beside them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.plans.staging import staged
@@ -10,6 +12,16 @@ from ontoloom.plans.staging import staged
 #: A table of this many rows at most is broadcast whole. Beyond it, a key with more than one in PARTS of all rows is hot, so there are
 #: fewer hot keys than PARTS.
 SMALL_ROWS, PARTS = 100_000, 1000
+#: Bytes of a table that is sent to all tasks where many rows meet it; a row counts as its texts and so many bytes besides.
+SMALL_BYTES, ROW_BYTES = 64 << 20, 64
+
+
+def small(table: DataFrame, made_of: DataFrame | None = None) -> DataFrame:
+    """``table``, to be broadcast if the rows it is made of (its own) have at most ``SMALL_BYTES``: what it is joined to then stays where it is. Else as it is."""
+    rows = table if made_of is None else made_of
+    texts = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns]
+    size = rows.agg(F.sum(reduce(Column.__add__, texts, F.lit(ROW_BYTES)).cast("long")).alias("n")).first()["n"]
+    return F.broadcast(table) if (size or 0) <= SMALL_BYTES else table
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], mix: list[str], how: str = "inner", n: str = "n") -> DataFrame:
